@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import mixing, quality, transport
+from folio.llm import mixing, packing, quality, transport, vbyte
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,10 @@ def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"))
 
@@ -25,8 +30,21 @@ def op6_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_ranked_vbyte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vbyte.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_transport_stream, op4_pivotal_mixing, op6_risk_controlled_quality)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_transport_stream,
+            op2_bin_slack_packing,
+            op4_pivotal_mixing,
+            op6_risk_controlled_quality,
+            op9_ranked_vbyte,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
