@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import mixing, packing, quality, transport, vbyte
+from folio.llm import debruijn, line_align, mixing, packing, quality, transport, vbyte
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,18 @@ def op6_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_align.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_ranked_vbyte(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vbyte.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_debruijn_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -42,7 +50,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op2_bin_slack_packing,
             op4_pivotal_mixing,
             op6_risk_controlled_quality,
+            op7_patience_line_dedup,
             op9_ranked_vbyte,
+            op10_debruijn_substring_dedup,
         )
     }
 
