@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import debruijn, line_align, mixing, packing, quality, transport, vbyte
+from folio.llm import debruijn, jaccard, line_align, mixing, packing, quality, transport, vbyte
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_voronoi_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_transport_stream,
             op2_bin_slack_packing,
+            op3_voronoi_jaccard,
             op4_pivotal_mixing,
             op6_risk_controlled_quality,
             op7_patience_line_dedup,
