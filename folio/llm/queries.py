@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import debruijn, jaccard, line_align, mixing, packing, quality, transport, vbyte
+from folio.llm import debruijn, jaccard, language, line_align, maxent, mixing, packing, quality, transport, vbyte
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"))
 
 
+def op5_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(_table(spark, sf_dir, "documents"))
+
+
 def op6_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -38,6 +42,10 @@ def op7_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_align.digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_ranked_vbyte(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vbyte.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -54,8 +62,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op2_bin_slack_packing,
             op3_voronoi_jaccard,
             op4_pivotal_mixing,
+            op5_hashed_maxent,
             op6_risk_controlled_quality,
             op7_patience_line_dedup,
+            op8_byte_gru_language,
             op9_ranked_vbyte,
             op10_debruijn_substring_dedup,
         )
