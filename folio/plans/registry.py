@@ -1,11 +1,421 @@
-"""Registered catalogue queries and their SQL twins."""
+"""Registered catalogue queries, each with its SQL twin where SQL can say it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from folio.functions import text as T
+from folio.operators import catalog, enrich, mutate, search
+from folio.plans.views import GAMES_SQL, GUIDES_SQL, games, guides, table
+from folio.streaming import limits
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, tuple[Query, str | None]] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return {k: f for k, (f, _) in _QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for k, (_, s) in _QUERIES.items() if s}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_bm25(spark, sf_dir)
+
+
+# filters, projections, paging -------------------------------------------------------------------------------------------
+
+_SUMMARY = "id, title, format, file_path, game_id, last_read_position, created_at, updated_at, length(content)::bigint as content_length"
+
+
+@query(f"select {_SUMMARY} from {GUIDES_SQL} order by updated_at desc, id limit 20 offset 40")
+def guides_page(spark, d):
+    return catalog.guide_page(guides(spark, d), 20, 40).drop("metadata")
+
+
+@query("select o_orderkey, o_custkey, o_orderdate from orders order by o_orderdate desc, o_orderkey limit 50 offset 100")
+def recent_orders_page(spark, d):
+    return catalog.page(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), [F.desc("o_orderdate")], 50, 100, "o_orderkey")
+
+
+@query(f"select id, title, game_id from {GUIDES_SQL} where id = 7")
+def guide_by_id(spark, d):
+    return catalog.by_id(guides(spark, d), 7).select("id", "title", "game_id")
+
+
+@query("select o_orderkey, o_totalprice from orders where o_custkey = 7")
+def orders_of_customer(spark, d):
+    return table(spark, d, "orders").filter("o_custkey = 7").select("o_orderkey", "o_totalprice")
+
+
+@query(f"select id, title, format, file_path, created_at, updated_at from {GUIDES_SQL} where game_id = 'src3'")
+def guides_of_game(spark, d):
+    return catalog.guides_of_game(guides(spark, d), "src3").select("id", "title", "format", "file_path", "created_at", "updated_at")
+
+
+@query(f"select {_SUMMARY} from {GUIDES_SQL} where lang = 'fr' and source in ('src1', 'src2') order by updated_at desc, id limit 20")
+def guides_filtered_any(spark, d):
+    return catalog.guide_page(guides(spark, d), 20, 0, platform="fr", tags=["src1", "src2"]).drop("metadata")
+
+
+@query(f"select {_SUMMARY} from {GUIDES_SQL} where source = 'src1' and lang = 'en' order by updated_at desc, id limit 20")
+def guides_filtered_all(spark, d):
+    return catalog.guide_page(guides(spark, d), 20, 0, tags=["src1", "en"], match="all").drop("metadata")
+
+
+@query(f"select count(*)::bigint as total from {GUIDES_SQL} where lang = 'fr' and source in ('src1', 'src2')")
+def guides_filtered_count(spark, d):
+    return catalog.total(catalog.guide_filter(guides(spark, d), "fr", ["src1", "src2"]))
+
+
+@query("select event_id, user_id, props from events where json_extract_string(props, '$.k') = '5'")
+def events_json_filter(spark, d):
+    return table(spark, d, "events").filter(catalog.json_field("k", "props") == "5").select("event_id", "user_id", "props")
+
+
+@query(f"select id, lang as platform, [lang, source] as tags from {GUIDES_SQL}")
+def guide_metadata(spark, d):
+    return catalog.metadata(guides(spark, d)).select("id", "metadata.platform", "metadata.tags")
+
+
+@query(f"select id, last_read_position, updated_at from {GUIDES_SQL} where last_read_position is not null order by updated_at desc, id limit 10")
+def recently_read(spark, d):
+    return catalog.recently_read(guides(spark, d)).select("id", "last_read_position", "updated_at")
+
+
+@query(f"select id from {GUIDES_SQL} order by id limit 100")
+def missing_metadata(spark, d):
+    return catalog.missing(guides(spark, d), "metadata").select("id")
+
+
+@query(f"select id from {GUIDES_SQL} where false")
+def missing_tags(spark, d):
+    return catalog.missing(guides(spark, d), "tags").select("id")
+
+
+@query(f"select id from {GUIDES_SQL} order by id limit 100")
+def missing_summary(spark, d):
+    return catalog.missing(guides(spark, d), "summary").select("id")
+
+
+@query(f"select count(*)::bigint as total from {GUIDES_SQL}")
+def unanalysed(spark, d):
+    return catalog.total(catalog.unanalysed(guides(spark, d)))
+
+
+@query(f"select id, title, status from {GAMES_SQL} where platform = 'Brand#11' and status = 'in_progress' order by title, id limit 20")
+def games_filtered(spark, d):
+    return catalog.games(games(spark, d), 20, 0, "Brand#11", "in_progress").select("id", "title", "status")
+
+
+@query(f"select id, updated_at from {GAMES_SQL} where status = 'completed'")
+def games_by_status(spark, d):
+    return catalog.games_by_status(games(spark, d), "completed").select("id", "updated_at")
+
+
+@query(f"select id, title from {GAMES_SQL} where title ilike '%RED%' order by title, id limit 50")
+def game_title_search(spark, d):
+    return catalog.search_titles(games(spark, d), " RED ").select("id", "title")
+
+
+@query("select p_partkey as id, p_name as title from part where p_partkey = 42")
+def game_by_external_id(spark, d):
+    return catalog.by_external_id(games(spark, d), "42").select("id", "title")
+
+
+@query("select o_orderkey, o_orderstatus from orders where o_orderkey in (select l_orderkey from lineitem where l_quantity >= 49)")
+def orders_by_ids(spark, d):
+    ids = table(spark, d, "lineitem").filter("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    return catalog.by_ids(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), ids, "o_orderkey")
+
+
+@query("select conv_id, turn, role from conversations where conv_id < 50")
+def turns_sorted(spark, d):
+    return table(spark, d, "conversations").filter("conv_id < 50").select("conv_id", "turn", "role").orderBy(F.asc_nulls_last("turn"), "conv_id")
+
+
+# joins ------------------------------------------------------------------------------------------------------------------
+
+
+@query("select o_orderkey, o_orderdate, c_custkey, c_name from orders left join customer on o_custkey = c_custkey and c_acctbal > 0")
+def orders_with_customer(spark, d):
+    c = table(spark, d, "customer").filter("c_acctbal > 0").select(F.struct("c_custkey", "c_name").alias("c"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
+    return o.join(c, F.col("o_custkey") == F.col("c.c_custkey"), "left").select("o_orderkey", "o_orderdate", "c.c_custkey", "c.c_name")
+
+
+@query(f"select g.id, g.title, count(l_orderkey)::bigint as guide_count from {GAMES_SQL} g left join lineitem on l_partkey = g.id and l_quantity > 45 group by g.id, g.title")
+def games_with_guide_count(spark, d):
+    lines = table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("game_id"))
+    return catalog.with_guide_count(games(spark, d), lines).select("id", "title", "guide_count")
+
+
+@query("select o_orderkey, count(l_orderkey)::bigint as guide_count from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey")
+def orders_with_line_count(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("").alias("title"))
+    n = catalog.with_guide_count(o, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("game_id")))
+    return n.select(F.col("id").alias("o_orderkey"), "guide_count")
+
+
+@query(f"select g.id, g.game_id, n.n_name as game_title from {GUIDES_SQL} g left join nation n on n.n_nationkey = g.id")
+def guides_with_games(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("title"), F.lit(None).cast("string").alias("platform"), F.lit(None).cast("string").alias("artwork_url"))
+    g = guides(spark, d).withColumn("own", F.col("game_id")).withColumn("game_id", F.col("id"))
+    return catalog.with_games(g, n).select("guide.id", F.col("guide.own").alias("game_id"), F.col("game.title").alias("game_title"))
+
+
+_FLAGS = "lineitem where l_orderkey = o_orderkey and l_returnflag"
+
+
+@query(f"select o_orderkey from orders where exists (select 1 from {_FLAGS} in ('A', 'R'))")
+def orders_any_flag(spark, d):
+    tags = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("guide_id"), F.col("l_returnflag").alias("tag"))
+    return catalog.guide_filter(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), tags=["A", "R"], tag_table=tags).select(F.col("id").alias("o_orderkey"))
+
+
+@query(f"select o_orderkey from orders where exists (select 1 from {_FLAGS} = 'A') and exists (select 1 from {_FLAGS} = 'N') and exists (select 1 from {_FLAGS} = 'R')")
+def orders_all_flags(spark, d):
+    tags = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("guide_id"), F.col("l_returnflag").alias("tag"))
+    return catalog.guide_filter(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), tags=["A", "N", "R"], match="all", tag_table=tags).select(F.col("id").alias("o_orderkey"))
+
+
+@query("select doc_id, n_chars from documents where doc_id not in (select doc_id from labels)")
+def anti_bucket(spark, d):
+    return table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id", "left_anti")
+
+
+@query("select l_orderkey, count(*)::bigint as n from lineitem where l_orderkey in (select o_orderkey from orders where o_orderpriority = '1-URGENT') group by l_orderkey")
+def children_of_existing(spark, d):
+    parents = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"))
+    return catalog.with_parent(table(spark, d, "lineitem"), parents, "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+@query("select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem)")
+def orphan_check(spark, d):
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"))
+    return mutate.orphans(table(spark, d, "orders").select("o_orderkey"), lines, "o_orderkey")
+
+
+@query("select doc_id, 0 as bucket from documents where lang = 'de' union all select doc_id, 1 from documents where n_chars > 5000 and lang != 'de'")
+def union_first_wins(spark, d):
+    docs = table(spark, d, "documents")
+    return catalog.union_distinct(docs.filter("lang = 'de'").select("doc_id"), docs.filter("n_chars > 5000").select("doc_id"), "doc_id").withColumnRenamed("_bucket", "bucket")
+
+
+# aggregates -------------------------------------------------------------------------------------------------------------
+
+
+@query("select lang as format, count(*)::bigint as count from documents group by lang")
+def docs_by_lang(spark, d):
+    return catalog.by_format(table(spark, d, "documents").select(F.col("lang").alias("format")))
+
+
+@query("select count(distinct o_custkey)::bigint as with_guides from orders")
+def distinct_buyers(spark, d):
+    return catalog.games_with_guides(table(spark, d, "orders").select(F.col("o_custkey").alias("game_id")))
+
+
+@query("""select count(*)::bigint as total_guides, count(*) filter (quality is not null)::bigint as with_game, count(*)::bigint as with_metadata,
+  (select count(*) from part)::bigint as total_games from documents left join labels using (doc_id)""")
+def import_stats(spark, d):
+    g = guides(spark, d).join(table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality"), "id", "left").withColumn("game_id", F.col("quality").cast("string"))
+    return catalog.import_stats(g, games(spark, d))
+
+
+@query("select o_custkey, min(o_orderdate) as first_date, arg_min(o_orderkey, {'a': o_orderdate, 'b': o_orderkey}) as first_order from orders group by o_custkey")
+def first_order_per_customer(spark, d):
+    first = F.min(F.struct("o_orderdate", "o_orderkey"))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(first.alias("f")).select("o_custkey", F.col("f.o_orderdate").alias("first_date"), F.col("f.o_orderkey").alias("first_order"))
+
+
+@query("select distinct p_brand as platform from part")
+def distinct_game_platforms(spark, d):
+    return catalog.listed(games(spark, d), "platform")
+
+
+@query(f"select distinct status from {GAMES_SQL}")
+def distinct_statuses(spark, d):
+    return catalog.listed(games(spark, d), "status", empty=True)
+
+
+@query("select distinct lang as platform from documents")
+def distinct_guide_platforms(spark, d):
+    return catalog.listed(catalog.guide_platforms(guides(spark, d)), "platform")
+
+
+@query("select distinct tag from (select lang as tag from documents union all select source from documents)")
+def distinct_tags(spark, d):
+    return catalog.listed(catalog.guide_tags(guides(spark, d)), "tag")
+
+
+@query("select doc_id as guide_id, lang as tag from documents union select doc_id, source from documents")
+def tags_exploded(spark, d):
+    return catalog.guide_tags(guides(spark, d))
+
+
+@query("select (select count(*) from documents)::bigint as guides, (select count(*) from part)::bigint as games, (select count(distinct source) from documents)::bigint as with_guides")
+def corpus_stats(spark, d):
+    s = catalog.stats(guides(spark, d), games(spark, d))
+    return s["guides"].select(F.col("total").alias("guides")).join(s["games"].select(F.col("total").alias("games"))).join(s["with_guides"])
+
+
+# text -------------------------------------------------------------------------------------------------------------------
+
+_HTML = r"""with a as (select page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g') as h from pages),
+b as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</p>', chr(10) || chr(10), 'g'), '(?i)</div>', chr(10), 'g'), '(?i)</h[1-6]>', chr(10), 'g') as h from a),
+c as (select page_id, replace(replace(replace(replace(replace(replace(replace(regexp_replace(h, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&apos;', '''') as h from b)
+select page_id, regexp_replace(array_to_string(list_transform(string_split(h, chr(10)), lambda x: regexp_replace(x, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g') as text from c"""
+
+
+@query(_HTML)
+def html_to_text(spark, d):
+    return table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+
+
+@query(r"select page_id, trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)) as title from pages")
+def html_title(spark, d):
+    return table(spark, d, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
+
+
+_TITLE = r"""with l as (select doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x != '') as l from documents),
+p as (select doc_id, coalesce(list_filter(l[1:10], lambda x: length(x) >= 10 and length(x) < 100 and not starts_with(x, 'http') and not regexp_full_match(x, '[=\-*_#]+'))[1], '') as t from l),
+c as (select doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)\s+v?\d+\.\d+(\.\d+)?\s*$', ''), '(?i)\s+by\s+.+$', ''), '[*_=-]{3,}', '', 'g') as t from p)
+select doc_id, case when trim(regexp_replace(t, '\s+', ' ', 'g')) = '' then doc_id::varchar else trim(regexp_replace(t, '\s+', ' ', 'g')) end as title from c"""
+
+
+@query(_TITLE)
+def doc_title(spark, d):
+    g = table(spark, d, "documents")
+    path = F.concat("source", F.lit("/"), "doc_id", F.lit(".txt"))
+    return g.select("doc_id", F.coalesce(T.blank_null(T.title_from_content(F.col("text"))), T.title_from_filename(path)).alias("title"))
+
+
+@query(r"""select doc_id, case when regexp_matches(substr(text, 1, 8000), '(?i)(?:by|author|written by|created by)[:\s]+([^\n]+)')
+  then trim(regexp_extract(substr(text, 1, 8000), '(?i)(?:by|author|written by|created by)[:\s]+([^\n]+)', 1)) end as author from documents""")
+def doc_author(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.author(F.col("text")).alias("author"))
+
+
+@query(r"select doc_id, nullif(regexp_extract(substr(text, 1, 8000), '(?i)version[:\s]+([0-9.]+)', 1), '') as version from documents")
+def doc_version(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.version(F.col("text")).alias("version"))
+
+
+@query(r"select doc_id, case when regexp_matches(substr(text, 1, 1000), '(?i)(^|[^A-Za-z0-9_])NES([^A-Za-z0-9_]|$)') then 'NES' end as platform from documents")
+def doc_platform(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.platform(F.col("text")).alias("platform"))
+
+
+@query("""select doc_id, list_transform(list_filter(['the', 'tion', 'sch', 'eaux'], lambda k: contains(lower(substr(text, 1, 8000)), k)), lambda k: upper(k)) as tags from documents""")
+def auto_tags_vocabulary(spark, d):
+    rules = (("the", "THE"), ("tion", "TION"), ("sch", "SCH"), ("eaux", "EAUX"))
+    return table(spark, d, "documents").select("doc_id", T.auto_tags(F.col("text"), F.lit("x/1.txt"), rules).alias("tags"))
+
+
+@query(r"""select doc_id, len(list_filter(string_split(text, chr(10))[1:100], lambda x: length(x) > 10 and length(regexp_replace(x, '[\w\s]', '', 'g')) > 0.3 * length(x))) > 5 as art from documents""")
+def ascii_art(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.ascii_art(F.col("text")).alias("art"))
+
+
+@query("""select l_orderkey, l_linenumber, greatest(0, least(100, l_discount * 1000)) as completion_percentage,
+  case when l_discount * 1000 <= 0 then 'not_started' when l_discount * 1000 >= 100 then 'completed' else 'in_progress' end as status from lineitem""")
+def status_from_pct(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.completion(F.col("l_discount") * 1000).alias("c")).select("l_orderkey", "l_linenumber", "c.*")
+
+
+@query(r"""select doc_id, coalesce(nullif(trim(regexp_replace(replace(replace(replace(replace(substr(text, 1, 60), '\', '_'), '"', ''''), chr(13), ''), chr(10), ' ') || '.txt', '\s+', ' ', 'g')), ''), 'download') as filename, 'text/plain' as mime from documents""")
+def download_headers(spark, d):
+    t = F.substring("text", 1, 60)
+    return table(spark, d, "documents").select("doc_id", T.download_name(t, F.lit("txt")).alias("filename"), T.mime(F.lit("txt")).alias("mime"))
+
+
+# search -----------------------------------------------------------------------------------------------------------------
+
+_WORDS = r"(select doc_id, unnest(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}\p{M}]+'), lambda w: w != '')) as w from documents)"
+_BM25 = f"""with t as (select * from {_WORDS}), len as (select d.doc_id, count(t.w) as len from documents d left join t using (doc_id) group by 1),
+s as (select count(*) as n_docs, avg(len) as avg_len from len), tf as (select doc_id, w, count(*) as tf from t where w in ('nes', 'version') group by 1, 2),
+df as (select w, count(*) as n from tf group by 1),
+sc as (select tf.doc_id, -sum(case when ln((n_docs - n + 0.5) / (n + 0.5)) <= 0 then 1e-6 else ln((n_docs - n + 0.5) / (n + 0.5)) end * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) as score
+  from tf join df using (w) join len using (doc_id), s group by 1)
+select doc_id, round(score, 6) as score from sc order by sc.score, doc_id limit 50"""
+
+
+@query(_BM25)
+def search_bm25(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    scored = search.score(*search.index(docs, ["text"], stemmed=False), "NES OR version", stemmed=False)
+    return search.top(scored, 50).withColumn("score", F.round("score", 6))
+
+
+@query()
+def search_two_buckets(spark, d):
+    g = guides(spark, d)
+    return search.search(g, search.index(search.meta_docs(g), ["title", "tags"]), search.index(search.content_docs(g), ["content"]), "document OR version", 20)
+
+
+# changes ----------------------------------------------------------------------------------------------------------------
+
+
+@query("""select p_partkey as id, p_name as title, case when p_size > 45 then 'renamed' else p_brand end as platform, case when p_size > 45 then 99 else p_size end::bigint as updated_at from part""")
+def apply_updates(spark, d):
+    g = games(spark, d).drop("metadata", "completion_percentage")
+    base = g.withColumns({"completion_percentage": F.lit(1.0), "metadata": F.lit(None).cast("string")})
+    changes = table(spark, d, "part").filter("p_size > 45").select(F.col("p_partkey").alias("id"), F.lit("renamed").alias("platform"), F.lit(1).alias("unknown"))
+    return mutate.update(base, "games", changes, 99).select("id", "title", "platform", "updated_at")
+
+
+@query("select l_orderkey, l_linenumber from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')")
+def delete_cascade(spark, d):
+    gone = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
+    return mutate.delete(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), gone, "l_orderkey")
+
+
+@query("select o_orderkey, case when o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING') then null else o_custkey end as game_id from orders")
+def delete_set_null(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("game_id"))
+    gone = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"))
+    none = gone.select(F.col("id").alias("guide_id"), "id")
+    return mutate.Catalog(o, gone, none, none).delete_games(gone).guides.select("o_orderkey", "game_id")
+
+
+@query("select l_orderkey, l_linenumber, count(*)::bigint as n from lineitem group by 1, 2 having count(*) > 1")
+def unique_violations(spark, d):
+    return mutate.duplicates(table(spark, d, "lineitem"), ("l_orderkey", "l_linenumber"))
+
+
+@query()
+def enrich_batch(spark, d):
+    return enrich.counters(enrich.run_batch(guides(spark, d).select("id", "title", "content"), lambda p: '{"gameName": "x", "tags": ["a", 1]}'))
+
+
+# keyed state ------------------------------------------------------------------------------------------------------------
+
+_LIMIT = """with recursive e as (select user_id as key, event_id, epoch_ms(ts) as ts, row_number() over (partition by user_id order by epoch_ms(ts), event_id::varchar) as r from events),
+w as (select key, event_id, ts, r, ts + 86400000 as until, 1 as n from e where r = 1
+  union all select e.key, e.event_id, e.ts, e.r, case when e.ts >= w.until then e.ts + 86400000 else w.until end, case when e.ts >= w.until then 1 else w.n + 1 end from w join e on e.key = w.key and e.r = w.r + 1)
+select event_id::varchar as id, n::bigint as count, n <= 3 as allowed from w"""
+
+
+@query(_LIMIT)
+def rate_limit(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("id"))
+    return limits.rate_limit(e, 86_400_000, 3).select("id", "count", "allowed")
+
+
+@query("select event_id, (value > 2000) as slow, (event_type = 'x') as not_found from events")
+def request_log(spark, d):
+    e = table(spark, d, "events").select("event_id", F.lit(0).alias("start"), F.col("value").alias("end"), F.lit(200).alias("status"))
+    return limits.request_log(e).select("event_id", "slow", "not_found")
