@@ -283,7 +283,12 @@ def digest(documents: DataFrame) -> DataFrame:
 def apply(documents: DataFrame, words: int = 5, link: Fraction = Fraction(4, 5)) -> DataFrame:
     """One document of each group: the row of the smallest (doc_id, text). Documents without words stay. Near-duplicate stages
     take five words and a similarity of 0.8."""
-    found = groups(documents, words, link)
-    keep = found.filter((F.col("component_id") == F.col("doc_id")) | F.col("component_id").isNull()).select("doc_id").distinct()
-    held = documents.join(keep.withColumnRenamed("doc_id", "_k"), F.col("doc_id").cast("long").eqNullSafe(F.col("_k")), "left_semi")
-    return held.select(*documents.columns)
+    found = save(groups(documents, words, link), "groups")
+    keep = found.filter((F.col("component_id") == F.col("doc_id")) | F.col("component_id").isNull()).select(F.col("doc_id").alias("_k"))
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("_k"))
+    held = documents.join(keep.distinct(), own, "left_semi").select(*documents.columns)
+    twice = keep.groupBy("_k").agg(F.count("*").alias("n")).filter("n > 1").select("_k")
+    if twice.limit(1).count():  # rows that repeat a doc_id: equal texts among them are one document
+        repeated = held.join(twice, own, "left_semi").dropDuplicates(["doc_id", "text"])
+        held = held.join(twice, own, "left_anti").unionByName(repeated)
+    return held

@@ -185,11 +185,15 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 def fit(documents: DataFrame) -> Model | None:
     """A model of the rows whose crc32(doc_id) mod 5 is not 0; None if none has a label."""
     known = documents.filter("crc32(cast(doc_id as string)) % 5 != 0 and lang is not null and length(text) > 0").select("doc_id", "text", "lang")
-    common = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
+    common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    common = {r.lang: r.n for r in common.collect()}  # MAX_LANGS rows
     if not common:
         return None
-    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # the limit below is applied before the exchange
-    sample = known.filter(F.col("lang").isin(common)).withColumn("_r", F.row_number().over(least)).filter(F.col("_r") <= TRAIN_DOCS)
+    # so many of each language as make it all but sure that TRAIN_DOCS are among them, however large it is
+    chance = F.try_element_at(F.create_map(*[F.lit(x) for k, n in common.items() for x in (k, int(min(1.0, 8 * TRAIN_DOCS / n) * (1 << 30)))]), F.col("lang"))
+    known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < chance)
+    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    sample = known.withColumn("_r", F.row_number().over(least)).filter(F.col("_r") <= TRAIN_DOCS)
     reach = FRAME * SEGMENT * 64
     rows = sample.select(F.substring("text", 1, reach).alias("text"), "lang", "doc_id").collect()  # MAX_LANGS * TRAIN_DOCS rows of bounded length
     return train([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id))])
