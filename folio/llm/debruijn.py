@@ -136,21 +136,26 @@ def _cut(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, sha string, n_removed long, kept_sha256 string, kept string")
 
 
-def spans(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, texts, spans): a narrow row for each document with `first`, the smallest id of its copies; the texts that share
-    anything; the compacted paths with their source coordinates."""
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
+
+
+def spans(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): a narrow row for each document with `first`, the smallest id of its copies; the compacted paths with
+    their source coordinates. Texts are joined where they are needed and never stored again."""
     rows = save(_scan(documents), "scan")
     first = rows.groupBy("sha").agg(F.min("doc_id").alias("first"))
     narrow = save(rows.select("doc_id", "n_words", "sha").join(first, "sha"), "rows")
     heads = narrow.filter((F.col("doc_id") == F.col("first")) & (F.col("n_words") >= K)).select("doc_id", "sha").distinct()
-    seeds = rows.filter(F.col("n_words") >= K).join(heads, ["doc_id", "sha"], "left_semi").select("doc_id", F.explode("seeds").alias("seed"))
-    met = seeds.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("seed")
-    met = save(met, "seeds")
-    own = seeds.join(met, "seed").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))  # at most a document's own seeds
-    texts = save(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own, "doc_id"), "texts")
+    own = save(rows.filter(F.col("n_words") >= K).join(heads, ["doc_id", "sha"], "left_semi").select("doc_id", "seeds"), "own")
     discard(rows)
+    seeds = own.select("doc_id", F.explode("seeds").alias("seed"))
+    met = seeds.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("seed")
+    met = save(met, "met")
+    wanted = seeds.join(met, "seed").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))  # at most a document's own seeds
+    edges = save(_edges(_texts(documents).join(wanted, "doc_id")), "edges")
+    discard(own)
     discard(met)
-    edges = save(_edges(texts), "edges")
     met = edges.groupBy("edge").agg(F.min(F.struct("doc_id", "pos")).alias("s"), F.max("doc_id").alias("last")).filter("s.doc_id < last")
     hits = edges.join(met.select("edge", F.col("s.doc_id").alias("source"), F.col("s.pos").alias("at")), "edge").filter("doc_id > source").select("doc_id", "pos", "source", (F.col("pos") - F.col("at")).alias("shift")).distinct()
     path = Window.partitionBy("doc_id", "source", "shift").orderBy("pos")
@@ -158,17 +163,17 @@ def spans(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     paths = island.groupBy("doc_id", "source", "shift", "island").agg(F.min("pos").alias("start"), (F.count("*") + K - 1).cast("int").alias("n"))
     paths = save(paths.select("doc_id", "start", "n", "source", (F.col("start") - F.col("shift")).cast("int").alias("source_start")), "paths")
     discard(edges)
-    return narrow, texts, paths
+    return narrow, paths
 
 
 def dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and `kept`: the words left where some went, else null."""
-    rows, texts, paths = spans(documents)
-    held = texts.select("doc_id", "text")
-    source = held.select(F.col("doc_id").alias("source"), "text")  # rows that repeat an id: any of its texts may be meant
-    checked = _source_sha(paths.join(source, "source"))
+    rows, paths = spans(documents)
+    texts = _texts(documents)
+    source = texts.withColumnRenamed("doc_id", "source")  # rows that repeat an id: any of its texts may be meant
+    checked = save(_source_sha(paths.join(source, "source")), "checked")
     per = checked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "source_sha")).alias("spans"))  # a document's own spans
-    cut = _cut(held.join(per, "doc_id")).dropDuplicates(["doc_id", "sha"])
+    cut = _cut(texts.join(per, "doc_id")).dropDuplicates(["doc_id", "sha"])
     copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= K), F.lit(False))
     out = rows.join(cut, ["doc_id", "sha"], "left")
     return out.select(
