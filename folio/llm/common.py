@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,7 +30,10 @@ def save(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     The folder goes when the JVM ends. Shuffle files of the finished plan are released at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folio-{uuid.uuid4().hex}/{name}"
+    began = time.time()
     df.write.option("compression", codec).parquet(path)
+    if time.time() - began > 3:
+        time.sleep(0.7)  # the plan stays referenced until Spark's listeners have seen its end
     where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     spark._jvm.System.gc()  # lets the context cleaner drop shuffles that nothing refers to any more
