@@ -80,23 +80,27 @@ def _scan(documents: DataFrame) -> DataFrame:
 
 
 def _edges(texts: DataFrame) -> DataFrame:
-    """(edge, doc_id, pos) of the windows whose minimizer is among `seeds`."""
+    """(edge, doc_id, pos, first: whether the edge has not stood earlier in the row) of the windows whose minimizer is among `seeds`."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(frames):
             h, row, first = _hashed(part.column(1))
             low, edge = _minimizers(h, row), grams(h, K)
-            docs, places = [], []
+            docs, places, firsts = [], [], []
             for i, seeds in enumerate(part.column(2)):
                 a, b = first[i], max(first[i], first[i + 1] - K + 1)
                 own = seeds.values.to_numpy().view(np.uint64)
                 at = a + np.flatnonzero(np.isin(low[a:b], own))
                 places.append(at)
                 docs.append(np.full(len(at), i))
+                new = np.zeros(len(at), bool)
+                new[np.unique(edge[at], return_index=True)[1]] = True
+                firsts.append(new)
             at, doc = np.concatenate(places), np.concatenate(docs)
-            yield pa.RecordBatch.from_arrays([pa.array(edge[at].view(np.int64)), part.column(0).take(pa.array(doc)), pa.array((at - first[doc]).astype(np.int32))], ["edge", "doc_id", "pos"])
+            columns = [pa.array(edge[at].view(np.int64)), part.column(0).take(pa.array(doc)), pa.array((at - first[doc]).astype(np.int32)), pa.array(np.concatenate(firsts))]
+            yield pa.RecordBatch.from_arrays(columns, ["edge", "doc_id", "pos", "first"])
 
-    return texts.select("doc_id", "text", "seeds").mapInArrow(run, "edge long, doc_id long, pos int")
+    return texts.select("doc_id", "text", "seeds").mapInArrow(run, "edge long, doc_id long, pos int, first boolean")
 
 
 def _source_sha(spans: DataFrame) -> DataFrame:
@@ -156,13 +160,15 @@ def spans(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = save(_edges(_texts(documents).join(wanted, "doc_id")), "edges")
     discard(own)
     discard(met)
-    met = edges.groupBy("edge").agg(F.min(F.struct("doc_id", "pos")).alias("s"), F.max("doc_id").alias("last")).filter("s.doc_id < last")
-    hits = edges.join(met.select("edge", F.col("s.doc_id").alias("source"), F.col("s.pos").alias("at")), "edge").filter("doc_id > source").select("doc_id", "pos", "source", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    source = edges.filter("first").groupBy("edge").agg(F.min("doc_id").alias("source"), F.min_by("pos", "doc_id").alias("at"), F.max("doc_id").alias("last"))
+    source = save(source.filter("source < last").drop("last"), "sources")
+    hits = edges.drop("first").join(source, "edge").filter("doc_id > source").select("doc_id", "pos", "source", (F.col("pos") - F.col("at")).alias("shift"))
     path = Window.partitionBy("doc_id", "source", "shift").orderBy("pos")
-    island = hits.withColumn("island", F.col("pos") - F.row_number().over(path))
-    paths = island.groupBy("doc_id", "source", "shift", "island").agg(F.min("pos").alias("start"), (F.count("*") + K - 1).cast("int").alias("n"))
+    island = hits.withColumn("island", F.col("pos") - F.dense_rank().over(path))  # rows that repeat an id repeat its hits
+    paths = island.groupBy("doc_id", "source", "shift", "island").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + K).cast("int").alias("n"))
     paths = save(paths.select("doc_id", "start", "n", "source", (F.col("start") - F.col("shift")).cast("int").alias("source_start")), "paths")
     discard(edges)
+    discard(source)
     return narrow, paths
 
 
