@@ -4,7 +4,8 @@ A word goes if a K-word window over it also starts in a document of smaller id.
 1. Copies of whole word sequences (by SHA-256) are settled by the smallest id of each; one document of each goes on.
 2. Each window is named by its minimizer, the least hash among its SEED_WORDS-word parts, about one row for five words. Equal
    windows have equal minimizers, so windows whose minimizer is met in one document only are unique: exact, and few are left.
-3. The rest become edges; an edge met in two documents keeps its source coordinate, the first (doc_id, position).
+3. The rest become edges; an edge met in two documents keeps its source coordinate, the first (doc_id, position), in a table of
+   its own: its shuffle is released before the paths are made.
 4. Compaction: edges that follow each other both in a document and in the source form one nonbranching path; at a branch the
    source coordinate jumps. Islands of equal offset become one row (document, start, length, source, source start).
 5. Verification: the words at the source coordinate and at the span are compared by SHA-256 before anything is removed.
