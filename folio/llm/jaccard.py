@@ -12,8 +12,8 @@ distances to chosen pivots tells nothing. Pivots are therefore reached by shared
    of a passage that a third of all documents share dissolve, and no link is lost.
 4. A region of more than LEAF classes is split: sampled pivots, home is the nearest one, and a class is copied to every pivot
    with d <= d(home) + 2 * THETA; by the triangle inequality linked classes meet at each other's homes. Sub-regions in which
-   every class lies within THETA of the pivot need no more than those links. This recurs; a region that will not shrink (all
-   classes alike) is joined block against block.
+   every class lies within THETA of the pivot need no more than those links. This recurs; a region whose sub-regions would
+   hold more pairs than itself (all classes alike) is joined block against block instead.
 5. A leaf counts intersections exactly by products of 0/1 matrices and returns a spanning forest of its links, never all
    pairs. Components of the forests give the result.
 
@@ -185,8 +185,9 @@ def _leaves(members: DataFrame, link: Fraction) -> DataFrame:
     return held.select(F.col("m.cls").alias("names"), F.col("m.set").alias("sets")).mapInArrow(run, "a binary, b binary")
 
 
-def _split(members: DataFrame, sizes: DataFrame, depth: int, link: Fraction) -> tuple[DataFrame, DataFrame]:
-    """Voronoi step on large regions: (edges to pivots, members of the sub-regions as (region, cls, set, parent size))."""
+def _split(members: DataFrame, sizes: DataFrame, depth: int, link: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Voronoi step on large regions: (edges to pivots, members of the sub-regions, regions whose sub-regions would hold more
+    pairs than they do and are not split)."""
     theta = 1 - float(link) + 1e-9
     big = members.join(sizes, "region")
     pivot = big.filter(F.pmod(F.xxhash64("cls", F.lit(depth)), F.ceil(F.col("size") / (LEAF // 128))) == 0)
@@ -208,40 +209,44 @@ def _split(members: DataFrame, sizes: DataFrame, depth: int, link: Fraction) ->
                 for at, (p, _) in enumerate(known[region]):
                     if d[at] <= min(d) + 2 * theta:
                         exact = d[at] <= theta
-                        out.append((hashlib.blake2b(region + p, digest_size=16).digest(), name, k, p, exact, size))
+                        out.append((hashlib.blake2b(region + p, digest_size=16).digest(), name, k, p, exact, size, region))
             take = part.column(2).take(pa.array([x[2] for x in out], pa.int64()))
-            cols = [pa.array([x[i] for x in out], t) for i, t in ((0, pa.binary()), (1, pa.binary()), (3, pa.binary()), (4, pa.bool_()), (5, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([cols[0], cols[1], take, *cols[2:]], ["region", "cls", "set", "pivot", "near", "parent"])
+            cols = [pa.array([x[i] for x in out], t) for i, t in ((0, pa.binary()), (1, pa.binary()), (3, pa.binary()), (4, pa.bool_()), (5, pa.int64()), (6, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([cols[0], cols[1], take, *cols[2:]], ["region", "cls", "set", "pivot", "near", "size", "of"])
 
     dealt = big.join(pivot, "region", "left").select("region", "cls", "set", "size", F.coalesce("pivots", F.array(F.struct("cls", "set"))).alias("pivots"))
-    dealt = save(dealt.mapInArrow(run, "region binary, cls binary, set array<long>, pivot binary, near boolean, parent long"), "voronoi")
-    loose = dealt.groupBy("region").agg(F.bool_and("near").alias("all_near")).filter(~F.col("all_near")).select("region")
-    return dealt.filter("near and cls != pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")), dealt.join(loose, "region").select("region", "cls", "set", "parent")
+    dealt = save(dealt.mapInArrow(run, "region binary, cls binary, set array<long>, pivot binary, near boolean, size long, of binary"), "voronoi")
+    loose = dealt.groupBy("of", "size", "region").agg(F.count("*").cast("double").alias("n"), F.bool_and("near").alias("all_near")).filter(~F.col("all_near"))
+    loose = save(loose, "loose")
+    whole = loose.groupBy("of", "size").agg(F.sum(F.col("n") * F.col("n")).alias("pairs")).filter(F.col("pairs") > F.col("size").cast("double") * F.col("size"))
+    whole = save(whole.select(F.col("of").alias("region"), "size"), "whole")
+    parts = loose.join(whole.select(F.col("region").alias("of")), "of", "left_anti").select("region")
+    near = dealt.filter("near and cls != pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
+    return near, dealt.join(parts, "region").select("region", "cls", "set"), whole
 
 
 def _blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Every pair of half-leaf blocks of a region as a region of its own: exact for regions that will not shrink."""
-    n = F.ceil(F.col("size") / (LEAF // 4)).cast("int")
+    """Every two half-leaf blocks of a region as a region of its own: exact for regions that will not shrink."""
+    n = F.ceil(F.col("size") / (LEAF // 2)).cast("int")
     own = members.join(sizes, "region").withColumn("n", n).withColumn("k", F.pmod(F.xxhash64("cls", F.lit(99)), F.col("n")).cast("int"))
-    own = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    own = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).filter("o != k")  # a block's own pairs are in its other regions
     return own.select(F.unhex(F.md5(F.concat("region", F.encode(F.concat_ws("-", F.least("k", "o"), F.greatest("k", "o")), "UTF-8")))).alias("region"), "cls", "set")
 
 
 def _links(members: DataFrame, link: Fraction) -> DataFrame:
     members, edges, depth = save(members, "members"), None, 0
     while True:
-        sizes = members.groupBy("region").agg(F.count("*").alias("size"), *([F.max("parent").alias("parent")] if depth else [F.lit(None).cast("long").alias("parent")]))
-        sizes = save(sizes.filter("size > 1"), "sizes")
+        sizes = save(members.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
         small = _leaves(members.join(sizes.filter(F.col("size") <= LEAF).select("region"), "region", "left_semi"), link)
         edges = small if edges is None else edges.unionByName(small)
         big = sizes.filter(F.col("size") > LEAF)
         if not big.count():
             return edges
-        firm = (F.col("size") > 0.7 * F.col("parent")) | F.lit(depth >= DEPTH)
-        firm = F.coalesce(firm, F.lit(False))
-        edges = edges.unionByName(_leaves(_blocks(members, big.filter(firm).select("region", "size")), link))
-        near, members = _split(members, big.filter(~firm).select("region", "size"), depth, link)
-        edges, members, depth = edges.unionByName(near), save(members, "members"), depth + 1
+        if depth == DEPTH:
+            return edges.unionByName(_leaves(_blocks(members, big), link))
+        near, parts, whole = _split(members, big, depth, link)
+        edges = edges.unionByName(near).unionByName(_leaves(_blocks(members, whole), link))
+        members, depth = save(parts, "members"), depth + 1
 
 
 def groups(documents: DataFrame, words: int = WORDS, link: Fraction = LINK) -> DataFrame:
