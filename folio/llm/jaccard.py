@@ -6,7 +6,7 @@ distances to chosen pivots tells nothing. Pivots are therefore reached by shared
 1. Equal sets form one class; only classes go on.
 2. A set keeps the head of its hashes in ascending order, long enough that two linked sets share at least need() of the head
    (the prefix principle with a margin). Sets whose head has fewer shingles met in other sets cannot link and leave. What
-   is left is counted again until nothing changes.
+   is left is counted again until few more leave.
 3. The least class that holds a head shingle is its pivot. A class belongs to the regions of its pivots; linked classes have
    more than twice `spare` pivots' shingles in common, so each may leave out its most crowded regions up to `spare`: regions
    of a passage that a third of all documents share dissolve, and no link is lost.
@@ -43,6 +43,8 @@ from folio.llm.words import Texts, batches, grams
 WORDS, LINK = 4, Fraction(85, 100)
 MARGIN = Fraction(1, 10)
 LEAF, DEPTH = 1024, 3
+#: Counting again ends when a pass keeps more than this part; those who could still leave only cost later steps some work.
+SETTLED = 0.95
 
 
 def linked(both: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, link: Fraction = LINK):
@@ -110,7 +112,7 @@ def _live(heads: DataFrame) -> DataFrame:
         if kept is not None:
             discard(kept)
         kept = own
-        if n == before or n == 0:
+        if n == 0 or n > SETTLED * before >= 0:
             return kept.select("cls", "need", F.explode("shared").alias("s"))
         before, rows = n, kept.select("cls", "need", F.explode("shared").alias("s"))
 
