@@ -5,8 +5,8 @@ segment forwards and one backwards, and a softmax over both states gives every f
 probabilities. A document's probabilities are the mean over all its positions: whole texts, never a prefix.
 
 fit() trains on a bounded sample of labelled rows, the TRAIN_DOCS least hashes of each language among the MAX_LANGS most
-common ones, and TRAIN_SEGMENTS evenly spread segments of each, by backpropagation through time with Adam. The model (some
-60 kB) goes to the executors with the function; prediction is one scan without an exchange.
+common ones, and TRAIN_SEGMENTS segments spread evenly over each whole text, by backpropagation through time with Adam. The
+model (some 60 kB) goes to the executors with the function; prediction is one scan without an exchange.
 
 Defined results: null text, and text without a letter, is `und` with score 0; so is everything if no row has a label. Null
 labels teach nothing. Rows are independent: repeats get equal results; an empty table gives no row.
@@ -194,8 +194,10 @@ def fit(documents: DataFrame) -> Model | None:
     known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < chance)
     least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = known.withColumn("_r", F.row_number().over(least)).filter(F.col("_r") <= TRAIN_DOCS)
-    reach = FRAME * SEGMENT * 64
-    rows = sample.select(F.substring("text", 1, reach).alias("text"), "lang", "doc_id").collect()  # MAX_LANGS * TRAIN_DOCS rows of bounded length
+    width, size = FRAME * SEGMENT, F.length("text")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_SEGMENTS - 1)), lambda k: F.substring("text", (1 + F.floor(k * (size - width) / (TRAIN_SEGMENTS - 1))).cast("int"), F.lit(width)))
+    text = F.when(size <= TRAIN_SEGMENTS * width, F.col("text")).otherwise(F.array_join(spread, " "))  # pieces from start to end of long texts
+    rows = sample.select(text.alias("text"), "lang", "doc_id").collect()  # MAX_LANGS * TRAIN_DOCS rows of bounded length
     return train([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id))])
 
 
