@@ -8,7 +8,7 @@ being any unknown token, so the whole is a proper distribution.
 counts() counts all training tokens. train() makes one pass over all training documents in ROUNDS slices: every task starts
 from the same weights, takes gradient steps on its rows, and its change, weighted by its tokens, climbs a reduction tree of
 FAN_IN changes a step; the driver holds one model (4 MB), whatever the corpus. score() is one scan in sparse numpy batches:
-the TOP most frequent tokens, a fixed number, are looked up in the task; the others, each rare, meet their counts in a join.
+the most frequent tokens, TOP at most, are looked up in the task; the others, each rare, meet their counts in a join.
 
 Defined results: null text is the end alone; a null doc_id is neither learned from nor held out; repeats are scored alike; no
 training rows leave all counts 0; an empty table gives no row.
@@ -141,6 +141,17 @@ def train(documents: DataFrame) -> np.ndarray:
     return w
 
 
+def frequent(known: DataFrame) -> DataFrame:
+    """(h, n) of the most frequent tokens, TOP at most: all that are counted as often as a step of a sixteenth of an octave. The
+    driver sees a row for each step; taking the first TOP of a sort would send it as many from each partition."""
+    step, left, least = F.floor(16 * F.log2("n")), TOP, None
+    for r in known.groupBy(step.alias("step")).agg(F.count("*").alias("tokens")).orderBy(F.desc("step")).collect():  # 1024 rows at most
+        if r.tokens > left:
+            break
+        left, least = left - r.tokens, r.step
+    return known.filter(F.lit(False) if least is None else step >= least).select("h", "n")
+
+
 def score(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     spark = documents.sparkSession
@@ -148,7 +159,7 @@ def score(documents: DataFrame) -> DataFrame:
     per = {r.cls: (r.n, r.v) for r in known.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}  # CLASSES rows
     total, distinct = sum(n for n, _ in per.values()), sum(v for _, v in per.values())
     room = np.log10([sum(per.get(k, (0, 0))) + 1 for k in range(CLASSES)])
-    top = known.orderBy(F.desc("n"), "h").limit(TOP).select("h", "n").toPandas().sort_values("h")  # TOP rows
+    top = frequent(known).toPandas().sort_values("h")  # TOP rows at most
     held = spark.sparkContext.broadcast((train(documents), top["h"].to_numpy(np.int64), np.log10(top["n"].to_numpy(np.int64) + 1.0)))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,6 +29,20 @@ def test_op5_base(spark):
     assert maxent.score(corpora.frame(spark, [])).count() == 0
 
 
+def test_op5_frequent(spark, monkeypatch):
+    """Results do not depend on which tokens are looked up; ties at the edge are all left to the join."""
+    known = spark.createDataFrame([(i, 0, n) for i, n in enumerate([1000, 90, 90, 7, 7, 7, 1])], "h long, cls int, n long")
+    for most, want in ((100, 7), (6, 6), (5, 3), (2, 1), (0, 0)):
+        monkeypatch.setattr(maxent, "TOP", most)
+        assert sorted(r.h for r in maxent.frequent(known).collect()) == list(range(want))
+    rows = corpora.sample(n=30)
+    few, all_ = [], []
+    for most, out in ((3, few), (1 << 16, all_)):
+        monkeypatch.setattr(maxent, "TOP", most)
+        out += sorted((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in maxent.score(corpora.frame(spark, rows)).collect())
+    assert few == all_
+
+
 def test_op5_learns(spark):
     rows = [(i, " ".join(f"{'ab' if j % 2 else 'cd'}{(i * 7 + j) % 90}{'xx' if j % 2 else 'yy'}" for j in range(200)), None, None, 0) for i in range(200)]
     out = [r for r in maxent.score(corpora.frame(spark, rows)).collect() if r.held_out]
