@@ -30,6 +30,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +100,7 @@ def _short(cls: str = "cls") -> Column:
 
 
 def _live(heads: DataFrame) -> DataFrame:
-    """(cls, need, s) of classes that may link, by their head shingles that other live classes have too."""
+    """(cls, need, shared), saved: classes that may link, and their head shingles that other live classes have too."""
     rows = heads.filter("n > 0").select("cls", "need", F.explode("head").alias("s"))
     kept, before = None, -1
     while True:
@@ -113,12 +114,13 @@ def _live(heads: DataFrame) -> DataFrame:
             discard(kept)
         kept = own
         if n == 0 or n > SETTLED * before >= 0:
-            return kept.select("cls", "need", F.explode("shared").alias("s"))
+            return kept
         before, rows = n, kept.select("cls", "need", F.explode("shared").alias("s"))
 
 
 def _regions(live: DataFrame) -> DataFrame:
-    """(region, cls): the pivots' regions that each class keeps."""
+    """(region, cls), saved: the pivots' regions that each class keeps."""
+    live = live.select("cls", "need", F.explode("shared").alias("s"))
     pivot = live.groupBy("s").agg(F.min("cls").alias("region"))
     mass = save(live.join(pivot, "s").groupBy("region", "cls", "need").agg(F.count("*").alias("mass")), "mass")
     crowd = mass.groupBy("region").agg(F.count("*").alias("crowd")).filter("crowd > 1")
@@ -132,7 +134,9 @@ def _regions(live: DataFrame) -> DataFrame:
         ),
         lambda a: a["keep"],
     )
-    return own.select("cls", F.explode(walk).alias("region"))
+    out = save(own.select("cls", F.explode(walk).alias("region")), "regions")
+    discard(mass)
+    return out
 
 
 def forest(sets: list[np.ndarray], link: Fraction = LINK) -> list[tuple[int, int]]:
@@ -187,9 +191,9 @@ def _leaves(members: DataFrame, link: Fraction) -> DataFrame:
     return held.select(F.col("m.cls").alias("names"), F.col("m.set").alias("sets")).mapInArrow(run, "a binary, b binary")
 
 
-def _split(members: DataFrame, sizes: DataFrame, depth: int, link: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _split(members: DataFrame, sizes: DataFrame, depth: int, link: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Voronoi step on large regions: (edges to pivots, members of the sub-regions, regions whose sub-regions would hold more
-    pairs than they do and are not split)."""
+    pairs than they do and are not split, the saved table that the first two read)."""
     theta = 1 - float(link) + 1e-9
     big = members.join(sizes, "region")
     pivot = big.filter(F.pmod(F.xxhash64("cls", F.lit(depth)), F.ceil(F.col("size") / (LEAF // 128))) == 0)
@@ -224,7 +228,7 @@ def _split(members: DataFrame, sizes: DataFrame, depth: int, link: Fraction) ->
     whole = save(whole.select(F.col("of").alias("region"), "size"), "whole")
     parts = loose.join(whole.select(F.col("region").alias("of")), "of", "left_anti").select("region")
     near = dealt.filter("near and cls != pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
-    return near, dealt.join(parts, "region").select("region", "cls", "set"), whole
+    return near, dealt.join(parts, "region").select("region", "cls", "set"), whole, dealt
 
 
 def _blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -236,31 +240,42 @@ def _blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _links(members: DataFrame, link: Fraction) -> DataFrame:
-    members, edges, depth = save(members, "members"), None, 0
+    """Edges of all regions of a saved table, which goes when its links are found."""
+    edges, depth = [], 0
     while True:
         sizes = save(members.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
-        small = _leaves(members.join(sizes.filter(F.col("size") <= LEAF).select("region"), "region", "left_semi"), link)
-        edges = small if edges is None else edges.unionByName(small)
+        small = sizes.filter(F.col("size") <= LEAF).select("region")
+        edges.append(save(_leaves(members.join(small, "region", "left_semi"), link), "links"))
         big = sizes.filter(F.col("size") > LEAF)
         if not big.count():
-            return edges
+            break
         if depth == DEPTH:
-            return edges.unionByName(_leaves(_blocks(members, big), link))
-        near, parts, whole = _split(members, big, depth, link)
-        edges = edges.unionByName(near).unionByName(_leaves(_blocks(members, whole), link))
+            edges.append(save(_leaves(_blocks(members, big), link), "links"))
+            break
+        near, parts, whole, dealt = _split(members, big, depth, link)
+        edges += [save(near, "links"), save(_leaves(_blocks(members, whole), link), "links")]
+        discard(members)
         members, depth = save(parts, "members"), depth + 1
+        discard(dealt)
+    discard(members)
+    return reduce(DataFrame.unionByName, edges)
 
 
 def groups(documents: DataFrame, words: int = WORDS, link: Fraction = LINK) -> DataFrame:
     """doc_id, cls, n_shingles, component_id for each row."""
     heads = save(_heads(documents, words, link), "heads")
-    rows = heads.select("doc_id", "cls", "n")
+    rows = save(heads.select("doc_id", "cls", "n"), "rows")
     live = _live(heads.select("cls", "n", "need", "head"))
-    regions = save(_regions(live), "regions")
+    discard(heads)
+    regions = _regions(live)
+    discard(live)
     active = regions.select("cls").distinct()
     one = rows.join(active, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     sets = save(_sets(documents, one, words), "sets")
-    edges = _links(regions.join(sets, "cls").select("region", "cls", "set"), link)
+    members = save(regions.join(sets, "cls").select("region", "cls", "set"), "members")
+    discard(sets)
+    discard(regions)
+    edges = _links(members, link)
     roots = components(edges)
     of = rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "cls")))
     low = of.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
