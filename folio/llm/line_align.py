@@ -4,7 +4,7 @@ Lines of MIN_WORDS words or more are hashed; each such line that another documen
 holder. That finds every shared line, and a line in a million documents makes a million links, not their square, so no
 cap on frequent lines is needed; a cap would lose large groups of copies. Each document is aligned with each partner by
 patience diff: equal heads and tails, then lines unique on both sides in longest increasing order, then the gaps between
-them. A common block of MIN_BLOCK_WORDS words or more is deleted from the later document. All is judged on the input.
+them; a gap without such lines is aligned exactly, so that most words lie in common blocks. A common block of MIN_BLOCK_WORDS words or more is deleted from the later document. All is judged on the input.
 
 Pairs carry line hashes only (a few bytes a line); texts move once, to be cut.
 
@@ -15,6 +15,7 @@ other columns pass through.
 
 from __future__ import annotations
 
+import tempfile
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ from folio.llm.common import save
 from folio.llm.words import Texts, batches
 
 MIN_WORDS, MIN_BLOCK_WORDS = 4, 8
+#: Cells of a gap's table that are held in memory; a larger table lies in a temporary file while it is used.
+DENSE = 1 << 24
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -47,8 +50,74 @@ def _lines(documents: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, mark long, lines array<long>, words array<int>")
 
 
-def align(a: list, b: list) -> list[tuple[int, int]]:
-    """Pairs (i, j) with a[i] == b[j], ascending in both: patience diff."""
+def _gap(a: list, b: list, words: list[int], least: int, i: int, m: int, j: int, n: int) -> list[tuple[int, int]]:
+    """Pairs between a[i:m] and b[j:n] that put most words, then most lines, into common blocks of `least` words or more."""
+    weight = dict(zip(b[j:n], words[j:n], strict=True))
+
+    def candidates(x: list, lo: int, hi: int, other: set) -> list[int]:
+        """Lines in runs of lines that `other` holds, of `least` words or more."""
+        out, lo_run, total = [], lo, 0
+        for p in range(lo, hi + 1):
+            if p < hi and x[p] in other:
+                total += weight[x[p]]
+                continue
+            if total >= least:
+                out += range(lo_run, p)
+            lo_run, total = p + 1, 0
+        return out
+
+    own = candidates(b, j, n, set(a[i:m]))
+    theirs = candidates(a, i, m, {b[q] for q in own})
+    if not own or not theirs:
+        return []
+    code = {x: k for k, x in enumerate(dict.fromkeys(b[q] for q in own))}
+    column, row = np.array([code[b[q]] for q in own]), [code[a[p]] for p in theirs]
+    next_column, next_row = np.r_[False, np.diff(own) == 1], np.r_[False, np.diff(theirs) == 1]
+    count = np.array([words[q] for q in own], np.int64)
+    value = count * (len(own) + 1) + 1
+    sums, gains = np.r_[0, np.cumsum(count)], np.r_[0, np.cumsum(value)]
+    back = np.arange(1, len(own) + 1) - np.searchsorted(sums, sums[1:] - least, "right") + 1  # lines that the shortest block ending here has
+    back = np.where(sums[1:] >= least, back, len(own) + 1)
+    shape, held = (2, len(row) + 1, len(own) + 1), None
+    if shape[1] * shape[2] > DENSE:
+        held = tempfile.TemporaryFile()
+        table = np.memmap(held, np.int64, "w+", shape=shape)
+    else:
+        table = np.zeros(shape, np.int64)
+    best, early = table  # early: the most that is gained before a block of this run, less what lies before it
+    run, early[0] = np.zeros(len(own) + 1, np.int64), -gains
+    for p, x in enumerate(row, 1):
+        match = column == x
+        run[1:] = np.where(match & next_column & next_row[p - 1], run[:-1] + 1, match)
+        at, after = np.flatnonzero(match & (run[1:] >= back)), np.zeros(len(own), np.int64)
+        k, to = back[at], at + 1
+        after[at] = np.where(run[to] > k, early[p - k, to - k], best[p - k, to - k] - gains[to - k]) + gains[to]
+        best[p, 1:] = np.maximum.accumulate(np.maximum(best[p - 1, 1:], after))
+        early[p] = best[p] - gains
+        before = np.where(run[1:] > 1, early[p - 1, :-1], best[p - 1, :-1] - gains[:-1])
+        early[p, 1:] = np.where(match, np.maximum(early[p, 1:], before), early[p, 1:])
+    out, p, q = [], len(row), len(own)
+    while p and q and best[p, q]:
+        if best[p, q] == best[p - 1, q]:
+            p -= 1
+        elif best[p, q] == best[p, q - 1]:
+            q -= 1
+        else:
+            k = int(back[q - 1])
+            while best[p - k, q - k] + gains[q] - gains[q - k] != best[p, q]:
+                k += 1
+            out += [(theirs[p - t], own[q - t]) for t in range(1, k + 1)]
+            p, q = p - k, q - k
+    if held:
+        del best, early, table
+        held.close()
+    return out
+
+
+def align(a: list, b: list, words: list[int] | None = None, least: int = 1) -> list[tuple[int, int]]:
+    """Pairs (i, j) with a[i] == b[j], ascending in both: patience diff, with _gap() where no line is unique on both sides.
+    Without `words` every line counts alike, and _gap() is a longest common subsequence."""
+    words = [1] * len(b) if words is None else words
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         i, m, j, n = todo.pop()
@@ -62,6 +131,7 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
             continue
         once = {x for x, k in Counter(a[i:m]).items() if k == 1} & {x for x, k in Counter(b[j:n]).items() if k == 1}
         if not once:
+            out += _gap(a, b, words, least, i, m, j, n)
             continue
         place = {x: k for k, x in enumerate(a[i:m], i) if x in once}
         piles, tops, back = [], [], {}
@@ -86,7 +156,7 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
 def common_lines(a: list, b: list, words: list[int], least: int = MIN_BLOCK_WORDS) -> list[int]:
     """Lines of b inside aligned blocks of `least` words or more."""
     out, block = [], []
-    for i, j in [*align(a, b), (-1, -1)]:
+    for i, j in [*align(a, b, words, least), (-1, -1)]:
         if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
             if sum(words[q] for _, q in block) >= least:
                 out += [q for _, q in block]

@@ -60,3 +60,47 @@ def test_op7(spark):
     kept = line_align.apply(corpora.frame(spark, more)).collect()
     assert Counter(r.doc_id for r in kept)[None] == 1 and Counter(r.doc_id for r in kept)[0] == 2
     assert line_align.digest(corpora.frame(spark, [])).count() == 0
+
+
+def heaviest(a, b, words, least):
+    """Most words of b in ascending common blocks of `least` words or more, by trying every block; nothing of line_align."""
+    from functools import cache
+
+    @cache
+    def best(i, j):
+        if i == len(a) or j == len(b):
+            return 0
+        out, k, total = max(best(i + 1, j), best(i, j + 1)), 0, 0
+        while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+            total, k = total + words[j + k], k + 1
+            if total >= least:
+                out = max(out, total + best(i + k, j + k))
+        return out
+
+    return best(0, 0)
+
+
+def test_gaps_without_unique_lines(monkeypatch):
+    import random
+
+    assert line_align.common_lines(list("hPmPt"), list("aPb"), [1, 60, 1]) == [1]
+    assert line_align.common_lines(list("hPt"), list("aPbPc"), [1, 60, 1, 60, 1]) in ([1], [3])
+    assert len(line_align.align(list("hABmBAt"), list("aBABAb"))) == 3
+    r = random.Random(5)
+    for k in range(600):
+        monkeypatch.setattr(line_align, "DENSE", 0 if k % 3 == 0 else 1 << 24)
+        size = {x: r.choice([0, 1, 3, 4, 9]) for x in "ABCD"}
+        a, b = (["<" + s, *(r.choice("ABCD") for _ in range(r.randint(8, 14))), ">" + s] for s in "ab")
+        a[1:1] = b[1:1] = "ABCD"  # every common line twice or more
+        a[1:1], b[1:1] = ["-"], ["+"]
+        a[-1:-1], b[-1:-1] = "DCBA", "DCBA"
+        w = [size.get(x, 1) for x in b]
+        gone = line_align.common_lines(a, b, w)
+        assert sum(w[q] for q in gone) == heaviest(a, b, w, 8)
+
+
+def test_op7_repeated_passage(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [f"head\n{passage}\nmiddle\n{passage}\ntail", f"other\n{passage}\nend", f"x\n{passage}\ny\n{passage}\nz"]
+    out = {r.doc_id: r.n_removed for r in line_align.digest(corpora.frame(spark, [(k, t, None, None, 0) for k, t in enumerate(texts)])).collect()}
+    assert out == {0: 0, 1: 1, 2: 2}
