@@ -1,8 +1,9 @@
 """Line dedup by pairwise alignment.
 
-Lines of MIN_WORDS words or more are hashed; each such line that another document has too names one partner, its earliest
-holder. That finds every shared line, and a line in a million documents makes a million links, not their square, so no
-cap on frequent lines is needed; a cap would lose large groups of copies. Each document is aligned with each partner by
+Lines of MIN_WORDS words or more are hashed, and from every line with a word the shortest run of lines that has
+MIN_BLOCK_WORDS words; each such line or run that another document has too names one partner, its earliest holder. Every
+common block that can be deleted begins with such a run, however short its lines are. A line in a million documents makes a
+million links, not their square, so no cap on frequent lines is needed; a cap would lose large groups of copies. Each document is aligned with each partner by
 patience diff: equal heads and tails, then lines unique on both sides in longest increasing order, then the gaps between
 them; a gap without such lines is aligned exactly, so that most words lie in common blocks. A common block of MIN_BLOCK_WORDS words or more is deleted from the later document. All is judged on the input.
 
@@ -26,28 +27,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import save
-from folio.llm.words import Texts, batches
+from folio.llm.words import Texts, _powers, batches, mix64
 
 MIN_WORDS, MIN_BLOCK_WORDS = 4, 8
 #: Cells of a gap's table that are held in memory; a larger table lies in a temporary file while it is used.
 DENSE = 1 << 24
 
 
+def _keys(h: np.ndarray, n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of what links documents: lines of MIN_WORDS words, and from each line with a word the shortest run of two
+    lines or more of its row that has MIN_BLOCK_WORDS words."""
+    row, total = np.repeat(np.arange(len(first) - 1), np.diff(first)), np.r_[0, np.cumsum(n)]
+    end = np.searchsorted(total, total[:-1] + MIN_BLOCK_WORDS)
+    start = np.flatnonzero((n > 0) & (n < MIN_BLOCK_WORDS) & (end <= first[1:][row]))
+    end, line = end[start], np.flatnonzero(n >= MIN_WORDS)
+    pow_, inv = _powers(len(h) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.r_[np.uint64(0), np.cumsum(h * pow_[: len(h)], dtype=np.uint64)]
+        runs = mix64((sums[end] - sums[start]) * inv[start] + (end - start).astype(np.uint64))
+    return np.r_[row[line], row[start]], np.r_[h[line], runs]
+
+
 def _lines(documents: DataFrame) -> DataFrame:
-    """doc_id, mark (hash of the text), lines (hash of each line), words (of each line)."""
+    """doc_id, mark (hash of the text), lines (hash of each line), words (of each line), keys (see _keys())."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(frames):
             texts = Texts(part.column(2))
             starts, ends, first = texts.lines()
-            h = texts.hashes(starts, ends).view(np.int64)
+            h = texts.hashes(starts, ends)
             begin, _, _ = texts.words()
             n = np.searchsorted(begin, ends) - np.searchsorted(begin, starts)
             to = pa.array(first.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(to, pa.array(h)), pa.ListArray.from_arrays(to, pa.array(n.astype(np.int32)))], ["doc_id", "mark", "lines", "words"])
+            row, key = _keys(h, n, first)
+            order = np.argsort(row, kind="stable")
+            keys = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(len(first))).astype(np.int32)), pa.array(key[order].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(to, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(to, pa.array(n.astype(np.int32))), keys], ["doc_id", "mark", "lines", "words", "keys"])
 
     own = documents.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
-    return own.mapInArrow(run, "doc_id long, mark long, lines array<long>, words array<int>")
+    return own.mapInArrow(run, "doc_id long, mark long, lines array<long>, words array<int>, keys array<long>")
 
 
 def _gap(a: list, b: list, words: list[int], least: int, i: int, m: int, j: int, n: int) -> list[tuple[int, int]]:
@@ -177,8 +195,8 @@ def _aligned(pairs: DataFrame) -> DataFrame:
 def removed(documents: DataFrame) -> DataFrame:
     """doc_id, mark, gone: the numbers of the lines that each document loses."""
     lines = save(_lines(documents).distinct(), "lines")
-    each = lines.select("doc_id", "mark", F.explode(F.arrays_zip("lines", "words")).alias("l")).filter(F.col("l.words") >= MIN_WORDS)
-    each = each.select("doc_id", "mark", F.col("l.lines").alias("line")).distinct()
+    each = lines.select("doc_id", "mark", F.explode(F.array_distinct("keys")).alias("line")).distinct()
+    lines = lines.drop("keys")
     first = each.groupBy("line").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.max("doc_id").alias("last")).filter("first.doc_id < last")
     pairs = each.join(first, "line").filter("first.doc_id < doc_id").select("doc_id", "mark", "first").distinct()
     theirs = lines.select(F.struct("doc_id", "mark").alias("first"), F.col("lines").alias("theirs"))

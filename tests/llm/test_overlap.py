@@ -104,3 +104,11 @@ def test_op7_repeated_passage(spark):
     texts = [f"head\n{passage}\nmiddle\n{passage}\ntail", f"other\n{passage}\nend", f"x\n{passage}\ny\n{passage}\nz"]
     out = {r.doc_id: r.n_removed for r in line_align.digest(corpora.frame(spark, [(k, t, None, None, 0) for k, t in enumerate(texts)])).collect()}
     assert out == {0: 0, 1: 1, 2: 2}
+
+
+def test_op7_links_by_runs(spark):
+    """Copies whose lines are short, or have other earlier holders, meet the document that holds the run."""
+    x, y, short = "one two three four", "five six seven eight", "\n".join(f"a{k} b{k}" + f" c{k}\n" * (k % 3) for k in range(30))
+    texts = [x, y, f"{x}\n{y}", f"{x}\n{y}", f"{x}\n\n{y}", f"{x}\n\n{y}", f"head\n{short}", f"other\n{short}\nend", "a b c\nd e f", "a b c\nd e f"]
+    out = {r.doc_id: r.n_removed for r in line_align.digest(corpora.frame(spark, [(k, t, None, None, 0) for k, t in enumerate(texts)])).collect()}
+    assert out == {0: 0, 1: 0, 2: 0, 3: 2, 4: 0, 5: 3, 6: 0, 7: len(short.split("\n")), 8: 0, 9: 0}
