@@ -1,13 +1,15 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | before) = P(class | before) * P(token | class). A token's class is a hash of its last two bytes (the end of a text
-has its own), so it needs no table. P(class | before) is a softmax over CLASSES with hashed features: the token before, the
-one before that (a skip), and both as a bigram. P(token | class) = (c + 1) / (N_class + V_class + 1), one of the outcomes
-being any unknown token, so the whole is a proper distribution.
+P(token | before) = P(class | before) * P(slot | class, before) * P(token | class, slot). A token's class is a hash of its last
+two bytes (the end of a text has its own), so it needs no table. The SLOTS - 1 most frequent tokens of a class have a slot
+each, slot 0 is for the rest. Class and slot are softmaxes with hashed features: the token before, the one before that (a
+skip), and both as a bigram; for slots each together with the class, beside a bias for each class that starts at the counts.
+In slot 0, P(token) = (c + 1) / (N_rest + V_rest + 1), one of the outcomes being any unknown token, so the whole is a proper
+distribution; there a token's context tells its class and slot only.
 
 counts() counts all training tokens. train() makes one pass over all training documents in ROUNDS slices: every task starts
 from the same weights, takes gradient steps on its rows, and its change, weighted by its tokens, climbs a reduction tree of
-FAN_IN changes a step; the driver holds one model (4 MB), whatever the corpus. score() is one scan in sparse numpy batches:
+FAN_IN changes a step; the driver holds one model (8 MB), whatever the corpus. score() is one scan in sparse numpy batches:
 the most frequent tokens, TOP at most, are looked up in the task; the others, each rare, meet their counts in a join.
 
 Defined results: null text is the end alone; a null doc_id is neither learned from nor held out; repeats are scored alike; no
@@ -20,16 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.common import discard, save
 from folio.llm.words import Texts, batches, mix64
 
-CLASSES, ROUNDS, STEP, CHUNK = 32, 2, 0.3, 1 << 14
+CLASSES, SLOTS, ROUNDS, STEP, CHUNK = 32, 32, 2, 0.3, 1 << 14
 BITS = (13, 13, 14)
 TOP, SHARDS, FAN_IN = 65_536, 16, 32
 ROWS = sum(1 << b for b in BITS) + 1
+SLOT_ROWS = ROWS + CLASSES
 END = np.uint64(0x454E44)
 
 
@@ -46,6 +49,23 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def features(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """[tokens, 3] rows of the weights: the token before, the one before it, both."""
+    return _rows(contexts(h, first))
+
+
+def _rows(keys: list[np.ndarray]) -> np.ndarray:
+    base = np.cumsum([0, *(1 << b for b in BITS)])
+    return np.stack([(k >> np.uint64(64 - b)).astype(np.int64) + base[i] for i, (k, b) in enumerate(zip(keys, BITS, strict=True))], 1)
+
+
+def slot_features(keys: list[np.ndarray], cls: np.ndarray) -> np.ndarray:
+    """[tokens, 4] rows of the slots' weights: the contexts, each with the class, and the class alone."""
+    with np.errstate(over="ignore"):
+        own = [mix64(k + (cls.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) for k in keys]
+    return np.c_[_rows(own), ROWS - 1 + cls]
+
+
+def contexts(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Hashes of what stands before each token: the token before, the one before it, both."""
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     before = []
     for k in (1, 2):
@@ -53,13 +73,11 @@ def features(h: np.ndarray, first: np.ndarray) -> np.ndarray:
         p[k:] = np.where(row[k:] == row[:-k], h[:-k], np.uint64(0))
         before.append(p)
     with np.errstate(over="ignore"):
-        keys = [mix64(before[0]), mix64(before[1] + np.uint64(7)), mix64(before[0] * np.uint64(3) + mix64(before[1]))]
-    base = np.cumsum([0, *(1 << b for b in BITS)])
-    return np.stack([(k >> np.uint64(64 - b)).astype(np.int64) + base[i] for i, (k, b) in enumerate(zip(keys, BITS, strict=True))], 1)
+        return [mix64(before[0]), mix64(before[1] + np.uint64(7)), mix64(before[0] * np.uint64(3) + mix64(before[1]))]
 
 
 def log_softmax(w: np.ndarray, f: np.ndarray) -> np.ndarray:
-    x = w[f[:, 0]] + w[f[:, 1]] + w[f[:, 2]] + w[-1]
+    x = sum((w[f[:, k]] for k in range(f.shape[1])), w[-1])
     x -= x.max(1, keepdims=True)
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
@@ -107,10 +125,41 @@ def _merge(parts: DataFrame, tasks: int) -> DataFrame:
     return parts
 
 
-def train(documents: DataFrame) -> np.ndarray:
-    """The weights [ROWS, CLASSES]; the last row is the bias."""
-    spark, w = documents.sparkSession, np.zeros((ROWS, CLASSES), np.float32)
-    cut = np.linspace(0, ROWS, SHARDS + 1).astype(int)
+class Slots:
+    """The tokens that have a slot: their hashes in ascending order, slots and counts; and what the rest of each class counts."""
+
+    def __init__(self, known: DataFrame):
+        rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("n"), "h"))
+        top = known.withColumn("slot", rank).filter(F.col("slot") < SLOTS).orderBy("h").collect()  # CLASSES * (SLOTS - 1) rows at most
+        self.h, self.cls, self.slot, self.n = (np.array([r[k] for r in top], np.int64) for k in ("h", "cls", "slot", "n"))
+        per = known.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # CLASSES rows
+        self.rest = np.zeros((2, CLASSES), np.int64)  # occurrences and distinct tokens
+        for r in per:
+            self.rest[:, r.cls] = r.n, r.v
+        self.total, self.distinct = self.rest.sum(1).tolist()
+        np.subtract.at(self.rest, (0, self.cls), self.n)
+        np.subtract.at(self.rest, (1, self.cls), 1)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slot of each token, 0 for the rest, and its count there or 0."""
+        if not len(self.h):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.h, h.view(np.int64)), len(self.h) - 1)
+        hit = self.h[at] == h.view(np.int64)
+        return np.where(hit, self.slot[at], 0), np.where(hit, self.n[at], 0)
+
+    def start(self) -> np.ndarray:
+        """Slots' weights before training: logs of the counts as the classes' bias; no token has an unused slot."""
+        w, n = np.zeros((SLOT_ROWS, SLOTS), np.float32), np.zeros((CLASSES, SLOTS))
+        n[self.cls, self.slot], n[:, 0] = self.n, self.rest[0] + 1
+        w[ROWS - 1 : -1] = np.where(n > 0, np.log(np.maximum(n, 1) / n.sum(1, keepdims=True)), -30)
+        return w
+
+
+def train(documents: DataFrame, slots: Slots) -> np.ndarray:
+    """The weights [ROWS + SLOT_ROWS, CLASSES] of classes and slots; the last row of each is the bias."""
+    spark, w = documents.sparkSession, np.concatenate([np.zeros((ROWS, CLASSES), np.float32), slots.start()])
+    cut = np.linspace(0, len(w), SHARDS + 1).astype(int)
     for k in range(ROUNDS):
         held = spark.sparkContext.broadcast(w)
 
@@ -121,9 +170,11 @@ def train(documents: DataFrame) -> np.ndarray:
             for part in batches(frames):
                 own = held.value.copy() if own is None else own
                 h, cls, first = tokens(part.column(0))
-                f = features(h, first)
+                keys = contexts(h, first)
+                f, g, slot = _rows(keys), slot_features(keys, cls), slots.find(h)[0]
                 for lo in range(0, len(h), CHUNK):
-                    learn(own, f[lo : lo + CHUNK], cls[lo : lo + CHUNK])
+                    learn(own[:ROWS], f[lo : lo + CHUNK], cls[lo : lo + CHUNK])
+                    learn(own[ROWS:], g[lo : lo + CHUNK], slot[lo : lo + CHUNK])
                 n += len(h)
             if own is not None:
                 change = (own - held.value) * np.float32(n)
@@ -156,29 +207,32 @@ def score(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     spark = documents.sparkSession
     known = counts(documents)
-    per = {r.cls: (r.n, r.v) for r in known.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}  # CLASSES rows
-    total, distinct = sum(n for n, _ in per.values()), sum(v for _, v in per.values())
-    room = np.log10([sum(per.get(k, (0, 0))) + 1 for k in range(CLASSES)])
+    slots = Slots(known)
+    total, distinct = slots.total, slots.distinct
+    room = np.log10(slots.rest.sum(0) + 1.0)
     top = frequent(known).toPandas().sort_values("h")  # TOP rows at most
-    held = spark.sparkContext.broadcast((train(documents), top["h"].to_numpy(np.int64), np.log10(top["n"].to_numpy(np.int64) + 1.0)))
+    held = spark.sparkContext.broadcast((train(documents, slots), top["h"].to_numpy(np.int64), np.log10(top["n"].to_numpy(np.int64) + 1.0)))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, common, value = held.value
         for part in batches(frames):
             h, cls, first = tokens(part.column(2))
-            f, own = features(h, first), h.view(np.int64)
+            keys, own = contexts(h, first), h.view(np.int64)
+            f, g, (slot, n) = _rows(keys), slot_features(keys, cls), slots.find(h)
             at = np.minimum(np.searchsorted(common, own), max(0, len(common) - 1))
             hit = common[at] == own if len(common) else np.zeros(len(own), bool)
             logs = np.zeros(len(h))
             for lo in range(0, len(h), CHUNK):
                 part_of = slice(lo, lo + CHUNK)
-                logs[part_of] = np.take_along_axis(log_softmax(w, f[part_of]), cls[part_of, None], 1)[:, 0]
+                logs[part_of] = np.take_along_axis(log_softmax(w[:ROWS], f[part_of]), cls[part_of, None], 1)[:, 0]
+                logs[part_of] += np.take_along_axis(log_softmax(w[ROWS:], g[part_of]), slot[part_of, None], 1)[:, 0]
+            logs = logs / np.log(10) - np.where(slot > 0, np.log10(n + 1.0), room[cls])  # a slot's token counts for nothing more
             found = np.zeros(len(h))
             found[hit] = value[at[hit]]
             add = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.zeros(0)
             rare = np.flatnonzero(~hit)
             to = np.searchsorted(rare, first).astype(np.int32)
-            arrays = [part.column(0), part.column(1), pa.array(np.diff(first)), pa.array(add(hit.astype(np.int64)), pa.int64()), pa.array(add(found)), pa.array(add(logs / np.log(10) - room[cls])), pa.ListArray.from_arrays(pa.array(to), pa.array(own[rare]))]
+            arrays = [part.column(0), part.column(1), pa.array(np.diff(first)), pa.array(add(hit.astype(np.int64)), pa.int64()), pa.array(add(found)), pa.array(add(logs)), pa.ListArray.from_arrays(pa.array(to), pa.array(own[rare]))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "hits", "found", "model", "rare"])
 
     rows = _own(documents).select(F.col("doc_id").cast("long"), F.coalesce(F.expr("_crc % 7 = 2"), F.lit(False)).alias("held_out"), "text")

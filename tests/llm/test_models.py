@@ -97,3 +97,28 @@ def test_op8(spark):
     assert language.digest(corpora.frame(spark, [])).count() == 0
     model = language.train([("the cat and", "en"), ("le chat et", "fr")] * 5)
     assert len(language.label_positions(model, "le chat é")) == 10
+
+
+def test_op5_context_tells_tokens_of_one_class(spark):
+    """Pairs of tokens with the same ending, and so of one class; only the token before tells them apart."""
+    import random
+
+    r = random.Random(3)
+    rows = [(i, " ".join(x for _ in range(150) for x in r.choice([("aaqq", "left"), ("bbzz", "weft")])), None, None, 0) for i in range(800)]
+    _, cls, _ = maxent.tokens(pa.array(["left weft"]))
+    assert cls[0] == cls[1]
+    out = [r for r in maxent.score(corpora.frame(spark, rows).coalesce(1)).collect() if r.held_out]
+    n = sum(r.n_tokens for r in out)
+    # a choice of two at every other token costs log10(2) / 2 = 0.15 a token; without context inside the class it costs 0.30
+    assert out and -sum(r.score for r in out) / n < 0.2
+
+
+def test_op5_slots_are_a_distribution(spark):
+    known = maxent.counts(corpora.frame(spark, corpora.sample(n=40)))
+    slots = maxent.Slots(known)
+    own = {(r.cls, int(s)): n for r, s, n in ((r, *(x[0] for x in slots.find(np.array([r.h]).view(np.uint64)))) for r in known.collect()) if s}
+    assert len(own) == len(slots.h) > 100 and all(n > 0 for n in own.values())
+    keys, cls = [np.arange(50, dtype=np.uint64) for _ in range(3)], np.arange(50) % maxent.CLASSES
+    p = np.exp(maxent.log_softmax(slots.start(), maxent.slot_features(keys, cls)))
+    assert np.allclose(p.sum(1), 1, atol=1e-4)
+    assert all(p[k, s] < 1e-9 for k, c in enumerate(cls) for s in range(1, maxent.SLOTS) if (c, s) not in own)
