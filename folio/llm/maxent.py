@@ -7,9 +7,10 @@ skip), and both as a bigram; for slots each together with the class, beside a bi
 In slot 0, P(token) = (c + 1) / (N_rest + V_rest + 1), one of the outcomes being any unknown token, so the whole is a proper
 distribution; there a token's context tells its class and slot only.
 
-counts() counts all training tokens. train() makes one pass over all training documents in ROUNDS slices: every task starts
-from the same weights, takes gradient steps on its rows, and its change, weighted by its tokens, climbs a reduction tree of
-FAN_IN changes a step; the driver holds one model (8 MB), whatever the corpus. score() is one scan in sparse numpy batches:
+counts() counts all training tokens. train() makes one pass over all training documents in slices, one a round: every task
+starts from the same weights, takes gradient steps on its rows, and its change climbs a reduction tree of FAN_IN changes a
+step; each weight's change is averaged over the tasks that touched it, by how often they did. Rows of weights, tasks and
+rounds grow with the training tokens (see Plan); the driver holds one model (8 MB up to 32 million tokens, 128 MB at 30 GB). score() is one scan in sparse numpy batches:
 the most frequent tokens, TOP at most, are looked up in the task; the others, each rare, meet their counts in a join.
 
 Defined results: null text is the end alone; a null doc_id is neither learned from nor held out; repeats are scored alike; no
@@ -29,13 +30,27 @@ from folio.llm.common import discard, save
 from folio.llm.words import Texts, batches, mix64
 
 CLASSES, SLOTS, ROUNDS, STEP, CHUNK = 32, 32, 2, 0.3, 1 << 14
-BITS = (13, 13, 14)
+#: Widths of the hashed features up to twice LEAST training tokens; from there rows, tasks and rounds grow, see Plan.
+BITS, LEAST = (13, 13, 14), 1 << 23
 TOP, SHARDS, FAN_IN = 65_536, 16, 32
 ROWS = sum(1 << b for b in BITS) + 1
 SLOT_ROWS = ROWS + CLASSES
+TASKS = 16
 END = np.uint64(0x454E44)
 
 
+class Plan:
+    """What training takes for `total` training tokens. Rows of weights and tasks each grow with the root of total, so what the
+    tasks' changes hold together grows with total; rounds grow with its logarithm."""
+
+    def __init__(self, total: int):
+        more = max(0, int(np.floor(np.log2(max(1, total) / LEAST) / 2)))
+        self.bits, self.rounds, self.shards = tuple(b + more for b in BITS), ROUNDS + more, SHARDS << more
+        self.rows = sum(1 << b for b in self.bits) + 1
+        self.slot_rows = self.rows + CLASSES
+        self.tasks = max(TASKS, round(TASKS * (total / LEAST) ** 0.5))
+
+
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and class of all tokens of all rows, an end after each row, and the first token of each row."""
     texts = Texts(column, lower=True)
@@ -52,16 +67,16 @@ def features(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return _rows(contexts(h, first))
 
 
-def _rows(keys: list[np.ndarray]) -> np.ndarray:
-    base = np.cumsum([0, *(1 << b for b in BITS)])
-    return np.stack([(k >> np.uint64(64 - b)).astype(np.int64) + base[i] for i, (k, b) in enumerate(zip(keys, BITS, strict=True))], 1)
+def _rows(keys: list[np.ndarray], bits: tuple[int, ...] = BITS) -> np.ndarray:
+    base = np.cumsum([0, *(1 << b for b in bits)])
+    return np.stack([(k >> np.uint64(64 - b)).astype(np.int64) + base[i] for i, (k, b) in enumerate(zip(keys, bits, strict=True))], 1)
 
 
-def slot_features(keys: list[np.ndarray], cls: np.ndarray) -> np.ndarray:
+def slot_features(keys: list[np.ndarray], cls: np.ndarray, bits: tuple[int, ...] = BITS) -> np.ndarray:
     """[tokens, 4] rows of the slots' weights: the contexts, each with the class, and the class alone."""
     with np.errstate(over="ignore"):
         own = [mix64(k + (cls.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) for k in keys]
-    return np.c_[_rows(own), ROWS - 1 + cls]
+    return np.c_[_rows(own, bits), sum(1 << b for b in bits) + cls]
 
 
 def contexts(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
@@ -148,19 +163,24 @@ class Slots:
         hit = self.h[at] == h.view(np.int64)
         return np.where(hit, self.slot[at], 0), np.where(hit, self.n[at], 0)
 
-    def start(self) -> np.ndarray:
+    def start(self, rows: int = SLOT_ROWS) -> np.ndarray:
         """Slots' weights before training: logs of the counts as the classes' bias; no token has an unused slot."""
-        w, n = np.zeros((SLOT_ROWS, SLOTS), np.float32), np.zeros((CLASSES, SLOTS))
+        w, n = np.zeros((rows, SLOTS), np.float32), np.zeros((CLASSES, SLOTS))
         n[self.cls, self.slot], n[:, 0] = self.n, self.rest[0] + 1
-        w[ROWS - 1 : -1] = np.where(n > 0, np.log(np.maximum(n, 1) / n.sum(1, keepdims=True)), -30)
+        w[-1 - CLASSES : -1] = np.where(n > 0, np.log(np.maximum(n, 1) / n.sum(1, keepdims=True)), -30)
         return w
 
 
-def train(documents: DataFrame, slots: Slots) -> np.ndarray:
-    """The weights [ROWS + SLOT_ROWS, CLASSES] of classes and slots; the last row of each is the bias."""
-    spark, w = documents.sparkSession, np.concatenate([np.zeros((ROWS, CLASSES), np.float32), slots.start()])
-    cut = np.linspace(0, len(w), SHARDS + 1).astype(int)
-    for k in range(ROUNDS):
+def averaged(total: np.ndarray) -> np.ndarray:
+    """The mean change of each weight over the tasks that touched it; the last column is how often they did."""
+    return total[:, :-1] / np.maximum(1, total[:, -1:])
+
+
+def train(documents: DataFrame, slots: Slots, plan: Plan) -> np.ndarray:
+    """The weights [plan.rows + plan.slot_rows, CLASSES] of classes and slots; the last row of each is the bias."""
+    spark, w = documents.sparkSession, np.concatenate([np.zeros((plan.rows, CLASSES), np.float32), slots.start(plan.slot_rows)])
+    cut, rows, bits, shards = np.linspace(0, len(w), plan.shards + 1).astype(int), plan.rows, plan.bits, plan.shards
+    for k in range(plan.rounds):
         held = spark.sparkContext.broadcast(w)
 
         def run(frames: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -168,25 +188,29 @@ def train(documents: DataFrame, slots: Slots) -> np.ndarray:
 
             own, n, task = None, 0, TaskContext.get().partitionId()
             for part in batches(frames):
-                own = held.value.copy() if own is None else own
+                if own is None:
+                    own, touched = held.value.copy(), np.zeros(len(held.value), np.int64)
                 h, cls, first = tokens(part.column(0))
                 keys = contexts(h, first)
-                f, g, slot = _rows(keys), slot_features(keys, cls), slots.find(h)[0]
+                f, g, slot = _rows(keys, bits), slot_features(keys, cls, bits), slots.find(h)[0]
+                touched[:rows] += np.bincount(f.ravel(), minlength=rows)
+                touched[rows:] += np.bincount(g.ravel(), minlength=len(own) - rows)
+                touched[[rows - 1, -1]] += len(h)  # the biases
                 for lo in range(0, len(h), CHUNK):
-                    learn(own[:ROWS], f[lo : lo + CHUNK], cls[lo : lo + CHUNK])
-                    learn(own[ROWS:], g[lo : lo + CHUNK], slot[lo : lo + CHUNK])
+                    learn(own[:rows], f[lo : lo + CHUNK], cls[lo : lo + CHUNK])
+                    learn(own[rows:], g[lo : lo + CHUNK], slot[lo : lo + CHUNK])
                 n += len(h)
             if own is not None:
-                change = (own - held.value) * np.float32(n)
-                blobs = [change[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(SHARDS), pa.int32()), pa.array([task] * SHARDS, pa.int32()), pa.array([n] * SHARDS, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "task", "n", "change"])
+                own -= held.value
+                own *= touched[:, None].astype(np.float32)
+                blobs = [np.c_[own[a:b], touched[a:b].astype(np.float32)].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array([task] * shards, pa.int32()), pa.array([n] * shards, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "task", "n", "change"])
 
-        slice_ = _own(documents).filter(f"_crc % 7 != 2 and _crc div 7 % {ROUNDS} = {k}").select("text")
+        slice_ = _own(documents).filter(f"_crc % 7 != 2 and _crc div 7 % {plan.rounds} = {k}").select("text").coalesce(plan.tasks)
         parts = save(slice_.mapInArrow(run, "shard int, task int, n long, change binary"), "changes")
         tasks = (parts.agg(F.max("task")).first()[0] or 0) + 1
-        for r in _merge(parts, tasks).collect():  # SHARDS rows: one model
-            a, b = cut[r.shard], cut[r.shard + 1]
-            w[a:b] += np.frombuffer(r.change, np.float32).reshape(-1, CLASSES) / np.float32(max(1, r.n))
+        for r in _merge(parts, tasks).collect():  # a row for each shard: one model
+            w[cut[r.shard] : cut[r.shard + 1]] += averaged(np.frombuffer(r.change, np.float32).reshape(-1, CLASSES + 1))
         held.destroy()
         discard(parts)
     return w
@@ -210,22 +234,24 @@ def score(documents: DataFrame) -> DataFrame:
     slots = Slots(known)
     total, distinct = slots.total, slots.distinct
     room = np.log10(slots.rest.sum(0) + 1.0)
+    plan = Plan(total)
+    rows_, bits = plan.rows, plan.bits
     top = frequent(known).toPandas().sort_values("h")  # TOP rows at most
-    held = spark.sparkContext.broadcast((train(documents, slots), top["h"].to_numpy(np.int64), np.log10(top["n"].to_numpy(np.int64) + 1.0)))
+    held = spark.sparkContext.broadcast((train(documents, slots, plan), top["h"].to_numpy(np.int64), np.log10(top["n"].to_numpy(np.int64) + 1.0)))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, common, value = held.value
         for part in batches(frames):
             h, cls, first = tokens(part.column(2))
             keys, own = contexts(h, first), h.view(np.int64)
-            f, g, (slot, n) = _rows(keys), slot_features(keys, cls), slots.find(h)
+            f, g, (slot, n) = _rows(keys, bits), slot_features(keys, cls, bits), slots.find(h)
             at = np.minimum(np.searchsorted(common, own), max(0, len(common) - 1))
             hit = common[at] == own if len(common) else np.zeros(len(own), bool)
             logs = np.zeros(len(h))
             for lo in range(0, len(h), CHUNK):
                 part_of = slice(lo, lo + CHUNK)
-                logs[part_of] = np.take_along_axis(log_softmax(w[:ROWS], f[part_of]), cls[part_of, None], 1)[:, 0]
-                logs[part_of] += np.take_along_axis(log_softmax(w[ROWS:], g[part_of]), slot[part_of, None], 1)[:, 0]
+                logs[part_of] = np.take_along_axis(log_softmax(w[:rows_], f[part_of]), cls[part_of, None], 1)[:, 0]
+                logs[part_of] += np.take_along_axis(log_softmax(w[rows_:], g[part_of]), slot[part_of, None], 1)[:, 0]
             logs = logs / np.log(10) - np.where(slot > 0, np.log10(n + 1.0), room[cls])  # a slot's token counts for nothing more
             found = np.zeros(len(h))
             found[hit] = value[at[hit]]
