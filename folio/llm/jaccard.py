@@ -13,7 +13,7 @@ distances to chosen pivots tells nothing. Pivots are therefore reached by shared
 4. A region of more than LEAF classes is split: sampled pivots, home is the nearest one, and a class is copied to every pivot
    with d <= d(home) + 2 * THETA; by the triangle inequality linked classes meet at each other's homes. Sub-regions in which
    every class lies within THETA of the pivot need no more than those links. This recurs; a region whose sub-regions would
-   hold more pairs than itself (all classes alike) is joined block against block instead.
+   hold more pairs than itself (all classes alike), or for which no pivot was sampled, is joined block against block instead.
 5. A leaf counts intersections exactly by products of 0/1 matrices and returns a spanning forest of its links, never all
    pairs. Components of the forests give the result.
 
@@ -192,8 +192,8 @@ def _leaves(members: DataFrame, link: Fraction) -> DataFrame:
 
 
 def _split(members: DataFrame, sizes: DataFrame, depth: int, link: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Voronoi step on large regions: (edges to pivots, members of the sub-regions, regions whose sub-regions would hold more
-    pairs than they do and are not split, the saved table that the first two read)."""
+    """Voronoi step on large regions: (edges to pivots, members of the sub-regions, regions that are not split, as their
+    sub-regions would hold more pairs than they do or no pivot was sampled, the saved table that the first two read)."""
     theta = 1 - float(link) + 1e-9
     big = members.join(sizes, "region")
     pivot = big.filter(F.pmod(F.xxhash64("cls", F.lit(depth)), F.ceil(F.col("size") / (LEAF // 128))) == 0)
@@ -220,12 +220,14 @@ def _split(members: DataFrame, sizes: DataFrame, depth: int, link: Fraction) ->
             cols = [pa.array([x[i] for x in out], t) for i, t in ((0, pa.binary()), (1, pa.binary()), (3, pa.binary()), (4, pa.bool_()), (5, pa.int64()), (6, pa.binary()))]
             yield pa.RecordBatch.from_arrays([cols[0], cols[1], take, *cols[2:]], ["region", "cls", "set", "pivot", "near", "size", "of"])
 
-    dealt = big.join(pivot, "region", "left").select("region", "cls", "set", "size", F.coalesce("pivots", F.array(F.struct("cls", "set"))).alias("pivots"))
+    dealt = big.join(pivot, "region").select("region", "cls", "set", "size", "pivots")
     dealt = save(dealt.mapInArrow(run, "region binary, cls binary, set array<long>, pivot binary, near boolean, size long, of binary"), "voronoi")
     loose = dealt.groupBy("of", "size", "region").agg(F.count("*").cast("double").alias("n"), F.bool_and("near").alias("all_near")).filter(~F.col("all_near"))
     loose = save(loose, "loose")
     whole = loose.groupBy("of", "size").agg(F.sum(F.col("n") * F.col("n")).alias("pairs")).filter(F.col("pairs") > F.col("size").cast("double") * F.col("size"))
-    whole = save(whole.select(F.col("of").alias("region"), "size"), "whole")
+    led = dealt.select(F.col("of").alias("region")).distinct()
+    unled = sizes.join(led, "region", "left_anti").select("region", "size")  # no class was sampled
+    whole = save(whole.select(F.col("of").alias("region"), "size").unionByName(unled), "whole")
     parts = loose.join(whole.select(F.col("region").alias("of")), "of", "left_anti").select("region")
     near = dealt.filter("near and cls != pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
     return near, dealt.join(parts, "region").select("region", "cls", "set"), whole, dealt

@@ -84,3 +84,20 @@ def test_forest_joins_what_links_join():
             for b in range(a):
                 if jaccard.linked(len(np.intersect1d(own[a], own[b])), len(own[a]), len(own[b])):
                     assert b in reach[a]
+
+
+def test_regions_without_a_pivot(spark, monkeypatch):
+    """Two regions whose rows come by turns and in which no class is sampled: no link is lost."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(jaccard, "LEAF", 128)
+    names = spark.range(420).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("cls"))
+    names = [bytes(r.cls) for r in names.filter(F.pmod(F.xxhash64("cls", F.lit(0)), F.lit(200)) != 0).limit(400).collect()]
+    assert len(names) == 400
+    rows = []
+    for k in range(0, 400, 4):  # names k, k + 2 are linked in one region, k + 1, k + 3 in the other
+        for j in range(4):
+            rows.append((b"rs"[j % 2 : j % 2 + 1], names[k + j], sorted([*range(1000 * k + 100 * (j % 2), 1000 * k + 100 * (j % 2) + 40), 10**9 + k + j])))
+    members = jaccard.save(spark.createDataFrame(rows, "region binary, cls binary, set array<long>").coalesce(1), "members")
+    found = {frozenset((bytes(r.a), bytes(r.b))) for r in jaccard._links(members, jaccard.LINK).collect()}
+    assert found == {frozenset((names[k + j], names[k + j + 2])) for k in range(0, 400, 4) for j in (0, 1)}
