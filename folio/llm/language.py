@@ -4,8 +4,7 @@ A text's UTF-8 bytes are read in frames of FRAME bytes, cut into segments of SEG
 segment forwards and one backwards, and a softmax over both states gives every frame, and so every byte position, language
 probabilities. A document's probabilities are the mean over all its positions: whole texts, never a prefix.
 
-fit() trains on a bounded sample of labelled rows, the TRAIN_DOCS least hashes of each language among the MAX_LANGS most
-common ones, and TRAIN_SEGMENTS segments spread evenly over each whole text, by backpropagation through time with Adam. The
+fit() trains on a bounded sample of labelled rows, the TRAIN_DOCS least hashes of every language, and TRAIN_SEGMENTS segments spread evenly over each whole text, by backpropagation through time with Adam. The
 model (some 60 kB) goes to the executors with the function; prediction is one scan without an exchange.
 
 Defined results: null text, and text without a letter, is `und` with score 0; so is everything if no row has a label. Null
@@ -25,7 +24,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from folio.llm.words import Texts, batches
 
 FRAME, SEGMENT, HIDDEN = 4, 64, 12
-MAX_LANGS, TRAIN_DOCS, TRAIN_SEGMENTS, EPOCHS, BATCH, RATE = 64, 300, 6, 4, 128, 0.01
+TRAIN_DOCS, TRAIN_SEGMENTS, EPOCHS, BATCH, RATE = 300, 6, 4, 128, 0.01
 UNKNOWN, FLOOR = "und", 0.5
 
 
@@ -185,8 +184,8 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 def fit(documents: DataFrame) -> Model | None:
     """A model of the rows whose crc32(doc_id) mod 5 is not 0; None if none has a label."""
     known = documents.filter("crc32(cast(doc_id as string)) % 5 != 0 and lang is not null and length(text) > 0").select("doc_id", "text", "lang")
-    common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
-    common = {r.lang: r.n for r in common.collect()}  # MAX_LANGS rows
+    common = known.groupBy("lang").agg(F.count("*").alias("n"))
+    common = {r.lang: r.n for r in common.collect()}  # a row for each language
     if not common:
         return None
     # so many of each language as make it all but sure that TRAIN_DOCS are among them, however large it is
@@ -197,7 +196,7 @@ def fit(documents: DataFrame) -> Model | None:
     width, size = FRAME * SEGMENT, F.length("text")
     spread = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_SEGMENTS - 1)), lambda k: F.substring("text", (1 + F.floor(k * (size - width) / (TRAIN_SEGMENTS - 1))).cast("int"), F.lit(width)))
     text = F.when(size <= TRAIN_SEGMENTS * width, F.col("text")).otherwise(F.array_join(spread, " "))  # pieces from start to end of long texts
-    rows = sample.select(text.alias("text"), "lang", "doc_id").collect()  # MAX_LANGS * TRAIN_DOCS rows of bounded length
+    rows = sample.select(text.alias("text"), "lang", "doc_id").collect()  # TRAIN_DOCS rows of bounded length for each language
     return train([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id))])
 
 

@@ -143,3 +143,8 @@ def test_op5_trains_with_wider_features(spark, monkeypatch):
     rows = [(i, " ".join(f"{'ab' if j % 2 else 'cd'}{(i * 7 + j) % 90}{'xx' if j % 2 else 'yy'}" for j in range(200)), None, None, 0) for i in range(200)]
     out = [r for r in maxent.score(corpora.frame(spark, rows)).collect() if r.held_out]
     assert maxent.Plan(34_000).bits[0] == 15 and out and sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_op8_learns_every_language(spark):
+    rows = [(k, f"text of number {k % 80}", f"l{k % 80:02}", None, 0) for k in range(400)]
+    assert language.fit(corpora.frame(spark, rows)).langs == [f"l{k:02}" for k in range(80)]
