@@ -147,6 +147,11 @@ def turns_sorted(spark, d):
     return table(spark, d, "conversations").filter("conv_id < 50").select("conv_id", "turn", "role").orderBy(F.asc_nulls_last("turn"), "conv_id")
 
 
+@query("select conv_id, turn, role from conversations")
+def turns_sorted_all(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", "role").orderBy("conv_id", F.asc_nulls_last("turn"))
+
+
 # joins ------------------------------------------------------------------------------------------------------------------
 
 

@@ -174,3 +174,11 @@ def test_zip(spark, tmp_path):
     (tmp_path / "b.zip").write_bytes(b"broken")
     rows = files.scan_zip(spark, str(tmp_path), ".7z").collect()
     assert sorted((r.entry or "", r.error is None) for r in rows) == [("", False), ("x/one.7Z", True)]
+
+
+def test_whole_conversations_sorted(spark):
+    from folio.plans import registry
+
+    out = [(r.conv_id, r.turn) for r in registry.queries()["turns_sorted_all"](spark, "/root/testdata/sf0.01").collect()]
+    assert len(out) == spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").count() and max(out)[0] >= 50
+    assert out == sorted(out, key=lambda r: (r[0], r[1] is None, r[1] or 0))
