@@ -330,6 +330,12 @@ def auto_tags_vocabulary(spark, d):
     return table(spark, d, "documents").select("doc_id", T.auto_tags(F.col("text"), F.lit("x/1.txt"), rules).alias("tags"))
 
 
+@query()
+def auto_tags(spark, d):
+    path = F.concat("source", F.lit("/"), "doc_id", F.lit(".txt"))
+    return table(spark, d, "documents").select("doc_id", T.auto_tags(F.col("text"), path).alias("tags"))
+
+
 @query(r"""select doc_id, len(list_filter(string_split(text, chr(10))[1:100], lambda x: length(x) > 10 and length(regexp_replace(x, '[\w\s]', '', 'g')) > 0.3 * length(x))) > 5 as art from documents""")
 def ascii_art(spark, d):
     return table(spark, d, "documents").select("doc_id", T.ascii_art(F.col("text")).alias("art"))

@@ -92,3 +92,20 @@ def test_params():
 def test_porter():
     pairs = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "hopping": "hop", "filing": "file", "happy": "happi", "relational": "relat", "conditional": "condit", "electriciti": "electr", "adjustable": "adjust", "adoption": "adopt", "controll": "control", "bosses": "boss", "walkthrough": "walkthrough", "generalizations": "gener", "sky": "sky", "rate": "rate", "cease": "ceas"}
     assert {w: porter.stem(w) for w in pairs} == pairs and porter.fold("Café") == "cafe"
+
+
+def test_auto_tags_of_documents(spark):
+    """The registered query runs the default rules, the ASCII-art rule too, over every document."""
+    import re
+
+    from folio.plans import registry
+
+    def art(text):
+        return sum(len(x) > 10 and len(re.sub(r"[\w\s]", "", x, flags=re.A)) > 0.3 * len(x) for x in text.split("\n")[:100]) > 5
+
+    sf, got = "/root/testdata/sf0.01", {}
+    for r in registry.queries()["auto_tags"](spark, sf).collect():
+        got[r.doc_id] = r.tags
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = {k: list(dict.fromkeys(t for p, t in T.CONTENT_TAGS if re.search(p, x[:8000].lower()) or (t == "ASCII Art" and art(x)))) for k, x in texts.items()}
+    assert got == want and any("ASCII Art" in t for t in want.values())
