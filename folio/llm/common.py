@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,26 +16,25 @@ _ROOTS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where the session has none (local tests)."""
+    """The folder named in spark.checkpoint.dir. Where the session has none: a temporary one if all runs in this machine's
+    process (local tests), else the warehouse, which executors on other hosts see too."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+    if not root and spark.conf.get("spark.master", "").split("[")[0] == "local":
         root = _ROOTS.setdefault("local", tempfile.mkdtemp(prefix="folio-"))
-    return root.rstrip("/")
+    return (root or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def save(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here and lost executors cost no rework.
 
-    The folder goes when the JVM ends. Shuffle files of the finished plan are released at once."""
+    The folder goes when the JVM ends. PySpark has no call that deletes files or lets shuffles go that nothing refers to any
+    more; for these two the JVM is asked."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folio-{uuid.uuid4().hex}/{name}"
-    began = time.time()
     df.write.option("compression", codec).parquet(path)
-    if time.time() - began > 3:
-        time.sleep(0.7)  # the plan stays referenced until Spark's listeners have seen its end
     where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    spark._jvm.System.gc()  # lets the context cleaner drop shuffles that nothing refers to any more
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._folio_path = path
     return out
@@ -49,15 +47,23 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes that one partition of a dealt table should hold at most.
+PART_BYTES = 128 << 20
+
+
+def partitions(df: DataFrame, column: str | None = None) -> int:
+    """Partitions to deal df into: the session's number, or more where `column` holds more than PART_BYTES for each."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if column is None:
+        return n
+    total = df.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0
+    return max(n, -(-total // PART_BYTES))
 
 
 def ranged(df: DataFrame, order: list[Column], name: str, codec: str = "snappy") -> DataFrame:
     """df dealt out by range of `order` and saved, with the partition number in `_part`: ascending _part, then `order`, is
     the global order. Later running totals need only one small row for each partition."""
-    spark = df.sparkSession
-    dealt = df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    dealt = df.repartitionByRange(partitions(df), *order).sortWithinPartitions(*order)
     return save(dealt.withColumn("_part", F.spark_partition_id()), name, codec)
 
 
@@ -76,3 +82,17 @@ def running_total(df: DataFrame, order: list[Column], value: Column, out: str) -
 
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")).cast("long")
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def boxed(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that helper columns beside it clash with none of them; unboxed() opens it."""
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])
+
+
+def unboxed(columns: list[str], box: str = "_row", **replaced: Column) -> list[Column]:
+    return [replaced.get(c, F.col(box)[f"c{i}"]).alias(c) for i, c in enumerate(columns)]

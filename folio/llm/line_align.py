@@ -1,21 +1,27 @@
 """Line dedup by pairwise alignment.
 
-Lines of MIN_WORDS words or more are hashed, and from every line with a word the shortest run of lines that has
-MIN_BLOCK_WORDS words; each such line or run that another document has too names one partner, its earliest holder. Every
-common block that can be deleted begins with such a run, however short its lines are. A line in a million documents makes a
-million links, not their square, so no cap on frequent lines is needed; a cap would lose large groups of copies. Each document is aligned with each partner by
-patience diff: equal heads and tails, then lines unique on both sides in longest increasing order, then the gaps between
-them; a gap without such lines is aligned exactly, so that most words lie in common blocks. A common block of MIN_BLOCK_WORDS words or more is deleted from the later document. All is judged on the input.
-
-Pairs carry line hashes only (a few bytes a line); texts move once, to be cut.
+1. Equal texts are settled first: the row of the smallest doc_id stands for all of them, later copies lose every line.
+2. Documents overlap if they share a key: the hash of a line of MIN_WORDS words or more, or of a shortest run of lines that has
+   MIN_BLOCK_WORDS words (from each short line onwards, and up to each). Every line of a common block that can be deleted lies
+   in such a key inside that block, however short its lines are.
+3. A rare key, held by RARE texts or fewer, pairs each of them with every earlier one. A frequent key pairs each holder with its
+   earliest holder: a line in a million documents makes a million pairs, not their square, and no key is dropped; a cap would
+   lose large groups of copies.
+4. Each pair is aligned by patience diff: equal heads and tails, then lines unique on both sides in longest increasing order,
+   then the gaps between them; a gap without such lines is aligned exactly, so that most words lie in common blocks. A common
+   block of MIN_BLOCK_WORDS words or more is deleted from the later document. All is judged on the input.
+
+Lines are told apart by two independent 64-bit hashes. Pairs carry hashes only; the lines of an earlier document come once to
+each task that aligns others with it, which may be several where it has many partners. Texts move once, to be cut.
 
 Defined results: null text stays null with no lines removed; a null doc_id has no place in the order and its row stays whole;
 rows of the same doc_id do not cut each other; blank lines inside a deleted block go with it; an empty table gives no row;
-other columns pass through.
+other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from bisect import bisect_left
 from collections import Counter
@@ -26,46 +32,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import save
-from folio.llm.words import Texts, _powers, batches, mix64
+from folio.llm.common import boxed, discard, save, unboxed
+from folio.llm.words import Texts, batches, span_hashes
 
-MIN_WORDS, MIN_BLOCK_WORDS = 4, 8
+MIN_WORDS, MIN_BLOCK_WORDS, RARE = 4, 8, 8
+#: Later documents that one task aligns with one earlier document at most, about.
+PARTNERS = 1024
 #: Cells of a gap's table that are held in memory; a larger table lies in a temporary file while it is used.
 DENSE = 1 << 24
 
 
 def _keys(h: np.ndarray, n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of what links documents: lines of MIN_WORDS words, and from each line with a word the shortest run of two
-    lines or more of its row that has MIN_BLOCK_WORDS words."""
+    """Row and hash of what links documents: lines of MIN_WORDS words; from each shorter line with a word the shortest run of
+    lines of its row that has MIN_BLOCK_WORDS words, and the shortest such run that ends with it."""
     row, total = np.repeat(np.arange(len(first) - 1), np.diff(first)), np.r_[0, np.cumsum(n)]
-    end = np.searchsorted(total, total[:-1] + MIN_BLOCK_WORDS)
-    start = np.flatnonzero((n > 0) & (n < MIN_BLOCK_WORDS) & (end <= first[1:][row]))
-    end, line = end[start], np.flatnonzero(n >= MIN_WORDS)
-    pow_, inv = _powers(len(h) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.r_[np.uint64(0), np.cumsum(h * pow_[: len(h)], dtype=np.uint64)]
-        runs = mix64((sums[end] - sums[start]) * inv[start] + (end - start).astype(np.uint64))
-    return np.r_[row[line], row[start]], np.r_[h[line], runs]
+    short, line = np.flatnonzero((n > 0) & (n < MIN_BLOCK_WORDS)), np.flatnonzero(n >= MIN_WORDS)
+    end = np.searchsorted(total, total[short] + MIN_BLOCK_WORDS)
+    start = np.searchsorted(total, total[short + 1] - MIN_BLOCK_WORDS, "right") - 1
+    ahead, behind = end <= first[1:][row[short]], start >= first[row[short]]
+    starts, ends = np.r_[short[ahead], start[behind]], np.r_[end[ahead], short[behind] + 1]
+    one = np.unique(starts * (len(h) + 1) + ends, return_index=True)[1]
+    starts, ends = starts[one], ends[one]
+    return np.r_[row[line], row[starts]], np.r_[h[line], span_hashes(h, starts, ends)]
+
+
+LINES = "doc_id long, mark long, same binary, n_words long, lines array<long>, more array<long>, words array<int>, keys array<long>"
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """doc_id, mark (hash of the text), lines (hash of each line), words (of each line), keys (see _keys())."""
+    """doc_id, mark and same (short and long hash of the text), n_words, lines and more (two hashes of each line), words (of
+    each line), keys (see _keys())."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(frames):
             texts = Texts(part.column(2))
             starts, ends, first = texts.lines()
             h = texts.hashes(starts, ends)
-            begin, _, _ = texts.words()
+            begin, _, word = texts.words()
             n = np.searchsorted(begin, ends) - np.searchsorted(begin, starts)
-            to = pa.array(first.astype(np.int32))
             row, key = _keys(h, n, first)
             order = np.argsort(row, kind="stable")
+            of_row = lambda x: pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(x))
             keys = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(len(first))).astype(np.int32)), pa.array(key[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(to, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(to, pa.array(n.astype(np.int32))), keys], ["doc_id", "mark", "lines", "words", "keys"])
+            same = pa.array([hashlib.blake2b(texts.row(i), digest_size=16).digest() for i in range(texts.n)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), same, pa.array(np.diff(word)), of_row(h.view(np.int64)), of_row(texts.hashes(starts, ends, 1).view(np.int64)), of_row(n.astype(np.int32)), keys],
+                [x.split()[0] for x in LINES.split(", ")],
+            )
 
     own = documents.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
-    return own.mapInArrow(run, "doc_id long, mark long, lines array<long>, words array<int>, keys array<long>")
+    return own.mapInArrow(run, LINES)
 
 
 def _gap(a: list, b: list, words: list[int], least: int, i: int, m: int, j: int, n: int) -> list[tuple[int, int]]:
@@ -183,47 +199,81 @@ def common_lines(a: list, b: list, words: list[int], least: int = MIN_BLOCK_WORD
     return out
 
 
-def _aligned(pairs: DataFrame) -> DataFrame:
+def _pairs(texts: DataFrame) -> DataFrame:
+    """(at, first): texts to align, the later and an earlier one, each as struct(doc_id, row)."""
+    each = texts.select(F.struct("doc_id", "row").alias("at"), F.explode(F.array_distinct("keys")).alias("key"))
+    met = each.groupBy("key").agg(F.min("at").alias("first"), F.max("at.doc_id").alias("last"), F.count("*").alias("n")).filter("first.doc_id < last").drop("last")
+    held = each.join(met, "key")
+    frequent = held.filter(F.col("n") > RARE).select("at", "first")
+    rare = held.filter(F.col("n") <= RARE).groupBy("key").agg(F.collect_list("at").alias("all"))  # RARE at most
+    rare = rare.select(F.explode("all").alias("at"), "all").select("at", F.explode("all").alias("first"))
+    return frequent.unionByName(rare).filter("first.doc_id < at.doc_id").distinct()
+
+
+def _aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(at, gone): the numbers of the lines that each text loses to one earlier text. An earlier text comes ahead of its partners."""
+    crowd = pairs.groupBy("first").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("turns"))
+    own = texts.select(F.struct("doc_id", "row").alias("id"), "lines", "more", "words")
+    ahead = crowd.join(own.withColumnRenamed("id", "first"), "first").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    after = pairs.join(crowd, "first").withColumn("turn", F.pmod(F.xxhash64("at"), F.col("turns")).cast("int")).join(own.withColumnRenamed("id", "at"), "at")
+    columns = ["first", "turn", "at", "lines", "more", "words"]
+    both = ahead.withColumn("at", F.lit(None).cast(pairs.schema["at"].dataType)).select(*columns).unionByName(after.select(*columns))
+    dealt = both.repartition("first", "turn").sortWithinPartitions("first", "turn", F.col("at").asc_nulls_first())
+
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        theirs = []
         for part in frames:
-            gone = [common_lines(a, b, w) for a, b, w in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "mark", "gone"])
+            out, at = [], part.column(2)
+            for k, later in enumerate(at.is_valid().to_pylist()):
+                lines = list(zip(part.column(3)[k].values.to_pylist(), part.column(4)[k].values.to_pylist(), strict=True))
+                if not later:
+                    theirs = lines
+                elif gone := common_lines(theirs, lines, part.column(5)[k].values.to_pylist()):
+                    out.append((at[k].as_py()["row"], gone))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int32()))], ["row", "gone"])
 
-    return pairs.select("doc_id", "mark", "theirs", "lines", "words").mapInArrow(run, "doc_id long, mark long, gone array<int>")
+    return dealt.mapInArrow(run, "row long, gone array<int>")
 
 
 def removed(documents: DataFrame) -> DataFrame:
-    """doc_id, mark, gone: the numbers of the lines that each document loses."""
-    lines = save(_lines(documents).distinct(), "lines")
-    each = lines.select("doc_id", "mark", F.explode(F.array_distinct("keys")).alias("line")).distinct()
-    lines = lines.drop("keys")
-    first = each.groupBy("line").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.max("doc_id").alias("last")).filter("first.doc_id < last")
-    pairs = each.join(first, "line").filter("first.doc_id < doc_id").select("doc_id", "mark", "first").distinct()
-    theirs = lines.select(F.struct("doc_id", "mark").alias("first"), F.col("lines").alias("theirs"))
-    found = _aligned(pairs.join(lines, ["doc_id", "mark"]).join(theirs, "first"))
-    return found.filter(F.size("gone") > 0).groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    """doc_id, mark, gone: the numbers of the lines that each document loses, null where it loses all."""
+    lines = save(_lines(documents).withColumn("row", F.monotonically_increasing_id()), "lines")
+    low = lines.groupBy("same").agg(F.min(F.struct("doc_id", "row")).alias("low"))
+    texts = save(lines.join(low.select(F.col("low.row").alias("row")), "row", "left_semi"), "texts")  # one of equal texts
+    found = _aligned(save(_pairs(texts), "pairs"), texts)
+    found = found.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))  # a text's own lines
+    cut = texts.select("doc_id", "mark", "row").join(found, "row").select("doc_id", "mark", "gone")
+    copies = lines.filter(F.col("n_words") >= MIN_BLOCK_WORDS).select("doc_id", "mark", "same").join(low, "same").filter("low.doc_id < doc_id")
+    copies = copies.select("doc_id", "mark", F.lit(None).cast("array<int>").alias("gone")).distinct()
+    out = save(cut.unionByName(copies), "gone")
+    discard(lines)
+    discard(texts)
+    return out
 
 
 def dedup(documents: DataFrame) -> DataFrame:
-    """documents with `text` cut, and _n_lines, _n_removed."""
-    gone = save(removed(documents), "gone").select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "gone")
-    out = documents.withColumn("_mark", F.xxhash64("text")).join(gone, (F.col("doc_id").cast("long") == F.col("_d")) & (F.col("_mark") == F.col("_m")), "left")
+    """_row (the columns of documents, see boxed()), text (cut), n_lines, n_removed."""
+    gone = removed(documents).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "gone", F.lit(True).alias("hit"))
+    own = documents.select(boxed(documents).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    out = own.join(gone, (F.col("doc_id") == F.col("d")) & (F.col("mark") == F.col("m")), "left")
     split = F.split("text", "\n", -1)
-    kept = F.filter(split, lambda x, i: ~F.array_contains("gone", i))
-    n = F.coalesce(F.size("gone"), F.lit(0))
+    n = F.size(split)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("gone")), lambda i: F.get(split, i))
     return out.select(
-        *[F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept)).alias(c) if c == "text" else F.col(f"`{c}`") for c in documents.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("_n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(n).cast("long").alias("_n_removed"),
+        "_row",
+        F.when(F.col("hit").isNull(), F.col("text")).when(F.col("gone").isNull(), "").otherwise(F.concat_ws("\n", kept)).alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
+        F.when(F.col("hit").isNull(), 0).when(F.col("gone").isNull(), n).otherwise(F.size("gone")).cast("long").alias("n_removed"),
     )
 
 
 def digest(documents: DataFrame) -> DataFrame:
     out = dedup(documents.select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select(F.col("_row.c0").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def apply(documents: DataFrame) -> DataFrame:
-    """documents after line dedup; one that loses every line with a word is gone, one that had none stays."""
+    """documents after line dedup, `text` cut; one that loses every line with a word is gone, one that had none stays. Rows
+    with a null doc_id or null text stay as they are."""
     out = dedup(documents)
-    return out.filter((F.col("_n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*documents.columns)
+    return out.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*unboxed(documents.columns, text=F.col("text")))

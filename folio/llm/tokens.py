@@ -3,8 +3,11 @@
 Pre-tokenisation never joins what white space parts, so a text's ids are those of its units laid end to end. A unit is a word
 (tokenizers that drop white space) or a word with the one space before it, and runs of other white space (byte-level
 tokenizers). Units are found and hashed with numpy; only units that this worker has not met go through the library; the ids
-of a batch are gathered from a pool. Texts with white space beyond ASCII, which byte-level patterns treat by context, go
-through the library whole. test_tokens.py holds the result against plain encoding.
+of a batch are gathered from a pool. A hash only finds a unit: its bytes are compared with the ones remembered, and a row in
+which any differ goes through the library whole. So do texts with white space beyond ASCII, which byte-level patterns treat
+by context, and texts that hold an added token of the tokenizer (such as <|endoftext|>), which is matched before units are.
+Those strings give the added token's id, as the plain library call does; with `plain_specials` they are ordinary text.
+test_tokens.py holds the result against plain encoding.
 """
 
 from __future__ import annotations
@@ -15,12 +18,12 @@ import numpy as np
 
 from folio.llm.words import Texts
 
-#: Units remembered by one worker; at about 40 bytes each. Beyond it the memory starts anew.
-MAX_UNITS = 2_500_000
+#: Units remembered by one worker, at about 40 bytes each, and bytes of their text. Beyond either the memory starts anew.
+MAX_UNITS, MAX_BYTES = 2_500_000, 1 << 26
 
 _FLAG = np.zeros(256, bool)
 _FLAG[[0xC2, 0xE1, 0xE2, 0xE3, 0x1C, 0x1D, 0x1E, 0x1F]] = True
-_OPEN: dict[tuple[str, bool], "Units"] = {}
+_OPEN: dict[tuple[str, bool, bool], "Units"] = {}
 
 
 def _wide_space(data: np.ndarray) -> np.ndarray:
@@ -35,45 +38,63 @@ def _wide_space(data: np.ndarray) -> np.ndarray:
     return at[hit]
 
 
+def _literal(data: np.ndarray, content: bytes) -> np.ndarray:
+    """Where content stands in data."""
+    at = np.flatnonzero(data[: max(0, len(data) - len(content) + 1)] == content[0])
+    for k in range(1, len(content)):
+        if not len(at):
+            break
+        at = at[data[at + k] == content[k]]
+    return at
+
+
 class Units:
     """One tokenizer and the units that this process has met."""
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content.encode() for t in added if t.content and not (plain_specials and t.special)]
         self.spaced = spaced
         self.clear()
 
     @staticmethod
-    def of(path: str, spaced: bool) -> "Units":
-        if (path, spaced) not in _OPEN:
-            _OPEN[path, spaced] = Units(path, spaced)
-        return _OPEN[path, spaced]
+    def of(path: str, spaced: bool, plain_specials: bool = False) -> "Units":
+        key = (path, spaced, plain_specials)
+        if key not in _OPEN:
+            _OPEN[key] = Units(*key)
+        return _OPEN[key]
 
     def clear(self) -> None:
         self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.fresh_keys, self.fresh_slot = self.keys, self.slot
         self.begin, self.used = np.zeros(1, np.int64), 0
         self.pool = np.zeros(1 << 16, np.uint32)
+        self.raw_begin, self.raw_used, self.raw = np.zeros(1, np.int64), 0, np.zeros(1 << 18, np.uint8)
 
     def _bounds(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all units, and the first unit of each row."""
         starts, ends, first = texts.words()
-        if not self.spaced:
-            return starts, ends, first
-        row = np.searchsorted(texts.off, starts, "right") - 1
-        led = starts > texts.off[row]
-        space = led & (texts.data[starts - 1] == 0x20) if len(starts) else led
-        bounds = np.unique(np.concatenate([texts.off, ends, starts[led] - 1, starts[~space]]))
-        if len(wide := _wide_space(texts.data)):
-            whole = np.zeros(texts.n, bool)
-            whole[np.searchsorted(texts.off, wide, "right") - 1] = True
-            row = np.searchsorted(texts.off, bounds, "right") - 1
-            inner = (row < texts.n) & whole[np.minimum(row, texts.n - 1)] & (bounds != texts.off[np.minimum(row, texts.n)])
-            bounds = bounds[~inner]
-        return bounds[:-1], bounds[1:], np.searchsorted(bounds, texts.off)
+        odd = [_literal(texts.data, t) for t in self.added]
+        if self.spaced:
+            row = np.searchsorted(texts.off, starts, "right") - 1
+            led = starts > texts.off[row]
+            space = led & (texts.data[starts - 1] == 0x20) if len(starts) else led
+            bounds = np.unique(np.concatenate([texts.off, ends, starts[led] - 1, starts[~space]]))
+            starts, ends, first = bounds[:-1], bounds[1:], np.searchsorted(bounds, texts.off)
+            odd.append(_wide_space(texts.data))
+        if len(odd := np.concatenate([*odd, np.zeros(0, np.int64)]).astype(np.int64)):
+            whole = np.unique(np.searchsorted(texts.off, odd, "right") - 1)
+            inside = np.repeat(np.isin(np.arange(texts.n), whole), np.diff(first))
+            order = np.argsort(at := np.concatenate([starts[~inside], texts.off[whole]]), kind="stable")
+            count = np.diff(first)
+            count[whole] = 1
+            starts, ends, first = at[order], np.concatenate([ends[~inside], texts.off[whole + 1]])[order], np.r_[0, np.cumsum(count)]
+        return starts, ends, first
 
     def _learn(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         raw = data.tobytes()
@@ -88,6 +109,14 @@ class Units:
         first = len(self.begin) - 1
         self.begin = np.concatenate([self.begin, self.used + np.cumsum(sizes)])
         self.used += len(flat)
+        size = ends - starts
+        to = self.raw_used + np.cumsum(size)
+        total = int(size.sum())
+        if self.raw_used + total > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros(max(len(self.raw), total), np.uint8)])
+        self.raw[self.raw_used : self.raw_used + total] = data[np.arange(total) + np.repeat(starts - np.r_[0, np.cumsum(size)[:-1]], size)]
+        self.raw_begin = np.concatenate([self.raw_begin, to])
+        self.raw_used += total
         self.fresh_keys, self.fresh_slot = self._merge(self.fresh_keys, self.fresh_slot, hashes, np.arange(first, first + len(ids)))
         if len(self.fresh_keys) > max(20_000, len(self.keys) // 4):
             self.keys, self.slot = self._merge(self.keys, self.slot, self.fresh_keys, self.fresh_slot)
@@ -107,10 +136,23 @@ class Units:
                 out[hit] = slot[at[hit]]
         return out
 
+    def _unlike(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Units whose bytes are not those remembered under their hash."""
+        size, held = ends - starts, self.raw_begin[slot + 1] - self.raw_begin[slot]
+        wrong = size != held
+        size = np.where(wrong, 0, size)
+        to = np.cumsum(size)
+        at = np.arange(int(to[-1]) if len(to) else 0)
+        begin = to - size
+        differ = data[at + np.repeat(starts - begin, size)] != self.raw[at + np.repeat(self.raw_begin[slot] - begin, size)]
+        if differ.any():
+            wrong[np.searchsorted(to, np.flatnonzero(differ), "right")] = True
+        return np.flatnonzero(wrong)
+
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows laid end to end, and where each row's begin (n + 1 entries)."""
         starts, ends, first = self._bounds(texts)
-        if len(self.begin) > MAX_UNITS:
+        if len(self.begin) > MAX_UNITS or self.raw_used > MAX_BYTES:
             self.clear()
         distinct, one, of = np.unique(texts.hashes(starts, ends), return_index=True, return_inverse=True)
         slot = self._find(distinct)
@@ -121,4 +163,10 @@ class Units:
         sizes = size[of]
         to = np.r_[0, np.cumsum(sizes)]
         ids = self.pool[np.repeat(begin[of] - to[:-1], sizes) + np.arange(to[-1])]
-        return ids, to[first]
+        off = to[first]
+        if len(unlike := self._unlike(texts.data, starts, ends, slot[of])):
+            own = [ids[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            for i in np.unique(np.searchsorted(first, unlike, "right") - 1).tolist():
+                own[i] = np.array(self.tokenizer.encode(texts.row(i).tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+            ids, off = np.concatenate(own), np.r_[0, np.cumsum([len(x) for x in own])]
+        return ids, off

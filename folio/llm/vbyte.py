@@ -6,8 +6,8 @@ write() deals texts out by ranges of doc_id, tokenises them, counts every id of
 shared folder, in ascending (_part, _row); `ranks` holds the id of each rank. read() decodes blocks with numpy: a 256-row
 table turns a control byte into four lengths, a running sum finds the bytes.
 
-Defined results: null and empty texts hold the end id alone; null doc_ids come first; repeated doc_ids are kept side by side;
-an empty table gives no row. Only the id counts, one for each entry of the vocabulary, reach the driver.
+Defined results: null and empty texts hold the end id alone; null doc_ids come first; rows that repeat a doc_id, or have none,
+follow each other by a hash of their texts; an empty table gives no row. Only the id counts, one for each entry of the vocabulary, reach the driver.
 """
 
 from __future__ import annotations
@@ -53,8 +53,10 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def _tokenised(documents: DataFrame, path: str, end: int) -> DataFrame:
-    dealt = documents.select(F.col("doc_id").cast("long"), "text")
-    dealt = dealt.repartitionByRange(partitions(documents.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    own = documents.select(F.col("doc_id").cast("long"), "text")
+    # the hash parts rows without an id, and those that repeat one
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = own.repartitionByRange(partitions(own, "text"), *order).sortWithinPartitions(*order, "text")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, row = Units.of(path, True), 0

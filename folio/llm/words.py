@@ -11,12 +11,9 @@ U64 = np.uint64
 SLICE_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_BYTE = _rng.integers(0, 2**64, (2, 256), dtype=np.uint64)
 _COEF = _rng.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
-_R = 0x9E3779B97F4A7C15 | 1
-_R_INV = pow(_R, -1, 2**64)
-_POW = np.ones(1, U64)
-_INV = np.ones(1, U64)
+_PLACE = np.zeros((2, 0), U64)
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -24,22 +21,38 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _INV
-    if len(_POW) < n:
-        size = 1 << (n - 1).bit_length()
-        with np.errstate(over="ignore"):
-            _POW = np.multiply.accumulate(np.r_[U64(1), np.full(size - 1, _R, U64)])
-            _INV = np.multiply.accumulate(np.r_[U64(1), np.full(size - 1, _R_INV, U64)])
-    return _POW, _INV
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
     return x ^ (x >> U64(31))
 
 
+def _places(n: int) -> np.ndarray:
+    """Random factors of the first n places of a span, one row for each of two independent hashes."""
+    global _PLACE
+    if _PLACE.shape[1] < n:
+        at = np.arange(1 << max(10, (n - 1).bit_length()), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            _PLACE = np.stack([mix64(mix64(at * U64(0x9E3779B97F4A7C15) + _COEF[60 + k]) + _COEF[62 + k]) | U64(1) for k in range(2)])
+    return _PLACE
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hash of values[a:b] for each span: every place of a span has a random factor of its own (multilinear hashing), so
+    unlike a polynomial in one base no family of inputs, however regular, collides more often than by chance."""
+    size = ends - starts
+    to = np.cumsum(size)
+    begin = to - size
+    total = int(to[-1]) if len(to) else 0
+    kind = np.int32 if max(total, len(values)) < 2**31 else np.int64
+    at = np.arange(total, dtype=kind)
+    place = _places(int(size.max(initial=0)))[which]
+    with np.errstate(over="ignore"):
+        sums = np.zeros(total + 1, U64)
+        np.cumsum(place[at - np.repeat(begin.astype(kind), size)] * values[at + np.repeat((starts - begin).astype(kind), size)], out=sums[1:])
+        return mix64(sums[to] - sums[begin] + size.astype(U64) * _COEF[58 + which])
+
+
 class Texts:
     """Some rows of a string column: bytes laid end to end, and where each row begins. Nulls read as empty."""
 
@@ -89,14 +102,9 @@ class Texts:
         row = np.searchsorted(breaks, self.off) + np.arange(self.n + 1)
         return starts, ends, row
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hash of each span's bytes: a random-coefficient polynomial by prefix sums, then mixed with the length."""
-        pow_, inv = _powers(len(self.data) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(self.data) + 1, U64)
-            np.cumsum(_BYTE[self.data] * pow_[: len(self.data)], out=sums[1:])
-            h = (sums[ends] - sums[starts]) * inv[starts]
-            return mix64(h + (ends - starts).astype(U64) * _COEF[63])
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+        """64-bit hash of each span's bytes; which: 0 or 1, for two that are independent."""
+        return span_hashes(_BYTE[which][self.data], starts, ends, which)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:

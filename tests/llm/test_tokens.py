@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import corpora
 import numpy as np
@@ -17,9 +18,9 @@ from folio.llm.words import Texts
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 
-def plain(path):
+def plain(path, specials_as_text=False):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = specials_as_text
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -29,12 +30,37 @@ def texts():
     return ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(600)] + [t or "" for _, t, *_ in corpora.sample()]
 
 
-@pytest.mark.parametrize(("path", "spaced"), [(WORD, False), (BYTE, True)])
-def test_units_equal_plain_encoding(path, spaced):
-    rows, want = texts(), plain(path)
-    ids, off = Units(path, spaced).encode(Texts(pa.array(rows)))
+def thue_morse(n):
+    """Two words that a polynomial hash modulo a power of two cannot tell apart."""
+    w = "a"
+    while len(w) < n:
+        w += w.translate({97: 98, 98: 97})
+    return w, w.translate({97: 98, 98: 97})
+
+
+def same(units, rows, want):
+    ids, off = units.encode(Texts(pa.array(rows)))
     for i, text in enumerate(rows):
-        assert ids[off[i] : off[i + 1]].tolist() == want(text), repr(text)
+        assert ids[off[i] : off[i + 1]].tolist() == want(text), repr(text[:200])
+
+
+@pytest.mark.parametrize(("path", "spaced"), [(WORD, False), (BYTE, True)])
+@pytest.mark.parametrize("specials_as_text", [False, True])
+def test_units_equal_plain_encoding(path, spaced, specials_as_text):
+    units, want = Units(path, spaced, specials_as_text), plain(path, specials_as_text)
+    same(units, texts(), want)
+    same(units, ["a  <|endoftext|>  b", "<|endoftext|>", "x<|startoftext|>y <|endoftext", "", "<|endoftext|><|endoftext|>"], want)
+    same(units, [*thue_morse(1024), *thue_morse(2048)], want)
+    same(units, list(reversed([f"go {w} on" for w in (*thue_morse(1024), *thue_morse(2048))])), want)
+
+
+@pytest.mark.parametrize(("path", "spaced"), [(WORD, False), (BYTE, True)])
+def test_units_with_equal_hashes(path, spaced, monkeypatch):
+    """Hashes that collide all the time cost time, not ids."""
+    monkeypatch.setattr(Texts, "hashes", lambda self, starts, ends, which=0: ((ends - starts) % 3).astype(np.uint64))
+    units, want = Units(path, spaced), plain(path)
+    same(units, texts(), want)
+    same(units, texts()[::-1], want)
 
 
 @settings(max_examples=60, deadline=None)
@@ -45,13 +71,19 @@ def test_vbyte_round_trip(values):
 
 
 def test_op9(spark):
-    rows = corpora.sample() + [(3, "twice", None, None, 0), (None, "no id", None, None, 0)]
+    rows = corpora.sample() + [(3, "twice", None, None, 0)] + [(None, f"no id {k % 7}", None, None, 0) for k in range(40)]
     want, start = plain(BYTE), 0
     got = sorted(vbyte.digest(corpora.frame(spark, rows), BYTE).collect(), key=lambda r: r.start)
-    for r, row in zip(got, sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")), strict=True):
-        ids = [*want(row[1]), 0]
-        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (row[0], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        start += len(ids)
+    left = Counter()
+    for i, text, *_ in rows:
+        ids = [*want(text), 0]
+        left[i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert [r.doc_id for r in got] == sorted((x[0] for x in rows), key=lambda x: (x is not None, x or 0))
+    for r in got:
+        assert r.start == start
+        start += r.n_tokens
+        left[r.doc_id, r.n_tokens, r.ids_crc32] -= 1
+    assert not any(left.values())
     assert vbyte.digest(corpora.frame(spark, []), BYTE).count() == 0
 
 
