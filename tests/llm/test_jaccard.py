@@ -86,18 +86,47 @@ def test_forest_joins_what_links_join():
                     assert b in reach[a]
 
 
-def test_regions_without_a_pivot(spark, monkeypatch):
-    """Two regions whose rows come by turns and in which no class is sampled: no link is lost."""
+def test_regions_of_several_batches(spark):
+    """One region of 9,000 classes in several Arrow batches, whose mates lie far apart, at the default sizes: no link is lost."""
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(jaccard, "LEAF", 128)
-    names = spark.range(420).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("cls"))
-    names = [bytes(r.cls) for r in names.filter(F.pmod(F.xxhash64("cls", F.lit(0)), F.lit(200)) != 0).limit(400).collect()]
-    assert len(names) == 400
-    rows = []
-    for k in range(0, 400, 4):  # names k, k + 2 are linked in one region, k + 1, k + 3 in the other
-        for j in range(4):
-            rows.append((b"rs"[j % 2 : j % 2 + 1], names[k + j], sorted([*range(1000 * k + 100 * (j % 2), 1000 * k + 100 * (j % 2) + 40), 10**9 + k + j])))
-    members = jaccard.save(spark.createDataFrame(rows, "region binary, cls binary, set array<long>").coalesce(1), "members")
-    found = {frozenset((bytes(r.a), bytes(r.b))) for r in jaccard._links(members, jaccard.LINK).collect()}
-    assert found == {frozenset((names[k + j], names[k + j + 2])) for k in range(0, 400, 4) for j in (0, 1)}
+    rows = spark.range(9000).select(F.lit(b"r").alias("region"), F.unhex(F.md5(F.col("id").cast("string"))).alias("cls"), F.lit(41).cast("long").alias("n"), (F.col("id") % 4500).alias("base"), "id")
+    own = F.concat(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: (F.col("base") * 1000 + i).cast("long")), F.array(F.lit(10**12) + F.col("id")))
+    sets = jaccard.save(rows.select("cls", own.alias("set")), "sets")
+    members = jaccard.save(rows.select("region", "cls", "n").coalesce(1), "members")
+    found = {frozenset((bytes(r.a), bytes(r.b))) for r in jaccard._links(members, sets, jaccard.LINK).collect()}
+    by_base = {}
+    for r in rows.select("cls", "base").collect():
+        by_base.setdefault(r.base, []).append(bytes(r.cls))
+    assert found == {frozenset(x) for x in by_base.values()} and len(found) == 4500
+
+
+def test_large_regions_by_hashes(spark, monkeypatch):
+    """Leaves bounded by what they hold, not by how many."""
+    monkeypatch.setattr(jaccard, "LEAF_HASHES", 3000)
+    monkeypatch.setattr(jaccard, "TURN", 16)
+    texts = [t for s in range(4) for t in family(s, 40, 150, 12)] + family(9, 80, 300, 40) + family(11, 3, 4000, 30)
+    rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
+    got = [tuple(r) for r in jaccard.digest(corpora.frame(spark, rows)).collect()]
+    assert Counter(got) == Counter(brute(rows, 4, Fraction(85, 100)))
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    """All rows of one id, or of none: groups are still found; one row of each stays in the stage."""
+    from pyspark.sql import functions as F
+
+    texts = family(1, 12, 100, 2) + family(2, 12, 80, 1) + ["", None, " "] + family(1, 12, 100, 2)
+    for doc_id in (7, None):
+        docs = corpora.frame(spark, [(doc_id, t, None, None, 0) for t in texts])
+        assert all(r.component_id == doc_id for r in jaccard.digest(docs).collect())
+        wide = docs.select("*", *[F.lit(c).alias(c) for c in ("_k", "mark", "root", "n", "d", "m", "_row", "worded", "Doc_Id2", "cls")])
+        kept = jaccard.apply(wide).collect()
+        assert sum(bool(corpora.words(r.text)) for r in kept) == 2 and len(kept) == 5 and all(r["mark"] == "mark" for r in kept)
+
+
+def test_polynomial_twins_differ(spark):
+    w = "a"
+    while len(w) < 1024:
+        w += w.translate({97: 98, 98: 97})
+    rows = [(1, w, None, None, 0), (2, w.translate({97: 98, 98: 97}), None, None, 0), (3, w, None, None, 0)]
+    assert sorted(tuple(r) for r in jaccard.digest(corpora.frame(spark, rows)).collect()) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
