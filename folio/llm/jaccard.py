@@ -7,12 +7,16 @@ distances to chosen pivots tells nothing. Pivots are therefore reached by shared
 2. A set keeps the head of its hashes in ascending order, long enough that two linked sets share at least need() of the head
    (the prefix principle with a margin). Sets whose head has fewer shingles met in other sets cannot link and leave. What
    is left is counted again until few more leave.
-3. The least class that holds a head shingle is its pivot. A class belongs to the regions of its pivots; linked classes have
-   more than twice `spare` pivots' shingles in common, so each may leave out its most crowded regions up to `spare`: regions
-   of a passage that a third of all documents share dissolve, and no link is lost.
+3. The least class that holds a head shingle is its pivot. A class belongs to the regions of its pivots. Regions have one
+   order, by crowd; a class leaves out its most crowded ones as long as they hold fewer than need() of its shingles. Two linked
+   classes share need() shingles, so neither leaves out the region of the least crowded one of these: regions of a passage that
+   a third of all documents share dissolve, and no link is lost.
 4. Heads alone bound an intersection from above: what two heads do not share lies beyond the longer rest. Classes of a region
    that no such bound ties to another leave it; those that it ties together go on as a region of their own. So whole sets are
    only fetched for classes that have a near match, and regions travel as keys.
+   A region too large for one task is cut again by whole sets in the same way, shingles in order of how many of the region
+   hold them: of the n - ceil(link * n) + 1 rarest ones of a set a linked set has at least one, and a set whose rarest ones
+   are its own alone leaves. Documents that are alike by one long passage part here; distances could not part them.
 5. A region of more than LEAF classes, or of more than LEAF_HASHES hashes, is split: its pivots are the classes with the least
    hashes of their names, home is the nearest one, and a class is copied to every pivot with d <= d(home) + 2 * THETA; by the
    triangle inequality linked classes meet at each other's homes. Sub-regions in which every class lies within THETA of the
@@ -143,12 +147,11 @@ def _regions(live: DataFrame, link: Fraction) -> DataFrame:
     pivot = live.groupBy("s").agg(F.min("cls").alias("region"))
     mass = save(live.join(pivot, "s").groupBy("region", "cls", "need").agg(F.count("*").alias("mass")), "mass")
     crowd = mass.groupBy("region").agg(F.count("*").alias("crowd")).filter("crowd > 1")
-    own = mass.join(crowd, "region").groupBy("cls", "need").agg(F.array_sort(F.collect_list(F.struct((-F.col("crowd")).alias("c"), "mass", "region"))).alias("r"))
-    spare = F.floor((F.col("need") - 1) / 2)
+    own = mass.join(crowd, "region").groupBy("cls", "need").agg(F.array_sort(F.collect_list(F.struct((-F.col("crowd")).alias("c"), "region", "mass"))).alias("r"))
     walk = F.aggregate(
         "r",
         F.struct(F.lit(0).cast("long").alias("left_out"), F.expr("cast(array() as array<binary>)").alias("keep")),
-        lambda a, x: F.when(a["left_out"] + x["mass"] <= spare, F.struct((a["left_out"] + x["mass"]).alias("left_out"), a["keep"].alias("keep"))).otherwise(
+        lambda a, x: F.when((F.size(a["keep"]) == 0) & (a["left_out"] + x["mass"] < F.col("need")), F.struct((a["left_out"] + x["mass"]).alias("left_out"), a["keep"].alias("keep"))).otherwise(
             F.struct(a["left_out"].alias("left_out"), F.concat(a["keep"], F.array(x["region"])).alias("keep"))
         ),
         lambda a: a["keep"],
@@ -216,8 +219,9 @@ def _sized(members: DataFrame, weight: Column) -> tuple[DataFrame, DataFrame]:
     return sizes.filter(fits).select("region"), sizes.filter(~fits)
 
 
-def _candidates(regions: DataFrame, live: DataFrame, link: Fraction) -> DataFrame:
-    """(region, cls, n), saved: classes that heads tie to another one of their region; regions too large for one task whole."""
+def _candidates(regions: DataFrame, live: DataFrame, link: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(region, cls, n), saved: classes that heads tie to another one of their region; and those of regions too large for one
+    task."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in frames:
@@ -238,8 +242,21 @@ def _candidates(regions: DataFrame, live: DataFrame, link: Fraction) -> DataFram
     small, large = _sized(members, F.size("shared"))
     held = members.join(small, "region", "left_semi").groupBy("region").agg(F.collect_list(F.struct("cls", "n", "shared")).alias("m"))  # LEAF at most
     tied = held.select(F.col("m.cls").alias("names"), F.col("m.n").alias("n"), F.col("m.shared").alias("shared")).mapInArrow(run, "region binary, cls binary, n long")
-    whole = members.join(large, "region", "left_semi").select("region", "cls", "n")
-    return save(tied.distinct().unionByName(whole), "members")  # the same classes may be tied in several regions
+    whole = regions.join(large, "region", "left_semi").join(live.select("cls", "n"), "cls").select("region", "cls", "n")
+    return save(tied.distinct(), "tied"), save(whole, "large")  # the same classes may be tied in several regions
+
+
+def _recut(members: DataFrame, sets: DataFrame, link: Fraction) -> DataFrame:
+    """(region, cls, n), saved: members of large regions in regions of the pivots of their rarest shingles."""
+    each = members.join(sets, "cls").select("region", "cls", "n", F.explode("set").alias("s"))
+    common = save(each.groupBy("region", "s").agg(F.count("*").alias("df"), F.min("cls").alias("pivot")).filter("df > 1"), "common")
+    held = each.join(common, ["region", "s"]).groupBy("region", "cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s", "pivot"))).alias("r"))  # a set's own
+    a, b = link.numerator, link.denominator
+    first = (F.col("n") - F.expr(f"({a} * n + {b - 1}) div {b}") + 1 - (F.col("n") - F.size("r"))).cast("int")  # shingles that only this set has come first
+    kept = held.filter(first > 0).select("region", "cls", "n", F.explode(F.array_distinct(F.transform(F.slice("r", F.lit(1), first), lambda x: x["pivot"]))).alias("pivot"))
+    out = save(kept.select(F.unhex(F.md5(F.concat("region", "pivot"))).alias("region"), "cls", "n"), "recut")
+    discard(common)
+    return out
 
 
 def _leaves(members: DataFrame, sets: DataFrame, link: Fraction) -> DataFrame:
@@ -339,10 +356,17 @@ def groups(documents: DataFrame, words: int = WORDS, link: Fraction = LINK) -> D
     live = _live(heads.select("cls", "n", "head"), link)
     discard(heads)
     regions = _regions(live, link)
-    members = _candidates(regions, live, link)
+    tied, large = _candidates(regions, live, link)
     discard(live)
     discard(regions)
-    sets = _sets(documents, rows, members.select("cls").distinct(), words)
+    sets = _sets(documents, rows, tied.select("cls").unionByName(large.select("cls")).distinct(), words)
+    members = tied
+    if large.limit(1).count():
+        recut = _recut(large, sets, link)
+        members = save(tied.unionByName(recut), "members")
+        discard(tied)
+        discard(recut)
+    discard(large)
     edges = _links(members, sets, link)
     discard(sets)
     roots = components(edges)
