@@ -272,7 +272,7 @@ def _leaves(members: DataFrame, sets: DataFrame, link: Fraction) -> DataFrame:
                     b.append(names[j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    held = members.join(sets, "cls").groupBy("region").agg(F.collect_list(F.struct("cls", "set")).alias("m")).filter(F.size("m") > 1)
+    held = members.hint("merge").join(sets, "cls").groupBy("region").agg(F.collect_list(F.struct("cls", "set")).alias("m")).filter(F.size("m") > 1)
     return held.select(F.col("m.cls").alias("names"), F.col("m.set").alias("sets")).mapInArrow(run, "a binary, b binary")
 
 
@@ -386,7 +386,7 @@ def _sets(documents: DataFrame, rows: DataFrame, wanted: DataFrame, words: int)
 
     held = rows.join(wanted, "cls").groupBy("cls", "doc_id", "mark").agg(F.count("*").alias("n"))
     one = save(held.groupBy("cls").agg(F.min(F.struct("doc_id", "mark", "n")).alias("o")).select("cls", F.col("o.doc_id").alias("_d"), F.col("o.mark").alias("_m"), F.col("o.n").alias("n")), "one")
-    both = _own(documents).join(one, (F.col("mark") == F.col("_m")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    both = _own(documents).join(one.hint("merge"), (F.col("mark") == F.col("_m")) & F.col("doc_id").eqNullSafe(F.col("_d")))
     found = both.select("cls", "text").mapInArrow(run, "cls binary, own binary, set array<long>").filter("cls = own").drop("own")
     if one.filter("n > 1").limit(1).count():  # rows that repeat both an id and a text
         found = found.dropDuplicates(["cls"])
