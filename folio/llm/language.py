@@ -1,14 +1,18 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained and run in numpy.
 
-A text's UTF-8 bytes are read in frames of FRAME bytes, cut into segments of SEGMENT frames; one recurrent layer runs over a
-segment forwards and one backwards, and a softmax over both states gives every frame, and so every byte position, language
-probabilities. A document's probabilities are the mean over all its positions: whole texts, never a prefix.
+One recurrent layer reads a text's UTF-8 bytes forwards and one backwards, a step for each byte, and a softmax over both states
+gives every byte position language probabilities. A document's probabilities are the mean over all its positions: whole texts,
+never a prefix. So that a long text is not one step after the other, it is read in stretches of STRETCH bytes side by side;
+each layer comes to a stretch through the WARM bytes ahead of it (behind it, for the layer that reads backwards), by which its
+state is that of a reading from the text's end but for a difference that test_models.py bounds.
 
-fit() trains on a bounded sample of labelled rows, the TRAIN_DOCS least hashes of every language, and TRAIN_SEGMENTS segments spread evenly over each whole text, by backpropagation through time with Adam. The
-model (some 60 kB) goes to the executors with the function; prediction is one scan without an exchange.
+fit() trains on a bounded sample of labelled rows, the TRAIN_DOCS least hashes of every language, and TRAIN_SEGMENTS segments
+spread evenly over each whole text, by backpropagation through time with Adam. The model (some 30 kB) goes to the executors
+with the function; prediction is one scan without an exchange.
 
 Defined results: null text, and text without a letter, is `und` with score 0; so is everything if no row has a label. Null
-labels teach nothing. Rows are independent: repeats get equal results; an empty table gives no row.
+labels teach nothing; every other label, however rare, is learned. Rows are independent: repeats get equal results; an empty
+table gives no row; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,59 +27,95 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from folio.llm.words import Texts, batches
 
-FRAME, SEGMENT, HIDDEN = 4, 64, 12
-TRAIN_DOCS, TRAIN_SEGMENTS, EPOCHS, BATCH, RATE = 300, 6, 4, 128, 0.01
+HIDDEN, STRETCH, WARM, BLOCK = 16, 256, 32, 1024
+TRAIN_DOCS, TRAIN_SEGMENTS, SEGMENT, EPOCHS, BATCH, RATE = 300, 6, 128, 4, 128, 0.01
 UNKNOWN, FLOOR = "und", 0.5
+#: Stands for no byte; a state passes it unchanged.
+PAD, HOLD = 256, 30.0
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _sum_by(key: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Sums of value's rows that share a key."""
+    order = np.argsort(key, kind="stable")
+    at = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+    out = np.zeros((n, value.shape[1]), np.float32)
+    out[key[order][at]] = np.add.reduceat(value[order], at)
+    return out
+
+
 class Gru:
-    """One direction: tables FRAME x 256 x 3H (byte embedding and input matrix in one), state matrix H x 3H, bias 3H."""
+    """One direction: table 256 x 3H (byte embedding and input matrix in one), state matrix H x 3H, bias 3H; the gates in the
+    order keep, reset, new."""
 
     def __init__(self, rng: np.random.Generator):
         h = HIDDEN
-        self.p = [rng.normal(0, 0.1, (FRAME, 256, 3 * h)).astype(np.float32), (rng.normal(0, 1, (h, 3 * h)) / np.sqrt(h)).astype(np.float32), np.zeros(3 * h, np.float32)]
-
-    def run(self, frames: np.ndarray, order: list[int], keep: bool = False):
-        """frames: [B, T, FRAME] bytes. States [T, B, H]; with keep also what back() needs."""
-        tables, state, bias = self.p
-        h = np.zeros((len(frames), HIDDEN), np.float32)
-        out, held = np.zeros((frames.shape[1], len(frames), HIDDEN), np.float32), []
+        self.p = [rng.normal(0, 0.3, (256, 3 * h)).astype(np.float32), (rng.normal(0, 1, (h, 3 * h)) / np.sqrt(h)).astype(np.float32), np.zeros(3 * h, np.float32)]
+
+    def run(self, data: np.ndarray, order: list[int]) -> tuple[np.ndarray, list]:
+        """data: [B, T] bytes or PAD. States [T, B, H], and what back() needs."""
+        table, state, bias = self.p
+        pad = np.zeros((1, 3 * HIDDEN), np.float32)
+        pad[:, :HIDDEN] = HOLD
+        table = np.concatenate([table + bias, pad])
+        h = np.zeros((len(data), HIDDEN), np.float32)
+        out, held = np.zeros((data.shape[1], len(data), HIDDEN), np.float32), []
         for t in order:
-            x = tables[0][frames[:, t, 0]]
-            for k in range(1, FRAME):
-                x += tables[k][frames[:, t, k]]
-            x += bias
-            s = h @ state
+            x, s = table[data[:, t]], h @ state
             gates = _sigmoid(x[:, : 2 * HIDDEN] + s[:, : 2 * HIDDEN])
             z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
             n = np.tanh(x[:, 2 * HIDDEN :] + r * s[:, 2 * HIDDEN :])
-            if keep:
-                held.append((t, h, z, r, n, s[:, 2 * HIDDEN :]))
+            held.append((t, h, z, r, n, s[:, 2 * HIDDEN :]))
             h = n + z * (h - n)
             out[t] = h
         return out, held
 
-    def back(self, frames: np.ndarray, held: list, d_out: np.ndarray) -> list[np.ndarray]:
+    def back(self, data: np.ndarray, held: list, d_out: np.ndarray) -> list[np.ndarray]:
         """Gradients of the parameters; d_out: [T, B, H]."""
-        state, grads = self.p[1], [np.zeros_like(x) for x in self.p]
-        dh = np.zeros_like(d_out[0])
+        state, d_state = self.p[1], np.zeros_like(self.p[1])
+        dh, dxs = np.zeros_like(d_out[0]), np.zeros((data.shape[1], len(data), 3 * HIDDEN), np.float32)
         for t, h, z, r, n, sn in reversed(held):
             dh = dh + d_out[t]
             dn = dh * (1 - z) * (1 - n * n)
             dz = dh * (h - n) * z * (1 - z)
             dr = dn * sn * r * (1 - r)
-            dx = np.concatenate([dz, dr, dn], 1)
+            dxs[t] = np.concatenate([dz, dr, dn], 1)
             ds = np.concatenate([dz, dr, dn * r], 1)
-            grads[1] += h.T @ ds
-            grads[2] += dx.sum(0)
-            for k in range(FRAME):
-                np.add.at(grads[0][k], frames[:, t, k], dx)
+            d_state += h.T @ ds
             dh = dh * z + ds @ state.T
-        return grads
+        table = _sum_by(data.T.ravel(), dxs.reshape(-1, 3 * HIDDEN), 257)[:256]
+        return [table, d_state, table.sum(0)]
+
+    def states(self, data: np.ndarray, order: range) -> np.ndarray:
+        """[steps of order, B, H]: run() for prediction, each gate in arrays of its own and halved once for tanh."""
+        h, b = HIDDEN, len(data)
+        scale = np.array([0.5, 0.5, 1], np.float32).repeat(h)
+        table = np.zeros((257, 3 * h), np.float32)
+        table[:256], table[256, :h] = (self.p[0] + self.p[2]) * scale, HOLD / 2
+        tables = [np.ascontiguousarray(table[:, k * h : (k + 1) * h]) for k in range(3)]
+        matrices = [np.ascontiguousarray((self.p[1] * scale)[:, k * h : (k + 1) * h]) for k in range(3)]
+        columns = np.ascontiguousarray(data.T).astype(np.intp)
+        out, own = np.empty((len(order), b, h), np.float32), np.zeros((b, h), np.float32)
+        z, r, n, s = (np.empty((b, h), np.float32) for _ in range(4))
+        for at, t in enumerate(order):
+            for k, gate in enumerate((z, r, n)):
+                np.take(tables[k], columns[t], 0, gate, "clip")
+            for k, gate in enumerate((z, r)):
+                gate += np.matmul(own, matrices[k], s)
+                np.tanh(gate, gate)
+                gate *= 0.5
+                gate += 0.5
+            r *= np.matmul(own, matrices[2], s)
+            n += r
+            np.tanh(n, n)
+            own -= n
+            own *= z
+            own += n
+            out[at] = own
+        return out
 
 
 class Model:
@@ -87,92 +127,94 @@ class Model:
     def parameters(self) -> list[np.ndarray]:
         return [*self.ahead.p, *self.behind.p, *self.head]
 
-    def _states(self, frames: np.ndarray, keep: bool = False):
-        order = list(range(frames.shape[1]))
-        f, kept_f = self.ahead.run(frames, order, keep)
-        b, kept_b = self.behind.run(frames, order[::-1], keep)
-        return np.concatenate([f, b], 2), kept_f, kept_b
-
-    def frames(self, frames: np.ndarray) -> np.ndarray:
-        """Probabilities [T, B, langs] of every frame."""
-        states, *_ = self._states(frames)
-        logits = states @ self.head[0] + self.head[1]
-        p = np.exp(logits - logits.max(2, keepdims=True))
-        return p / p.sum(2, keepdims=True)
-
-    def gradients(self, frames: np.ndarray, mask: np.ndarray, label: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """Mean cross entropy over positions and its gradients; mask: [T, B], label: [B]."""
-        states, kept_f, kept_b = self._states(frames, True)
+    def positions(self, data: np.ndarray, warm: int = 0) -> np.ndarray:
+        """Probabilities [langs, T, B] of the positions between `warm` ones ahead and `warm` behind."""
+        n = data.shape[1]
+        ahead = self.ahead.states(data, range(n - warm))[warm:]
+        behind = self.behind.states(data, range(n - 1, warm - 1, -1))[warm:][::-1]
+        logits = (ahead.reshape(-1, HIDDEN) @ self.head[0][:HIDDEN]).reshape(*ahead.shape[:2], -1)
+        logits += (behind.reshape(-1, HIDDEN) @ self.head[0][HIDDEN:]).reshape(logits.shape)
+        logits = np.ascontiguousarray(np.moveaxis(logits + self.head[1], 2, 0))
+        logits -= logits.max(0)
+        p = np.exp(logits, logits)
+        p /= p.sum(0)
+        return p
+
+    def gradients(self, data: np.ndarray, label: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Mean cross entropy over positions that are not PAD and its gradients; label: [B]."""
+        order = list(range(data.shape[1]))
+        f, kept_f = self.ahead.run(data, order)
+        b, kept_b = self.behind.run(data, order[::-1])
+        states = np.concatenate([f, b], 2)
         logits = states @ self.head[0] + self.head[1]
         p = np.exp(logits - logits.max(2, keepdims=True))
         p /= p.sum(2, keepdims=True)
+        mask = (data.T != PAD).astype(np.float32)
         rows, total = np.arange(len(label)), max(1.0, float(mask.sum()))
         loss = -float((np.log(p[:, rows, label] + 1e-9) * mask).sum()) / total
         p[:, rows, label] -= 1
         p *= (mask / total)[:, :, None]
         d = p @ self.head[0].T
-        head = [np.einsum("tbh,tbl->hl", states, p), p.sum((0, 1))]
-        return loss, [*self.ahead.back(frames, kept_f, d[:, :, :HIDDEN]), *self.behind.back(frames, kept_b, d[:, :, HIDDEN:]), *head]
+        head = [states.reshape(-1, 2 * HIDDEN).T @ p.reshape(-1, p.shape[2]), p.sum((0, 1))]
+        return loss, [*self.ahead.back(data, kept_f, d[:, :, :HIDDEN]), *self.behind.back(data, kept_b, d[:, :, HIDDEN:]), *head]
 
 
-def segments(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes [S, SEGMENT, FRAME], frames used of each segment, row of each segment); the last frame is filled with zeros."""
+def stretches(texts: Texts, width: int = STRETCH, warm: int = WARM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes [S, warm + width + warm] with PAD outside the text, own bytes of each stretch, row of each stretch)."""
     size = np.diff(texts.off)
-    width = FRAME * SEGMENT
     count = -(-size // width)
     row = np.repeat(np.arange(texts.n), count)
-    first = np.cumsum(count) - count
-    at = texts.off[row] + (np.arange(len(row)) - first[row]) * width
-    n = np.minimum(width, texts.off[row + 1] - at)
-    out = np.zeros((len(row), width), np.uint8)
-    index = at[:, None] + np.arange(width)
-    held = np.arange(width) < n[:, None]
+    at = texts.off[row] + (np.arange(len(row)) - (np.cumsum(count) - count)[row]) * width
+    index = at[:, None] + np.arange(-warm, width + warm)
+    held = (index >= texts.off[row][:, None]) & (index < texts.off[row + 1][:, None])
+    out = np.full(index.shape, PAD, np.int16)
     out[held] = texts.data[index[held]]
-    return out.reshape(-1, SEGMENT, FRAME), -(-n // FRAME), row
+    return out, np.minimum(width, texts.off[row + 1] - at), row
 
 
-def probabilities(model: Model, texts: Texts, block: int = 4096) -> np.ndarray:
+def probabilities(model: Model, texts: Texts) -> np.ndarray:
     """[rows, langs]: the mean over all positions; zeros for an empty row."""
-    data, used, row = segments(texts)
-    total, frames = np.zeros((texts.n, len(model.langs))), np.zeros(texts.n)
-    for lo in range(0, len(row), block):
-        part = slice(lo, lo + block)
+    data, used, row = stretches(texts)
+    total = np.zeros((len(row), len(model.langs)))
+    order = np.argsort(used, kind="stable")  # stretches of about one length side by side
+    for lo in range(0, len(order), BLOCK):
+        part = order[lo : lo + BLOCK]
         deep = int(used[part].max())
-        p = model.frames(data[part, :deep])
-        mask = np.arange(deep)[:, None] < used[part]
-        np.add.at(total, row[part], (p * mask[:, :, None]).sum(0))
-        np.add.at(frames, row[part], used[part])
-    return total / np.maximum(frames, 1)[:, None]
+        p = model.positions(data[part, : deep + 2 * WARM], WARM)
+        p *= np.arange(deep)[:, None] < used[part]
+        total[part] = p.sum(1).T
+    out = np.zeros((texts.n, len(model.langs)))
+    np.add.at(out, row, total)
+    return out / np.maximum(1, np.diff(texts.off))[:, None]
 
 
 def label_positions(model: Model, text: str) -> list[str]:
     """The language of every byte of text."""
     if not text:
         return []
-    data, used, _ = segments(Texts(pa.array([text])))
-    best = model.frames(data).argmax(2).T
-    names = [model.langs[k] for s, n in zip(best, used, strict=True) for k in s[:n] for _ in range(FRAME)]
-    return names[: len(text.encode())]
+    data, used, _ = stretches(Texts(pa.array([text])))
+    best = model.positions(data, WARM).argmax(0).T
+    return [model.langs[k] for s, n in zip(best, used, strict=True) for k in s[:n]]
 
 
-def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
-    """A model of (text, lang) rows."""
+def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
+    """A model of (text, lang) rows; None of none."""
     langs = sorted({lang for _, lang in rows})
+    data, used, row = stretches(Texts(pa.array([t for t, _ in rows], pa.string())), SEGMENT, 0)
+    if not len(row):
+        return None
     model, rng = Model(langs, seed), np.random.default_rng(seed)
-    data, used, row = segments(Texts(pa.array([t for t, _ in rows], pa.string())))
-    pick = []
-    for i in range(len(rows)):
-        own = np.flatnonzero(row == i)
-        pick += own[np.unique(np.linspace(0, len(own) - 1, min(len(own), TRAIN_SEGMENTS)).astype(int))].tolist() if len(own) else []
+    pick, first = [], np.searchsorted(row, np.arange(len(rows) + 1))
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        pick += (a + np.unique(np.linspace(0, b - a - 1, min(b - a, TRAIN_SEGMENTS)).astype(int))).tolist() if b > a else []
     label = np.array([langs.index(rows[row[k]][1]) for k in pick], np.int64)
-    data, used = data[pick], used[pick]
+    data = data[pick]
     moment, square, step = [np.zeros_like(p) for p in model.parameters()], [np.zeros_like(p) for p in model.parameters()], 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(pick))
         for lo in range(0, len(order), BATCH):
             own = order[lo : lo + BATCH]
-            mask = (np.arange(SEGMENT)[:, None] < used[own]).astype(np.float32)
-            _, grads = model.gradients(data[own], mask, label[own])
+            _, grads = model.gradients(data[own], label[own])
             step += 1
             for p, g, m, v in zip(model.parameters(), grads, moment, square, strict=True):
                 m += 0.1 * (g - m)
@@ -183,50 +225,51 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 
 def fit(documents: DataFrame) -> Model | None:
     """A model of the rows whose crc32(doc_id) mod 5 is not 0; None if none has a label."""
-    known = documents.filter("crc32(cast(doc_id as string)) % 5 != 0 and lang is not null and length(text) > 0").select("doc_id", "text", "lang")
-    common = known.groupBy("lang").agg(F.count("*").alias("n"))
+    known = documents.filter("crc32(cast(doc_id as string)) % 5 != 0 and lang is not null and length(text) > 0")
+    known = known.select("text", "lang", F.xxhash64("doc_id", "text").alias("_h"))
+    common = known.groupBy("lang").agg(F.approx_count_distinct("_h").alias("n"))
     common = {r.lang: r.n for r in common.collect()}  # a row for each language
     if not common:
         return None
-    # so many of each language as make it all but sure that TRAIN_DOCS are among them, however large it is
-    chance = F.try_element_at(F.create_map(*[F.lit(x) for k, n in common.items() for x in (k, int(min(1.0, 8 * TRAIN_DOCS / n) * (1 << 30)))]), F.col("lang"))
-    known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < chance)
-    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = known.withColumn("_r", F.row_number().over(least)).filter(F.col("_r") <= TRAIN_DOCS)
-    width, size = FRAME * SEGMENT, F.length("text")
-    spread = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_SEGMENTS - 1)), lambda k: F.substring("text", (1 + F.floor(k * (size - width) / (TRAIN_SEGMENTS - 1))).cast("int"), F.lit(width)))
-    text = F.when(size <= TRAIN_SEGMENTS * width, F.col("text")).otherwise(F.array_join(spread, " "))  # pieces from start to end of long texts
-    rows = sample.select(text.alias("text"), "lang", "doc_id").collect()  # TRAIN_DOCS rows of bounded length for each language
-    return train([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id))])
-
-
-def predict(documents: DataFrame, model: Model | None) -> DataFrame:
-    """documents with lang_pred and score."""
-    names = [c for c in documents.columns if c.lower() not in ("lang_pred", "score", "_letters")]
-    kept = documents.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    schema = StructType([*[f for f in kept.schema if f.name != "_letters"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    # so many different rows of each language as make it all but sure that TRAIN_DOCS are among them, however large it is
+    chance = F.try_element_at(F.create_map(*[F.lit(x) for k, n in common.items() for x in (k, int(min(1.0, 8 * TRAIN_DOCS / max(1, n)) * (1 << 30)))]), F.col("lang"))
+    known = known.filter(F.pmod(F.xxhash64("_h", F.lit(5)), F.lit(1 << 30)) < chance)
+    sample = known.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))).filter(F.col("_r") <= TRAIN_DOCS)
+    size = F.length("text")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_SEGMENTS - 1)), lambda k: F.substring("text", (1 + F.floor(k * (size - SEGMENT) / (TRAIN_SEGMENTS - 1))).cast("int"), F.lit(SEGMENT)))
+    text = F.when(size <= TRAIN_SEGMENTS * SEGMENT, F.col("text")).otherwise(F.array_join(spread, " "))  # pieces from start to end of long texts
+    rows = sample.select(text.alias("text"), "lang", "_h").collect()  # TRAIN_DOCS rows of bounded length for each language
+    return train([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r["_h"], r.text))])
+
+
+def predict(documents: DataFrame, model: Model | None) -> tuple[DataFrame, list[str]]:
+    """documents, their columns renamed c0, c1 and so on, with lang_pred and score; and the columns' own names."""
+    names = documents.columns
+    at, n = names.index("text"), len(names)
+    kept = documents.toDF(*[f"c{i}" for i in range(n)]).withColumn("letters", F.coalesce(F.col(f"c{at}").rlike(r"\p{L}"), F.lit(False)))
+    schema = StructType([*kept.schema.fields[:n], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches(frames):
-            letters = part.column(len(names)).to_numpy(zero_copy_only=False).astype(bool)
+        for part in batches(frames, f"c{at}"):
+            letters = part.column(n).to_numpy(zero_copy_only=False).astype(bool)
             if model:
-                p = probabilities(model, Texts(part.column(names.index("text"))))
+                p = probabilities(model, Texts(part.column(at)))
                 best = p.argmax(1)
                 lang = [model.langs[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), letters, strict=True)]
                 score = np.where(letters, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
             else:
                 lang, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score)], schema.names)
+            yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(lang, pa.string()), pa.array(score)], schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema), names
 
 
 def digest(documents: DataFrame) -> DataFrame:
-    out = predict(documents.select("doc_id", "text"), fit(documents))
-    return out.select("doc_id", F.coalesce(F.expr("crc32(cast(doc_id as string)) % 5 = 0"), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    out, _ = predict(documents.select("doc_id", "text"), fit(documents))
+    return out.select(F.col("c0").alias("doc_id"), F.coalesce(F.expr("crc32(cast(c0 as string)) % 5 = 0"), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def apply(documents: DataFrame) -> DataFrame:
-    """documents without those that have no language or none with a probability of FLOOR or more."""
-    found = predict(documents, fit(documents))
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= FLOOR)).select(*documents.columns)
+    """documents without those that have no language or none with a probability of FLOOR or more; null and empty texts go."""
+    found, names = predict(documents, fit(documents))
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= FLOOR)).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -61,26 +61,56 @@ def test_gru_gradients():
     for g in (model.ahead, model.behind):
         g.p = [x.astype(np.float64) for x in g.p]
     model.head = [x.astype(np.float64) for x in model.head]
-    data, mask, label = rng.integers(0, 256, (5, 6, language.FRAME)).astype(np.uint8), np.ones((6, 5)), np.array([0, 1, 2, 1, 0])
-    mask[4:, 0] = 0
-    _, grads = model.gradients(data, mask, label)
+    data, label = rng.integers(0, 256, (5, 6)).astype(np.int16), np.array([0, 1, 2, 1, 0])
+    data[0, 4:] = language.PAD
+    _, grads = model.gradients(data, label)
     for p, g in zip(model.parameters(), grads, strict=True):
         at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
         old, eps = p[at], 1e-2
         p[at] = old + eps
-        up, _ = model.gradients(data, mask, label)
+        up, _ = model.gradients(data, label)
         p[at] = old - eps
-        down, _ = model.gradients(data, mask, label)
+        down, _ = model.gradients(data, label)
         p[at] = old
         assert math.isclose((up - down) / (2 * eps), g[at], rel_tol=0.02, abs_tol=1e-5)
 
 
-def test_segments_hold_all_bytes():
-    rows = ["", "é" * 300, "x", None, "y" * 256]
-    data, used, row = language.segments(Texts(pa.array(rows)))
+def test_stretches_hold_all_bytes():
+    rows = ["", "é" * 300, "x", None, "y" * 256, "z" * 257]
+    data, used, row = language.stretches(Texts(pa.array(rows)))
+    width, warm = language.STRETCH, language.WARM
     for i, t in enumerate(rows):
         raw = (t or "").encode()
-        assert data[row == i].tobytes()[: len(raw)] == raw and used[row == i].sum() == -(-len(raw) // language.FRAME)
+        own = data[row == i]
+        assert own[:, warm : warm + width].ravel()[: len(raw)].astype(np.uint8).tobytes() == raw and used[row == i].sum() == len(raw)
+        for k, line in enumerate(own):
+            around = [raw[j] if 0 <= j < len(raw) else language.PAD for j in range(k * width - warm, (k + 1) * width + warm)]
+            assert line.tolist() == around
+
+
+def test_states_are_those_of_the_whole_text():
+    """The warm reading of stretches against one step after the other over all of a text, by the plain recurrence: a text of
+    one language, and one that changes its language."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()
+    model = language.train([(r["text"][:800], r["lang"]) for r in table[:500]])
+    longest = max(table[500:], key=lambda r: len(r["text"]))["text"]
+    mixed = " ".join(next(r["text"] for r in table[500 + 7 * k :] if r["lang"] == lang and len(r["text"]) > 700)[:700] for k, lang in enumerate(model.langs * 2))
+    for text, mean in ((longest, 0.002), (mixed, 0.02)):
+        raw = text.encode()[:12_000].decode("utf-8", "ignore")
+        n = len(raw.encode())
+        whole, _, _ = language.stretches(Texts(pa.array([raw])), n, 0)
+        f, b = (np.stack(g.run(whole, list(order))[0])[:, 0] for g, order in ((model.ahead, range(n)), (model.behind, range(n - 1, -1, -1))))
+        logits = np.concatenate([f, b], 1) @ model.head[0] + model.head[1]
+        want = np.exp(logits - logits.max(1, keepdims=True))
+        want /= want.sum(1, keepdims=True)
+        data, used, _ = language.stretches(Texts(pa.array([raw])))
+        got = np.concatenate([p[:, :k] for p, k in zip(np.moveaxis(model.positions(data, language.WARM), 2, 0), used, strict=True)], 1).T
+        print("difference, most and mean", abs(got - want).max(), abs(got - want).mean())
+        assert abs(got - want).mean() < mean and abs(got.mean(0) - want.mean(0)).max() < mean
+        assert np.allclose(language.probabilities(model, Texts(pa.array([raw])))[0], got.mean(0), atol=1e-4)
+        assert len(language.label_positions(model, raw)) == n
 
 
 def test_op8(spark):
@@ -148,3 +178,25 @@ def test_op5_trains_with_wider_features(spark, monkeypatch):
 def test_op8_learns_every_language(spark):
     rows = [(k, f"text of number {k % 80}", f"l{k % 80:02}", None, 0) for k in range(400)]
     assert language.fit(corpora.frame(spark, rows)).langs == [f"l{k:02}" for k in range(80)]
+
+
+def test_op8_repeated_rows(spark):
+    """Thousands of rows of one id, and one rare language beside them, in training."""
+    from pyspark.sql import functions as F
+
+    for doc_id in (1, 7):
+        own = spark.range(30_000).select(F.lit(doc_id).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, "the same text").otherwise(F.concat(F.lit("text "), "id")).alias("text"), F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+        model = language.fit(own.unionByName(corpora.frame(spark, [(3, "un texte rare", "fr", None, 0)])))
+        assert held(doc_id, 5) == 0 or model.langs == ["en", "fr"]
+    alike = spark.range(30_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one text").alias("text"), F.lit("en").alias("lang"))
+    assert language.fit(alike).langs == ["en"]
+
+
+def test_op8_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs = corpora.frame(spark, [(k, "the cat and the dog" if k % 2 else "le chat et le chien", "en" if k % 2 else "fr", None, 0) for k in range(60)] + [(99, None, "en", None, 0)])
+    wide = docs.select("*", *[F.lit(c).alias(c) for c in ("lang_pred", "score", "letters", "_letters", "c0", "c1", "_h")])
+    kept = language.apply(wide)
+    assert kept.columns == wide.columns and {r.doc_id for r in kept.collect()} == set(range(60))
+    assert all(r["score"] == "score" and r["c0"] == "c0" and r["lang_pred"] == "lang_pred" for r in kept.collect())
