@@ -4,14 +4,17 @@ A word goes if a K-word window over it also starts in a document of smaller id.
 1. Copies of whole word sequences (by SHA-256) are settled by the smallest id of each; one document of each goes on.
 2. Each window is named by its minimizer, the least hash among its SEED_WORDS-word parts, about one row for five words. Equal
    windows have equal minimizers, so windows whose minimizer is met in one document only are unique: exact, and few are left.
-3. The rest become edges; an edge met in two documents keeps its source coordinate, the first (doc_id, position), in a table of
-   its own: its shuffle is released before the paths are made.
-4. Compaction: edges that follow each other both in a document and in the source form one nonbranching path; at a branch the
-   source coordinate jumps. Islands of equal offset become one row (document, start, length, source, source start).
-5. Verification: the words at the source coordinate and at the span are compared by SHA-256 before anything is removed.
-
-Skew: hot minimizers and edges are only ever reduced to a minimum (partial aggregation) and joined back by plain equi-joins
-that adaptive execution can split. No list of documents for a window is made anywhere.
+3. The rest become edges between two nodes; an edge met in two documents keeps its source coordinate, the first (doc_id, text,
+   position). These edges are the graph.
+4. Compaction: nodes with one edge in and one out, found by counting and joining edges by their ends, branch nowhere. Edges on
+   the two sides of such a node that also follow each other in the source make one piece of a path: (source, start, length),
+   with its words read once from the source. paths() joins pieces of different sources into whole nonbranching paths by pointer
+   doubling; a piece is as long as its source at most, a path need not be.
+5. Documents run along pieces: hits at neighbouring places of a document and a piece are one span.
+6. Verification: the words of the piece and of the span are compared by SHA-256 before anything is removed.
+
+Skew: hot minimizers, edges and nodes are only ever reduced to counts and minima (partial aggregation) and joined back by plain
+equi-joins that adaptive execution can split. No list of documents for a window is made anywhere.
 
 Defined results: null text has no words; a null doc_id is neither earlier nor later, its row stays whole; rows that repeat a
 doc_id do not remove each other's words; an empty table gives no row.
@@ -60,13 +63,13 @@ def _sha(words: list[bytes]) -> str:
 
 
 def _scan(documents: DataFrame) -> DataFrame:
-    """doc_id, n_words, sha (of the words), seeds (its minimizers)."""
+    """doc_id, mark (hash of the text), n_words, sha (of the words), seeds (its minimizers)."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(frames):
-            texts = Texts(part.column(1))
+            texts = Texts(part.column(2))
             split = [texts.row(i).tobytes().split() for i in range(texts.n)]
-            h, row, _ = _hashed(part.column(1))
+            h, row, _ = _hashed(part.column(2))
             low = _minimizers(h, row)
             at = np.flatnonzero(low != _NONE)
             value, of = low[at], row[at]
@@ -75,20 +78,22 @@ def _scan(documents: DataFrame) -> DataFrame:
             value, of = value[new], of[new]
             to = np.searchsorted(of, np.arange(texts.n + 1)).astype(np.int32)
             seeds = pa.ListArray.from_arrays(pa.array(to), pa.array(value.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, split)), pa.int64()), pa.array(list(map(_sha, split))), seeds], ["doc_id", "n_words", "sha", "seeds"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(map(len, split)), pa.int64()), pa.array(list(map(_sha, split)), pa.string()), seeds], ["doc_id", "mark", "n_words", "sha", "seeds"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, sha string, seeds array<long>")
+    own = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
+    return own.mapInArrow(run, "doc_id long, mark long, n_words long, sha string, seeds array<long>")
 
 
 def _edges(texts: DataFrame) -> DataFrame:
-    """(edge, doc_id, pos, first: whether the edge has not stood earlier in the row) of the windows whose minimizer is among `seeds`."""
+    """(edge, a, b: its nodes, doc_id, mark, pos, first: whether the edge has not stood earlier in the row) of the windows whose
+    minimizer is among `seeds`; nodes of first ones only."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(frames):
-            h, row, first = _hashed(part.column(1))
-            low, edge = _minimizers(h, row), grams(h, K)
+            h, row, first = _hashed(part.column(2))
+            low, edge, node = _minimizers(h, row), grams(h, K), grams(h, K - 1)
             docs, places, firsts = [], [], []
-            for i, seeds in enumerate(part.column(2)):
+            for i, seeds in enumerate(part.column(3)):
                 a, b = first[i], max(first[i], first[i + 1] - K + 1)
                 own = seeds.values.to_numpy().view(np.uint64)
                 at = a + np.flatnonzero(np.isin(low[a:b], own))
@@ -97,26 +102,39 @@ def _edges(texts: DataFrame) -> DataFrame:
                 new = np.zeros(len(at), bool)
                 new[np.unique(edge[at], return_index=True)[1]] = True
                 firsts.append(new)
-            at, doc = np.concatenate(places), np.concatenate(docs)
-            columns = [pa.array(edge[at].view(np.int64)), part.column(0).take(pa.array(doc)), pa.array((at - first[doc]).astype(np.int32)), pa.array(np.concatenate(firsts))]
-            yield pa.RecordBatch.from_arrays(columns, ["edge", "doc_id", "pos", "first"])
+            at, doc, new = np.concatenate(places), np.concatenate(docs), np.concatenate(firsts)
+            ends = [pa.array(x.view(np.int64), mask=~new) for x in (node[at], node[at + 1])]
+            columns = [pa.array(edge[at].view(np.int64)), *ends, part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), pa.array((at - first[doc]).astype(np.int32)), pa.array(new)]
+            yield pa.RecordBatch.from_arrays(columns, ["edge", "a", "b", "doc_id", "mark", "pos", "first"])
+
+    return texts.select("doc_id", "mark", "text", "seeds").mapInArrow(run, "edge long, a long, b long, doc_id long, mark long, pos int, first boolean")
+
 
-    return texts.select("doc_id", "text", "seeds").mapInArrow(run, "edge long, doc_id long, pos int, first boolean")
+def _piece_words(pieces: DataFrame) -> DataFrame:
+    """Replaces a piece's source text by the words it points at."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in frames:
+            held, words = None, []
+            columns = [part.column(k).to_pylist() for k in (0, 1, 2, 3)]
+            for k, (doc, mark, at, n) in enumerate(zip(*columns, strict=True)):
+                if held is None or held[0] != (doc, mark):
+                    held = (doc, mark), part.column(4)[k].as_buffer().to_pybytes().split()
+                words.append(b" ".join(held[1][at : at + n + K - 1]))
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), pa.array(words, pa.binary())], ["source", "source_mark", "piece", "words"])
+
+    return pieces.select("source", "source_mark", "piece", "n_edges", "text").mapInArrow(run, "source long, source_mark long, piece int, words binary")
 
 
 def _source_sha(spans: DataFrame) -> DataFrame:
-    """Replaces a span's source text by the SHA-256 of the words it points at."""
+    """Replaces a piece's words by the SHA-256 of those that the span runs along."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in frames:
-            split, shas = {}, []
-            for key, text, at, n in zip(part.column(3).to_pylist(), part.column(4), part.column(5).to_pylist(), part.column(2).to_pylist(), strict=True):
-                if key not in split:
-                    split = {key: text.as_buffer().to_pybytes().split()}
-                shas.append(_sha(split[key][at : at + n]))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(shas, pa.string())], ["doc_id", "start", "n", "source_sha"])
+            shas = [_sha(words.as_buffer().to_pybytes().split(b" ")[at : at + n]) for words, at, n in zip(part.column(4), part.column(5).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(shas, pa.string())], ["doc_id", "mark", "start", "n", "source_sha"])
 
-    return spans.select("doc_id", "start", "n", "source", "text", "source_start").mapInArrow(run, "doc_id long, start int, n int, source_sha string")
+    return spans.select("doc_id", "mark", "start", "n", "words", "offset").mapInArrow(run, "doc_id long, mark long, start int, n int, source_sha string")
 
 
 def _cut(texts: DataFrame) -> DataFrame:
@@ -142,45 +160,93 @@ def _cut(texts: DataFrame) -> DataFrame:
 
 
 def _texts(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").filter(F.col("text").isNotNull())
 
 
-def spans(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): a narrow row for each document with `first`, the smallest id of its copies; the compacted paths with
-    their source coordinates. Texts are joined where they are needed and never stored again."""
+def graph(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, hits, edges), saved: a narrow row for each document with `first`, the smallest id of its copies; every place of a
+    candidate edge (edge, doc_id, mark, pos); the repeated edges (edge, a, b, source, source_mark, at)."""
     rows = save(_scan(documents), "scan")
     first = rows.groupBy("sha").agg(F.min("doc_id").alias("first"))
     narrow = save(rows.select("doc_id", "n_words", "sha").join(first, "sha"), "rows")
     heads = narrow.filter((F.col("doc_id") == F.col("first")) & (F.col("n_words") >= K)).select("doc_id", "sha").distinct()
-    own = save(rows.filter(F.col("n_words") >= K).join(heads, ["doc_id", "sha"], "left_semi").select("doc_id", "seeds"), "own")
+    own = save(rows.filter(F.col("n_words") >= K).join(heads, ["doc_id", "sha"], "left_semi").select("doc_id", "mark", "seeds"), "own")
     discard(rows)
-    seeds = own.select("doc_id", F.explode("seeds").alias("seed"))
+    seeds = own.select("doc_id", "mark", F.explode("seeds").alias("seed"))
     met = seeds.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("seed")
     met = save(met, "met")
-    wanted = seeds.join(met, "seed").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))  # at most a document's own seeds
-    edges = save(_edges(_texts(documents).join(wanted, "doc_id")), "edges")
+    wanted = seeds.join(met, "seed").groupBy("doc_id", "mark").agg(F.collect_list("seed").alias("seeds"))  # at most a document's own seeds
+    hits = save(_edges(_texts(documents).join(wanted, ["doc_id", "mark"])), "hits")
     discard(own)
     discard(met)
-    source = edges.filter("first").groupBy("edge").agg(F.min("doc_id").alias("source"), F.min_by("pos", "doc_id").alias("at"), F.max("doc_id").alias("last"))
-    source = save(source.filter("source < last").drop("last"), "sources")
-    hits = edges.drop("first").join(source, "edge").filter("doc_id > source").select("doc_id", "pos", "source", (F.col("pos") - F.col("at")).alias("shift"))
-    path = Window.partitionBy("doc_id", "source", "shift").orderBy("pos")
-    island = hits.withColumn("island", F.col("pos") - F.dense_rank().over(path))  # rows that repeat an id repeat its hits
-    paths = island.groupBy("doc_id", "source", "shift", "island").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + K).cast("int").alias("n"))
-    paths = save(paths.select("doc_id", "start", "n", "source", (F.col("start") - F.col("shift")).cast("int").alias("source_start")), "paths")
+    low = F.min(F.struct(F.col("doc_id").alias("source"), F.col("mark").alias("source_mark"), F.col("pos").alias("at")))
+    edges = hits.filter("first").groupBy("edge").agg(F.first("a").alias("a"), F.first("b").alias("b"), low.alias("o"), F.max("doc_id").alias("last"))
+    edges = save(edges.filter("o.source < last").select("edge", "a", "b", "o.*"), "graph")
+    return narrow, hits.select("edge", "doc_id", "mark", "pos"), edges
+
+
+def nonbranching(edges: DataFrame) -> DataFrame:
+    """(before, after): edges, named by their source coordinates, on the two sides of a node with one edge in and one out."""
+    place = F.struct("source", "source_mark", "at")
+    into = edges.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n"), F.min(place).alias("before")).filter("n = 1").drop("n")
+    out = edges.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"), F.min(place).alias("after")).filter("n = 1").drop("n")
+    return into.join(out, "node").filter("before != after").select("before", "after")
+
+
+def pieces(edges: DataFrame, links: DataFrame) -> DataFrame:
+    """edges with `piece`, the place in the source where the edge's piece begins: a run of places that links join."""
+    glued = links.filter("before.source = after.source and before.source_mark = after.source_mark and before.at + 1 = after.at").select("after.*", F.lit(True).alias("glued"))
+    own = Window.partitionBy("source", "source_mark").orderBy("at")
+    held = edges.join(glued, ["source", "source_mark", "at"], "left")
+    return held.withColumn("piece", F.last(F.when(F.col("glued").isNull(), F.col("at")), True).over(own)).drop("glued")
+
+
+def paths(documents: DataFrame) -> DataFrame:
+    """path (its first edge's source coordinate), n_edges, n_pieces of every nonbranching path. Closed rings are left in pieces."""
+    _, _, edges = graph(documents)
+    links = save(nonbranching(edges), "links")
+    cut = pieces(edges, links).groupBy("source", "source_mark", "piece").agg(F.count("*").alias("n_edges"))
+    cut = cut.select(F.struct("source", "source_mark", F.col("piece").alias("at")).alias("head"), F.struct("source", "source_mark", (F.col("piece") + F.col("n_edges") - 1).cast("int").alias("at")).alias("tail"), "n_edges")
+    cut = save(cut, "pieces")
+    lead = cut.join(links.withColumnRenamed("before", "tail"), "tail").join(cut.select(F.col("head").alias("after")), "after").select(F.col("after").alias("head"), F.col("head").alias("up"))
+    step = save(cut.select("head", "n_edges").join(lead, "head", "left"), "step")
+    for _ in range(max(1, step.count()).bit_length()):  # every round doubles the reach
+        above = step.select(F.col("head").alias("up"), F.col("up").alias("top"))
+        after = step.join(above, "up", "left").select("head", "n_edges", F.coalesce("top", "up").alias("up"))
+        moved = after.join(step.select("head", F.col("up").alias("was")), "head").filter("not (up <=> was)").limit(1).count()
+        step = save(after, "step")
+        if not moved:
+            break
+    heads = step.filter("up is null").select(F.col("head").alias("top"))
+    found = step.withColumn("top", F.coalesce("up", "head")).join(heads.withColumn("open", F.lit(True)), "top", "left")
+    return found.groupBy(F.when(F.col("open"), F.col("top")).otherwise(F.col("head")).alias("path")).agg(F.sum("n_edges").alias("n_edges"), F.count("*").alias("n_pieces"))
+
+
+def spans(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): a narrow row for each document, see graph(); and the spans with the SHA-256 of the words of their sources."""
+    rows, hits, edges = graph(documents)
+    cut = save(pieces(edges, nonbranching(edges)).select("edge", "source", "source_mark", "at", "piece"), "pieces")
     discard(edges)
-    discard(source)
-    return narrow, paths
+    found = hits.join(cut, "edge").filter("doc_id > source").select("doc_id", "mark", "pos", "source", "source_mark", "piece", (F.col("pos") - F.col("at")).alias("shift"))
+    along = ["doc_id", "mark", "source", "source_mark", "piece", "shift"]
+    island = found.withColumn("island", F.col("pos") - F.dense_rank().over(Window.partitionBy(*along).orderBy("pos")))  # rows that repeat an id repeat its hits
+    runs = island.groupBy(*along, "island").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + K).cast("int").alias("n"))
+    runs = save(runs.select("doc_id", "mark", "start", "n", "source", "source_mark", "piece", (F.col("start") - F.col("shift") - F.col("piece")).cast("int").alias("offset")), "runs")
+    whole = cut.groupBy("source", "source_mark", "piece").agg(F.count("*").cast("int").alias("n_edges"))
+    texts = _texts(documents).select(F.col("doc_id").alias("source"), F.col("mark").alias("source_mark"), "text")
+    words = _piece_words(whole.join(texts, ["source", "source_mark"]).select("source", "source_mark", "piece", "n_edges", "text")).dropDuplicates(["source", "source_mark", "piece"])
+    words = save(words, "words")
+    checked = save(_source_sha(runs.join(words, ["source", "source_mark", "piece"])), "checked")
+    for table in (cut, runs, words):
+        discard(table)
+    return rows, checked
 
 
 def dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and `kept`: the words left where some went, else null."""
-    rows, paths = spans(documents)
-    texts = _texts(documents)
-    source = texts.withColumnRenamed("doc_id", "source")  # rows that repeat an id: any of its texts may be meant
-    checked = save(_source_sha(paths.join(source, "source")), "checked")
-    per = checked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "source_sha")).alias("spans"))  # a document's own spans
-    cut = _cut(texts.join(per, "doc_id")).dropDuplicates(["doc_id", "sha"])
+    rows, checked = spans(documents)
+    per = checked.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "n", "source_sha")).alias("spans"))  # a document's own spans
+    cut = _cut(_texts(documents).join(per, ["doc_id", "mark"])).dropDuplicates(["doc_id", "sha"])
     copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= K), F.lit(False))
     out = rows.join(cut, ["doc_id", "sha"], "left")
     return out.select(

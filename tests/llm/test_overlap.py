@@ -29,6 +29,50 @@ def test_op10(spark):
     assert debruijn.digest(corpora.frame(spark, [])).count() == 0
 
 
+def test_op10_repeated_ids(spark):
+    """Rows that repeat an id with other texts, each of which holds a passage that later documents repeat."""
+    p, q = (" ".join(f"{c}{k}" for k in range(30)) for c in "pq")
+    rows = [(1, f"{p} x", None, None, 0), (1, f"y {q}", None, None, 0), (1, f"y {q}", None, None, 0), (2, f"{q} {p}", None, None, 0), (3, f"{p} {q} z", None, None, 0), (3, f"{q} {p} w", None, None, 0)]
+    got = [tuple(r) for r in debruijn.digest(corpora.frame(spark, rows)).collect()]
+    assert Counter(got) == Counter(brute10(rows))
+
+
+def unitigs(rows):
+    """Lengths of the nonbranching paths of the graph of windows met in two documents, by walking it."""
+    met = {}
+    for i, t, *_ in rows:
+        w = corpora.words(t)
+        for j in range(len(w) - 12):
+            met.setdefault(tuple(w[j : j + 13]), set()).add(i)
+    edges = {e for e, d in met.items() if len(d) > 1}
+    out, into = {}, {}
+    for e in edges:
+        out.setdefault(e[:-1], []).append(e)
+        into.setdefault(e[1:], []).append(e)
+    after = lambda e: out[e[1:]][0] if len(out.get(e[1:], [])) == 1 == len(into[e[1:]]) and out[e[1:]][0] != e else None
+    ahead = {after(e) for e in edges}
+    lengths = []
+    for e in edges - ahead:
+        n, seen = 1, {e}
+        while (e := after(e)) and e not in seen:
+            seen.add(e)
+            n += 1
+        lengths.append(n)
+    return lengths
+
+
+def test_paths_of_a_branching_graph(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [f"{a} {b}", f"{a} {c}", f"{d} {a} {b}", f"{d} {c}", f"{b} {d}", f"{c} {d} {a}", b, f"x {a} {c} y"]
+    # the later half of a path has its source in another document than the first half
+    rows += [f"{a[:60]} 1", f"2 {a[-70:]}", " ".join(f"e{k}" for k in range(20)), *[" ".join(f"e{k}" for k in range(60))] * 2]
+    rows = [(k, t, None, None, 0) for k, t in enumerate(rows)]
+    found = debruijn.paths(corpora.frame(spark, rows)).collect()
+    assert Counter(r.n_edges for r in found) == Counter(unitigs([(r[0], r[1]) for r in rows[:-1]]))
+    assert max(r.n_pieces for r in found) > 1
+    assert Counter(tuple(r) for r in debruijn.digest(corpora.frame(spark, rows)).collect()) == Counter(brute10(rows))
+
+
 def test_align_is_a_common_subsequence():
     assert line_align.align([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1), (2, 2), (3, 4)]
     assert line_align.align([1, 1, 2], [1, 1, 1, 2]) == [(0, 0), (1, 1), (2, 3)]
