@@ -3,12 +3,15 @@
 mux() stores a binary column as one transport stream for each row: a program association and a program map table, then
 packetised elementary stream (PES) units of UNIT payload bytes. Each unit begins with a presentation timestamp, every
 RAP_EVERY-th one is flagged as a random-access point, and stuffing goes into adaptation fields, so the payload is cut, never
-changed. demux() reads streams back: it follows PAT and PMT to the elementary PID, checks each PID's continuity counter,
-reassembles the units and reports timestamps, random-access points and faults.
-
-Rows are independent, so the plan is one scan with no exchange. A null payload reads as empty; an empty one gives the two
-tables and no unit. A damaged stream gives the bytes of its intact units and says so in `errors`; it raises nothing.
-Other columns pass through; a clash with an output name is won by the output.
+changed. demux() reads streams back: it puts the sections of PAT and PMTs together, over packets if need be, lists the
+elementary streams of all programs, checks their continuity counters (a packet sent twice and a jump that is announced are no
+loss), reassembles the units of one stream, with or without a length of their own, and reports timestamps, random-access
+points and faults.
+
+Rows are independent, so the plan is one scan with no exchange; repeated rows give equal results, an empty table none. A null
+payload reads as empty; an empty one gives the two tables and no unit. A damaged stream gives the bytes of its intact units
+and says so in `errors`; it raises nothing. Batches are cut by bytes, and a long payload goes alone and whole. Other columns
+pass through; a clash with an output name is won by the output.
 """
 
 from __future__ import annotations
@@ -23,9 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from folio.llm.words import batches
+
 PACKET, UNIT, RAP_EVERY = 188, 1152, 8
 PMT_PID, ES_PID, STREAM_TYPE, STREAM_ID = 0x1000, 0x0100, 0x06, 0xBD
 CLOCK_STEP = 3600  # ticks of 90 kHz between units
+BATCH_BYTES = 8 << 20
 
 
 def _crc32_mpeg_table() -> np.ndarray:
@@ -116,73 +122,126 @@ def encode(payload: bytes) -> bytes:
     return out.tobytes()
 
 
-def _find(packets: np.ndarray, pid: np.ndarray, start: np.ndarray, table_id: int, want: int) -> bytes | None:
-    """Body of the first sound section of a table on PID want."""
-    for i in np.flatnonzero((pid == want) & start).tolist():
-        raw = packets[i].tobytes()
-        at = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
-        at += 1 + raw[at] if at < PACKET else 0
-        size = 3 + ((raw[at + 1] & 0x0F) << 8 | raw[at + 2]) if at + 3 <= PACKET else 0
-        section = raw[at : at + size]
-        if size >= 12 and len(section) == size and section[0] == table_id and crc32_mpeg(section) == 0:
-            return section[8:-4]
-    return None
-
-
-def decode(media: bytes) -> dict:
-    """Payload and index of a stream: payload, packets, units, rap (unit numbers), pts (first, last), lost, errors."""
-    out = {"payload": b"", "packets": len(media) // PACKET, "units": 0, "rap": [], "pts": [], "lost": 0, "errors": []}
+def _body(packet: bytes) -> bytes:
+    """What a packet carries behind its header and adaptation field."""
+    if not packet[3] & 0x10:
+        return b""
+    return packet[4 + (1 + packet[4] if packet[3] & 0x20 else 0) :]
+
+
+def _sections(packets: np.ndarray, table_id: int) -> Iterator[bytes]:
+    """Bodies of all sound sections of a table in the packets of its PID."""
+    held, last = None, None
+    for row in packets:
+        raw = row.tobytes()
+        body, before, last = _body(raw), last, raw
+        if not body or raw == before:  # sent twice
+            continue
+        parts = [body]
+        if raw[1] & 0x40:
+            parts = [body[1 : 1 + body[0]], body[1 + body[0] :]]
+        for k, part in enumerate(parts):
+            if raw[1] & 0x40 and k:
+                held = b""
+            if held is None:
+                continue
+            held += part
+            while len(held) >= 3 and held[0] != 0xFF:
+                size = 3 + ((held[1] & 0x0F) << 8 | held[2])
+                if len(held) < size:
+                    break
+                section, held = held[:size], held[size:]
+                if size >= 12 and section[0] == table_id and crc32_mpeg(section) == 0:
+                    yield section[8:-4]
+
+
+def programs(packets: np.ndarray, pid: np.ndarray) -> list[tuple[int, int, int]]:
+    """(program, PID, stream type) of every elementary stream, in the order of the tables."""
+    found, tables = [], {}
+    for pat in _sections(packets[pid == 0], 0):
+        for i in range(0, len(pat) - 3, 4):
+            if number := pat[i] << 8 | pat[i + 1]:  # 0 is the network table
+                tables.setdefault(number, (pat[i + 2] & 0x1F) << 8 | pat[i + 3])
+    for number, table in tables.items():
+        for pmt in _sections(packets[pid == table], 2):
+            at = 4 + ((pmt[2] & 0x0F) << 8 | pmt[3]) if len(pmt) >= 4 else len(pmt)
+            while at + 5 <= len(pmt):
+                stream = (number, (pmt[at + 1] & 0x1F) << 8 | pmt[at + 2], pmt[at])
+                if stream not in found:
+                    found.append(stream)
+                at += 5 + ((pmt[at + 3] & 0x0F) << 8 | pmt[at + 4])
+    return found
+
+
+def _continuous(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The packets of one PID that carry something, without repeats, and where one or more are missing ahead of a packet."""
+    own = own[own[:, 3] & 0x10 != 0]
+    if not len(own):
+        return own, np.zeros(0, bool)
+    counter = own[:, 3] & 15
+    again = 1 + np.flatnonzero(counter[1:] == counter[:-1])
+    own = np.delete(own, again[(own[again] == own[again - 1]).all(1)], 0)
+    step = np.r_[0, (np.diff(own[:, 3].astype(np.int16) & 15) - 1) % 16]
+    announced = (own[:, 3] & 0x20 != 0) & (own[:, 4] > 0) & (own[:, 5] & 0x80 != 0)
+    return own, (step != 0) & ~announced
+
+
+def decode(media: bytes, stream: int = 0) -> dict:
+    """Payload and index of a stream: payload, packets, units, rap (unit numbers), pts (null where a unit has none), lost,
+    errors; streams lists all (program, pid, kind), of which number `stream` is read."""
+    out = {"payload": b"", "packets": len(media) // PACKET, "units": 0, "rap": [], "pts": [], "lost": 0, "errors": [], "streams": []}
     if len(media) % PACKET:
         out["errors"].append("partial packet")
     packets = np.frombuffer(media, np.uint8, out["packets"] * PACKET).reshape(-1, PACKET)
-    sound = (packets[:, 0] == 0x47) & (packets[:, 1] & 0x80 == 0) if len(packets) else np.zeros(0, bool)
-    if not sound.all():
-        out["errors"].append("bad packet")
-        packets = packets[sound]
+    if len(packets):
+        fits = (packets[:, 3] & 0x20 == 0) | (packets[:, 4] <= PACKET - 5)
+        sound = (packets[:, 0] == 0x47) & (packets[:, 1] & 0x80 == 0) & (packets[:, 3] & 0xC0 == 0) & fits
+        if not sound.all():
+            out["errors"].append("bad packet")
+            packets = packets[sound]
     pid = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    start = packets[:, 1] & 0x40 != 0
-    pat = _find(packets, pid, start, 0, 0)
-    programs = [(pat[i + 2] & 0x1F) << 8 | pat[i + 3] for i in range(0, len(pat), 4) if pat[i : i + 2] != b"\0\0"] if pat else []
-    pmt = _find(packets, pid, start, 2, programs[0]) if programs else None
-    streams, at = [], 4 + ((pmt[2] & 0x0F) << 8 | pmt[3]) if pmt else 0
-    while pmt and at + 5 <= len(pmt):
-        streams.append((pmt[at + 1] & 0x1F) << 8 | pmt[at + 2])
-        at += 5 + ((pmt[at + 3] & 0x0F) << 8 | pmt[at + 4])
-    if not streams:
+    found = programs(packets, pid)
+    out["streams"] = [{"program": a, "pid": b, "kind": c} for a, b, c in found]
+    if not found:
         out["errors"].append("no program")
         return out
-    own = packets[pid == streams[0]]
-    start = start[pid == streams[0]]
-    adapted, carries = own[:, 3] & 0x20 != 0, own[:, 3] & 0x10 != 0
-    step = (np.diff(own[carries, 3].astype(np.int16) & 15) - 1) % 16
-    out["lost"] = int((step != 0).sum())
+    if stream >= len(found):
+        out["errors"].append("no stream")
+        return out
+    own, gap = _continuous(packets[pid == found[stream][1]])
+    out["lost"] = int(gap.sum())
     if out["lost"]:
         out["errors"].append("continuity")
-    skip = 4 + np.where(adapted, own[:, 4].astype(np.int64) + 1, 0)
-    held = np.arange(PACKET)[None] >= np.where(carries, skip, PACKET)[:, None]
-    raw, ends = own[held], np.cumsum(held.sum(1))
+    start = own[:, 1] & 0x40 != 0
     heads = np.flatnonzero(start)
     if not len(heads):
         return out
-    begin = (ends - held.sum(1))[heads]
-    if begin[-1] + 14 > len(raw) or (np.diff(begin) < 14).any():
-        out["errors"].append("short unit")
-        return out
-    head = raw[begin[:, None] + np.arange(14)].astype(np.int64)
-    size = (head[:, 4] << 8 | head[:, 5]) + 6
-    body = begin + 9 + head[:, 8]
-    stop = begin + size
+    adapted = own[:, 3] & 0x20 != 0
+    skip = 4 + np.where(adapted, own[:, 4].astype(np.int64) + 1, 0)
+    held = np.arange(PACKET)[None] >= skip[:, None]
+    raw, n = own[held], held.sum(1)
+    begin = (np.cumsum(n) - n)[heads]
     limit = np.r_[begin[1:], len(raw)]
-    good = (head[:, 0] == 0) & (head[:, 1] == 0) & (head[:, 2] == 1) & (stop == limit)
+    head = np.r_[raw, np.zeros(14, np.uint8)][begin[:, None] + np.arange(14)].astype(np.int64)
+    size = head[:, 4] << 8 | head[:, 5]
+    body, stop = begin + 9 + head[:, 8], np.where(size == 0, limit, begin + size + 6)
+    good = (head[:, 0] == 0) & (head[:, 1] == 0) & (head[:, 2] == 1) & (limit - begin >= 9) & (stop == limit) & (body <= stop)
+    unit, hurt = np.cumsum(start) - 1, np.zeros(len(heads) + 1, bool)
+    hurt[unit[gap & ~start]] = True  # -1, ahead of the first unit, is the entry that no unit reads
+    before = unit[gap & start] - 1  # may have lost its end, which only its length tells
+    hurt[before[before >= 0]] |= size[before[before >= 0]] == 0
+    good &= ~hurt[:-1]
     if not good.all():
         out["errors"].append("broken unit")
     mark = np.zeros(len(raw) + 1, np.int8)
     np.add.at(mark, body[good], 1)
     np.add.at(mark, stop[good], -1)
     out["payload"] = raw[np.cumsum(mark[:-1]) > 0].tobytes()
+    stamped = (head[:, 7] & 0x80 != 0) & (head[:, 8] >= 5)
     pts = (head[:, 9] >> 1 & 7) << 30 | head[:, 10] << 22 | head[:, 11] >> 1 << 15 | head[:, 12] << 7 | head[:, 13] >> 1
     flagged = adapted[heads] & (own[heads, 4] > 0) & (own[heads, 5] & 0x40 != 0)
-    out |= {"units": int(good.sum()), "rap": np.flatnonzero(flagged & good).tolist(), "pts": pts[good].tolist()}
+    times = [t if ok else None for t, ok in zip(pts[good].tolist(), stamped[good].tolist(), strict=True)]
+    out |= {"units": int(good.sum()), "rap": np.flatnonzero(flagged & good).tolist(), "pts": times}
     return out
 
 
@@ -196,33 +255,27 @@ def mux(df: DataFrame, payload: str = "payload", out: str = "media") -> DataFram
     schema = StructType([*kept.schema, StructField(out, BinaryType())])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            at = frame.schema.get_field_index(payload)
-            for lo in range(0, frame.num_rows, 1000):
-                part = frame.slice(lo, 1000)
-                media = pa.array((encode(x.as_py() or b"") for x in part.column(at)), pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, media], [*part.schema.names, out])
+        for part in batches(frames, payload, BATCH_BYTES):
+            media = pa.array((encode(x.as_py() or b"") for x in part.column(part.schema.get_field_index(payload))), pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, media], [*part.schema.names, out])
 
     return kept.mapInArrow(run, schema)
 
 
-INDEX = "payload binary, packets long, units long, rap array<long>, pts array<long>, lost long, errors array<string>"
+INDEX = "payload binary, packets long, units long, rap array<long>, pts array<long>, lost long, errors array<string>, streams array<struct<program: long, pid: long, kind: long>>"
+_STREAM = pa.struct([(k, pa.int64()) for k in ("program", "pid", "kind")])
 
 
-def demux(df: DataFrame, media: str = "media") -> DataFrame:
-    """Adds the columns of INDEX, read from the stored streams."""
-    names = [x.split()[0] for x in INDEX.split(", ")]
-    kept = df.select(*[F.col(f"`{c}`") for c in _with(df, set(names))])
+def demux(df: DataFrame, media: str = "media", stream: int = 0) -> DataFrame:
+    """Adds the columns of INDEX, read from the stored streams: of the elementary stream number `stream`."""
+    kinds = {"payload": pa.binary(), "packets": pa.int64(), "units": pa.int64(), "rap": pa.list_(pa.int64()), "pts": pa.list_(pa.int64()), "lost": pa.int64(), "errors": pa.list_(pa.string()), "streams": pa.list_(_STREAM)}
+    kept = df.select(*[F.col(f"`{c}`") for c in _with(df, set(kinds))])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), INDEX])
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.string())]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            at = frame.schema.get_field_index(media)
-            for lo in range(0, frame.num_rows, 1000):
-                part = frame.slice(lo, 1000)
-                found = [decode(x.as_py() or b"") for x in part.column(at)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([x[k] for x in found], t) for k, t in zip(names, kinds, strict=True))], [*part.schema.names, *names])
+        for part in batches(frames, media, BATCH_BYTES):
+            found = [decode(x.as_py() or b"", stream) for x in part.column(part.schema.get_field_index(media))]
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([x[k] for x in found], t) for k, t in kinds.items())], [*part.schema.names, *kinds])
 
     return kept.mapInArrow(run, schema)
 

@@ -29,6 +29,103 @@ def test_stream_damage_is_told():
     assert "partial packet" in transport.decode(media[:-1])["errors"]
 
 
+def packets(pid, body, first=0, start=True, flags=0):
+    """Transport packets of one unit or section, stuffed by adaptation fields."""
+    out, k = b"", 0
+    while body or not k:
+        room = 184 if not (flags and not k) else 182
+        part, body = body[:room], body[room:]
+        field = b""
+        if len(part) < 184:
+            n = 183 - len(part)
+            field = bytes([n]) + (bytes([flags if not k else 0]) + b"\xff" * (n - 1) if n else b"")
+        out += bytes([0x47, (0x40 if start and not k else 0) | pid >> 8, pid & 255, (0x30 if field else 0x10) | (first + k) % 16]) + field + part
+        k += 1
+    return out
+
+
+def unit(data, sized=True, pts=None):
+    stamp = bytes([0x21 | pts >> 29 & 14, pts >> 22 & 255, 1 | pts >> 14 & 254, pts >> 7 & 255, 1 | pts << 1 & 254]) if pts is not None else b""
+    size = len(data) + 3 + len(stamp) if sized else 0
+    return b"\0\0\1\xbd" + size.to_bytes(2, "big") + bytes([0x80, 0x80 if stamp else 0, len(stamp)]) + stamp + data
+
+
+def two_programs():
+    """Program 1 with a table of 60 streams over several packets, program 2 with one stream; units of all kinds."""
+    pat = transport._section(0, 1, bytes([0, 0, 0xE0, 16, 0, 1, 0xF0, 0, 0, 2, 0xF0, 1]))
+    many = b"".join(bytes([6, 0xE1 + k // 200, k % 200, 0xF0, 2, 9, 9]) for k in range(60))
+    one = transport._section(2, 1, bytes([0xE1, 0, 0xF0, 0]) + many)
+    two = transport._section(2, 2, bytes([0xE3, 0, 0xF0, 0, 27, 0xE3, 0, 0xF0, 0]))
+    a, b = [bytes([k]) * (300 + 10 * k) for k in range(5)], [bytes([200 + k]) * 700 for k in range(3)]
+    out, at, bt = packets(0, b"\0" + pat) + packets(0x1000, b"\0" + one) + packets(0x1001, b"\0" + two), 0, 0
+    for k in range(5):
+        own = packets(0x100, unit(a[k], sized=k % 2 == 0, pts=None if k == 1 else 90 * k), at)
+        out, at = out + own, at + len(own) // 188
+        if k < 3:
+            own = packets(0x300, unit(b[k], sized=False), bt)
+            out, bt = out + own, bt + len(own) // 188
+    return out, b"".join(a), b"".join(b)
+
+
+def test_stream_of_two_programs():
+    media, a, b = two_programs()
+    got = transport.decode(media)
+    assert got["payload"] == a and got["pts"] == [0, None, 180, 270, 360] and not got["errors"] and len(got["streams"]) == 61
+    other = transport.decode(media, 60)
+    assert other["payload"] == b and other["pts"] == [None] * 3 and other["streams"][60] == {"program": 2, "pid": 0x300, "kind": 27}
+    assert transport.decode(media, 61)["errors"] == ["no stream"]
+
+
+def test_stream_repeats_and_announced_jumps():
+    media, a, _ = two_programs()
+    parts = [media[k : k + 188] for k in range(0, len(media), 188)]
+    twice = b"".join(x + x for x in parts)
+    assert (transport.decode(twice)["payload"], transport.decode(twice)["lost"]) == (a, 0)
+    own = packets(0x100, unit(b"q" * 50, pts=1), 9, flags=0x80)
+    jumped = transport.decode(media + own)
+    assert jumped["payload"] == a + b"q" * 50 and not jumped["errors"]
+    told = transport.decode(media + packets(0x100, unit(b"q" * 50, pts=1), 9))
+    assert told["lost"] == 1 and told["payload"].endswith(b"q" * 50)
+
+
+def test_stream_damage_never_raises():
+    """Bits, packets and stretches lost, moved or overwritten: what comes back is whole units, and nothing is raised."""
+    import random
+
+    r = random.Random(7)
+    plain = transport.encode(bytes(r.randrange(256) for _ in range(6000)))
+    for media, whole in ((plain, transport.decode(plain)["payload"]), two_programs()[:2]):
+        for _ in range(400):
+            raw = bytearray(media)
+            for _ in range(r.randint(1, 6)):
+                kind, at = r.randrange(4), r.randrange(max(1, len(raw)))
+                if kind == 0 and raw:
+                    raw[at % len(raw)] = r.choice([0, 255, 71, r.randrange(256)])
+                elif kind == 1:
+                    del raw[at // 188 * 188 : at // 188 * 188 + 188]
+                elif kind == 2:
+                    del raw[at : at + r.randrange(300)]
+                else:
+                    raw[at:at] = raw[at // 188 * 188 : at // 188 * 188 + 188]
+            got = transport.decode(bytes(raw))
+            assert len(got["payload"]) <= len(whole) + 188 * 8
+    lone = bytes([0x47, 0x41, 0, 0x10]) + b"\0\0\1\xbd\0\3\x80\x80\xff" + b"\xff" * 175  # a header said to be longer than its unit
+    assert "broken unit" in transport.decode(plain[:376] + lone)["errors"]
+
+
+def test_op1_awkward_tables(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(None, "no id", None, None, 0), (1, "twice", None, None, 0), (1, "twice", None, None, 0), (2, "é" * 3_000_000, None, None, 0)]
+    docs = corpora.frame(spark, rows)
+    got = transport.digest(docs).collect()
+    assert Counter(r.n_bytes for r in got) == Counter(len(t.encode()) for _, t, *_ in rows)
+    assert transport.digest(corpora.frame(spark, [])).count() == 0
+    wide = docs.filter("doc_id = 1").select(F.encode("text", "UTF-8").alias("payload"), F.lit(5).alias("units"), F.lit("x").alias("other"), F.lit(b"m").alias("media"))
+    back = transport.demux(transport.mux(wide).drop("payload")).collect()
+    assert [(bytes(r.payload), r.units, r.other) for r in back] == [(b"twice", 1, "x")] * 2
+
+
 def test_op1(spark):
     rows = corpora.sample()
     got = {r.doc_id: r for r in transport.digest(corpora.frame(spark, rows)).collect()}
