@@ -7,13 +7,13 @@ odds keep each expectation, until one fraction is 0 or 1; the other goes on. Mov
 size * p, so a source misses its target by less than one document.
 
 The fold runs inside blocks of about BLOCK documents; each block hands its one open fraction up a reduction tree, level by
-level, until a source has one left, which a fair draw settles. Equal rows are first counted together, so neither a hot
-source, a hot document id nor a table of repeats lands in one task. Random numbers are hashes of SEED and row values: reruns
-agree, whatever the partitioning.
+level, until a source has one left, which a fair draw settles. Rows equal in source, doc_id and text are first counted
+together, so neither a hot source, a hot document id nor a table of repeats lands in one task. Random numbers are hashes of
+SEED and row values: reruns agree, whatever the partitioning.
 
 Defined results: null text has size 0; sources are ordered by code point, null last, and null is a source of its own; rows of
 size 0 are taken 0 words; a null doc_id is an ordinary value; repeated rows share their copies evenly; an empty table gives
-an empty result.
+an empty result; apply() passes other columns through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import ranged, running_total, save, word_count
+from folio.llm.common import boxed, let, ranged, running_total, save, unboxed, word_count
 
 WEIGHTS, RATIO, CAP, BLOCK, SEED = (5, 2, 1), 1.5, 2.0, 64, 17
 #: A table of sources is broadcast up to this many rows; beyond it Spark joins by shuffle.
@@ -29,11 +29,6 @@ SMALL = 50_000
 _TINY = 1e-9
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def targets(units: DataFrame) -> DataFrame:
     """source, source_size, target for (source, size, m) rows. Water filling: each pass is one aggregate of two numbers."""
     per = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("units"))
@@ -60,10 +55,10 @@ def _fold() -> Column:
 
         def move(s: Column) -> Column:
             d = F.when(s["draw"] * (s["give"] + s["take"]) < s["take"], -s["give"]).otherwise(s["take"])
-            return _let(d, lambda d: F.array(i.withField("p", _snap(i["p"] + d / i["size"])), j.withField("p", _snap(j["p"] - d / j["size"]))))
+            return let(d, lambda d: F.array(i.withField("p", _snap(i["p"] + d / i["size"])), j.withField("p", _snap(j["p"] - d / j["size"]))))
 
-        both = F.when(i.isNull(), F.array(j)).otherwise(_let(F.struct(give.alias("give"), take.alias("take"), draw.alias("draw")), move))
-        return _let(
+        both = F.when(i.isNull(), F.array(j)).otherwise(let(F.struct(give.alias("give"), take.alias("take"), draw.alias("draw")), move))
+        return let(
             both,
             lambda b: F.struct(
                 F.get(F.filter(b, lambda y: (y["p"] > 0) & (y["p"] < 1)), F.lit(0)).alias("open"),
@@ -80,10 +75,11 @@ def _snap(p: Column) -> Column:
     return F.when(p < _TINY, 0.0).when(p > 1 - _TINY, 1.0).otherwise(p)
 
 
-def mix(documents: DataFrame) -> DataFrame:
-    """One row for each row of documents: doc_id, source, size, source_size, target, copies."""
-    rows = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    units = save(rows.groupBy("source", "doc_id", "size").agg(F.count("*").alias("m")), "units")
+def plan(documents: DataFrame) -> DataFrame:
+    """For rows equal in source, doc_id and text (mark is its hash), m of them: source, doc_id, mark, size, m, source_size, target,
+    base, extra: each is taken `base` times, `extra` of them once more."""
+    rows = documents.select("doc_id", "source", F.xxhash64("text").alias("mark"), word_count(F.col("text")).alias("size"))
+    units = save(rows.groupBy("source", "doc_id", "mark", "size").agg(F.count("*").alias("m")), "units")
     per = save(targets(units), "targets")
     n = per.count()
     per = F.broadcast(per) if n <= SMALL else per
@@ -93,8 +89,8 @@ def mix(documents: DataFrame) -> DataFrame:
     share = F.col("m") * (F.col("rate") - F.floor("rate"))
     own = own.withColumn("rate", rate).withColumn("base", F.floor("rate").cast("long")).withColumn("full", F.floor(share + _TINY).cast("long"))
     own = own.withColumn("p", F.when(F.col("size") > 0, _snap(share - F.col("full"))).otherwise(0.0))
-    h = F.xxhash64(F.lit(SEED), "source", "doc_id", "size")
-    item = F.struct(h.alias("h"), F.col("size").cast("double").alias("size"), "p", "doc_id", "m", "base", "full")
+    h = F.xxhash64(F.lit(SEED), "source", "doc_id", "mark", "size")
+    item = F.struct(h.alias("h"), F.col("size").cast("double").alias("size"), "p", "doc_id", "mark", "m", "base", "full")
     blocks = F.ceil(F.col("units") / BLOCK).cast("long")
     level = own.filter((F.col("p") > 0) & (F.col("p") < 1)).select("source", F.pmod(h, blocks).alias("block"), item.alias("item"))
     sure = own.filter((F.col("p") == 0) | (F.col("p") == 1)).select("source", item.alias("item"))
@@ -112,11 +108,14 @@ def mix(documents: DataFrame) -> DataFrame:
     out = last
     for part in settled:
         out = out.unionByName(part)
-    spread = out.select("source", "item.*").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("_k"))
-    copies = (F.col("base") + F.when(F.col("_k") <= F.col("full") + F.col("p").cast("long"), 1).otherwise(0)).cast("long")
-    sized = spread.select("doc_id", "source", F.col("size").cast("long").alias("size"), copies.alias("copies"))
-    of_source = of_source.drop("units")
-    return sized.join(of_source, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "size", "source_size", "target", "copies")
+    out = out.select("source", "item.*").join(of_source.drop("units"), F.col("source").eqNullSafe(F.col("_s")))
+    return out.select("source", "doc_id", "mark", F.col("size").cast("long").alias("size"), "m", "source_size", "target", "base", (F.col("full") + F.col("p").cast("long")).alias("extra"))
+
+
+def mix(documents: DataFrame) -> DataFrame:
+    """One row for each row of documents: doc_id, source, size, source_size, target, copies."""
+    spread = plan(documents).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    return spread.select("doc_id", "source", "size", "source_size", "target", (F.col("base") + (F.col("k") <= F.col("extra")).cast("long")).alias("copies"))
 
 
 def digest(documents: DataFrame) -> DataFrame:
@@ -124,13 +123,21 @@ def digest(documents: DataFrame) -> DataFrame:
 
 
 def apply(documents: DataFrame) -> DataFrame:
-    """documents as the mix takes them: a row for each copy, all columns. Rows that are equal in (source, doc_id, size) are
-    told apart by a number within their group, so each gets its own count."""
-    order = Window.partitionBy("source", "doc_id", "_size")
-    left = documents.withColumn("_size", word_count(F.col("text")))
-    left = left.withColumn("_n", F.row_number().over(order.orderBy(F.xxhash64("text"))))
-    right = mix(documents).filter(F.col("copies") > 0).select("source", "doc_id", F.col("size").alias("_size"), "copies")
-    right = right.withColumn("_n", F.row_number().over(order.orderBy(F.col("copies").desc())))
-    r = right.select(*[F.col(c).alias(f"_r{c}") for c in right.columns])
-    on = [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in ("source", "doc_id", "_size", "_n")]
-    return left.join(r, on).withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rcopies")))).select(*documents.columns)
+    """documents as the mix takes them: a row for each copy, all columns. Rows equal in source, doc_id and text are numbered
+    within the partitions of a saved table, so that however many there are no task holds all."""
+    units = save(plan(documents).select(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("mark").alias("k"), "m", "base", "extra"), "plan")
+    own = documents.select(boxed(documents).alias("_row"), "source", "doc_id", F.xxhash64("text").alias("mark"))
+    on = F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("k"))
+    # rows that are taken nowhere need no partner
+    held = own.join(units.filter("base + extra > 0"), on).select("_row", "s", "d", "k", "m", "base", "extra")
+    out = held.filter("m = 1").select("_row", (F.col("base") + F.col("extra")).alias("copies"))
+    if units.filter("m > 1").limit(1).count():
+        many = save(held.filter("m > 1").withColumn("part", F.spark_partition_id()), "repeated")
+        key = ["s", "d", "k"]
+        tally = many.groupBy(*key, "part").agg(F.count("*").alias("n"))
+        before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+        tally = tally.select(F.struct(*key, "part").alias("g"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+        number = F.row_number().over(Window.partitionBy("part", *key).orderBy(F.xxhash64("_row")))
+        ranked = many.withColumn("number", number).withColumn("h", F.struct(*key, "part")).join(tally, F.col("h").eqNullSafe(F.col("g")))
+        out = out.unionByName(ranked.select("_row", (F.col("base") + (F.col("number") + F.col("ahead") <= F.col("extra")).cast("long")).alias("copies")))
+    return out.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*unboxed(documents.columns))

@@ -1,11 +1,13 @@
 """Quality rules with risk-controlled thresholds, in DataFrame expressions only.
 
 rules() measures each document; fit() looks at the labelled documents of each stratum (the language) that pass the base
-rules and chooses, for each rule, a cutoff. Rejecting values above a cutoff is allowed only if the exact binomial tail
-P[Bin(n, a) <= k] is at most DELTA / (rules * cutoffs * strata): n labelled good documents, k of them above the cutoff, a =
-RISK / rules. So with probability 1 - DELTA no stratum loses more than RISK of its good documents, over all tests at once
-(Bonferroni). Among the allowed cutoffs the one with most labelled bad rejected, less PRICE for each good one, is taken; a
-rule that gains nothing or has too few labels stays off in that stratum.
+rules. A hash of the id puts half of them aside. On the first half each rule gets the cutoff above which it rejects most bad
+documents, less PRICE for each good one, and rules are ranked by that gain. The second half tests the rule sets of the first
+rule, the first two and so on, in this order: a set is allowed if the exact binomial tail P[Bin(n, RISK) <= k] is at most DELTA
+/ strata, n being the good documents put aside and k those of them that the set rejects; the first set that fails ends it. As
+each test is only made where all before it have passed, this fixed sequence needs no further correction (Bonferroni is over
+strata alone): with probability 1 - DELTA no stratum loses more than RISK of its good documents to the sets allowed, over all
+tests at once. RISK bounds the set as a whole, so 60 to 90 good documents put aside can allow one.
 
 Defined results: null text has no words and fails the base rules; a document with several labels counts once, as good only
 if all are 1; null labels count as none; null language is a stratum; repeated rows keep a row each; no labels at all leave
@@ -16,10 +18,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import SPACE, WORD, save
+from folio.llm.common import SPACE, WORD, let, save
 
 RISK, DELTA, PRICE = 0.05, 0.05, 9.0
 #: rule: (expression over the measures, cutoffs). A document is rejected above the cutoff.
@@ -33,10 +35,6 @@ RULES = {
 MAX_TERMS = 20_000
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
 def _repeats(words: Column, n: Column) -> Column:
     """Words inside 5-word windows that occur twice or more. Hashes tell which texts have any; exact windows count them."""
 
@@ -50,13 +48,13 @@ def _repeats(words: Column, n: Column) -> Column:
             step = lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(5), i - a["last"])).cast("long").alias("n"))
             return F.aggregate(at, start, step, lambda a: a["n"])
 
-        return _let(runs, cover)
+        return let(runs, cover)
 
     def screen(h: Column) -> Column:
         five = F.transform(F.slice(h, F.lit(1), n - 4), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2), F.get(h, i + 3), F.get(h, i + 4)))
-        return _let(five, lambda g: F.size(F.array_distinct(g)) < F.size(g))
+        return let(five, lambda g: F.size(F.array_distinct(g)) < F.size(g))
 
-    some = _let(F.transform(words, lambda x: F.xxhash64(x)), screen)
+    some = let(F.transform(words, lambda x: F.xxhash64(x)), screen)
     return F.when(n < 6, F.lit(0).cast("long")).when(some, exact(words)).otherwise(F.lit(0).cast("long"))
 
 
@@ -71,12 +69,12 @@ def rules(documents: DataFrame, *keep: str) -> DataFrame:
             n.cast("long").alias("n_words"),
             F.length(F.regexp_replace(text, SPACE + "+", "")).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-            _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("l"),
+            let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("l"),
             _repeats(w, n).alias("n_repeat_words"),
         )
 
     words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
-    out = documents.select("doc_id", *keep, _let(words, measure).alias("m"))
+    out = documents.select("doc_id", *keep, let(words, measure).alias("m"))
     out = out.select("doc_id", *keep, "m.n_words", "m.word_chars", "m.n_symbols", F.col("m.l.n").alias("n_lines"), F.col("m.l.dup").alias("n_dup_lines"), "m.n_repeat_words")
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
@@ -96,7 +94,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     log_top = _log_gamma(n + 1) - _log_gamma(k + 1) - _log_gamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
     ratio = lambda i: i * (1 - p) / ((n - i + 1) * p)  # noqa: E731  of term i - 1 to term i
     start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"), k.alias("i"))
-    step = lambda a, _: _let(a["t"] * ratio(a["i"]), lambda t: F.struct(t.alias("t"), (a["s"] + t).alias("s"), (a["i"] - 1).alias("i")))
+    step = lambda a, _: let(a["t"] * ratio(a["i"]), lambda t: F.struct(t.alias("t"), (a["s"] + t).alias("s"), (a["i"] - 1).alias("i")))
     rest = lambda a: a["s"] + F.when(a["i"] > 0, a["t"] / (1 - ratio(a["i"]))).otherwise(0.0)
     terms = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(k, F.lit(float(MAX_TERMS))).cast("int")))
     total = F.when(k < 1, 1.0).otherwise(F.aggregate(terms, start, step, rest))
@@ -108,27 +106,42 @@ def _values() -> Column:
     return F.array(*[F.struct(F.lit(r).alias("rule"), F.expr(f"cast({e} as double)").alias("value")) for r, (e, _) in RULES.items()])
 
 
-def fit(measured: DataFrame, labels: DataFrame) -> DataFrame:
-    """stratum, rule, cutoff, with the counts and the tail it rests on. Each labelled document turns into counts of cutoffs
-    passed before the exchange; nothing but these sums is shuffled."""
+def _chosen(held: DataFrame) -> DataFrame:
+    """stratum, chosen: array of (rank, rule, cutoff) from the documents to choose by. Each turns into counts of cutoffs passed
+    before the exchange; nothing but these sums is shuffled."""
     grid = F.map_from_arrays(F.array(*[F.lit(r) for r in RULES]), F.array(*[F.array(*[F.lit(float(c)) for c in cs]) for _, cs in RULES.values()]))
-    marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("good"))
-    once = measured.filter(~F.col("base_failed")).dropDuplicates(["doc_id"])
-    held = once.join(marks, "doc_id").select("stratum", (F.col("good") == 1).alias("good"), F.explode(_values()).alias("v"))
-    held = held.select("stratum", "good", "v.rule", F.size(F.filter(F.element_at(grid, F.col("v.rule")), lambda c: F.col("v.value") > c)).alias("above"))
-    held = held.groupBy("stratum", "rule", "above").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
+    each = held.select("stratum", "good", F.explode("values").alias("v"))
+    each = each.select("stratum", "good", "v.rule", F.size(F.filter(F.element_at(grid, F.col("v.rule")), lambda c: F.col("v.value") > c)).alias("above"))
+    each = each.groupBy("stratum", "rule", "above").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
     # `above` cutoffs are exceeded: the document counts for each of the first `above`, the cutoffs being in ascending order
-    per = held.groupBy("stratum", "rule").agg(F.sum("g").alias("n"), F.collect_list(F.struct("above", "g", "b")).alias("at"))  # a row for each cutoff at most
-    tests = per.select("stratum", "rule", "n", "at", F.posexplode(F.element_at(grid, F.col("rule"))).alias("i", "cutoff"))
+    per = each.groupBy("stratum", "rule").agg(F.collect_list(F.struct("above", "g", "b")).alias("at"))  # a row for each cutoff at most
+    tried = per.select("stratum", "rule", "at", F.posexplode(F.element_at(grid, F.col("rule"))).alias("i", "cutoff"))
     summed = lambda f: F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + F.when(x["above"] > F.col("i"), x[f]).otherwise(0))
-    tests = tests.select("stratum", "rule", "cutoff", "n", summed("g").alias("k"), summed("b").alias("bad"))
-    n_tests = sum(len(cs) for _, cs in RULES.values())
-    strata = F.broadcast(per.agg(F.count_distinct(F.coalesce("stratum", F.lit("\0"))).alias("strata")))  # one row
-    tests = tests.join(strata).withColumn("tail", binomial_tail(F.col("k"), F.col("n"), RISK / len(RULES)))
-    gain = F.col("bad") - PRICE * F.col("k")
-    fine = tests.filter((F.col("tail") <= DELTA / (F.col("strata") * n_tests)) & (gain > 0))
-    best = F.struct(gain.alias("gain"), F.col("cutoff").alias("cutoff"), "n", "k", "bad", "tail")
-    return fine.groupBy("stratum", "rule").agg(F.max(best).alias("b")).select("stratum", "rule", "b.*")
+    gain = (summed("b") - PRICE * summed("g")).alias("gain")
+    best = tried.select("stratum", "rule", "cutoff", gain).filter("gain > 0").groupBy("stratum", "rule").agg(F.max(F.struct("gain", "cutoff")).alias("b"))
+    order = Window.partitionBy("stratum").orderBy(F.desc("b.gain"), "rule")  # a row for each rule
+    ranked = best.select("stratum", F.row_number().over(order).alias("rank"), "rule", "b.cutoff")
+    return ranked.groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct("rank", "rule", "cutoff"))).alias("chosen"))
+
+
+def fit(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """stratum, rank, rule, cutoff of the rules allowed, with the counts n and k and the tail of the set that each completes."""
+    marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("good"))
+    own = measured.filter(~F.col("base_failed")).select("doc_id", F.struct("stratum", _values().alias("values")).alias("m"))
+    held = own.join(marks, "doc_id").groupBy("doc_id").agg(F.min("m").alias("m"), (F.min("good") == 1).alias("good"))
+    held = save(held.select("m.*", "good", (F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(2)) == 0).alias("chooses")), "labelled")
+    chosen = save(_chosen(held.filter("chooses")).select(F.col("stratum").alias("s"), "chosen"), "chosen")
+    n_strata = chosen.count()
+    tests = held.filter("good and not chooses").join(chosen, F.col("stratum").eqNullSafe(F.col("s")))
+    exceeds = lambda c: F.exists("values", lambda v: (v["rule"] == c["rule"]) & (v["value"] > c["cutoff"]))
+    first = F.array_min(F.transform(F.filter("chosen", exceeds), lambda c: c["rank"]))
+    counts = tests.groupBy("s", first.alias("first")).agg(F.count("*").alias("c"))
+    per = counts.groupBy(F.col("s").alias("of")).agg(F.sum("c").alias("n"), F.collect_list(F.struct("first", "c")).alias("at"))  # a row for each rule at most
+    sets = chosen.join(per, F.col("s").eqNullSafe(F.col("of"))).select(F.col("s").alias("stratum"), "n", "at", F.explode("chosen").alias("c"))
+    k = F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + F.when(x["first"] <= F.col("c.rank"), x["c"]).otherwise(0))
+    sets = sets.select("stratum", "c.*", "n", k.alias("k")).withColumn("tail", binomial_tail(F.col("k"), F.col("n"), RISK))
+    failed = F.max(F.when(F.col("tail") > DELTA / max(1, n_strata), 1).otherwise(0)).over(Window.partitionBy("stratum").orderBy("rank"))
+    return sets.withColumn("failed", failed).filter("failed = 0").drop("failed")
 
 
 def verdicts(documents: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:

@@ -209,5 +209,49 @@ def test_risk_control(spark):
     labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
     kept = {r.doc_id: r.kept for r in quality.digest(corpora.frame(spark, rows), labels).collect()}
     assert all(kept[i] == (i % 4 != 0) for i in kept)
+    few = spark.createDataFrame(marks[:400], "doc_id long, quality int, toxic int")  # some 150 good ones are put aside
+    kept = {r.doc_id: r.kept for r in quality.digest(corpora.frame(spark, rows[:400]), few).collect()}
+    assert all(kept[i] == (i % 4 != 0) for i in kept)
+    fewer = spark.createDataFrame(marks[:100], "doc_id long, quality int, toxic int")  # fewer than 59
+    assert all(r.kept for r in quality.digest(corpora.frame(spark, rows[:100]), fewer).collect())
     mixed = labels.withColumn("quality", (F.xxhash64("doc_id") % 2 == 0).cast("int"))
     assert all(r.kept for r in quality.digest(corpora.frame(spark, rows), mixed).collect())
+
+
+def test_risk_is_held_over_many_strata(spark):
+    """Rules that reject more than RISK of the good documents are allowed in few of many strata, by chance alone."""
+    import random
+
+    r = random.Random(4)
+    rows, marks = [], []
+    for i in range(12_000):
+        bad = r.random() < 0.5
+        noisy = bad or r.random() < 0.08  # 8 % of the good ones look bad, more than RISK
+        rows.append((i, " ".join(("w%d*%%$" if noisy else "w%d") % (i * 50 + j) for j in range(12)), f"l{i % 20}", "s", 0))
+        marks.append((i, int(not bad), 0))
+    docs, labels = corpora.frame(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    measured = quality.rules(docs.withColumn("stratum", F.col("lang")), "stratum")
+    assert quality.fit(measured, labels).count() <= 1
+
+
+def test_repeated_ids_give_one_cutoff(spark):
+    rows = [(i % 300, ("w%d " % i) * 1 + " ".join(f"x{i * 40 + j}" + "*$" * (i % 3) for j in range(12)), "en", "s", 0) for i in range(900)]
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    docs = corpora.frame(spark, rows)
+    got = [Counter(quality.digest(d, labels).collect()) for d in (docs, docs.repartition(7), docs.orderBy(F.desc("text")))]
+    assert got[0] == got[1] == got[2]
+
+
+def test_mixing_clashing_columns_and_repeats(spark):
+    rows = [(k % 5, "one two three four" if k % 2 else f"w{k} " * 6, None, "s1" if k < 600 else "s2", k) for k in range(900)] + [(None, None, None, None, 0)] * 3
+    names = ["_n", "_size", "_c", "_rsource", "size", "m", "base", "extra", "s", "d", "k", "_row", "part", "copies", "copy", "mark"]
+    docs = corpora.frame(spark, rows)
+    wide = docs.select("*", *[F.lit(c).alias(c) for c in names])
+    out = mixing.apply(wide)
+    assert out.columns == wide.columns and all(r["_n"] == "_n" and r["copies"] == "copies" for r in out.collect())
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r["size"], r.source] += r.copies
+    assert Counter((r.doc_id, len(corpora.words(r.text)), r.source) for r in out.collect()) == +want
+    most = Counter((r.doc_id, r.text, r.source, r.n_chars) for r in out.collect())
+    assert max(most.values()) <= 2
