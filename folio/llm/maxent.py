@@ -13,8 +13,12 @@ step; each weight's change is averaged over the tasks that touched it, by how of
 rounds grow with the training tokens (see Plan); the driver holds one model (8 MB up to 32 million tokens, 128 MB at 30 GB). score() is one scan in sparse numpy batches:
 the most frequent tokens, TOP at most, are looked up in the task; the others, each rare, meet their counts in a join.
 
+Tokens are told apart by 64-bit hashes with a random factor for each place, which by chance alone mistake one of V distinct
+tokens for another with odds of V * V / 2 ** 65. Weights depend on how rows are dealt to tasks: reruns over the same files and
+settings agree.
+
 Defined results: null text is the end alone; a null doc_id is neither learned from nor held out; repeats are scored alike; no
-training rows leave all counts 0; an empty table gives no row.
+training rows leave all counts 0; an empty table gives no row; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -91,23 +95,40 @@ def contexts(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
         return [mix64(before[0]), mix64(before[1] + np.uint64(7)), mix64(before[0] * np.uint64(3) + mix64(before[1]))]
 
 
-def log_softmax(w: np.ndarray, f: np.ndarray) -> np.ndarray:
-    x = sum((w[f[:, k]] for k in range(f.shape[1])), w[-1])
+def _logits(w: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Sums of the weights' rows of each token and the bias, less the largest."""
+    x = w.take(f[:, 0], 0)
+    x += w[-1]
+    row = np.empty_like(x)
+    for k in range(1, f.shape[1]):
+        x += w.take(f[:, k], 0, row, "clip")
     x -= x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    return x
+
+
+def log_softmax(w: np.ndarray, f: np.ndarray) -> np.ndarray:
+    x = _logits(w, f)
+    x -= np.log(np.exp(x).sum(1, keepdims=True))
+    return x
 
 
 def learn(w: np.ndarray, f: np.ndarray, cls: np.ndarray) -> None:
     """One gradient step on w; a row's step is divided by the root of its tokens."""
-    g = -np.exp(log_softmax(w, f))
+    g = _logits(w, f)
+    np.exp(g, g)
+    g /= -g.sum(1, keepdims=True)
     g[np.arange(len(cls)), cls] += 1
     w[-1] += STEP * g.mean(0)
+    small = len(w) <= 1 << 16  # keys of 16 bits are sorted by counting
     for k in range(f.shape[1]):
-        order = np.argsort(f[:, k], kind="stable")
-        key = f[order, k]
+        own = f[:, k].astype(np.uint16) if small else f[:, k]
+        order = np.argsort(own, kind="stable")
+        key = own[order]
         at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         n = np.diff(np.r_[at, len(key)])
-        w[key[at]] += STEP * np.add.reduceat(g[order], at) / np.sqrt(n)[:, None]
+        change = np.add.reduceat(g.take(order, 0), at)
+        change *= (STEP / np.sqrt(n)).astype(np.float32)[:, None]
+        w[key[at]] += change
 
 
 def _own(documents: DataFrame) -> DataFrame:
@@ -131,6 +152,7 @@ def _merge(parts: DataFrame, tasks: int) -> DataFrame:
     """Sums changes of one shard, FAN_IN at a time."""
 
     def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("task")  # sums of floats depend on their order
         total = sum(np.frombuffer(x.as_buffer(), np.float32) for x in table.column("change"))
         return pa.table({"shard": [table.column("shard")[0].as_py()], "task": [table.column("task")[0].as_py() // FAN_IN], "n": [sum(table.column("n").to_pylist())], "change": [total.tobytes()]}, schema=pa.schema([("shard", pa.int32()), ("task", pa.int32()), ("n", pa.int64()), ("change", pa.binary())]))
 
