@@ -84,7 +84,10 @@ class Units:
             row = np.searchsorted(texts.off, starts, "right") - 1
             led = starts > texts.off[row]
             space = led & (texts.data[starts - 1] == 0x20) if len(starts) else led
-            bounds = np.unique(np.concatenate([texts.off, ends, starts[led] - 1, starts[~space]]))
+            cut = np.zeros(len(texts.data) + 1, bool)
+            for own in (texts.off, ends, starts[led] - 1, starts[~space]):
+                cut[own] = True
+            bounds = np.flatnonzero(cut)
             starts, ends, first = bounds[:-1], bounds[1:], np.searchsorted(bounds, texts.off)
             odd.append(_wide_space(texts.data))
         if len(odd := np.concatenate([*odd, np.zeros(0, np.int64)]).astype(np.int64)):
@@ -138,16 +141,12 @@ class Units:
 
     def _unlike(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slot: np.ndarray) -> np.ndarray:
         """Units whose bytes are not those remembered under their hash."""
-        size, held = ends - starts, self.raw_begin[slot + 1] - self.raw_begin[slot]
-        wrong = size != held
-        size = np.where(wrong, 0, size)
-        to = np.cumsum(size)
-        at = np.arange(int(to[-1]) if len(to) else 0)
-        begin = to - size
-        differ = data[at + np.repeat(starts - begin, size)] != self.raw[at + np.repeat(self.raw_begin[slot] - begin, size)]
-        if differ.any():
-            wrong[np.searchsorted(to, np.flatnonzero(differ), "right")] = True
-        return np.flatnonzero(wrong)
+        wrong = ends - starts != self.raw_begin[slot + 1] - self.raw_begin[slot]
+        at = np.arange(len(data), dtype=np.int32)
+        at += np.repeat(np.r_[0, self.raw_begin[slot] - starts].astype(np.int32), np.diff(np.r_[0, starts, len(data)]))
+        differ = np.zeros(len(data) + 1, np.int32)  # what lies between units counts for none
+        np.cumsum(data != self.raw.take(at, mode="clip"), out=differ[1:])
+        return np.flatnonzero(wrong | (differ[ends] != differ[starts]))
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows laid end to end, and where each row's begin (n + 1 entries)."""
