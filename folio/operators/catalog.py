@@ -33,6 +33,15 @@ def by_ids(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
+def by_ids_ordered(df: DataFrame, ids: list, key: str = "id", most: int = 100) -> DataFrame:
+    """Rows of a request's ids, `most` at most, in the request's order; unknown ids give no row, repeated ones one."""
+    wanted = list(dict.fromkeys(ids))[:most]
+    if not wanted:
+        return df.limit(0)
+    place = F.array_position(F.array(*map(F.lit, wanted)), F.col(key).cast(df.schema[key].dataType))
+    return df.filter(F.col(key).isin(wanted)).orderBy(place)
+
+
 def json_field(name: str, column: str = "metadata") -> Column:
     return F.get_json_object(column, f"$.{name}")
 
@@ -56,8 +65,12 @@ def guide_filter(df: DataFrame, platform: str | None = None, tags: list[str] | N
     if platform:
         df = df.filter(json_field("platform") == platform)
     if tags:
-        table = tag_table if tag_table is not None else guide_tags(df)
         wanted = sorted(set(tags))
+        if tag_table is None:  # a predicate on the row's own array: no shuffle
+            own = F.coalesce(F.from_json(json_field("tags"), "array<string>"), F.array().cast("array<string>"))
+            asked = F.array(*map(F.lit, wanted))
+            return df.filter(F.size(F.array_intersect(own, asked)) == len(wanted) if match == "all" else F.arrays_overlap(own, asked))
+        table = tag_table
         held = table.filter(F.col("tag").isin(wanted))
         if match == "all":
             held = held.groupBy("guide_id").agg(F.count_distinct("tag").alias("n")).filter(F.col("n") == len(wanted))

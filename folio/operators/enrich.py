@@ -34,7 +34,8 @@ def from_answer(answer: Column) -> Column:
 
 
 def run_batch(guides: DataFrame, analyze: Callable[[str], str]) -> DataFrame:
-    """(id, result, error): two calls a row, one row's failure does not touch another."""
+    """(id, result, error): two calls a row, one row's failure does not touch another. The result is lazy: write it before it is
+    counted or read twice, or the model is called again."""
     asked = guides.select("id", prompt(METADATA_PROMPT, F.col("title"), F.col("content")).alias("a"), prompt(SUMMARY_PROMPT, F.col("title"), F.col("content")).alias("b"))
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,16 +65,26 @@ def merge(existing: Column, result: Column) -> Column:
     )
 
 
+def _fields(metadata: Column) -> Column:
+    """Metadata as map<string, variant>: every key it has, known here or not; an empty map where it is absent or no object."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(metadata), "$", "map<string,variant>"), F.expr("cast(map() as map<string,variant>)"))
+
+
+def _merged(metadata: Column, new: dict[str, Column]) -> Column:
+    """metadata with the keys of `new` set, or taken out where the value is null; all other keys stay as they are."""
+    keys = F.array(*map(F.lit, new))
+    values = F.map_from_arrays(keys, F.array(*[F.try_parse_json(F.to_json(F.struct(v.alias("v")))) for v in new.values()]))
+    held = F.transform_values(values, lambda k, v: F.try_variant_get(v, "$.v", "variant"))
+    kept = F.map_filter(_fields(metadata), lambda k, v: ~F.array_contains(keys, k))
+    return F.to_json(F.map_concat(kept, F.map_filter(held, lambda k, v: v.isNotNull())))
+
+
 def saved(existing: Column, merged: Column, now: int, error: Column | None = None) -> Column:
-    """Metadata JSON after analysis: keys of the analysis win, a missing gameName or tags erases the old one."""
+    """Metadata JSON after analysis: keys of the analysis win, a missing gameName or tags erases the old one, and a missing
+    platform, author or summary leaves it. Other keys stay."""
     old = F.from_json(existing, GUIDE_META)
-    return F.to_json(
-        F.struct(
-            F.coalesce(merged["platform"], old["platform"]).alias("platform"), old["genre"].alias("genre"), F.coalesce(merged["author"], old["author"]).alias("author"),
-            old["version"].alias("version"), merged["tags"].alias("tags"), F.coalesce(merged["summary"], old["summary"]).alias("summary"), merged["gameName"].alias("gameName"),
-            F.lit(now).cast("long").alias("aiAnalyzedAt"), (error if error is not None else F.lit(None).cast("string")).alias("aiAnalysisError"),
-        )
-    )
+    new = {k: F.coalesce(merged[k], old[k]) for k in ("platform", "author", "summary")} | {k: merged[k] for k in ("tags", "gameName")}
+    return _merged(existing, new | {"aiAnalyzedAt": F.lit(now).cast("long"), "aiAnalysisError": error if error is not None else F.lit(None).cast("string")})
 
 
 def analyse_all(guides: DataFrame, analyze: Callable[[str], str], now: int) -> DataFrame:
@@ -82,16 +93,15 @@ def analyse_all(guides: DataFrame, analyze: Callable[[str], str], now: int) -> D
     done = run_batch(todo, analyze)
     rows = todo.join(done, "id")
     ok = saved(F.col("metadata"), merge(F.col("metadata"), F.col("result")), now)
-    old = F.from_json("metadata", GUIDE_META)
-    bad = F.to_json(F.struct(*[old[k].alias(k) for k in ("platform", "genre", "author", "version", "tags", "summary", "gameName")], F.lit(now).cast("long").alias("aiAnalyzedAt"), F.col("error").alias("aiAnalysisError")))
+    bad = _merged(F.col("metadata"), {"aiAnalyzedAt": F.lit(now).cast("long"), "aiAnalysisError": F.col("error")})
     return rows.select("id", F.when(F.col("error").isNull(), ok).otherwise(bad).alias("metadata"), F.lit(now).cast("long").alias("ai_analyzed_at"), "error")
 
 
 def select_save(guides: DataFrame, fields: dict, now: int) -> DataFrame:
-    """Metadata of each guide with the allowed fields replaced; a gameName also becomes the title."""
-    old = F.from_json("metadata", GUIDE_META)
-    value = lambda k: F.lit(fields[k]) if k in fields and k != "tags" else F.array(*map(F.lit, fields[k])) if k in fields else old[k]
-    meta = F.to_json(F.struct(*[value(k).alias(k) for k in ("platform", "author", "tags", "summary", "gameName")], old["genre"].alias("genre"), old["version"].alias("version"), F.lit(now).cast("long").alias("aiAnalyzedAt")))
+    """Metadata of each guide with the allowed fields replaced and all other keys kept; a gameName also becomes the title."""
+    value = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list | tuple) else F.lit(v)
+    new = {k: value(v) for k, v in fields.items() if k in ("platform", "author", "tags", "summary", "gameName")}
+    meta = _merged(F.col("metadata"), new | {"aiAnalyzedAt": F.lit(now).cast("long")})
     out = guides.withColumn("metadata", meta)
     return out.withColumn("title", F.lit(fields["gameName"])) if fields.get("gameName") else out.withColumn("ai_analyzed_at", F.lit(now).cast("long"))
 

@@ -20,7 +20,15 @@ UPDATABLE = {
     "notes": ("position", "content"),
     "bookmarks": ("position", "name", "page_reference", "is_last_read"),
 }
-CHECKS: dict[str, dict[str, Column]] = {}
+# Columns that may not be null.
+NOT_NULL = {
+    "guides": ("id", "title", "content", "format", "file_path", "created_at", "updated_at"),
+    "games": ("id", "title", "status", "created_at", "updated_at"),
+    "bookmarks": ("id", "guide_id", "position", "is_last_read", "created_at"),
+    "notes": ("id", "guide_id", "content", "created_at", "updated_at"),
+    "achievements": ("id", "ra_achievement_id", "game_id", "title", "description", "is_pinned", "is_unlocked", "created_at", "updated_at"),
+    "guide_tags": ("guide_id", "tag"),
+}
 UNIQUE = {"guides": [("id",)], "games": [("id",), ("ra_game_id",)], "notes": [("id",)], "bookmarks": [("id",)], "achievements": [("id",), ("ra_achievement_id", "game_id")], "guide_tags": [("guide_id", "tag")]}
 PARENTS = {"guides": ("game_id", "games"), "bookmarks": ("guide_id", "guides"), "notes": ("guide_id", "guides"), "achievements": ("game_id", "games"), "guide_tags": ("guide_id", "guides")}
 
@@ -32,8 +40,8 @@ class ConstraintError(ValueError):
 def checks(table: str) -> dict[str, Column]:
     valid_json = F.col("metadata").isNull() | F.try_parse_json("metadata").isNotNull()
     return {
-        "guides": {"format": F.col("format").isin(*FORMATS), "metadata": valid_json, "title": F.col("title").isNotNull(), "content": F.col("content").isNotNull()},
-        "games": {"status": F.col("status").isin(*STATUSES), "completion": F.col("completion_percentage").between(0, 100), "metadata": valid_json, "title": F.col("title").isNotNull()},
+        "guides": {"format": F.col("format").isin(*FORMATS), "metadata": valid_json},
+        "games": {"status": F.col("status").isin(*STATUSES), "completion": F.col("completion_percentage").between(0, 100), "metadata": valid_json},
         "bookmarks": {"position": F.col("position") >= 0},
         "notes": {"content": T.js_trim(F.col("content")) != "", "position": F.col("position").isNull() | (F.col("position") >= 0)},
     }.get(table, {})
@@ -41,7 +49,8 @@ def checks(table: str) -> dict[str, Column]:
 
 def split_valid(rows: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected with the names of the broken checks)."""
-    broken = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in checks(table).items()]))
+    absent = {f"not null {c}": F.col(c).isNotNull() for c in NOT_NULL.get(table, ()) if c in rows.columns}
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in (checks(table) | absent).items()]))
     marked = rows.withColumn("_broken", broken)
     return marked.filter(F.size("_broken") == 0).drop("_broken"), marked.filter(F.size("_broken") > 0)
 
@@ -57,7 +66,8 @@ def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
 
 
 def validate(rows: DataFrame, table: str, parents: DataFrame | None = None) -> None:
-    found = [f"check {r._broken}" for r in split_valid(rows, table)[1].select("_broken").limit(1).collect()]
+    """Raises with all that is broken: one pass for the checks, one for each unique key and the foreign key."""
+    found = [f"check {r.b}" for r in split_valid(rows, table)[1].select(F.explode("_broken").alias("b")).distinct().orderBy("b").collect()]  # a row for each check
     found += [f"unique {k}" for k in UNIQUE.get(table, []) if duplicates(rows, k).limit(1).count()]
     if parents is not None and orphans(rows, parents, PARENTS[table][0]).limit(1).count():
         found.append(f"foreign key {PARENTS[table][0]}")
@@ -85,18 +95,21 @@ def insert(table: DataFrame, name: str, rows: DataFrame, now: int, parents: Data
     return after
 
 
-def update(table: DataFrame, name: str, changes: DataFrame, now: int) -> DataFrame:
-    """changes: id and some updatable columns; unknown columns are ignored, and updated_at is always now. One left join."""
+def update(table: DataFrame, name: str, changes: DataFrame, now: int, parents: DataFrame | None = None) -> DataFrame:
+    """changes: id and some updatable columns; unknown columns are ignored, and updated_at is always now. One left join. A
+    foreign key among them is checked against parents."""
     named = [c for c in changes.columns if c in UPDATABLE[name]]
     if not named:
         return table
+    if PARENTS.get(name, ("",))[0] in named and parents is None:
+        raise ConstraintError(f"{name}: foreign key {PARENTS[name][0]} needs its parents")
     new = changes.select(F.col("id").alias("_id"), F.struct(*named).alias("_new"))
     hit = F.col("_id").isNotNull()
     rows = table.join(new, table["id"] == F.col("_id"), "left")
     times = {"updated_at": F.lit(now).cast("long")} if "updated_at" in table.columns else {}
     value = {c: F.col(f"_new.{c}").cast(table.schema[c].dataType) for c in named} | times
     after = rows.select(*[F.when(hit, value[c]).otherwise(F.col(c)).alias(c) if c in value else F.col(c) for c in table.columns])
-    validate(after, name)
+    validate(after, name, parents if PARENTS.get(name, ("",))[0] in named else None)
     return after
 
 
