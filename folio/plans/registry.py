@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folio.functions import params
 from folio.functions import text as T
 from folio.operators import catalog, enrich, mutate, search
 from folio.plans.views import GAMES_SQL, GUIDES_SQL, games, guides, table
+from folio.sources import ingest
 from folio.streaming import limits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,9 +103,11 @@ def missing_metadata(spark, d):
     return catalog.missing(guides(spark, d), "metadata").select("id")
 
 
-@query(f"select id from {GUIDES_SQL} where false")
+@query(f"select id from {GUIDES_SQL} where id % 4 < 3 order by id limit 100")
 def missing_tags(spark, d):
-    return catalog.missing(guides(spark, d), "tags").select("id")
+    """Three kinds of missing tags: no metadata, no such key, an empty list."""
+    lacking = F.when(F.col("id") % 4 == 1, "{}").when(F.col("id") % 4 == 2, '{"tags":[]}').when(F.col("id") % 4 == 3, F.col("metadata"))
+    return catalog.missing(guides(spark, d).withColumn("metadata", lacking), "tags").select("id")
 
 
 @query(f"select id from {GUIDES_SQL} order by id limit 100")
@@ -142,9 +146,9 @@ def orders_by_ids(spark, d):
     return catalog.by_ids(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), ids, "o_orderkey")
 
 
-@query("select conv_id, turn, role from conversations where conv_id < 50")
+@query("select conv_id, turn, role from conversations")
 def turns_sorted(spark, d):
-    return table(spark, d, "conversations").filter("conv_id < 50").select("conv_id", "turn", "role").orderBy(F.asc_nulls_last("turn"), "conv_id")
+    return table(spark, d, "conversations").select("conv_id", "turn", "role").orderBy(F.asc_nulls_last("turn"), "conv_id")
 
 
 @query("select conv_id, turn, role from conversations")
@@ -199,7 +203,8 @@ def orders_all_flags(spark, d):
 
 @query("select doc_id, n_chars from documents where doc_id not in (select doc_id from labels)")
 def anti_bucket(spark, d):
-    return table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id", "left_anti")
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"))
+    return catalog.with_parent(table(spark, d, "documents").select("doc_id", "n_chars"), labels, "doc_id", found=False)
 
 
 @query("select l_orderkey, count(*)::bigint as n from lineitem where l_orderkey in (select o_orderkey from orders where o_orderpriority = '1-URGENT') group by l_orderkey")
@@ -330,7 +335,17 @@ def auto_tags_vocabulary(spark, d):
     return table(spark, d, "documents").select("doc_id", T.auto_tags(F.col("text"), F.lit("x/1.txt"), rules).alias("tags"))
 
 
-@query()
+_quoted = lambda k: "'" + k.replace("'", "''") + "'"
+_TAGS = ", ".join(
+    [f"case when contains(name, {_quoted(k)}) then {_quoted(t)} end" for k, t in T.FILENAME_TAGS]
+    + [f"case when regexp_matches(head, {_quoted(k)}){' or art' if t == 'ASCII Art' else ''} then {_quoted(t)} end" for k, t in T.CONTENT_TAGS]
+)
+_ART = r"len(list_filter(string_split(text, chr(10))[1:100], lambda x: length(x) > 10 and length(regexp_replace(x, '[\w\s]', '', 'g')) > 0.3 * length(x))) > 5"
+
+
+@query(f"""with d as (select doc_id, doc_id || '.txt' as name, lower(substr(text, 1, 8000)) as head, {_ART} as art from documents),
+l as (select doc_id, list_filter([{_TAGS}], lambda x: x is not null) as t from d)
+select doc_id, list_filter(t, lambda x, i: list_position(t, x) = i) as tags from l""")
 def auto_tags(spark, d):
     path = F.concat("source", F.lit("/"), "doc_id", F.lit(".txt"))
     return table(spark, d, "documents").select("doc_id", T.auto_tags(F.col("text"), path).alias("tags"))
@@ -366,15 +381,83 @@ select doc_id, round(score, 6) as score from sc order by sc.score, doc_id limit
 
 @query(_BM25)
 def search_bm25(spark, d):
+    return _searched(spark, d, "NES OR version", stemmed=False)
+
+
+_TOKENS = "select doc_id, {col!r} as col, unnest(l) as w, generate_subscripts(l, 1) as pos from (select id as doc_id, list_filter(regexp_split_to_array(strip_accents(lower({col})), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda w: w != '') as l from {table})"
+
+
+def _bm25_sql(table: str, columns: list[str], terms: list[str], match: str = "true", limit: int = 50) -> str:
+    """The ranking over a table with id; each term is a query on t (doc_id, col, w, pos) that gives (doc_id, tf)."""
+    words = " union all ".join(_TOKENS.format(col=c, table=table) for c in columns)
+    tf = " union all ".join(f"select doc_id, {k} as q, tf from ({term})" for k, term in enumerate(terms))
+    return f"""(with t as ({words}), len as (select d.id as doc_id, count(t.w) as len from {table} d left join t on t.doc_id = d.id group by 1),
+s as (select count(*) as n_docs, avg(len) as avg_len from len), tf as ({tf}), df as (select q, count(*) as n from tf group by 1),
+sc as (select tf.doc_id, -sum(case when ln((n_docs - n + 0.5) / (n + 0.5)) <= 0 then 1e-6 else ln((n_docs - n + 0.5) / (n + 0.5)) end * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) as score
+  from tf join df using (q) join len using (doc_id), s group by 1)
+select doc_id, score from sc where {match} order by score, doc_id limit {limit})"""
+
+
+def _word(*words: str, col: str | None = None) -> str:
+    held = ", ".join(f"'{w}'" for w in words)
+    return f"select doc_id, count(*) as tf from t where w in ({held}){f' and col = {col!r}' if col else ''} group by 1"
+
+
+_DOCS_SQL = "(select doc_id as id, text from documents)"
+# words of the invented texts whose stems are those of `licensing` and `version`
+_LICENCE, _VERSION = ("license", "licenses", "licensed", "licensing"), ("version", "versions", "versioned", "versioning")
+
+
+def _searched(spark, d, query: str, stemmed: bool = True) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    scored = search.score(*search.index(docs, ["text"], stemmed=False), "NES OR version", stemmed=False)
+    scored = search.score(*search.index(docs, ["text"], stemmed=stemmed, query=query), query, stemmed)
     return search.top(scored, 50).withColumn("score", F.round("score", 6))
 
 
-@query()
+_GUIDE_TEXTS = f"(select id, title, lang || ' ' || source as tags, content from {GUIDES_SQL})"
+
+
+@query(f"""with a as {_bm25_sql(_GUIDE_TEXTS, ["title", "tags"], [_word("document", "documents"), _word(*_VERSION)], limit=20)},
+b as {_bm25_sql(_GUIDE_TEXTS, ["content"], [_word("document", "documents"), _word(*_VERSION)], limit=20)},
+r as (select doc_id, score, 'guides' as bucket from a union all select doc_id, score, 'content' from b where doc_id not in (select doc_id from a))
+select id, title, format, file_path, game_id, metadata, created_at, updated_at, round(score, 6) as score, bucket from r join {GUIDES_SQL} on id = doc_id""")
 def search_two_buckets(spark, d):
-    g = guides(spark, d)
-    return search.search(g, search.index(search.meta_docs(g), ["title", "tags"]), search.index(search.content_docs(g), ["content"]), "document OR version", 20)
+    g, q = guides(spark, d), "document OR version"
+    found = search.search(g, search.index(search.meta_docs(g), ["title", "tags"], query=q), search.index(search.content_docs(g), ["content"], query=q), q, 20)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(f"select doc_id, round(score, 6) as score from {_bm25_sql(_DOCS_SQL, ['text'], [_word(*_LICENCE), _word(*_VERSION)])}")
+def search_stemmed(spark, d):
+    return _searched(spark, d, "licensing OR versions")
+
+
+_PHRASE = "select a.doc_id, count(*) as tf from t a join t b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.w = 'of' and b.w = 'the' group by 1"
+
+
+@query(f"select doc_id, round(score, 6) as score from {_bm25_sql(_DOCS_SQL, ['text'], [_PHRASE])}")
+def search_phrase(spark, d):
+    return _searched(spark, d, '"of the"', stemmed=False)
+
+
+@query(f"select doc_id, round(score, 6) as score from {_bm25_sql(_DOCS_SQL, ['text'], ['select doc_id, count(*) as tf from t where starts_with(w, chr(108) || chr(105) || chr(99)) group by 1', _word('nes')])}")
+def search_prefix(spark, d):
+    return _searched(spark, d, "lic* OR NES", stemmed=False)
+
+
+_BOTH = f"doc_id in (select doc_id from ({_word(*_LICENCE)})) and doc_id in (select doc_id from ({_word('the')})) and doc_id not in (select doc_id from ({_word(*_VERSION)}))"
+
+
+@query(f"select doc_id, round(score, 6) as score from {_bm25_sql(_DOCS_SQL, ['text'], [_word(*_LICENCE), _word('the')], _BOTH)}")
+def search_and_not(spark, d):
+    return _searched(spark, d, "licensed AND (the NOT version)")
+
+
+@query(f"select doc_id as id, round(score, 6) as score from {_bm25_sql(_GUIDE_TEXTS, ['title', 'tags'], [_word('fr', col='tags'), _word('7', col='title')])}")
+def search_column(spark, d):
+    q = "tags:fr OR title:7"
+    scored = search.score(*search.index(search.meta_docs(guides(spark, d)), ["title", "tags"], query=q), q)
+    return search.top(scored, 50).select(F.col("doc_id").alias("id"), F.round("score", 6).alias("score"))
 
 
 # changes ----------------------------------------------------------------------------------------------------------------
@@ -407,9 +490,218 @@ def unique_violations(spark, d):
     return mutate.duplicates(table(spark, d, "lineitem"), ("l_orderkey", "l_linenumber"))
 
 
-@query()
+def _answer(prompt: str) -> str:
+    """Stands for a model: it fails for every title that ends with 3 and gives no JSON for those that end with 5."""
+    last = prompt.split("Title: ", 1)[1].split("\n", 1)[0][-1]
+    if last == "3":
+        raise TimeoutError("no answer")
+    return '{"gameName": }' if last == "5" else 'Sure: {"gameName": "x", "tags": ["a", 1]}'
+
+
+@query("select count(*)::bigint as processed, count(*) filter (doc_id % 10 != 3 and doc_id % 10 != 5)::bigint as succeeded, count(*) filter (doc_id % 10 = 3 or doc_id % 10 = 5)::bigint as failed from documents")
 def enrich_batch(spark, d):
-    return enrich.counters(enrich.run_batch(guides(spark, d).select("id", "title", "content"), lambda p: '{"gameName": "x", "tags": ["a", 1]}'))
+    return enrich.counters(enrich.run_batch(guides(spark, d).select("id", "title", "content"), _answer))
+
+
+@query("""select doc_id as id, case when doc_id % 3 = 0 then null else 'Game ' || doc_id end as "gameName", case when doc_id % 2 = 0 then lang end as platform,
+  case when doc_id % 5 = 0 then null when doc_id % 5 = 1 then []::varchar[] else [lang, source] end as tags from documents""")
+def model_answers(spark, d):
+    """Answers with prose around the JSON, falsy values and tags that are no text."""
+    name = F.when(F.col("doc_id") % 3 == 0, F.lit('""')).otherwise(F.concat(F.lit('"Game '), "doc_id", F.lit('"')))
+    platform = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('"'), "lang", F.lit('"'))).otherwise(F.lit("null"))
+    tags = F.when(F.col("doc_id") % 5 == 0, F.lit('"none"')).when(F.col("doc_id") % 5 == 1, F.lit("[1, null]")).otherwise(F.concat(F.lit('["'), "lang", F.lit('", 7, "'), "source", F.lit('"]')))
+    answer = F.concat(F.lit('Here it is: {"gameName": '), name, F.lit(', "platform": '), platform, F.lit(', "tags": '), tags, F.lit("} as you asked."))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), enrich.from_answer(answer).alias("r")).select("id", "r.gameName", "r.platform", "r.tags")
+
+
+@query("""select doc_id as id, case when doc_id % 2 = 0 then 'NES' else lang end as platform, 'kept' as other, '3' as number, [source] as tags, null as summary, 'New' as "gameName", 99 as "aiAnalyzedAt" from documents""")
+def saved_metadata(spark, d):
+    """Analysis over metadata with keys that the analysis does not know."""
+    old = F.to_json(F.struct(F.col("lang").alias("platform"), F.lit("kept").alias("other"), F.lit(3).alias("number"), F.array(F.lit("old")).alias("tags"), F.lit("Old").alias("gameName")))
+    result = F.struct(F.lit("New").alias("gameName"), F.when(F.col("doc_id") % 2 == 0, "NES").alias("platform"), F.lit(None).cast("string").alias("author"), F.array("source").alias("tags"), F.lit(None).cast("string").alias("summary"))
+    meta = table(spark, d, "documents").select(F.col("doc_id").alias("id"), enrich.saved(old, enrich.merge(old, result), 99).alias("metadata"))
+    held = [catalog.json_field(k).alias(k) for k in ("platform", "other", "number", "summary", "gameName")]
+    return meta.select("id", *held, F.from_json(catalog.json_field("tags"), "array<string>").alias("tags"), catalog.json_field("aiAnalyzedAt").cast("int").alias("aiAnalyzedAt"))
+
+
+@query(f"""select id, case when lang = 'fr' then ['gameName', 'platform', 'tags'] else ['gameName', 'tags'] end as changes from {GUIDES_SQL}""")
+def metadata_diff(spark, d):
+    result = F.struct(F.lit("New").alias("gameName"), F.when(catalog.json_field("platform") == "fr", "NES").otherwise(catalog.json_field("platform")).alias("platform"), F.lit(None).cast("string").alias("author"), F.array(F.lit("t")).alias("tags"), F.lit(None).cast("string").alias("summary"))
+    return guides(spark, d).select("id", enrich.diff(F.col("metadata"), result).alias("changes"))
+
+
+@query(f"""select id, 'Chosen' as title, lang as platform, 'Chosen' as "gameName", ['x', 'y'] as tags from {GUIDES_SQL}""")
+def selected_save(spark, d):
+    out = enrich.select_save(guides(spark, d), {"gameName": "Chosen", "tags": ["x", "y"], "ignored": 1}, 5)
+    return out.select("id", "title", catalog.json_field("platform").alias("platform"), catalog.json_field("gameName").alias("gameName"), F.from_json(catalog.json_field("tags"), "array<string>").alias("tags"))
+
+
+@query("select p_partkey as id, p_name as title, 'not_started' as status, 0.0::double as completion_percentage, 7::bigint as created_at from part union all select p_partkey + 1000000, p_brand, 'completed', 100.0::double, 9::bigint from part where p_size > 45")
+def inserted_games(spark, d):
+    """New rows after the old ones; status, percentage and times are filled in where absent."""
+    p = table(spark, d, "part")
+    shape = lambda key, title: p.select(key.cast("string").alias("id"), title.alias("title"))
+    base = shape(F.col("p_partkey"), F.col("p_name")).select("id", "title", *[F.lit(None).cast("string").alias(c) for c in ("ra_game_id", "platform")], F.lit(0.0).alias("completion_percentage"), F.lit("not_started").alias("status"), *[F.lit(None).cast("string").alias(c) for c in ("artwork_url", "metadata")], F.lit(7).cast("long").alias("created_at"), F.lit(7).cast("long").alias("updated_at"))
+    new = p.filter("p_size > 45").select((F.col("p_partkey") + 1_000_000).cast("string").alias("id"), F.col("p_brand").alias("title"), F.lit("completed").alias("status"), F.lit(100.0).alias("completion_percentage"))
+    return mutate.insert(base, "games", new, 9).select(F.col("id").cast("long").alias("id"), "title", "status", "completion_percentage", "created_at")
+
+
+@query("select p_partkey as id, case when p_size % 7 = 0 then ['status'] else [] end || case when p_size > 20 then ['completion'] else [] end || case when p_size % 5 = 0 then ['not null title'] else [] end as broken from part where p_size > 20 or p_size % 7 = 0 or p_size % 5 = 0")
+def rejected_games(spark, d):
+    """Rows that break a check, with the names of all that they break."""
+    p = table(spark, d, "part")
+    rows = p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 5 != 0, F.col("p_name")).alias("title"), (F.col("p_size") * 5).cast("double").alias("completion_percentage"), F.when(F.col("p_size") % 7 == 0, "lost").otherwise("completed").alias("status"), F.lit(None).cast("string").alias("metadata"))
+    return mutate.split_valid(rows, "games")[1].select("id", F.col("_broken").alias("broken"))
+
+
+@query("select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_acctbal <= 0)")
+def orphans_of_missing_customers(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    held = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
+    return mutate.orphans(orders, held, "o_custkey").select("o_orderkey")
+
+
+@query(f"select id, case when id = 7 then 12 else last_read_position end::bigint as last_read_position, case when id = 7 then 5 else updated_at end::bigint as updated_at from {GUIDES_SQL}")
+def position_set(spark, d):
+    own = guides(spark, d).withColumn("id", F.col("id").cast("string"))
+    return mutate.set_position(own, "7", 12, 5).select(F.col("id").cast("long").alias("id"), F.col("last_read_position").cast("long"), F.col("updated_at").cast("long"))
+
+
+# imports and text rules ---------------------------------------------------------------------------------------------------
+
+_PATH = "'/lib/nes/' || doc_id % 40 || '-super-' || source || '/faqs/' || doc_id || '-walkthrough.txt'"
+
+
+@query(f"""with f as (select doc_id, {_PATH} as path, (doc_id % 40)::varchar as ext, 'Super ' || upper(source[1]) || source[2:] as name from documents)
+select ext as external_id, arg_min(name, path) as title, 'NES' as platform, 'not_started' as status from f where ext::int >= 10 group by ext""")
+def imported_games(spark, d):
+    """Games that an import creates, each from its first file by path; known ones are looked up."""
+    return _imported(spark, d)[1].select(catalog.json_field("external_id").alias("external_id"), "title", "platform", "status")
+
+
+@query(f"""select {_PATH} as file_path, case when doc_id % 40 < 10 then 'known' || doc_id % 40 else substr(sha256('game' || chr(0) || doc_id % 40), 1, 21) end as game_id, 'txt' as format from documents""")
+def imported_guides(spark, d):
+    return _imported(spark, d)[0].select("file_path", "game_id", "format")
+
+
+def _imported(spark, d) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents")
+    files = docs.select(F.concat(F.lit("/lib/nes/"), F.col("doc_id") % 40, F.lit("-super-"), "source", F.lit("/faqs/"), "doc_id", F.lit("-walkthrough.txt")).alias("file_path"), F.col("text").alias("content"))
+    known = spark.range(10).select(F.concat(F.lit("known"), "id").alias("id"), F.to_json(F.struct(F.col("id").cast("string").alias("external_id"))).alias("metadata"))
+    return ingest.load(ingest.parse_files(files), known, 7)
+
+
+@query("select doc_id, ['html', 'html', 'md', 'md', 'pdf', 'txt', 'txt'][doc_id % 7 + 1] as format from documents")
+def format_of_path(spark, d):
+    ending = F.element_at(F.array(*map(F.lit, (".html", ".HTM", ".md", ".Markdown", ".pdf", ".xyz", ""))), (F.col("doc_id") % 7 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", T.detect_format(F.concat("source", F.lit("/"), "doc_id", ending)).alias("format"))
+
+
+@query("select doc_id, 'The Legend of ' || upper(lang[1]) || lang[2:] || ' and ' || upper(source[1]) || source[2:] as title from documents")
+def title_of_filename(spark, d):
+    path = F.concat(F.lit("x/"), "doc_id", F.lit("-the_legend-of-"), "lang", F.lit("_AND-"), "source", F.lit("-faq-1234.txt"))
+    return table(spark, d, "documents").select("doc_id", T.title_from_filename(path).alias("title"))
+
+
+@query("""select doc_id, case when doc_id % 3 < 2 then doc_id::varchar end as external_id, case doc_id % 3 when 0 then 'Zelda ' || upper(lang[1]) || lang[2:] when 1 then 'Unknown Game' else 'Readme ' || upper(lang[1]) || lang[2:] end as name from documents""")
+def game_of_filename(spark, d):
+    k = F.col("doc_id") % 3
+    path = F.when(k == 0, F.concat("doc_id", F.lit("-zelda-"), "lang", F.lit("-faqs-1.txt"))).when(k == 1, F.concat("doc_id", F.lit("-faqs.txt"))).otherwise(F.concat(F.lit("readme_"), "lang", F.lit(".txt")))
+    return table(spark, d, "documents").select("doc_id", T.game_from_filename(F.concat(F.lit("a/b/"), path)).alias("g")).select("doc_id", "g.*")
+
+
+@query("""select doc_id, doc_id::varchar as external_id, 'Super ' || upper(source[1]) || source[2:] as name, ['SNES', 'Xbox 360', null, '3DO'][doc_id % 4 + 1] as platform from documents""")
+def game_of_path(spark, d):
+    folder = F.element_at(F.array(*map(F.lit, ("snes", "Xbox-360", "other", "3RD"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    path = F.concat(F.lit("/x/"), folder, F.lit("/"), "doc_id", F.lit("-super-"), "source", F.lit("/FAQs/10114-any-guide.txt"))
+    return table(spark, d, "documents").select("doc_id", T.game_from_path(path).alias("g")).select("doc_id", "g.*")
+
+
+@query("select doc_id, 'md' as format, 'Title ' || doc_id || ' #' as title, '# Title ' || doc_id || ' #' || chr(10) || text as content from documents")
+def parsed_markdown(spark, d):
+    text = F.concat(F.lit("# Title "), "doc_id", F.lit(" #\n"), "text")
+    parsed = table(spark, d, "documents").select("doc_id", T.parse(text, F.concat("doc_id", F.lit(".md"))).alias("p"))
+    return parsed.select("doc_id", "p.format", "p.title", "p.content")
+
+
+@query(rf"""with t as ({_HTML}) select page_id, 'html' as format, text as content, coalesce(nullif(trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)), ''), nullif(trim(regexp_extract(html, '(?i)<h1[^>]*>([^<]+)</h1>', 1)), ''), 'Page') as title from pages join t using (page_id)""")
+def parsed_html(spark, d):
+    return table(spark, d, "pages").select("page_id", T.parse(F.col("html"), F.lit("a/9-page.html")).alias("p")).select("page_id", "p.format", "p.content", "p.title")
+
+
+@query("select doc_id, substr(sha256(doc_id || '/' || lang), 1, 21) as id from documents")
+def stable_ids(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.make_id(F.concat("doc_id", F.lit("/"), "lang")).alias("id"))
+
+
+# requests ---------------------------------------------------------------------------------------------------------------
+
+
+@query(f"select id, title from {GAMES_SQL} where id = 42")
+def game_by_id(spark, d):
+    return catalog.by_id(games(spark, d), 42).select("id", "title")
+
+
+@query("select c_custkey, c_name from customer where c_custkey = 7")
+def customer_by_key(spark, d):
+    return catalog.by_id(table(spark, d, "customer"), 7, "c_custkey").select("c_custkey", "c_name")
+
+
+@query(f"select id, title, format, file_path, game_id, metadata, created_at, updated_at from {GUIDES_SQL}")
+def guide_hits(spark, d):
+    return guides(spark, d).select(*catalog.HIT)
+
+
+@query("select o_orderkey, o_totalprice, place from orders join (values (7, 1), (3, 2), (1, 3), (2, 4)) v(k, place) on o_orderkey = k")
+def orders_in_request_order(spark, d):
+    found = catalog.by_ids_ordered(table(spark, d, "orders"), [7, 3, 1, 3, -5, 2, 7], "o_orderkey").select("o_orderkey", "o_totalprice")
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))  # four rows
+
+
+@query(f"select id, title, 1 as asked from {GAMES_SQL} where status = 'completed' union all select id, title, 2 from {GAMES_SQL}")
+def games_by_status_parameter(spark, d):
+    """A status that is none of the three filters nothing."""
+    own = games(spark, d)
+    asked = [catalog.game_filter(own, status=params.status(s)).select("id", "title", F.lit(k).alias("asked")) for k, s in ((1, "completed"), (2, "bogus"))]
+    return asked[0].unionByName(asked[1])
+
+
+def _notes(spark, d) -> DataFrame:
+    """Conversations as guides, turns as notes; every third turn has no position."""
+    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("id")
+    return table(spark, d, "conversations").select(key, F.col("conv_id").alias("guide_id"), F.when(F.col("turn") % 3 != 2, F.col("turn")).alias("position"), (-F.col("turn")).alias("created_at"), F.col("text").alias("content"))
+
+
+@query("select conv_id * 1000 + turn as id, case when turn % 3 != 2 then turn end as position, row_number() over (order by case when turn % 3 != 2 then turn end nulls last, -turn) as place from conversations where conv_id = 3")
+def notes_of_guide(spark, d):
+    own = catalog.notes_of(_notes(spark, d), 3).select("id", "position")
+    return own.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))  # the notes of one guide
+
+
+@query("select conv_id * 1000 + turn as id, turn as position, row_number() over (order by turn, conv_id * 1000 + turn) as place from conversations where conv_id = 5")
+def bookmarks_of_guide(spark, d):
+    marks = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("guide_id"), F.col("turn").alias("position"))
+    own = catalog.bookmarks_of(marks, 5).select("id", "position")
+    return own.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))  # the bookmarks of one guide
+
+
+@query("select conv_id * 1000 + turn as id, text as content from conversations where conv_id = 3 and turn = 1")
+def note_owned(spark, d):
+    return catalog.owned(_notes(spark, d), 3001, 3).select("id", "content")
+
+
+@query("select doc_id, list_filter(list_transform(string_split(' ' || lang || ', ,' || source || ',', ','), lambda x: trim(x)), lambda x: x != '') as tags from documents")
+def tag_parameter(spark, d):
+    """The tags parameter of a request for each document, read on the driver for each distinct one (language and source)."""
+    docs = table(spark, d, "documents")
+    given = F.concat(F.lit(" "), "lang", F.lit(", ,"), "source", F.lit(","))
+    read = [(r[0], params.tags(r[0])) for r in docs.select(given).distinct().collect()]
+    return docs.withColumn("given", given).join(spark.createDataFrame(read, "given string, tags array<string>"), "given").select("doc_id", "tags")
+
+
+@query("select * from (values ('0', 20), ('-5', 1), ('500', 100), ('abc', 20), ('10abc', 10), ('7', 7)) v(given, size)")
+def page_parameter(spark, d):
+    return spark.createDataFrame([(g, params.page(1, g).limit) for g in ("0", "-5", "500", "abc", "10abc", "7")], "given string, size int")
 
 
 # keyed state ------------------------------------------------------------------------------------------------------------
@@ -430,3 +722,15 @@ def rate_limit(spark, d):
 def request_log(spark, d):
     e = table(spark, d, "events").select("event_id", F.lit(0).alias("start"), F.col("value").alias("end"), F.lit(200).alias("status"))
     return limits.request_log(e).select("event_id", "slow", "not_found")
+
+
+_THROTTLE = """with recursive e as (select user_id as key, event_id, epoch_ms(ts) as ts, event_type = 'purchase' as done, row_number() over (partition by user_id order by epoch_ms(ts), event_id::varchar) as r from events),
+w as (select key, event_id, ts, r, true as kept, ts as last from e where r = 1
+  union all select e.key, e.event_id, e.ts, e.r, e.done or e.ts - w.last >= 3600000, case when e.done or e.ts - w.last >= 3600000 then e.ts else w.last end from w join e on e.key = w.key and e.r = w.r + 1)
+select event_id::varchar as id from w where kept"""
+
+
+@query(_THROTTLE)
+def throttled(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("id"), (F.col("event_type") == "purchase").alias("done"))
+    return limits.throttle(e, 3_600_000).select("id")
