@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folio.llm import debruijn, jaccard, language, line_align, maxent, mixing, packing, quality, transport, vbyte
 
@@ -54,6 +55,78 @@ def op10_debruijn_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame
     return debruijn.digest(_table(spark, sf_dir, "documents"))
 
 
+# The parts of the results that SQL can express, each through its operator, beside the queries above.
+
+
+def transport_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_transport_stream(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_pivotal_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_hashed_maxent(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def quality_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_risk_controlled_quality(spark, sf_dir).drop("kept")
+
+
+def language_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out documents, and whether their label was found."""
+    found = op8_byte_gru_language(spark, sf_dir).filter("held_out").select("doc_id", "lang_pred")
+    return found.join(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").agg(F.count("*").alias("documents"), (F.count_if(F.col("lang_pred") == F.col("lang")) >= 0.95 * F.count("*")).alias("accurate"))
+
+
+_SQL_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+_SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CRC-32 of doc_id as text, bit by bit.
+_SQL_CRC = """xor(list_reduce(list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii((doc_id::varchar)[i])::bigint),
+  lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::bigint), 4294967295::bigint)"""
+
+ORACLE_SQL = {
+    "op3_voronoi_jaccard": f"""with recursive w as (select doc_id, {_SQL_WORDS.format(text=_SQL_LOWER)} as l from documents),
+s as (select doc_id, list_distinct(case when len(l) = 0 then [] when len(l) < 4 then [array_to_string(l, ' ')] else list_transform(range(1, len(l) - 2), lambda i: array_to_string(l[i:i + 3], ' ')) end) as s from w),
+e as (select doc_id, len(s) as n, unnest(s) as g from s),
+p as (select a.doc_id as x, b.doc_id as y, a.n as na, b.n as nb, count(*) as i from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by all),
+k as (select x, y from p where 100 * i >= 85 * (na + nb - i)), b as (select x, y from k union all select y, x from k),
+r as (select doc_id as id, doc_id as c from documents union select r.id, b.y from r join b on b.x = r.c)
+select s.doc_id, len(s.s)::bigint as n_shingles, (select min(c) from r where r.id = s.doc_id) as component_id from s""",
+    "op10_debruijn_substring_dedup": f"""with w as (select doc_id, {_SQL_WORDS.format(text="coalesce(text, '')")} as l from documents),
+win as (select doc_id, i, array_to_string(l[i:i + 12], ' ') as g from (select doc_id, l, unnest(range(1, len(l) - 11)) as i from w where len(l) >= 13)),
+f as (select g, min(doc_id) as m from win group by g),
+gone as (select distinct doc_id, i + k as p from (select win.doc_id, win.i from win join f using (g) where m < win.doc_id), range(0, 13) t(k)),
+each as (select doc_id, unnest(l) as x, generate_subscripts(l, 1) as p from w),
+kept as (select e.doc_id, string_agg(e.x, ' ' order by e.p) as t from each e anti join gone g on g.doc_id = e.doc_id and g.p = e.p group by 1),
+n as (select doc_id, count(*) as n from gone group by 1)
+select w.doc_id, len(l)::bigint as n_words, coalesce(n.n, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join n using (doc_id) left join kept using (doc_id)""",
+    "transport_payloads": """with d as (select doc_id, encode(coalesce(text, '')) as raw, octet_length(encode(coalesce(text, ''))) as n from documents),
+f as (select *, case when n = 0 then 576 else (576 - n % 576) % 576 end as fill from d)
+select doc_id, n::bigint as n_bytes, (n + fill)::bigint as payload_bytes, sha256(raw || unhex(repeat('FF', fill))) as payload_sha256 from f""",
+    "mix_targets": f"""with d as (select doc_id, source, len({_SQL_WORDS.format(text="coalesce(text, '')")})::bigint as size from documents),
+src as (select source, sum(size)::double as ss from d group by 1), r as (select *, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w from src),
+o as (select *, 2 * ss as most, 2 * ss / w as ratio from r),
+c as (select *, coalesce(sum(most) over (order by ratio, source rows between unbounded preceding and 1 preceding), 0) as capped, sum(w) over (order by ratio, source rows between current row and unbounded following) as open from o),
+l as (select (1.5 * (select sum(ss) from src) - capped) / open as level from c where (1.5 * (select sum(ss) from src) - capped) / open <= ratio order by ratio limit 1)
+select doc_id, size, ss::bigint as source_size, round(least(most, w * (select level from l)), 4) as target from d join o on d.source is not distinct from o.source""",
+    "lm_base_scores": f"""with w as (select doc_id, {_SQL_CRC} % 7 = 2 as held_out, list_append({_SQL_WORDS.format(text=_SQL_LOWER)}, chr(10)) as l from documents),
+e as (select doc_id, held_out, unnest(l) as t from w), c as (select t, count(*) as c from e where not held_out group by 1),
+s as (select sum(c) as total, count(*) as v from c)
+select doc_id, held_out, count(*)::bigint as n_tokens, count(c.c)::bigint as n_known, any_value(total)::bigint as train_tokens,
+  round(sum(log10((coalesce(c.c, 0) + 1) / (total + v + 1)::double)), 4) as base_score from e left join c using (t), s group by 1, 2""",
+    "quality_measures": f"""with d as (select doc_id, coalesce(text, '') as text, {_SQL_WORDS.format(text="coalesce(text, '')")} as l, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from documents),
+win as (select doc_id, i, array_to_string(l[i:i + 4], ' ') as g from (select doc_id, l, unnest(range(1, len(l) - 3)) as i from d where len(l) >= 5)),
+many as (select doc_id, g from win group by 1, 2 having count(*) > 1),
+cover as (select doc_id, count(distinct i + k) as n from (select win.doc_id, win.i from win join many using (doc_id, g)), range(0, 5) t(k) group by 1),
+m as (select doc_id, len(l)::bigint as n_words, length(array_to_string(l, ''))::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+  (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(cover.n, 0)::bigint as n_repeat_words from d left join cover using (doc_id))
+select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m""",
+    "language_held_out": f"select count(*) as documents, true as accurate from documents where {_SQL_CRC} % 5 = 0",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -68,9 +141,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_byte_gru_language,
             op9_ranked_vbyte,
             op10_debruijn_substring_dedup,
+            transport_payloads,
+            mix_targets,
+            lm_base_scores,
+            quality_measures,
+            language_held_out,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE_SQL)
