@@ -28,7 +28,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from folio.llm.words import Texts, batches
 
 HIDDEN, STRETCH, WARM, BLOCK = 16, 256, 32, 1024
-TRAIN_DOCS, TRAIN_SEGMENTS, SEGMENT, EPOCHS, BATCH, RATE = 300, 6, 128, 4, 128, 0.01
+TRAIN_DOCS, TRAIN_SEGMENTS, SEGMENT, EPOCHS, STEPS, BATCH, RATE = 300, 6, 128, 4, 200, 128, 0.01
 UNKNOWN, FLOOR = "und", 0.5
 #: Stands for no byte; a state passes it unchanged.
 PAD, HOLD = 256, 30.0
@@ -210,7 +210,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
     label = np.array([langs.index(rows[row[k]][1]) for k in pick], np.int64)
     data = data[pick]
     moment, square, step = [np.zeros_like(p) for p in model.parameters()], [np.zeros_like(p) for p in model.parameters()], 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS // -(-len(pick) // BATCH)))):  # few rows are read more often
         order = rng.permutation(len(pick))
         for lo in range(0, len(order), BATCH):
             own = order[lo : lo + BATCH]
