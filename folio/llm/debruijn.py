@@ -175,27 +175,38 @@ def graph(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     seeds = own.select("doc_id", "mark", F.explode("seeds").alias("seed"))
     met = seeds.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("seed")
     met = save(met, "met")
-    wanted = seeds.join(met, "seed").groupBy("doc_id", "mark").agg(F.collect_list("seed").alias("seeds"))  # at most a document's own seeds
-    hits = save(_edges(_texts(documents).join(wanted, ["doc_id", "mark"])), "hits")
+    wanted = save(seeds.join(met, "seed").groupBy("doc_id", "mark").agg(F.collect_list("seed").alias("seeds")), "wanted")  # at most a document's own seeds
     discard(own)
     discard(met)
-    low = F.min(F.struct(F.col("doc_id").alias("source"), F.col("mark").alias("source_mark"), F.col("pos").alias("at")))
-    edges = hits.filter("first").groupBy("edge").agg(F.first("a").alias("a"), F.first("b").alias("b"), low.alias("o"), F.max("doc_id").alias("last"))
-    edges = save(edges.filter("o.source < last").select("edge", "a", "b", "o.*"), "graph")
-    return narrow, hits.select("edge", "doc_id", "mark", "pos"), edges
+    hits = save(_edges(_texts(documents).join(wanted, ["doc_id", "mark"])), "hits")
+    discard(wanted)
+    # aggregates of plain numbers, by hash: rows of one document stay together in the shuffle, where they compress. The two
+    # min_by() see the same rows in the same order and so take the same one
+    edges = hits.filter("first").groupBy("edge").agg(
+        F.min("a").alias("a"), F.min("b").alias("b"), F.min("doc_id").alias("source"), F.min_by("mark", "doc_id").alias("source_mark"), F.min_by("pos", "doc_id").alias("at"), F.max("doc_id").alias("last")
+    )
+    edges = save(edges.filter("source < last").drop("last"), "graph")
+    return narrow, hits, edges
 
 
 def nonbranching(edges: DataFrame) -> DataFrame:
     """(before, after): edges, named by their source coordinates, on the two sides of a node with one edge in and one out."""
-    place = F.struct("source", "source_mark", "at")
-    into = edges.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n"), F.min(place).alias("before")).filter("n = 1").drop("n")
-    out = edges.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"), F.min(place).alias("after")).filter("n = 1").drop("n")
-    return into.join(out, "node").filter("before != after").select("before", "after")
+    names = ("source", "source_mark", "at")
+
+    def ends(node: str, out: str) -> DataFrame:
+        own = edges.groupBy(F.col(node).alias("node")).agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in names])  # of one edge, where n = 1
+        return own.filter("n = 1").select("node", F.struct(*names).alias(out))
+
+    return ends("b", "before").join(ends("a", "after"), "node").filter("before != after").select("before", "after")
+
+
+def straight(links: DataFrame) -> DataFrame:
+    """(source, source_mark, at, glued) of the edges that a link joins to the one before them in their own source."""
+    return links.filter("before.source = after.source and before.source_mark = after.source_mark and before.at + 1 = after.at").select("after.*", F.lit(True).alias("glued"))
 
 
-def pieces(edges: DataFrame, links: DataFrame) -> DataFrame:
-    """edges with `piece`, the place in the source where the edge's piece begins: a run of places that links join."""
-    glued = links.filter("before.source = after.source and before.source_mark = after.source_mark and before.at + 1 = after.at").select("after.*", F.lit(True).alias("glued"))
+def pieces(edges: DataFrame, glued: DataFrame) -> DataFrame:
+    """edges with `piece`, the place in the source where the edge's piece begins: a run of places that straight links join."""
     own = Window.partitionBy("source", "source_mark").orderBy("at")
     held = edges.join(glued, ["source", "source_mark", "at"], "left")
     return held.withColumn("piece", F.last(F.when(F.col("glued").isNull(), F.col("at")), True).over(own)).drop("glued")
@@ -205,7 +216,7 @@ def paths(documents: DataFrame) -> DataFrame:
     """path (its first edge's source coordinate), n_edges, n_pieces of every nonbranching path. Closed rings are left in pieces."""
     _, _, edges = graph(documents)
     links = save(nonbranching(edges), "links")
-    cut = pieces(edges, links).groupBy("source", "source_mark", "piece").agg(F.count("*").alias("n_edges"))
+    cut = pieces(edges, straight(links)).groupBy("source", "source_mark", "piece").agg(F.count("*").alias("n_edges"))
     cut = cut.select(F.struct("source", "source_mark", F.col("piece").alias("at")).alias("head"), F.struct("source", "source_mark", (F.col("piece") + F.col("n_edges") - 1).cast("int").alias("at")).alias("tail"), "n_edges")
     cut = save(cut, "pieces")
     lead = cut.join(links.withColumnRenamed("before", "tail"), "tail").join(cut.select(F.col("head").alias("after")), "after").select(F.col("after").alias("head"), F.col("head").alias("up"))
@@ -225,13 +236,16 @@ def paths(documents: DataFrame) -> DataFrame:
 def spans(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): a narrow row for each document, see graph(); and the spans with the SHA-256 of the words of their sources."""
     rows, hits, edges = graph(documents)
-    cut = save(pieces(edges, nonbranching(edges)).select("edge", "source", "source_mark", "at", "piece"), "pieces")
+    glued = save(straight(nonbranching(edges)), "glued")
+    cut = save(pieces(edges, glued).select("edge", "source", "source_mark", "at", "piece"), "pieces")
     discard(edges)
-    found = hits.join(cut, "edge").filter("doc_id > source").select("doc_id", "mark", "pos", "source", "source_mark", "piece", (F.col("pos") - F.col("at")).alias("shift"))
+    discard(glued)
+    found = hits.select("edge", "doc_id", "mark", "pos").join(cut, "edge").filter("doc_id > source").select("doc_id", "mark", "pos", "source", "source_mark", "piece", (F.col("pos") - F.col("at")).alias("shift"))
     along = ["doc_id", "mark", "source", "source_mark", "piece", "shift"]
     island = found.withColumn("island", F.col("pos") - F.dense_rank().over(Window.partitionBy(*along).orderBy("pos")))  # rows that repeat an id repeat its hits
     runs = island.groupBy(*along, "island").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + K).cast("int").alias("n"))
     runs = save(runs.select("doc_id", "mark", "start", "n", "source", "source_mark", "piece", (F.col("start") - F.col("shift") - F.col("piece")).cast("int").alias("offset")), "runs")
+    discard(hits)
     whole = cut.groupBy("source", "source_mark", "piece").agg(F.count("*").cast("int").alias("n_edges"))
     texts = _texts(documents).select(F.col("doc_id").alias("source"), F.col("mark").alias("source_mark"), "text")
     words = _piece_words(whole.join(texts, ["source", "source_mark"]).select("source", "source_mark", "piece", "n_edges", "text")).dropDuplicates(["source", "source_mark", "piece"])
