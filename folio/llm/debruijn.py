@@ -200,23 +200,27 @@ def nonbranching(edges: DataFrame) -> DataFrame:
     return ends("b", "before").join(ends("a", "after"), "node").filter("before != after").select("before", "after")
 
 
-def straight(links: DataFrame) -> DataFrame:
-    """(source, source_mark, at, glued) of the edges that a link joins to the one before them in their own source."""
-    return links.filter("before.source = after.source and before.source_mark = after.source_mark and before.at + 1 = after.at").select("after.*", F.lit(True).alias("glued"))
+def marked(edges: DataFrame) -> DataFrame:
+    """edges with `alone`: their first node has one edge in and one out. Edges meet the counts at their first node; what goes
+    there from their last nodes is counts alone."""
+    into = edges.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n")).filter("n = 1").select("node", F.lit(True).alias("one"))
+    out = edges.drop("b").withColumn("out", F.count("*").over(Window.partitionBy("a")))
+    return out.join(into, F.col("a") == F.col("node"), "left").withColumn("alone", F.coalesce(F.col("one") & (F.col("out") == 1), F.lit(False))).drop("a", "out", "node", "one")
 
 
-def pieces(edges: DataFrame, glued: DataFrame) -> DataFrame:
-    """edges with `piece`, the place in the source where the edge's piece begins: a run of places that straight links join."""
+def pieces(edges: DataFrame) -> DataFrame:
+    """marked() edges with `piece`, the place in the source where the edge's piece begins. An edge goes on with the piece of the
+    place before if its first node branches nowhere: the one edge into that node is then the one at the place before."""
     own = Window.partitionBy("source", "source_mark").orderBy("at")
-    held = edges.join(glued, ["source", "source_mark", "at"], "left")
-    return held.withColumn("piece", F.last(F.when(F.col("glued").isNull(), F.col("at")), True).over(own)).drop("glued")
+    goes_on = F.coalesce(F.col("alone") & (F.lag("at").over(own) + 1 == F.col("at")), F.lit(False))
+    return edges.withColumn("on", goes_on).withColumn("piece", F.last(F.when(~F.col("on"), F.col("at")), True).over(own)).drop("on", "alone")
 
 
 def paths(documents: DataFrame) -> DataFrame:
     """path (its first edge's source coordinate), n_edges, n_pieces of every nonbranching path. Closed rings are left in pieces."""
     _, _, edges = graph(documents)
     links = save(nonbranching(edges), "links")
-    cut = pieces(edges, straight(links)).groupBy("source", "source_mark", "piece").agg(F.count("*").alias("n_edges"))
+    cut = pieces(marked(edges)).groupBy("source", "source_mark", "piece").agg(F.count("*").alias("n_edges"))
     cut = cut.select(F.struct("source", "source_mark", F.col("piece").alias("at")).alias("head"), F.struct("source", "source_mark", (F.col("piece") + F.col("n_edges") - 1).cast("int").alias("at")).alias("tail"), "n_edges")
     cut = save(cut, "pieces")
     lead = cut.join(links.withColumnRenamed("before", "tail"), "tail").join(cut.select(F.col("head").alias("after")), "after").select(F.col("after").alias("head"), F.col("head").alias("up"))
@@ -236,10 +240,10 @@ def paths(documents: DataFrame) -> DataFrame:
 def spans(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): a narrow row for each document, see graph(); and the spans with the SHA-256 of the words of their sources."""
     rows, hits, edges = graph(documents)
-    glued = save(straight(nonbranching(edges)), "glued")
-    cut = save(pieces(edges, glued).select("edge", "source", "source_mark", "at", "piece"), "pieces")
+    told = save(marked(edges), "marked")
     discard(edges)
-    discard(glued)
+    cut = save(pieces(told).select("edge", "source", "source_mark", "at", "piece"), "pieces")
+    discard(told)
     found = hits.select("edge", "doc_id", "mark", "pos").join(cut, "edge").filter("doc_id > source").select("doc_id", "mark", "pos", "source", "source_mark", "piece", (F.col("pos") - F.col("at")).alias("shift"))
     along = ["doc_id", "mark", "source", "source_mark", "piece", "shift"]
     island = found.withColumn("island", F.col("pos") - F.dense_rank().over(Window.partitionBy(*along).orderBy("pos")))  # rows that repeat an id repeat its hits
