@@ -201,11 +201,11 @@ def nonbranching(edges: DataFrame) -> DataFrame:
 
 
 def marked(edges: DataFrame) -> DataFrame:
-    """edges with `alone`: their first node has one edge in and one out. Edges meet the counts at their first node; what goes
-    there from their last nodes is counts alone."""
-    into = edges.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n")).filter("n = 1").select("node", F.lit(True).alias("one"))
-    out = edges.drop("b").withColumn("out", F.count("*").over(Window.partitionBy("a")))
-    return out.join(into, F.col("a") == F.col("node"), "left").withColumn("alone", F.coalesce(F.col("one") & (F.col("out") == 1), F.lit(False))).drop("a", "out", "node", "one")
+    """edges with `alone`: their first node has one edge in and one out. Only counts go from edges to their nodes; edges are joined
+    with their first nodes."""
+    ends = [edges.groupBy(F.col(c).alias("node")).agg(F.count("*").alias("n")).filter("n = 1").select("node") for c in ("a", "b")]
+    alone = ends[0].join(ends[1], "node").withColumn("one", F.lit(True))
+    return edges.drop("b").join(alone, F.col("a") == F.col("node"), "left").withColumn("alone", F.coalesce("one", F.lit(False))).drop("a", "node", "one")
 
 
 def pieces(edges: DataFrame) -> DataFrame:

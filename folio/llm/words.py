@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 20
+#: Bytes of text that one step of numpy works on; its arrays take some hundred times that.
+SLICE_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 2**64, (2, 256), dtype=np.uint64)
