@@ -170,15 +170,16 @@ def graph(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     first = rows.groupBy("sha").agg(F.min("doc_id").alias("first"))
     narrow = save(rows.select("doc_id", "n_words", "sha").join(first, "sha"), "rows")
     heads = narrow.filter((F.col("doc_id") == F.col("first")) & (F.col("n_words") >= K)).select("doc_id", "sha").distinct()
-    own = save(rows.filter(F.col("n_words") >= K).join(heads, ["doc_id", "sha"], "left_semi").select("doc_id", "mark", "seeds"), "own")
+    own = save(rows.filter(F.col("n_words") >= K).join(heads, ["doc_id", "sha"], "left_semi").select("doc_id", "seeds"), "own")
     discard(rows)
-    seeds = own.select("doc_id", "mark", F.explode("seeds").alias("seed"))
+    seeds = own.select("doc_id", F.explode("seeds").alias("seed"))
     met = seeds.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("seed")
     met = save(met, "met")
-    wanted = save(seeds.join(met, "seed").groupBy("doc_id", "mark").agg(F.collect_list("seed").alias("seeds")), "wanted")  # at most a document's own seeds
+    # a document's own seeds; texts that share an id share them, which only adds candidates
+    wanted = save(seeds.join(met, "seed").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds")), "wanted")
     discard(own)
     discard(met)
-    hits = save(_edges(_texts(documents).join(wanted, ["doc_id", "mark"])), "hits")
+    hits = save(_edges(_texts(documents).join(wanted, "doc_id")), "hits")
     discard(wanted)
     # aggregates of plain numbers, by hash: rows of one document stay together in the shuffle, where they compress. The two
     # min_by() see the same rows in the same order and so take the same one
