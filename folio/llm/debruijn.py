@@ -187,7 +187,9 @@ def graph(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.min("a").alias("a"), F.min("b").alias("b"), F.min("doc_id").alias("source"), F.min_by("mark", "doc_id").alias("source_mark"), F.min_by("pos", "doc_id").alias("at"), F.max("doc_id").alias("last")
     )
     edges = save(edges.filter("source < last").drop("last"), "graph")
-    return narrow, hits, edges
+    places = save(hits.select("edge", "doc_id", "mark", "pos"), "places")  # without what only the graph needs
+    discard(hits)
+    return narrow, places, edges
 
 
 def nonbranching(edges: DataFrame) -> DataFrame:
