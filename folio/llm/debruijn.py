@@ -34,6 +34,8 @@ from folio.llm.common import discard, save
 from folio.llm.words import Texts, batches, grams
 
 K, SEED_WORDS = 13, 5
+#: Bytes of text in one step of numpy, which holds several numbers for each word.
+SLICE = 1 << 18
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -66,7 +68,7 @@ def _scan(documents: DataFrame) -> DataFrame:
     """doc_id, mark (hash of the text), n_words, sha (of the words), seeds (its minimizers)."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches(frames):
+        for part in batches(frames, limit=SLICE):
             texts = Texts(part.column(2))
             split = [texts.row(i).tobytes().split() for i in range(texts.n)]
             h, row, _ = _hashed(part.column(2))
@@ -89,7 +91,7 @@ def _edges(texts: DataFrame) -> DataFrame:
     minimizer is among `seeds`; nodes of first ones only."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches(frames):
+        for part in batches(frames, limit=SLICE):
             h, row, first = _hashed(part.column(2))
             low, edge, node = _minimizers(h, row), grams(h, K), grams(h, K - 1)
             docs, places, firsts = [], [], []
