@@ -9,9 +9,11 @@ distribution; there a token's context tells its class and slot only.
 
 counts() counts all training tokens. train() makes one pass over all training documents in slices, one a round: every task
 starts from the same weights, takes gradient steps on its rows, and its change climbs a reduction tree of FAN_IN changes a
-step; each weight's change is averaged over the tasks that touched it, by how often they did. Rows of weights, tasks and
-rounds grow with the training tokens (see Plan); the driver holds one model (8 MB up to 32 million tokens, 128 MB at 30 GB). score() is one scan in sparse numpy batches:
-the most frequent tokens, TOP at most, are looked up in the task; the others, each rare, meet their counts in a join.
+step; each weight's change is averaged over the tasks that touched it, by how often they did. Changes travel as half floats
+with their counts, 68 bytes a row of weights. Rows of weights, tasks and rounds grow with the training tokens, and a task has
+PER_ROW tokens or more for each row, so that changes stay below the size of the texts (see Plan); the driver holds one model (17
+MB up to 32 million tokens, 270 MB at 30 GB). score() is one scan in sparse numpy batches: the most frequent tokens, TOP at
+most, are looked up in the task; the others, each rare, meet their counts in a join.
 
 Tokens are told apart by 64-bit hashes with a random factor for each place, which by chance alone mistake one of V distinct
 tokens for another with odds of V * V / 2 ** 65. Weights depend on how rows are dealt to tasks: reruns over the same files and
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import discard, save
+from folio.llm.common import save
 from folio.llm.words import Texts, batches, mix64
 
 CLASSES, SLOTS, ROUNDS, STEP, CHUNK = 32, 32, 2, 0.3, 1 << 14
@@ -39,20 +41,22 @@ BITS, LEAST = (13, 13, 14), 1 << 23
 TOP, SHARDS, FAN_IN = 65_536, 16, 32
 ROWS = sum(1 << b for b in BITS) + 1
 SLOT_ROWS = ROWS + CLASSES
-TASKS = 16
+#: Training tokens that a task of one round has at least for each row of weights.
+PER_ROW = 16
 END = np.uint64(0x454E44)
+CHANGE = "shard int, task int, change binary, touched binary"
 
 
 class Plan:
-    """What training takes for `total` training tokens. Rows of weights and tasks each grow with the root of total, so what the
-    tasks' changes hold together grows with total; rounds grow with its logarithm."""
+    """What training takes for `total` training tokens. Rows of weights and, but for a logarithm, tasks each grow with the root
+    of total, so what the tasks' changes of all rounds hold together grows with total; rounds grow with its logarithm."""
 
     def __init__(self, total: int):
         more = max(0, int(np.floor(np.log2(max(1, total) / LEAST) / 2)))
         self.bits, self.rounds, self.shards = tuple(b + more for b in BITS), ROUNDS + more, SHARDS << more
         self.rows = sum(1 << b for b in self.bits) + 1
         self.slot_rows = self.rows + CLASSES
-        self.tasks = max(TASKS, round(TASKS * (total / LEAST) ** 0.5))
+        self.tasks = max(1, total // (self.rounds * PER_ROW * (self.rows + self.slot_rows)))
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,6 +116,12 @@ def log_softmax(w: np.ndarray, f: np.ndarray) -> np.ndarray:
     return x
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """Stable order of keys below 2 ** 32; 16 bits at a time are sorted by counting."""
+    order, high = np.argsort(key.astype(np.uint16), kind="stable"), (key >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+
+
 def learn(w: np.ndarray, f: np.ndarray, cls: np.ndarray) -> None:
     """One gradient step on w; a row's step is divided by the root of its tokens."""
     g = _logits(w, f)
@@ -119,11 +129,9 @@ def learn(w: np.ndarray, f: np.ndarray, cls: np.ndarray) -> None:
     g /= -g.sum(1, keepdims=True)
     g[np.arange(len(cls)), cls] += 1
     w[-1] += STEP * g.mean(0)
-    small = len(w) <= 1 << 16  # keys of 16 bits are sorted by counting
     for k in range(f.shape[1]):
-        own = f[:, k].astype(np.uint16) if small else f[:, k]
-        order = np.argsort(own, kind="stable")
-        key = own[order]
+        order = _order(f[:, k])
+        key = f[order, k]
         at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         n = np.diff(np.r_[at, len(key)])
         change = np.add.reduceat(g.take(order, 0), at)
@@ -148,16 +156,33 @@ def counts(documents: DataFrame) -> DataFrame:
     return save(own.groupBy("h", "cls").agg(F.sum("n").alias("n")), "counts")
 
 
+def averaged(total: np.ndarray) -> np.ndarray:
+    """The mean change of each weight over the tasks that touched it; the last column is how often they did."""
+    return total[:, :-1] / np.maximum(1, total[:, -1:])
+
+
+def _packed(change: np.ndarray, touched: np.ndarray) -> tuple[bytes, bytes]:
+    return change.astype(np.float16).tobytes(), touched.astype(np.float32).tobytes()
+
+
+def _unpacked(change: bytes, touched: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(change, np.float16).reshape(-1, CLASSES).astype(np.float32), np.frombuffer(touched, np.float32)[:, None]
+
+
 def _merge(parts: DataFrame, tasks: int) -> DataFrame:
-    """Sums changes of one shard, FAN_IN at a time."""
+    """Averages changes of one shard, FAN_IN at a time, each weight's by how often the tasks touched it."""
 
     def add(table: pa.Table) -> pa.Table:
         table = table.sort_by("task")  # sums of floats depend on their order
-        total = sum(np.frombuffer(x.as_buffer(), np.float32) for x in table.column("change"))
-        return pa.table({"shard": [table.column("shard")[0].as_py()], "task": [table.column("task")[0].as_py() // FAN_IN], "n": [sum(table.column("n").to_pylist())], "change": [total.tobytes()]}, schema=pa.schema([("shard", pa.int32()), ("task", pa.int32()), ("n", pa.int64()), ("change", pa.binary())]))
+        total = often = np.float32(0)
+        for change, touched in zip(table.column("change"), table.column("touched"), strict=True):
+            mean, n = _unpacked(change.as_buffer(), touched.as_buffer())
+            total, often = total + mean * n, often + n
+        change, touched = _packed(averaged(np.c_[total, often]), often)
+        return pa.table({"shard": [table.column("shard")[0].as_py()], "task": [table.column("task")[0].as_py() // FAN_IN], "change": [change], "touched": [touched]}, schema=pa.schema([("shard", pa.int32()), ("task", pa.int32()), ("change", pa.binary()), ("touched", pa.binary())]))
 
     while tasks > 1:
-        parts = parts.withColumn("_g", F.expr(f"task div {FAN_IN}")).groupBy("shard", "_g").applyInArrow(add, "shard int, task int, n long, change binary")
+        parts = parts.withColumn("_g", F.expr(f"task div {FAN_IN}")).groupBy("shard", "_g").applyInArrow(add, CHANGE)
         tasks = -(-tasks // FAN_IN)
     return parts
 
@@ -193,11 +218,6 @@ class Slots:
         return w
 
 
-def averaged(total: np.ndarray) -> np.ndarray:
-    """The mean change of each weight over the tasks that touched it; the last column is how often they did."""
-    return total[:, :-1] / np.maximum(1, total[:, -1:])
-
-
 def train(documents: DataFrame, slots: Slots, plan: Plan) -> np.ndarray:
     """The weights [plan.rows + plan.slot_rows, CLASSES] of classes and slots; the last row of each is the bias."""
     spark, w = documents.sparkSession, np.concatenate([np.zeros((plan.rows, CLASSES), np.float32), slots.start(plan.slot_rows)])
@@ -208,7 +228,7 @@ def train(documents: DataFrame, slots: Slots, plan: Plan) -> np.ndarray:
         def run(frames: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            own, n, task = None, 0, TaskContext.get().partitionId()
+            own, task = None, TaskContext.get().partitionId()
             for part in batches(frames):
                 if own is None:
                     own, touched = held.value.copy(), np.zeros(len(held.value), np.int64)
@@ -221,20 +241,15 @@ def train(documents: DataFrame, slots: Slots, plan: Plan) -> np.ndarray:
                 for lo in range(0, len(h), CHUNK):
                     learn(own[:rows], f[lo : lo + CHUNK], cls[lo : lo + CHUNK])
                     learn(own[rows:], g[lo : lo + CHUNK], slot[lo : lo + CHUNK])
-                n += len(h)
             if own is not None:
                 own -= held.value
-                own *= touched[:, None].astype(np.float32)
-                blobs = [np.c_[own[a:b], touched[a:b].astype(np.float32)].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array([task] * shards, pa.int32()), pa.array([n] * shards, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "task", "n", "change"])
+                blobs = zip(*[_packed(own[a:b], touched[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array([task] * shards, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], ["shard", "task", "change", "touched"])
 
         slice_ = _own(documents).filter(f"_crc % 7 != 2 and _crc div 7 % {plan.rounds} = {k}").select("text").coalesce(plan.tasks)
-        parts = save(slice_.mapInArrow(run, "shard int, task int, n long, change binary"), "changes")
-        tasks = (parts.agg(F.max("task")).first()[0] or 0) + 1
-        for r in _merge(parts, tasks).collect():  # a row for each shard: one model
-            w[cut[r.shard] : cut[r.shard + 1]] += averaged(np.frombuffer(r.change, np.float32).reshape(-1, CLASSES + 1))
+        for r in _merge(slice_.mapInArrow(run, CHANGE), plan.tasks).collect():  # a row for each shard: one model
+            w[cut[r.shard] : cut[r.shard + 1]] += _unpacked(r.change, r.touched)[0]
         held.destroy()
-        discard(parts)
     return w
 
 
