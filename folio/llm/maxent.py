@@ -134,7 +134,10 @@ def learn(w: np.ndarray, f: np.ndarray, cls: np.ndarray) -> None:
         key = f[order, k]
         at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         n = np.diff(np.r_[at, len(key)])
-        change = np.add.reduceat(g.take(order, 0), at)
+        change = g.take(order[at], 0)
+        many = np.flatnonzero(n > 1)
+        if len(many):  # most features stand once in a step and need no sum
+            change[many] = np.add.reduceat(g.take(order[np.repeat(n > 1, n)], 0), np.cumsum(n[many]) - n[many])
         change *= (STEP / np.sqrt(n)).astype(np.float32)[:, None]
         w[key[at]] += change
 
