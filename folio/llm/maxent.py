@@ -11,8 +11,8 @@ counts() counts all training tokens. train() makes one pass over all training do
 starts from the same weights, takes gradient steps on its rows, and its change climbs a reduction tree of FAN_IN changes a
 step; each weight's change is averaged over the tasks that touched it, by how often they did. Changes travel as half floats
 with their counts, 68 bytes a row of weights. Rows of weights, tasks and rounds grow with the training tokens, and a task has
-PER_ROW tokens or more for each row, so that changes stay below the size of the texts (see Plan); the driver holds one model (17
-MB up to 32 million tokens, 270 MB at 30 GB). score() is one scan in sparse numpy batches: the most frequent tokens, TOP at
+PER_ROW tokens or more for each row, so that changes stay below the size of the texts (see Plan); the driver holds one model (8
+MB up to 32 million tokens, 134 MB at 30 GB). score() is one scan in sparse numpy batches: the most frequent tokens, TOP at
 most, are looked up in the task; the others, each rare, meet their counts in a join.
 
 Tokens are told apart by 64-bit hashes with a random factor for each place, which by chance alone mistake one of V distinct
