@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import debruijn, jaccard, language, line_align, maxent, mixing, packing, quality, transport, vbyte
+from folio.llm import debruijn, fim, jaccard, language, line_align, maxent, mixing, packing, quality, spelling, transport, url_rules, vbyte
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_debruijn_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame
     return debruijn.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.digest(_table(spark, sf_dir, "pages"))
+
+
+def op12_spelling_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(_table(spark, sf_dir, "documents"))
+
+
 # The parts of the results that SQL can express, each through its operator, beside the queries above.
 
 
@@ -85,6 +97,10 @@ _SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcde
 #: CRC-32 of doc_id as text, bit by bit.
 _SQL_CRC = """xor(list_reduce(list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii((doc_id::varchar)[i])::bigint),
   lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::bigint), 4294967295::bigint)"""
+#: CRC-32 of doc_id, a colon and a word of letters below U+0100, byte by byte of UTF-8.
+_SQL_SLIP = """xor(list_reduce(list_concat([4294967295::bigint], list_concat(list_transform(string_split(doc_id::varchar || ':', ''), lambda x: ascii(x)::bigint),
+  flatten(list_transform(string_split(w, ''), lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [195::bigint, unicode(x) - 64] end)))),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::bigint)"""
 
 ORACLE_SQL = {
     "op3_voronoi_jaccard": f"""with recursive w as (select doc_id, {_SQL_WORDS.format(text=_SQL_LOWER)} as l from documents),
@@ -123,6 +139,31 @@ cover as (select doc_id, count(distinct i + k) as n from (select win.doc_id, win
 m as (select doc_id, len(l)::bigint as n_words, length(array_to_string(l, ''))::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
   (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(cover.n, 0)::bigint as n_repeat_words from d left join cover using (doc_id))
 select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m""",
+    "op11_url_rules": r"""with u as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path, lower(regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1)) as whole, row_number() over () as k from pages),
+r(verdict, rule, host, path) as (values ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'), ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
+b as (select k, arg_max(r.rule, length(r.rule)) as rule, arg_max(r.verdict, length(r.rule)) as verdict from u join r on (u.host = r.host or ends_with(u.host, '.' || r.host)) and starts_with(u.path, r.path) group by k),
+p as (select k, regexp_matches(whole, '^([^/?#]*[.])?(adult-.*[.]|ads-track[.]|casino-.*[.]|cheap-pills[.]|free-bets[.]|spam-farm[.])') or regexp_matches(whole, '/wp-login[.]php|/(cart|signin)([^a-z0-9_.%-]|$)|([^a-z0-9_.%-])(sessionid|phpsessid)=|[.]exe$') as blocked,
+  regexp_matches(whole, '^([^/?#]*[.])?spam-farm[.]example[.]org[^a-z0-9_.%-]fr([^a-z0-9_.%-]|$)') as excepted from u)
+select page_id, host, path, rule, coalesce(verdict, case when blocked and not excepted then 'block' else 'allow' end) as verdict from u left join b using (k) join p using (k)""",
+    "op12_spelling_halves": f"""with recursive r as (select doc_id, unnest(regexp_extract_all({_SQL_LOWER}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) as w from documents),
+c as (select doc_id, w, count(*) as c from r group by all), h as (select w, c, coalesce({_SQL_SLIP}, 1) as h from c),
+s as (select case when h % 97 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end as word, c from h),
+v as (select word, sum(c)::bigint as n from s where length(word) >= 5 group by 1 having sum(c) >= 3),
+d as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as k from (select word, n, unnest(range(1, length(word) + 1)) as i from v)),
+p as (select a.word, b.word as other, b.n from d a join d b on a.k = b.k and a.i = b.i and a.word <> b.word union select d.word, v.word, v.n from d join v on d.k = v.word union select v.word, d.word, d.n from d join v on d.k = v.word),
+g as (select word, count(*) as n_near, arg_min(other, (-n, other)) as form, max(n) as form_n from p group by 1),
+f as (select v.word, case when form_n >= 2 * v.n then form end as form, v.n, coalesce(n_near, 0) as n_near, case when form_n >= 2 * v.n then form_n end as form_n from v left join g using (word)),
+w as (select word, word as at from f union all select w.word, f.form from w join f on f.word = w.at where f.form is not null),
+e as (select w.word, w.at as root from w join f on f.word = w.at where f.form is null)
+select f.word, f.form, e.root, f.n, f.n_near, f.form_n from f join e using (word)""",
+    "op13_fill_in_middle": r"""with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as l, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+e as (select *, len(l) as n, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2, ('0x' || substr(h, 25, 8))::bigint as h4 from d),
+f as (select *, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form,
+  coalesce(array_to_string(l[1:least(h1 % (n + 1), h2 % (n + 1))], ''), '') as p, coalesce(array_to_string(l[1:greatest(h1 % (n + 1), h2 % (n + 1))], ''), '') as pm from e),
+g as (select *, substr(pm, length(p) + 1) as m, substr(t, length(pm) + 1) as s from f)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(p) end::bigint as prefix_chars, case when form <> 'plain' then length(m) end::bigint as middle_chars,
+  sha256(case form when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m else t end) as output_sha256, sha256(t) as restored_sha256 from g""",
     "language_held_out": f"select count(*) as documents, true as accurate from documents where {_SQL_CRC} % 5 = 0",
 }
 
@@ -141,6 +182,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_byte_gru_language,
             op9_ranked_vbyte,
             op10_debruijn_substring_dedup,
+            op11_url_rules,
+            op12_spelling_halves,
+            op13_fill_in_middle,
             transport_payloads,
             mix_targets,
             lm_base_scores,

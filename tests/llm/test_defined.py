@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import debruijn, jaccard, language, line_align, maxent, mixing, packing, quality, queries, transport, vbyte
+from folio.llm import debruijn, fim, jaccard, language, line_align, maxent, mixing, packing, quality, queries, transport, vbyte
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 LABELS = "doc_id long, quality int, toxic int"
@@ -24,8 +24,9 @@ DIGESTS = {
     "op8": language.digest,
     "op9": lambda d: vbyte.digest(d, BYTE),
     "op10": debruijn.digest,
+    "op13": fim.digest,
 }
-STAGES = {"language": language.apply, "line_dedup": line_align.apply, "near_duplicates": jaccard.apply, "mix": mixing.apply}
+STAGES = {"language": language.apply, "line_dedup": line_align.apply, "near_duplicates": jaccard.apply, "mix": mixing.apply, "fill_in_middle": fim.apply}
 #: What the operators call their own columns, in some step or other.
 HELPERS = ["_row", "mark", "gone", "hit", "d", "m", "s", "k", "n", "row", "at", "first", "key", "cls", "region", "set", "head", "root", "size", "base", "extra", "copies", "copy", "part", "_part", "_n", "_c", "_d", "_k", "letters", "lang_pred", "score", "c0", "c1", "_h", "_r", "h", "stratum", "edge", "pos", "sha", "seeds", "piece", "start", "length", "ids", "kept", "n_words", "component_id", "Text2"]
 
@@ -50,7 +51,7 @@ def test_digest(spark, name):
         assert set(ids) == {r[0] for r in rows} and sum(r.length for r in got if r.start + r.length == r.doc_tokens) >= len(rows)
     else:
         assert ids == Counter(r[0] for r in rows)
-    if name in ("op1", "op7", "op10"):  # equal rows, equal results
+    if name in ("op1", "op7", "op10", "op13"):  # equal rows, equal results
         assert len({tuple(r) for r in got if r.doc_id is None}) == 2
 
 
@@ -74,7 +75,7 @@ def test_twin(spark, name):
     """Registered queries against their SQL on DuckDB."""
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "pages"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.execute(queries.ORACLE_SQL[name])
     names = [x[0] for x in want.description]
