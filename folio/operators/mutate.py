@@ -75,8 +75,21 @@ def validate(rows: DataFrame, table: str, parents: DataFrame | None = None) -> N
         raise ConstraintError(f"{table}: {'; '.join(found)}")
 
 
-def insert(table: DataFrame, name: str, rows: DataFrame, now: int, parents: DataFrame | None = None) -> DataFrame:
-    """All or nothing: rows get id and times where absent, then the whole next state is checked."""
+def validate_new(rows: DataFrame, table: str, before: DataFrame, parents: DataFrame | None = None) -> None:
+    """The same for rows that join `before`, which is valid already: a pass over the new rows, and over the keys of the old."""
+    found = [f"check {r.b}" for r in split_valid(rows, table)[1].select(F.explode("_broken").alias("b")).distinct().orderBy("b").collect()]  # a row for each check
+    for key in UNIQUE.get(table, []):
+        own = rows.filter(" and ".join(f"{k} is not null" for k in key)).select(*key)
+        if duplicates(rows, key).limit(1).count() or before.join(own, list(key), "left_semi").limit(1).count():
+            found.append(f"unique {key}")
+    if parents is not None and orphans(rows, parents, PARENTS[table][0]).limit(1).count():
+        found.append(f"foreign key {PARENTS[table][0]}")
+    if found:
+        raise ConstraintError(f"{table}: {'; '.join(found)}")
+
+
+def filled(table: DataFrame, name: str, rows: DataFrame, now: int) -> DataFrame:
+    """rows in the shape of table, with id, times and defaults where they lack them."""
     rows = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in table.columns])
     fill = {"created_at": F.lit(now).cast("long"), "updated_at": F.lit(now).cast("long")}
     if name == "games":
@@ -85,30 +98,46 @@ def insert(table: DataFrame, name: str, rows: DataFrame, now: int, parents: Data
         fill["content"] = T.js_trim(F.col("content"))
     if name == "bookmarks":
         fill["is_last_read"] = F.coalesce(F.col("is_last_read").cast("boolean"), F.lit(False))
-    fill["id"] = F.coalesce("id", T.make_id(*[F.col(c).cast("string") for c in table.columns if c not in ("id", "created_at", "updated_at")], F.lit(str(now))))
+    if "id" in table.columns:
+        fill["id"] = F.coalesce("id", T.make_id(*[F.col(c).cast("string") for c in table.columns if c not in ("id", "created_at", "updated_at")], F.lit(str(now))))
     if name == "guides":
         fill["ai_analyzed_at"] = F.lit(None).cast("long")  # set by later analysis only
     rows = rows.withColumns({k: v for k, v in fill.items() if k in table.columns})
-    rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in table.schema])
-    after = table.unionByName(rows)
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in table.schema])
+
+
+def insert(table: DataFrame, name: str, rows: DataFrame, now: int, parents: DataFrame | None = None) -> DataFrame:
+    """All or nothing: rows get id and times where absent, then the whole next state is checked."""
+    after = table.unionByName(filled(table, name, rows, now))
     validate(after, name, parents)
     return after
 
 
-def update(table: DataFrame, name: str, changes: DataFrame, now: int, parents: DataFrame | None = None) -> DataFrame:
-    """changes: id and some updatable columns; unknown columns are ignored, and updated_at is always now. One left join. A
-    foreign key among them is checked against parents."""
+def updatable(name: str, changes: DataFrame, parents: DataFrame | None) -> list[str]:
+    """Columns of changes that an update may set; a foreign key among them needs its parents."""
     named = [c for c in changes.columns if c in UPDATABLE[name]]
-    if not named:
-        return table
     if PARENTS.get(name, ("",))[0] in named and parents is None:
         raise ConstraintError(f"{name}: foreign key {PARENTS[name][0]} needs its parents")
+    return named
+
+
+def updated(table: DataFrame, changes: DataFrame, named: list[str], now: int) -> DataFrame:
+    """table with the changes and, in _hit, whether a row was changed."""
     new = changes.select(F.col("id").alias("_id"), F.struct(*named).alias("_new"))
     hit = F.col("_id").isNotNull()
-    rows = table.join(new, table["id"] == F.col("_id"), "left")
     times = {"updated_at": F.lit(now).cast("long")} if "updated_at" in table.columns else {}
     value = {c: F.col(f"_new.{c}").cast(table.schema[c].dataType) for c in named} | times
-    after = rows.select(*[F.when(hit, value[c]).otherwise(F.col(c)).alias(c) if c in value else F.col(c) for c in table.columns])
+    rows = table.join(new, table["id"] == F.col("_id"), "left")
+    return rows.select(*[F.when(hit, value[c]).otherwise(F.col(c)).alias(c) if c in value else F.col(c) for c in table.columns], hit.alias("_hit"))
+
+
+def update(table: DataFrame, name: str, changes: DataFrame, now: int, parents: DataFrame | None = None) -> DataFrame:
+    """changes: id and some updatable columns; unknown columns are ignored, and updated_at is always now. One left join. A
+    foreign key among them is checked against parents."""
+    named = updatable(name, changes, parents)
+    if not named:
+        return table
+    after = updated(table, changes, named, now).drop("_hit")
     validate(after, name, parents if PARENTS.get(name, ("",))[0] in named else None)
     return after
 
