@@ -1,15 +1,17 @@
 """Line dedup by pairwise alignment.
 
 1. Equal texts are settled first: the row of the smallest doc_id stands for all of them, later copies lose every line.
-2. Documents overlap if they share a key: the hash of a line of MIN_WORDS words or more, or of a shortest run of lines that has
-   MIN_BLOCK_WORDS words (from each short line onwards, and up to each). Every line of a common block that can be deleted lies
-   in such a key inside that block, however short its lines are.
-3. A rare key, held by RARE texts or fewer, pairs each of them with every earlier one. A frequent key pairs each holder with its
-   earliest holder: a line in a million documents makes a million pairs, not their square, and no key is dropped; a cap would
-   lose large groups of copies.
+2. Documents overlap if they share a key: the hash of a line of MIN_BLOCK_WORDS words or more, or of a shortest run of lines that
+   has as many (from each shorter line onwards, and up to each, blank ones too). Whatever the words of its lines, every line of a
+   common block lies in such a key inside that block.
+3. A key pairs each holder with its earliest holder, so a line in a million documents makes a million pairs, not their square.
+   No other pair is needed: the key is a common block of that pair already. No key is dropped; a cap would lose large groups.
 4. Each pair is aligned by patience diff: equal heads and tails, then lines unique on both sides in longest increasing order,
-   then the gaps between them; a gap without such lines is aligned exactly, so that most words lie in common blocks. A common
-   block of MIN_BLOCK_WORDS words or more is deleted from the later document. All is judged on the input.
+   then the gaps between them; a gap without such lines is aligned exactly, if its table is not too large. A common block of
+   MIN_BLOCK_WORDS words or more is deleted from the later document. An alignment keeps one order, so blocks that have moved, or
+   repeat, are left by it; what is left and has a line in common is looked up once more by shortest runs, the lines deleted
+   before counting towards a block. So a line goes if it lies in a run of lines of MIN_BLOCK_WORDS words that an earlier document
+   has too, in whatever order and however many documents have it. All is judged on the input.
 
 Lines are told apart by two independent 64-bit hashes. Pairs carry hashes only; the lines of an earlier document come once to
 each task that aligns others with it, which may be several where it has many partners. Texts move once, to be cut.
@@ -22,7 +24,6 @@ other columns pass through, whatever their names.
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -35,18 +36,18 @@ from pyspark.sql import functions as F
 from folio.llm.common import boxed, discard, save, unboxed
 from folio.llm.words import Texts, batches, span_hashes
 
-MIN_WORDS, MIN_BLOCK_WORDS, RARE = 4, 8, 8
+MIN_BLOCK_WORDS = 8
 #: Later documents that one task aligns with one earlier document at most, about.
 PARTNERS = 1024
-#: Cells of a gap's table that are held in memory; a larger table lies in a temporary file while it is used.
+#: Cells of the table of a gap that a pair's alignment solves; the blocks of a larger gap are found by their runs.
 DENSE = 1 << 24
 
 
 def _keys(h: np.ndarray, n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of what links documents: lines of MIN_WORDS words; from each shorter line with a word the shortest run of
-    lines of its row that has MIN_BLOCK_WORDS words, and the shortest such run that ends with it."""
+    """Row and hash of what links documents: lines of MIN_BLOCK_WORDS words; from each shorter line the shortest run of lines of
+    its row that has as many words, and the shortest such run that ends with it."""
     row, total = np.repeat(np.arange(len(first) - 1), np.diff(first)), np.r_[0, np.cumsum(n)]
-    short, line = np.flatnonzero((n > 0) & (n < MIN_BLOCK_WORDS)), np.flatnonzero(n >= MIN_WORDS)
+    short, line = np.flatnonzero(n < MIN_BLOCK_WORDS), np.flatnonzero(n >= MIN_BLOCK_WORDS)
     end = np.searchsorted(total, total[short] + MIN_BLOCK_WORDS)
     start = np.searchsorted(total, total[short + 1] - MIN_BLOCK_WORDS, "right") - 1
     ahead, behind = end <= first[1:][row[short]], start >= first[row[short]]
@@ -84,8 +85,9 @@ def _lines(documents: DataFrame) -> DataFrame:
     return own.mapInArrow(run, LINES)
 
 
-def _gap(a: list, b: list, words: list[int], least: int, i: int, m: int, j: int, n: int) -> list[tuple[int, int]]:
-    """Pairs between a[i:m] and b[j:n] that put most words, then most lines, into common blocks of `least` words or more."""
+def _gap(a: list, b: list, words: list[int], least: int, i: int, m: int, j: int, n: int, cells: int | None = None) -> list[tuple[int, int]]:
+    """Pairs between a[i:m] and b[j:n] that put most words, then most lines, into common blocks of `least` words or more; none if
+    its table would have more than `cells` cells."""
     weight = dict(zip(b[j:n], words[j:n], strict=True))
 
     def candidates(x: list, lo: int, hi: int, other: set) -> list[int]:
@@ -112,13 +114,9 @@ def _gap(a: list, b: list, words: list[int], least: int, i: int, m: int, j: int,
     sums, gains = np.r_[0, np.cumsum(count)], np.r_[0, np.cumsum(value)]
     back = np.arange(1, len(own) + 1) - np.searchsorted(sums, sums[1:] - least, "right") + 1  # lines that the shortest block ending here has
     back = np.where(sums[1:] >= least, back, len(own) + 1)
-    shape, held = (2, len(row) + 1, len(own) + 1), None
-    if shape[1] * shape[2] > DENSE:
-        held = tempfile.TemporaryFile()
-        table = np.memmap(held, np.int64, "w+", shape=shape)
-    else:
-        table = np.zeros(shape, np.int64)
-    best, early = table  # early: the most that is gained before a block of this run, less what lies before it
+    if cells is not None and (len(row) + 1) * (len(own) + 1) > cells:
+        return []
+    best, early = np.zeros((2, len(row) + 1, len(own) + 1), np.int64)  # early: the most that is gained before a block of this run, less what lies before it
     run, early[0] = np.zeros(len(own) + 1, np.int64), -gains
     for p, x in enumerate(row, 1):
         match = column == x
@@ -142,13 +140,10 @@ def _gap(a: list, b: list, words: list[int], least: int, i: int, m: int, j: int,
                 k += 1
             out += [(theirs[p - t], own[q - t]) for t in range(1, k + 1)]
             p, q = p - k, q - k
-    if held:
-        del best, early, table
-        held.close()
     return out
 
 
-def align(a: list, b: list, words: list[int] | None = None, least: int = 1) -> list[tuple[int, int]]:
+def align(a: list, b: list, words: list[int] | None = None, least: int = 1, cells: int | None = None) -> list[tuple[int, int]]:
     """Pairs (i, j) with a[i] == b[j], ascending in both: patience diff, with _gap() where no line is unique on both sides.
     Without `words` every line counts alike, and _gap() is a longest common subsequence."""
     words = [1] * len(b) if words is None else words
@@ -165,7 +160,7 @@ def align(a: list, b: list, words: list[int] | None = None, least: int = 1) -> l
             continue
         once = {x for x, k in Counter(a[i:m]).items() if k == 1} & {x for x, k in Counter(b[j:n]).items() if k == 1}
         if not once:
-            out += _gap(a, b, words, least, i, m, j, n)
+            out += _gap(a, b, words, least, i, m, j, n, cells)
             continue
         place = {x: k for k, x in enumerate(a[i:m], i) if x in once}
         piles, tops, back = [], [], {}
@@ -187,10 +182,10 @@ def align(a: list, b: list, words: list[int] | None = None, least: int = 1) -> l
     return sorted(out)
 
 
-def common_lines(a: list, b: list, words: list[int], least: int = MIN_BLOCK_WORDS) -> list[int]:
+def common_lines(a: list, b: list, words: list[int], least: int = MIN_BLOCK_WORDS, cells: int | None = None) -> list[int]:
     """Lines of b inside aligned blocks of `least` words or more."""
     out, block = [], []
-    for i, j in [*align(a, b, words, least), (-1, -1)]:
+    for i, j in [*align(a, b, words, least, cells), (-1, -1)]:
         if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
             if sum(words[q] for _, q in block) >= least:
                 out += [q for _, q in block]
@@ -199,15 +194,45 @@ def common_lines(a: list, b: list, words: list[int], least: int = MIN_BLOCK_WORD
     return out
 
 
+def _runs(codes: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes (two in one row) of the shortest runs of `least` words from each line and up to each. Code 0 is a
+    line that the other side lacks: no run has one."""
+    total, bad = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(codes == 0)]
+    at = np.arange(len(n))
+    end, start = np.searchsorted(total, total[:-1] + least), np.searchsorted(total, total[1:] - least, "right") - 1
+    ahead, behind = end <= len(n), start >= 0
+    starts, ends = np.r_[at[ahead], start[behind]], np.r_[end[ahead], at[behind] + 1]
+    whole = bad[starts] == bad[ends]
+    starts, ends = starts[whole], ends[whole]
+    values = codes.astype(np.uint64)
+    return starts, ends, np.stack([span_hashes(values, starts, ends, k) for k in (0, 1)], 1)
+
+
+def deleted_lines(a: list, b: list, words: list[int], least: int = MIN_BLOCK_WORDS, cells: int | None = None) -> list[int]:
+    """Lines of b inside any run of `least` words or more that a has too: those of the alignment, and those in blocks that have
+    moved or repeat, by shortest runs."""
+    cells = DENSE if cells is None else cells
+    gone, theirs = set(common_lines(a, b, words, least, cells)), set(a)
+    if all(q in gone or x not in theirs for q, x in enumerate(b)):
+        return sorted(gone)
+    code = {x: k for k, x in enumerate((x for x in dict.fromkeys(b) if x in theirs), 1)}
+    weight = np.zeros(len(code) + 1, np.int64)
+    own, other = (np.array([code.get(x, 0) for x in side], np.int64) for side in (b, a))
+    weight[own] = words
+    weight[0] = 0
+    _, _, known = _runs(other, weight[other], least)
+    starts, ends, keys = _runs(own, weight[own], least)
+    held = set(map(bytes, known))
+    for k in np.flatnonzero([bytes(x) in held for x in keys]).tolist():
+        gone.update(range(starts[k], ends[k]))
+    return sorted(gone)
+
+
 def _pairs(texts: DataFrame) -> DataFrame:
-    """(at, first): texts to align, the later and an earlier one, each as struct(doc_id, row)."""
+    """(at, first): texts to align, the later and an earlier one, each as struct(doc_id, row): each holder of a key with the first."""
     each = texts.select(F.struct("doc_id", "row").alias("at"), F.explode(F.array_distinct("keys")).alias("key"))
-    met = each.groupBy("key").agg(F.min("at").alias("first"), F.max("at.doc_id").alias("last"), F.count("*").alias("n")).filter("first.doc_id < last").drop("last")
-    held = each.join(met, "key")
-    frequent = held.filter(F.col("n") > RARE).select("at", "first")
-    rare = held.filter(F.col("n") <= RARE).groupBy("key").agg(F.collect_list("at").alias("all"))  # RARE at most
-    rare = rare.select(F.explode("all").alias("at"), "all").select("at", F.explode("all").alias("first"))
-    return frequent.unionByName(rare).filter("first.doc_id < at.doc_id").distinct()
+    met = each.groupBy("key").agg(F.min("at").alias("first"), F.max("at.doc_id").alias("last")).filter("first.doc_id < last")
+    return each.join(met.select("key", "first"), "key").select("at", "first").filter("first.doc_id < at.doc_id").distinct()
 
 
 def _aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -228,7 +253,7 @@ def _aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 lines = list(zip(part.column(3)[k].values.to_pylist(), part.column(4)[k].values.to_pylist(), strict=True))
                 if not later:
                     theirs = lines
-                elif gone := common_lines(theirs, lines, part.column(5)[k].values.to_pylist()):
+                elif gone := deleted_lines(theirs, lines, part.column(5)[k].values.to_pylist()):
                     out.append((at[k].as_py()["row"], gone))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int32()))], ["row", "gone"])
 

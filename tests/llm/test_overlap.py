@@ -199,3 +199,30 @@ def test_op7_links_by_runs(spark):
     texts = [x, y, f"{x}\n{y}", f"{x}\n{y}", f"{x}\n\n{y}", f"{x}\n\n{y}", f"head\n{short}", f"other\n{short}\nend", "a b c\nd e f", "a b c\nd e f"]
     out = {r.doc_id: r.n_removed for r in line_align.digest(corpora.frame(spark, [(k, t, None, None, 0) for k, t in enumerate(texts)])).collect()}
     assert out == {0: 0, 1: 0, 2: 0, 3: 2, 4: 0, 5: 3, 6: 0, 7: len(short.split("\n")), 8: 0, 9: 0}
+
+
+def test_op7_any_number_of_holders(spark):
+    """Moved blocks and blank lines go alike, whether eight documents hold them or twelve; rare or not."""
+    x, y = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    for holders in (8, 12, 30):
+        rows = [(0, f"{y}\n{x}", None, None, 0)] + [(k, f"{x}\n{y}\nonly {k}", None, None, 0) for k in range(1, holders)]
+        out = {r.doc_id: r.n_removed for r in line_align.digest(corpora.frame(spark, rows)).collect()}
+        assert out == {0: 0} | {k: 2 for k in range(1, holders)}
+    short, tail = "a b c\n\nd e f\n\ng h i", "j k l\nm n"
+    texts = [short, f"{tail}\n\n{short}", f"{short}\n\n\n{tail}", *[f"{tail}\n{short}\n\nz {k % 3}\n{tail}\nx" for k in range(14)], f"\n\n{tail}\n{short}\n\n", f"{x}\n\n\n", f"\n\n{x}\n\n", f"\n{x}\n"]
+    rows = [(k, t, None, None, 0) for k, t in enumerate(texts)]
+    assert Counter(tuple(r) for r in line_align.digest(corpora.frame(spark, rows)).collect()) == Counter(plain7(rows))
+
+
+def test_op7_shuffled_lines(spark):
+    """Many holders, every order of lines, blanks between them: what each loses is what all pairs and all runs tell."""
+    import random
+
+    r = random.Random(11)
+    lines = ["", "", "a b", "c d e", "f g h i", "j k l m n", "o p q r s t u v", "w x y z a b c d e"]
+    rows = [(k, "\n".join(r.choice(lines) for _ in range(r.randint(1, 14))), None, None, 0) for k in range(60)]
+    assert Counter(tuple(x) for x in line_align.digest(corpora.frame(spark, rows)).collect()) == Counter(plain7(rows))
+    for _ in range(300):
+        a, b = ([r.choice(lines) for _ in range(r.randint(1, 12))] for _ in "ab")
+        gone = line_align.deleted_lines(a, b, [len(x.split()) for x in b], cells=r.choice([0, 1 << 20]))
+        assert gone == sorted(blocks7([(0, "\n".join(a)), (1, "\n".join(b))])[1][2])
