@@ -1,0 +1,85 @@
+"""Keyed windows over partitions of any cut: a key in one partition or in all, dense and sparse, forced events, equal times."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from folio.streaming import limits
+
+
+def plain_limit(rows, window, most):
+    state, out = {}, {}
+    for key, ts, id_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2])):
+        end, n = state.get(key, (None, 0))
+        if end is None or ts >= end:
+            end, n = ts + window, 0
+        state[key] = (end, n + 1)
+        out[id_] = (n + 1, n + 1 <= most, None if n + 1 <= most else -(-(end - ts) // 1000))
+    return out
+
+
+def plain_throttle(rows, gap):
+    last, out = {}, set()
+    for key, ts, id_, done in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2])):
+        if key not in last or ts - last[key] >= gap or done:
+            last[key] = ts
+            out.add(id_)
+    return out
+
+
+def made(seed, n, keys, spread):
+    r = random.Random(seed)
+    return [(r.choice(keys), r.randint(0, spread), f"{i:06d}", r.random() < 0.02) for i in range(n)]
+
+
+@pytest.mark.parametrize("rows_each", [7, 40, 1 << 20])
+@pytest.mark.parametrize(("keys", "spread", "window"), [(["a"], 5000, 60), (["a"], 300, 2000), (["a", "a", "a", "b", None, "c"], 9000, 700), ([str(k) for k in range(80)], 4000, 500)])
+def test_cuts(spark, monkeypatch, rows_each, keys, spread, window):
+    monkeypatch.setattr(limits, "ROWS", rows_each)
+    rows = made(len(keys) + spread, 600, keys, spread)
+    events = spark.createDataFrame(rows, "key string, ts long, id string, done boolean")
+    found = {r.id: (r["count"], r.allowed, r.retry_after) for r in limits.rate_limit(events, window, 3).collect()}
+    assert found == plain_limit([r[:3] for r in rows], window, 3)
+    assert {r.id for r in limits.throttle(events, window).collect()} == plain_throttle(rows, window)
+
+
+def test_equal_times_nulls_and_nothing(spark, monkeypatch):
+    monkeypatch.setattr(limits, "ROWS", 10)
+    rows = [("a", 5, f"{i:03d}", i == 77) for i in range(100)] + [("a", 5 + 60, f"z{i:03d}", None) for i in range(30)]
+    events = spark.createDataFrame([*rows, ("a", None, "lost", False)], "key string, ts long, id string, done boolean")
+    found = {r.id: (r["count"], r.allowed, r.retry_after) for r in limits.rate_limit(events, 60, 50).collect()}
+    assert found == plain_limit([r[:3] for r in rows], 60, 50)
+    assert {r.id for r in limits.throttle(events, 60).collect()} == plain_throttle(rows, 60) == {"000", "077", "z000"}
+    assert limits.rate_limit(events.limit(0), 60, 5).count() == 0 and limits.throttle(events.limit(0), 60).count() == 0
+    same = spark.createDataFrame([("a", 1, "x")] * 40, "key string, ts long, id string")
+    assert sorted(r["count"] for r in limits.rate_limit(same, 60, 5).collect()) == list(range(1, 41))
+    with pytest.raises(ValueError, match="wide"):
+        limits.rate_limit(same, 0)
+
+
+def test_steps_are_what_a_walk_leaves():
+    r = np.random.default_rng(4)
+    for _ in range(400):
+        ts = np.sort(r.integers(0, r.choice([30, 400]), r.integers(1, 40)))
+        forced = r.random(len(ts)) < r.choice([0, 0.05, 0.5]) if r.random() < 0.7 else None
+        width = int(r.choice([1, 7, 50, 900]))
+        table = limits.steps(ts, forced, width, False)
+        for end in range(int(ts[0]) - 2, int(ts[0]) + width + 1):
+            at = limits.firsts(ts, forced, width, end)
+            hit = next((x for x in table if end <= x[0]), None)
+            assert (hit and hit[1]) == (int(ts[at[-1]]) if at else None)
+            if hit and forced is None:
+                assert hit[2] == at[-1]
+        at = limits.firsts(ts, forced, width, None)
+        assert limits.steps(ts, forced, width, True)[0][1] == ts[at[-1]]
+
+
+def test_one_hot_key(spark):
+    """Ten million events of one key: no task sees more than a few partitions' worth of them."""
+    n, window = 10_000_000, 60_000
+    events = spark.range(n).select(F.lit("hot").alias("key"), (F.col("id") * 3).alias("ts"), F.lpad(F.col("id").cast("string"), 8, "0").alias("id"))
+    got = limits.rate_limit(events, window, 100).agg(F.count("*").alias("n"), F.sum(F.col("allowed").cast("long")).alias("allowed"), F.max("count").alias("most"), F.max("retry_after").alias("wait")).first()
+    windows = n * 3 // window
+    assert (got.n, got.allowed, got.most, got.wait) == (n, windows * 100, window // 3, 60)
