@@ -1,49 +1,31 @@
-"""Scanning document trees and archives."""
+"""Scanning document trees."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.sources.zips import scan_zip  # noqa: F401
+
 EXTENSIONS = r"\.(txt|html?|md|markdown|pdf)\z"
 
 
-def scan_tree(spark: SparkSession, root: str, ext: str = EXTENSIONS) -> DataFrame:
-    """(file_path, content): documents below root; bytes that are not UTF-8 read as U+FFFD, PDFs are not decoded. The folder
-    listing and the reads are Spark's own, so any store and any number of files will do."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
+def texts(files: DataFrame) -> DataFrame:
+    """(file_path, content) of the documents among binary files: bytes that are not UTF-8 read as U+FFFD, PDFs are not decoded."""
     path = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    files = files.filter(F.lower("path").rlike(ext))
+    files = files.filter(F.lower("path").rlike(EXTENSIONS))
     text = F.when(F.lower("path").endswith(".pdf"), F.lit("")).otherwise(F.make_valid_utf8(F.col("content").cast("string")))
     return files.select(path.alias("file_path"), text.alias("content"))
 
 
-def scan_zip(spark: SparkSession, root: str, suffix: str = "") -> DataFrame:
-    """(archive, entry, bytes, error): the entries of every .zip below root whose name ends with suffix in any case. A bad
-    archive or entry gives one row with its error and does not stop the others. 7z needs an external program: extract first,
-    then scan_tree."""
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                rows = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for info in z.infolist():
-                            if info.is_dir() or not info.filename.lower().endswith(suffix.lower()):
-                                continue
-                            try:
-                                rows.append((path, info.filename, z.read(info), None))
-                            except Exception as e:  # noqa: BLE001  a bad entry is told and passed over
-                                rows.append((path, info.filename, None, str(e)))
-                except Exception as e:  # noqa: BLE001
-                    rows.append((path, None, None, str(e)))
-                yield pd.DataFrame(rows, columns=["archive", "entry", "bytes", "error"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.lower("path").endswith(".zip"))
-    return files.select("path", "content").mapInPandas(read, "archive string, entry string, bytes binary, error string")
+def scan_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(file_path, content): documents below root. The folder listing and the reads are Spark's own, so any store and any number of
+    files will do."""
+    return texts(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root))
+
+
+def stream_tree(spark: SparkSession, root: str, files: int = 100, delete: bool = False) -> DataFrame:
+    """The same as a stream, `files` at a time; with delete, files go once they have been read."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    stream = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("maxFilesPerTrigger", files)
+    return texts((stream.option("cleanSource", "delete") if delete else stream).load(root))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folio import schemas
 from folio.operators import catalog, enrich, mutate, search
 from folio.sources import files, ingest
+from folio.sources.library import Library
 from folio.streaming import limits
 
 
@@ -160,9 +161,10 @@ def test_ingest(spark, tmp_path):
     (tmp_path / "tree/skip.bin").write_text("no")
     games = spark.createDataFrame([], schemas.GAMES)
     assert ingest.ingest(spark, str(tmp_path / "tree"), str(tmp_path / "out"), games, 5) == {"imported": 3, "skipped": 0, "errors": 0}
-    got = {r.title: r for r in spark.read.parquet(str(tmp_path / "out/guides")).collect()}
+    library = Library(spark, str(tmp_path / "out"))
+    got = {r.title: r for r in library.table("guides").collect()}
     assert set(got) == {"Star Road FAQ", "Maps", "Read me"} and json.loads(got["Maps"].metadata)["platform"] == "SNES" and "�" in got["Star Road FAQ"].content
-    made = spark.read.parquet(str(tmp_path / "out/games")).collect()
+    made = library.table("games").collect()
     assert [(g.title, json.loads(g.metadata)["external_id"]) for g in made] == [("Star Road", "12")]
     assert got["Maps"].game_id == got["Star Road FAQ"].game_id == made[0].id and got["Read me"].game_id is None
 

@@ -1,0 +1,137 @@
+"""Archives read by seeking, and imports that go on where they were stopped."""
+
+import json
+import struct
+import zipfile
+
+import pytest
+
+from folio.sources import files, ingest, zips
+from folio.sources.library import Library
+
+
+def rows(df):
+    return sorted((r.archive.rsplit("/", 1)[-1], r.entry or "", r.piece if r.piece is not None else -1, bytes(r.bytes or b""), r.error) for r in df.collect())
+
+
+def test_methods_and_bad_entries(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.ZIP", "w") as z:
+        z.writestr("stored.txt", b"one", zipfile.ZIP_STORED)
+        z.writestr("packed.TXT", b"two" * 1000, zipfile.ZIP_DEFLATED)
+        z.writestr("b.txt", b"three", zipfile.ZIP_BZIP2)
+        z.writestr("l.txt", b"four", zipfile.ZIP_LZMA)
+        z.writestr("folder/", b"")
+        z.writestr("empty.txt", b"")
+        z.writestr("other.bin", b"no")
+        z.writestr("hurt.txt", b"hurt text", zipfile.ZIP_STORED)
+    raw = (tmp_path / "a.ZIP").read_bytes()
+    (tmp_path / "a.ZIP").write_bytes(raw.replace(b"hurt text", b"hurt test"))
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub/bad.zip").write_bytes(b"no archive")
+    (tmp_path / "none.txt").write_text("x")
+    got = {(a, e): (p, b, err) for a, e, p, b, err in rows(files.scan_zip(spark, str(tmp_path), ".txt"))}
+    assert set(got) == {("a.ZIP", x) for x in ("stored.txt", "packed.TXT", "b.txt", "l.txt", "empty.txt", "hurt.txt")} | {("bad.zip", "")}
+    assert got["a.ZIP", "stored.txt"] == (0, b"one", None) and got["a.ZIP", "packed.TXT"] == (0, b"two" * 1000, None) and got["a.ZIP", "b.txt"][1] == b"three"
+    assert got["a.ZIP", "empty.txt"] == (0, b"", None) and "method" in got["a.ZIP", "l.txt"][2] and "checksum" in got["a.ZIP", "hurt.txt"][2] and got["bad.zip", ""][2]
+    assert rows(files.scan_zip(spark, f"file://{tmp_path}", ".bin")) == [("a.ZIP", "other.bin", 0, b"no", None), *[r for r in rows(files.scan_zip(spark, str(tmp_path), ".bin")) if r[0] == "bad.zip"]]
+    (tmp_path / "void").mkdir()
+    assert files.scan_zip(spark, str(tmp_path / "void")).count() == 0
+
+
+def test_partitions_are_ranges_of_entries(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "many.zip", "w") as z:
+        for i in range(100):
+            z.writestr(f"{i:03d}.txt", f"text {i} ".encode() * 50)
+    df = zips.scan_zip(spark, str(tmp_path), part=5000)
+    assert df.rdd.getNumPartitions() >= 8
+    assert [(e, b) for _, e, _, b, _ in rows(df)] == [(f"{i:03d}.txt", f"text {i} ".encode() * 50) for i in range(100)]
+
+
+def test_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(zips, "PIECE", 1000)
+    data = bytes(range(256)) * 40
+    with zipfile.ZipFile(tmp_path / "p.zip", "w") as z:
+        z.writestr("s", data, zipfile.ZIP_STORED)
+        z.writestr("d", data, zipfile.ZIP_DEFLATED)
+    reader = zips.ZipReader({"path": str(tmp_path), "partitionbytes": "3500"})
+    parts = reader.partitions()
+    assert sum(any(x.name == "s" for x in p.spans) for p in parts) == 4
+    got = {}
+    for p in parts:
+        for batch in reader.read(p):
+            r = batch.to_pylist()[0]
+            assert r["error"] is None and len(r["bytes"]) <= 1000
+            got[r["entry"], r["piece"]] = r["bytes"]
+    for name in "sd":
+        assert b"".join(got[name, k] for k in range(len([1 for e, _ in got if e == name]))) == data
+
+
+def test_archive_beyond_two_gigabytes(spark, tmp_path):
+    """Stored entries with a hole of zeros each: 3.3 GB by its directory, next to nothing on the disk."""
+    size, path, entries = 1_100_000_000, tmp_path / "large.zip", []
+    with open(path, "wb") as f:
+        for i in range(3):
+            name = f"part{i}.7z".encode()
+            entries.append((name, f.tell()))
+            f.write(struct.pack("<4s5H3L2H", b"PK\x03\x04", 20, 0, 0, 0, 33, 0, size, size, len(name), 0) + name)
+            f.seek(size - 5, 1)
+            f.write(b"end %d" % i)
+        start = f.tell()
+        for name, at in entries:
+            f.write(struct.pack("<4s6H3L5H2L", b"PK\x01\x02", 20, 20, 0, 0, 0, 33, 0, size, size, len(name), 0, 0, 0, 0, 0, min(at, 0xFFFFFFFF)) + name)
+        stop = f.tell()
+        f.write(struct.pack("<4s4H2LH", b"PK\x05\x06", 0, 0, 3, 3, stop - start, start, 0))
+    assert path.stat().st_size > 3 * 2**30
+    df = zips.scan_zip(spark, str(tmp_path), ".7z")
+    assert df.rdd.getNumPartitions() > 40
+    got = df.selectExpr("entry", "piece", "length(bytes) as n", "right(cast(bytes as string), 5) as tail", "error").collect()
+    assert {r.error for r in got} == {None} and max(r.n for r in got) <= zips.PIECE
+    for i in range(3):
+        own = sorted((r.piece, r.n, r.tail) for r in got if r.entry == f"part{i}.7z")
+        assert [p for p, _, _ in own] == list(range(len(own))) and sum(n for _, n, _ in own) == size and own[-1][2] == f"end {i}"
+
+
+def tree(root, first, n):
+    for i in range(first, first + n):
+        folder = root / f"snes/{i % 3}-star-road/faqs"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{i}-star-road-guide.txt").write_text(f"Star Road guide number {i}\nboss {i}\n")
+
+
+def test_import_goes_on(spark, tmp_path):
+    library = Library(spark, str(tmp_path / "lib"), parts=3, shards=2).create()
+    tree(tmp_path / "in", 0, 7)
+    (tmp_path / "in/skip.bin").write_text("no")
+    told = []
+
+    def stops(counts):
+        told.append(counts)
+        raise RuntimeError("a listener's own failure")
+
+    run = lambda **kw: ingest.import_stream(library, str(tmp_path / "in"), str(tmp_path / "check"), 7, files=3, listeners=(stops,), **kw)
+    real, calls = library.insert_guides, []
+
+    def dies(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("disk full")
+        return real(*args)
+
+    library.insert_guides = dies
+    with pytest.raises(Exception, match="disk full"):
+        run().awaitTermination(180)
+    first = ingest.imported(library)
+    assert first["imported"] == library.table("guides").count() and 0 < first["imported"] < 7 and len(told) == 1
+    library.insert_guides = real
+    run().awaitTermination(180)
+    assert ingest.imported(library) == {"imported": 7, "skipped": 0, "errors": 0} and library.table("guides").count() == 7
+    assert [t["imported"] for t in told] == sorted(t["imported"] for t in told) and told[-1]["imported"] == 7
+    games = library.table("games").collect()
+    assert sorted(json.loads(g.metadata)["external_id"] for g in games) == ["0", "1", "2"] and {g.title for g in games} == {"Star Road"}
+    tree(tmp_path / "in", 7, 2)
+    run().awaitTermination(180)
+    assert ingest.imported(library)["imported"] == 9 and library.table("games").count() == 3 and library.search("boss").count() == 9
+    assert ingest.store(library, ingest.parse_files(files.scan_tree(spark, str(tmp_path / "in"))), 8) == {"imported": 0, "skipped": 9, "errors": 0}
+    version = library.store.snapshot().version
+    assert ingest.store(library, ingest.parse_files(files.scan_tree(spark, str(tmp_path / "in"))), 8, ("files", 0)) == {"imported": 9, "skipped": 0, "errors": 0}
+    assert library.store.snapshot().version == version
