@@ -6,6 +6,9 @@ import math
 import re
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from folio.schemas import STATUSES
 
 # Page sizes.
@@ -61,3 +64,23 @@ def init_progress(stage: str, done: float, total: float = 1) -> int:
     if stage == "download":
         return math.floor(done * 0.3)
     return 30 + math.floor(done / max(total, 1) * 30) if stage == "extract" else 60 + math.floor(done / max(total, 1) * 40)
+
+
+# the same for columns of logged requests ---------------------------------------------------------------------------------
+
+
+def leading_int_of(text: Column) -> Column:
+    return F.regexp_extract(text, r"^\s*([+-]?[0-9]+)", 1).try_cast("long")
+
+
+def limit_of(text: Column, default: int = DEFAULT_LIMIT) -> Column:
+    given = leading_int_of(text)
+    return F.least(F.lit(MAX_LIMIT), F.greatest(F.lit(1), F.when(given != 0, given).otherwise(default))).cast("int")
+
+
+def page_of(text: Column) -> Column:
+    return F.greatest(F.lit(1), F.coalesce(leading_int_of(text), F.lit(1)))
+
+
+def tags_of(text: Column) -> Column:
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")

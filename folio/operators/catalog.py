@@ -9,9 +9,10 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions import params
 from folio.functions import text as T
 from folio.functions.params import TITLE_LIMIT
 from folio.schemas import GAME_META, GUIDE_META
@@ -42,6 +43,17 @@ def by_ids_ordered(df: DataFrame, ids: list, key: str = "id", most: int = 100) -
     return df.filter(F.col(key).isin(wanted)).orderBy(place)
 
 
+def rows_of(df: DataFrame, key: str, value: object) -> DataFrame:
+    return df.filter(F.col(key) == value)
+
+
+def first_of(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first row of each key by `order`, aggregated before it is shuffled; a null key has no row."""
+    rest = [c for c in df.columns if c != key and c not in order]
+    first = F.min(F.struct(*order, *rest)).alias("_first")
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(first).select(key, "_first.*")
+
+
 def json_field(name: str, column: str = "metadata") -> Column:
     return F.get_json_object(column, f"$.{name}")
 
@@ -57,6 +69,11 @@ def guides_of_game(df: DataFrame, game_id: str) -> DataFrame:
     return df.filter(F.col("game_id") == game_id).orderBy("title", "id").drop("content", "last_read_position")
 
 
+def hits(df: DataFrame) -> DataFrame:
+    """What a search shows of a guide."""
+    return df.select(*HIT)
+
+
 def summary(df: DataFrame) -> DataFrame:
     return df.select(*SUMMARY, F.length("content").cast("long").alias("content_length"))
 
@@ -176,6 +193,12 @@ def notes_of(df: DataFrame, guide_id: str) -> DataFrame:
     return df.filter(F.col("guide_id") == guide_id).orderBy(F.asc_nulls_last("position"), "created_at", "id")
 
 
+def notes_in_order(df: DataFrame) -> DataFrame:
+    """All notes with their place among those of their guide, from 1."""
+    order = Window.partitionBy("guide_id").orderBy(F.asc_nulls_last("position"), "created_at", "id")
+    return df.withColumn("place", F.row_number().over(order))
+
+
 def bookmarks_of(df: DataFrame, guide_id: str) -> DataFrame:
     return df.filter(F.col("guide_id") == guide_id).orderBy("position", "id")
 
@@ -214,6 +237,21 @@ def stats(df: DataFrame, games_: DataFrame) -> dict[str, DataFrame]:
     return {"guides": total(df), "by_format": by_format(df), "recent": summary(page(df, [F.desc("created_at")], 10)), "games": total(games_), "with_guides": games_with_guides(df)}
 
 
+def envelope(df: DataFrame, order: list[Column], asked: params.Page, **filters) -> DataFrame:
+    """One row `json`: a page of rows as {data, pagination, filters}, made in one plan; filters are those that are set. The page has
+    params.MAX_LIMIT rows at most."""
+    rows = page(df, order, asked.limit, asked.offset)
+    held = F.sort_array(F.collect_list(F.struct("_place", F.struct(*df.columns).alias("row"))))
+    data = rows.withColumn("_place", F.monotonically_increasing_id()).agg(F.transform(held, lambda r: r["row"]).alias("data"))  # a page
+    n = df.agg(F.count("*").alias("total"))
+    pages = F.ceil(F.col("total") / asked.limit)
+    fields = [F.col("data"), F.struct(F.lit(asked.page).alias("page"), F.lit(asked.limit).alias("limit"), F.col("total"), pages.alias("totalPages")).alias("pagination")]
+    active = {k: v for k, v in filters.items() if v}
+    if active:
+        fields.append(F.struct(*[(F.array(*map(F.lit, v)) if isinstance(v, list | tuple) else F.lit(v)).alias(k) for k, v in active.items()]).alias("filters"))
+    return data.join(n).select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def union_distinct(first: DataFrame, second: DataFrame, key: str = "id") -> DataFrame:
     """Rows of first, then those of second whose key is not among them."""
     return first.withColumn("_bucket", F.lit(0)).unionByName(second.join(first.select(key), key, "left_anti").withColumn("_bucket", F.lit(1)))

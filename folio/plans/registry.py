@@ -12,6 +12,9 @@ from folio.functions import text as T
 from folio.operators import catalog, enrich, mutate, search
 from folio.plans.views import GAMES_SQL, GUIDES_SQL, games, guides, table
 from folio.sources import ingest
+from folio.sources.library import Library
+from folio.sources.shared import scratch_dir
+from folio.sources.store import Store
 from folio.streaming import limits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,7 +63,7 @@ def guide_by_id(spark, d):
 
 @query("select o_orderkey, o_totalprice from orders where o_custkey = 7")
 def orders_of_customer(spark, d):
-    return table(spark, d, "orders").filter("o_custkey = 7").select("o_orderkey", "o_totalprice")
+    return catalog.rows_of(table(spark, d, "orders"), "o_custkey", 7).select("o_orderkey", "o_totalprice")
 
 
 @query(f"select id, title, format, file_path, created_at, updated_at from {GUIDES_SQL} where game_id = 'src3'")
@@ -98,9 +101,11 @@ def recently_read(spark, d):
     return catalog.recently_read(guides(spark, d)).select("id", "last_read_position", "updated_at")
 
 
-@query(f"select id from {GUIDES_SQL} order by id limit 100")
+@query(f"select id from {GUIDES_SQL} where id % 4 > 0 order by id limit 100")
 def missing_metadata(spark, d):
-    return catalog.missing(guides(spark, d), "metadata").select("id")
+    """Analysed, without metadata, without the key, with a null there."""
+    kinds = F.when(F.col("id") % 4 == 0, '{"aiAnalyzedAt":5}').when(F.col("id") % 4 == 2, "{}").when(F.col("id") % 4 == 3, '{"aiAnalyzedAt":null}')
+    return catalog.missing(guides(spark, d).withColumn("metadata", kinds), "metadata").select("id")
 
 
 @query(f"select id from {GUIDES_SQL} where id % 4 < 3 order by id limit 100")
@@ -110,14 +115,15 @@ def missing_tags(spark, d):
     return catalog.missing(guides(spark, d).withColumn("metadata", lacking), "tags").select("id")
 
 
-@query(f"select id from {GUIDES_SQL} order by id limit 100")
+@query(f"select id from {GUIDES_SQL} where id % 4 > 0 order by id limit 100")
 def missing_summary(spark, d):
-    return catalog.missing(guides(spark, d), "summary").select("id")
+    kinds = F.when(F.col("id") % 4 == 0, '{"summary":"s"}').when(F.col("id") % 4 == 2, "{}").when(F.col("id") % 4 == 3, '{"summary":""}')
+    return catalog.missing(guides(spark, d).withColumn("metadata", kinds), "summary").select("id")
 
 
-@query(f"select count(*)::bigint as total from {GUIDES_SQL}")
+@query(f"select count(*)::bigint as total from {GUIDES_SQL} where id % 5 > 1")
 def unanalysed(spark, d):
-    return catalog.total(catalog.unanalysed(guides(spark, d)))
+    return catalog.total(catalog.unanalysed(guides(spark, d).withColumn("ai_analyzed_at", F.when(F.col("id") % 5 < 2, F.col("created_at")))))
 
 
 @query(f"select id, title, status from {GAMES_SQL} where platform = 'Brand#11' and status = 'in_progress' order by title, id limit 20")
@@ -146,9 +152,12 @@ def orders_by_ids(spark, d):
     return catalog.by_ids(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), ids, "o_orderkey")
 
 
-@query("select conv_id, turn, role from conversations")
+@query("select conv_id, turn, role, row_number() over (partition by conv_id order by case when turn % 3 != 2 then turn end nulls last, -turn) as place from conversations")
 def turns_sorted(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", "role").orderBy(F.asc_nulls_last("turn"), "conv_id")
+    """Every conversation's turns in the order of notes, those without a position last."""
+    turns = table(spark, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    own = catalog.notes_in_order(turns.select("id", F.col("conv_id").alias("guide_id"), F.when(F.col("turn") % 3 != 2, F.col("turn")).alias("position"), (-F.col("turn")).alias("created_at"), "turn", "role"))
+    return own.select(F.col("guide_id").alias("conv_id"), "turn", "role", "place")
 
 
 @query("select conv_id, turn, role from conversations")
@@ -247,8 +256,8 @@ def import_stats(spark, d):
 
 @query("select o_custkey, min(o_orderdate) as first_date, arg_min(o_orderkey, {'a': o_orderdate, 'b': o_orderkey}) as first_order from orders group by o_custkey")
 def first_order_per_customer(spark, d):
-    first = F.min(F.struct("o_orderdate", "o_orderkey"))
-    return table(spark, d, "orders").groupBy("o_custkey").agg(first.alias("f")).select("o_custkey", F.col("f.o_orderdate").alias("first_date"), F.col("f.o_orderkey").alias("first_order"))
+    orders = table(spark, d, "orders").select("o_custkey", F.col("o_orderdate").alias("first_date"), F.col("o_orderkey").alias("first_order"))
+    return catalog.first_of(orders, "o_custkey", ["first_date", "first_order"])
 
 
 @query("select distinct p_brand as platform from part")
@@ -432,17 +441,39 @@ def search_stemmed(spark, d):
     return _searched(spark, d, "licensing OR versions")
 
 
+_MADE: dict[tuple, object] = {}
+
+
+def _once(spark, d, name: str, make: Callable):
+    """What make() stores for the tables below d, made once a session: searches of one index do not build it anew."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
+def _stored(spark, d, stemmed: bool = True) -> search.Stored:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return _once(spark, d, f"index {stemmed}", lambda: search.stored(docs, ["text"], scratch_dir(spark, "index"), stemmed=stemmed, shards=32))
+
+
+def _looked_up(spark, d, query: str, stemmed: bool = True) -> DataFrame:
+    """The ranking by the stored index."""
+    scored = search.score(*search.opened(spark, _stored(spark, d, stemmed), query), query, stemmed)
+    return search.top(scored, 50).withColumn("score", F.round("score", 6))
+
+
 _PHRASE = "select a.doc_id, count(*) as tf from t a join t b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.w = 'of' and b.w = 'the' group by 1"
 
 
 @query(f"select doc_id, round(score, 6) as score from {_bm25_sql(_DOCS_SQL, ['text'], [_PHRASE])}")
 def search_phrase(spark, d):
-    return _searched(spark, d, '"of the"', stemmed=False)
+    return _looked_up(spark, d, '"of the"', stemmed=False)
 
 
 @query(f"select doc_id, round(score, 6) as score from {_bm25_sql(_DOCS_SQL, ['text'], ['select doc_id, count(*) as tf from t where starts_with(w, chr(108) || chr(105) || chr(99)) group by 1', _word('nes')])}")
 def search_prefix(spark, d):
-    return _searched(spark, d, "lic* OR NES", stemmed=False)
+    return _looked_up(spark, d, "lic* OR NES", stemmed=False)
 
 
 _BOTH = f"doc_id in (select doc_id from ({_word(*_LICENCE)})) and doc_id in (select doc_id from ({_word('the')})) and doc_id not in (select doc_id from ({_word(*_VERSION)}))"
@@ -450,7 +481,7 @@ _BOTH = f"doc_id in (select doc_id from ({_word(*_LICENCE)})) and doc_id in (sel
 
 @query(f"select doc_id, round(score, 6) as score from {_bm25_sql(_DOCS_SQL, ['text'], [_word(*_LICENCE), _word('the')], _BOTH)}")
 def search_and_not(spark, d):
-    return _searched(spark, d, "licensed AND (the NOT version)")
+    return _looked_up(spark, d, "licensed AND (the NOT version)")
 
 
 @query(f"select doc_id as id, round(score, 6) as score from {_bm25_sql(_GUIDE_TEXTS, ['title', 'tags'], [_word('fr', col='tags'), _word('7', col='title')])}")
@@ -460,6 +491,108 @@ def search_column(spark, d):
     return search.top(scored, 50).select(F.col("doc_id").alias("id"), F.round("score", 6).alias("score"))
 
 
+# stored tables and what follows their changes ---------------------------------------------------------------------------
+
+#: Guides after the changes of _changed(): some renamed and with other tags, some with other contents, some gone, a game gone.
+_AFTER = f"""(select id, case when lang = 'fr' then 'Version ' || id else title end as title, case when lang = 'de' then 'licensed ' || content else content end as content,
+  case when game_id != 'src1' then game_id end as game_id, case when lang = 'fr' then 'xx' else lang end as platform, case when lang = 'fr' then 'changed' else source end as second,
+  case when lang = 'fr' then '["xx","changed"]' else '["' || lang || '","' || source || '"]' end as tags, case when lang in ('fr', 'de') then 9 else 5 end as updated_at from {GUIDES_SQL} where id % 7 != 3)"""
+
+
+def _changed(spark, d) -> Library:
+    """A library of all documents, in four commits: insert, update, delete, and a deletion of a game."""
+
+    def make() -> Library:
+        library = Library(spark, scratch_dir(spark, "library"), parts=8, shards=4).create()
+        own = guides(spark, d).withColumn("id", F.col("id").cast("string"))
+        sources = own.select(F.col("game_id").alias("id"), F.col("game_id").alias("title")).distinct()
+        library.store.run(lambda tx: (tx.insert("games", sources, 5), library.insert_guides(tx, own.drop("created_at", "updated_at"), 5)))
+        lang = catalog.json_field("platform")
+        fr = own.filter(lang == "fr").select("id", F.concat(F.lit("Version "), "id").alias("title"), F.lit('{"platform":"xx","tags":["xx","changed"]}').alias("metadata"))
+        de = own.filter(lang == "de").select("id", F.concat(F.lit("licensed "), "content").alias("content"))
+        library.store.run(lambda tx: (library.update_guides(tx, fr, 9), library.update_guides(tx, de, 9)))
+        library.store.run(lambda tx: library.delete_guides(tx, own.filter(F.col("id").cast("long") % 7 == 3).select("id")))
+        library.store.run(lambda tx: library.delete_games(tx, spark.createDataFrame([("src1",)], "id string")))
+        return library
+
+    return _once(spark, d, "library", make)
+
+
+@query(f"select id, title, sha256(content) as content, game_id, platform, updated_at::bigint as updated_at from {_AFTER}")
+def stored_guides(spark, d):
+    """Read back after an insert, updates, a delete and a game's deletion."""
+    g = _changed(spark, d).table("guides")
+    return g.select(F.col("id").cast("long").alias("id"), "title", F.sha2("content", 256).alias("content"), "game_id", catalog.json_field("platform").alias("platform"), "updated_at")
+
+
+@query(f"select id as guide_id, platform as tag from {_AFTER} union select id, second from {_AFTER}")
+def stored_tags(spark, d):
+    return _changed(spark, d).table("guide_tags").select(F.col("guide_id").cast("long").alias("guide_id"), "tag")
+
+
+@query("select distinct lang as platform from documents union select 'xx' from documents where lang = 'fr'")
+def stored_platforms(spark, d):
+    """Those once seen stay."""
+    return _changed(spark, d).table("guide_platforms")
+
+
+@query(f"""with a as {_bm25_sql(_AFTER, ["title", "tags"], [_word(*_VERSION), _word("changed", "change", "changes")], limit=2000)},
+b as {_bm25_sql(_AFTER, ["content"], [_word(*_VERSION), _word("changed", "change", "changes")], limit=2000)},
+r as (select doc_id, score, 'guides' as bucket from a union all select doc_id, score, 'content' from b where doc_id not in (select doc_id from a))
+select doc_id as id, title, round(score, 6) as score, bucket from r join {_AFTER} on id = doc_id""")
+def search_after_changes(spark, d):
+    """The indexes have followed every change."""
+    found = _changed(spark, d).search("version OR changes", 2000)
+    return found.select(F.col("id").cast("long").alias("id"), "title", F.round("score", 6).alias("score"), "bucket")
+
+
+_POSTINGS = _TOKENS.format(col="content", table=_AFTER).replace("strip_accents(lower(content))", "lower(content)")
+
+
+@query(f"select count(*)::bigint as postings, count(distinct doc_id)::bigint as documents, (select sum(length(w) * (pos + doc_id))::bigint from ({_POSTINGS}) t where w in ('the', 'licensed', 'nes') ) as checked from ({_POSTINGS}) t")
+def index_after_changes(spark, d):
+    """All live postings: as many as the present texts have, and those of a few words in their places."""
+    library = _changed(spark, d)
+    live = search.postings_of(spark, library.index("content"))
+    own = live.join(library.table("guides").select(F.col("id").alias("doc_id"), "content"), "doc_id").withColumn("word", F.element_at(search.words_of("content"), F.col("pos") + 1))
+    few = F.when(F.col("word").isin("the", "licensed", "nes"), F.length("word") * (F.col("pos") + 1 + F.col("doc_id").cast("long")))
+    return own.agg(F.count("*").alias("postings"), F.count_distinct("doc_id").alias("documents"), F.sum(few).alias("checked"))
+
+
+@query("""with n as (select l_orderkey as k, sum(l_quantity) as q from lineitem where l_quantity > 30 group by 1)
+select o_orderkey, case when q is null then o_totalprice else q end as o_totalprice, o_orderpriority from orders left join n on k = o_orderkey where o_orderkey % 2 = 0 or q is not null
+union all select -1 - k, q, 'new' from n""")
+def stored_upsert(spark, d):
+    """Half of the orders stored; rows by key replace the old ones or are added, where others are passed over."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    sums = table(spark, d, "lineitem").filter("l_quantity > 30").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("o_totalprice"))
+    new = orders.select("o_orderkey", "o_orderpriority").join(sums, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "o_totalprice", "o_orderpriority")
+    store = Store(spark, scratch_dir(spark, "orders"))
+    with store.begin() as tx:
+        tx.create("orders", "o_orderkey long, o_totalprice double, o_orderpriority string", "o_orderkey", 16)
+        tx.append("orders", orders.filter("o_orderkey % 2 = 0"))
+    with store.begin() as tx:
+        tx.upsert("orders", new, ["o_orderkey"])
+        tx.upsert("orders", new.withColumns({"o_orderkey": -1 - F.col("o_orderkey"), "o_orderpriority": F.lit("new")}), ["o_orderkey"])
+        tx.upsert("orders", orders.filter("o_orderkey % 2 = 0").withColumn("o_totalprice", F.lit(0.0)), ["o_orderkey"], replace=False)
+    return store.table("orders")
+
+
+@query("select count(*)::bigint as imported, (count(*) filter (doc_id % 3 = 0))::bigint as skipped, 0::bigint as errors, count(distinct doc_id % 40)::bigint as games from documents")
+def import_counts(spark, d):
+    """Documents imported in two batches, the first tried twice, and a third of them once more by another name."""
+    library = Library(spark, scratch_dir(spark, "imports"), parts=8, shards=4).create()
+    files = _files(table(spark, d, "documents"))
+    parsed = ingest.parse_files(files.drop("doc_id"))
+    batch = lambda keep: ingest.parse_files(files.filter(keep).drop("doc_id"))
+    ingest.store(library, batch("doc_id % 2 = 0"), 7, ("all", 0))
+    ingest.store(library, parsed, 7, ("all", 0))  # done already
+    ingest.store(library, batch("doc_id % 2 = 1"), 7, ("all", 1))
+    ingest.store(library, batch("doc_id % 3 = 0"), 8, ("more", 0))
+    counts = {k: ingest.imported(library, "all")[k] + ingest.imported(library, "more")[k] for k in ingest.COUNTS}
+    return library.table("games").agg(F.count("*").alias("games")).select(*[F.lit(v).cast("long").alias(k) for k, v in counts.items()], "games")
+
+
 # changes ----------------------------------------------------------------------------------------------------------------
 
 
@@ -584,9 +717,13 @@ def imported_guides(spark, d):
     return _imported(spark, d)[0].select("file_path", "game_id", "format")
 
 
+def _files(docs: DataFrame) -> DataFrame:
+    path = F.concat(F.lit("/lib/nes/"), F.col("doc_id") % 40, F.lit("-super-"), "source", F.lit("/faqs/"), "doc_id", F.lit("-walkthrough.txt"))
+    return docs.select("doc_id", path.alias("file_path"), F.col("text").alias("content"))
+
+
 def _imported(spark, d) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents")
-    files = docs.select(F.concat(F.lit("/lib/nes/"), F.col("doc_id") % 40, F.lit("-super-"), "source", F.lit("/faqs/"), "doc_id", F.lit("-walkthrough.txt")).alias("file_path"), F.col("text").alias("content"))
+    files = _files(table(spark, d, "documents")).drop("doc_id")
     known = spark.range(10).select(F.concat(F.lit("known"), "id").alias("id"), F.to_json(F.struct(F.col("id").cast("string").alias("external_id"))).alias("metadata"))
     return ingest.load(ingest.parse_files(files), known, 7)
 
@@ -647,9 +784,10 @@ def customer_by_key(spark, d):
     return catalog.by_id(table(spark, d, "customer"), 7, "c_custkey").select("c_custkey", "c_name")
 
 
-@query(f"select id, title, format, file_path, game_id, metadata, created_at, updated_at from {GUIDES_SQL}")
+@query(f"select id, title, format, file_path, game_id, metadata, created_at, updated_at from {GUIDES_SQL} where id in (select doc_id from labels where quality = 1)")
 def guide_hits(spark, d):
-    return guides(spark, d).select(*catalog.HIT)
+    wanted = catalog.rows_of(table(spark, d, "labels"), "quality", 1).select(F.col("doc_id").alias("id"))
+    return catalog.hits(catalog.by_ids(guides(spark, d), wanted))
 
 
 @query("select o_orderkey, o_totalprice, place from orders join (values (7, 1), (3, 2), (1, 3), (2, 4)) v(k, place) on o_orderkey = k")
@@ -692,16 +830,30 @@ def note_owned(spark, d):
 
 @query("select doc_id, list_filter(list_transform(string_split(' ' || lang || ', ,' || source || ',', ','), lambda x: trim(x)), lambda x: x != '') as tags from documents")
 def tag_parameter(spark, d):
-    """The tags parameter of a request for each document, read on the driver for each distinct one (language and source)."""
-    docs = table(spark, d, "documents")
+    """The tags parameter of a request for each document."""
     given = F.concat(F.lit(" "), "lang", F.lit(", ,"), "source", F.lit(","))
-    read = [(r[0], params.tags(r[0])) for r in docs.select(given).distinct().collect()]
-    return docs.withColumn("given", given).join(spark.createDataFrame(read, "given string, tags array<string>"), "given").select("doc_id", "tags")
+    return table(spark, d, "documents").select("doc_id", params.tags_of(given).alias("tags"))
 
 
-@query("select * from (values ('0', 20), ('-5', 1), ('500', 100), ('abc', 20), ('10abc', 10), ('7', 7)) v(given, size)")
+_GIVEN = "['0', '-5', '500', 'abc', '10abc', ' 7', '', '99999999999999999999'][doc_id % 8 + 1]"
+
+
+@query(f"""with g as (select doc_id, try_cast(regexp_extract({_GIVEN}, '^\\s*([+-]?[0-9]+)', 1) as bigint) as n from documents)
+select doc_id, least(100, greatest(1, case when n != 0 then n else 20 end))::int as size, least(100, greatest(1, case when n != 0 then n else 50 end))::int as search_size, greatest(1, coalesce(n, 1)) as page from g""")
 def page_parameter(spark, d):
-    return spark.createDataFrame([(g, params.page(1, g).limit) for g in ("0", "-5", "500", "abc", "10abc", "7")], "given string, size int")
+    """Page and size parameters of a request for each document."""
+    given = F.element_at(F.array(*map(F.lit, ("0", "-5", "500", "abc", "10abc", " 7", "", "99999999999999999999"))), (F.col("doc_id") % 8 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", params.limit_of(given).alias("size"), params.limit_of(given, params.SEARCH_LIMIT).alias("search_size"), params.page_of(given).alias("page"))
+
+
+@query(f"""with f as (select id, title, last_read_position from {GUIDES_SQL} where lang = 'fr'), p as (select * from f order by id limit 5 offset 5)
+select (select '[' || string_agg('{{"id":' || id || ',"title":"' || title || '","last_read_position":' || coalesce(last_read_position::varchar, 'null') || '}}', ',' order by id) || ']' from p) as data,
+  '{{"page":2,"limit":5,"total":' || count(*) || ',"totalPages":' || ceil(count(*) / 5)::bigint || '}}' as pagination, '{{"platform":"fr"}}' as filters from f""")
+def page_as_json(spark, d):
+    """A page as the service answers it, taken apart again."""
+    own = catalog.guide_filter(guides(spark, d), "fr").select("id", "title", "last_read_position")
+    answer = catalog.envelope(own, [], params.page(2, 5), platform="fr", tags=[])
+    return answer.select(*[F.get_json_object("json", f"$.{k}").alias(k) for k in ("data", "pagination", "filters")])
 
 
 # keyed state ------------------------------------------------------------------------------------------------------------
@@ -709,18 +861,18 @@ def page_parameter(spark, d):
 _LIMIT = """with recursive e as (select user_id as key, event_id, epoch_ms(ts) as ts, row_number() over (partition by user_id order by epoch_ms(ts), event_id::varchar) as r from events),
 w as (select key, event_id, ts, r, ts + 86400000 as until, 1 as n from e where r = 1
   union all select e.key, e.event_id, e.ts, e.r, case when e.ts >= w.until then e.ts + 86400000 else w.until end, case when e.ts >= w.until then 1 else w.n + 1 end from w join e on e.key = w.key and e.r = w.r + 1)
-select event_id::varchar as id, n::bigint as count, n <= 3 as allowed from w"""
+select event_id::varchar as id, n::bigint as count, n <= 3 as allowed, case when n > 3 then ceil((until - ts) / 1000)::bigint end as retry_after from w"""
 
 
 @query(_LIMIT)
 def rate_limit(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("id"))
-    return limits.rate_limit(e, 86_400_000, 3).select("id", "count", "allowed")
+    return limits.rate_limit(e, 86_400_000, 3).select("id", "count", "allowed", "retry_after")
 
 
-@query("select event_id, (value > 2000) as slow, (event_type = 'x') as not_found from events")
+@query("select event_id, (value * 40 > 2000) as slow, (event_type = 'view') as not_found from events")
 def request_log(spark, d):
-    e = table(spark, d, "events").select("event_id", F.lit(0).alias("start"), F.col("value").alias("end"), F.lit(200).alias("status"))
+    e = table(spark, d, "events").select("event_id", F.lit(0).alias("start"), (F.col("value") * 40).alias("end"), F.when(F.col("event_type") == "view", 404).otherwise(200).alias("status"))
     return limits.request_log(e).select("event_id", "slow", "not_found")
 
 

@@ -19,13 +19,19 @@ def shared_dir(spark: SparkSession) -> str:
     return (root or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below shared_dir() that goes when the session ends."""
+    path = f"{shared_dir(spark)}/folio-{uuid.uuid4().hex}"
+    fs, where = _fs(spark, path)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return f"{path}/{name}"
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """df written below shared_dir() and read back, for a plan that reads it several times. It goes when the session ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folio-{uuid.uuid4().hex}/{name}"
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
-    fs, where = _fs(spark, path)
-    fs.deleteOnExit(where.getParent())
     return spark.read.schema(df.schema).parquet(path)
 
 
