@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import boxed, unboxed
+from folio.llm.common import boxed, save, unboxed
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = "verdict string, text string, kind string"
@@ -98,8 +98,9 @@ def index(rules: DataFrame, pages: DataFrame) -> DataFrame:
 def fits(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """url, rule, verdict of every distinct URL that some rule fits; rule is null where a pattern decides."""
     urls = _subjects(pages)
-    every = F.array_union("tokens", F.array(F.lit("")))
-    candidates = urls.select("url", "place", "whole", F.explode(every).alias("token")).join(index(rules, pages), "token")
+    filed = save(index(rules, pages), "rules")  # of known size: broadcast if it is small, before any URL is dealt out by token
+    every = F.array_union("tokens", F.array(F.lit(""))) if filed.filter("token = ''").limit(1).count() else F.col("tokens")
+    candidates = urls.select("url", "place", "whole", F.explode(every).alias("token")).join(filed, "token")
     hit = candidates.filter(F.rlike(F.when(F.col("kind") == "host", F.col("place")).otherwise(F.col("whole")), F.col("regex")))
     is_host, blocks = F.col("kind") == "host", F.col("verdict") == "block"
     best = hit.groupBy("url").agg(
