@@ -88,7 +88,7 @@ def _subjects(pages: DataFrame) -> DataFrame:
 def index(rules: DataFrame, pages: DataFrame) -> DataFrame:
     """token, verdict, text, kind, regex: every rule under the one of its tokens that fewest URLs hold, or under none ('')."""
     own = compiled(rules)
-    asked = own.select(F.explode("tokens").alias("token")).distinct()
+    asked = save(own.select(F.explode("tokens").alias("token")).distinct(), "tokens")
     met = _subjects(pages).select(F.explode("tokens").alias("token")).join(asked, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     each = own.select("verdict", "text", "kind", "regex", F.explode_outer("tokens").alias("token")).join(met, "token", "left")
     rarest = F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), -F.length("token"), "token"))
