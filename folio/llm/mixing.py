@@ -26,6 +26,8 @@ from folio.llm.common import boxed, let, ranged, running_total, save, unboxed, w
 WEIGHTS, RATIO, CAP, BLOCK, SEED = (5, 2, 1), 1.5, 2.0, 64, 17
 #: A table of sources is broadcast up to this many rows; beyond it Spark joins by shuffle.
 SMALL = 50_000
+#: Repeats of a row that are laid out from one array.
+SPREAD = 1 << 12
 _TINY = 1e-9
 
 
@@ -114,7 +116,9 @@ def plan(documents: DataFrame) -> DataFrame:
 
 def mix(documents: DataFrame) -> DataFrame:
     """One row for each row of documents: doc_id, source, size, source_size, target, copies."""
-    spread = plan(documents).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    # two levels, so that no row holds an array of all its repeats
+    spread = plan(documents).withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(SPREAD).cast("long"))))
+    spread = spread.withColumn("k", F.explode(F.sequence(F.col("lo") + 1, F.least(F.col("m"), F.col("lo") + SPREAD))))
     return spread.select("doc_id", "source", "size", "source_size", "target", (F.col("base") + (F.col("k") <= F.col("extra")).cast("long")).alias("copies"))
 
 

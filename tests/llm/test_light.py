@@ -255,3 +255,13 @@ def test_mixing_clashing_columns_and_repeats(spark):
     assert Counter((r.doc_id, len(corpora.words(r.text)), r.source) for r in out.collect()) == +want
     most = Counter((r.doc_id, r.text, r.source, r.n_chars) for r in out.collect())
     assert max(most.values()) <= 2
+
+
+def test_op4_one_row_repeated(spark):
+    """300,000 times one row: counted once, laid out from arrays of SPREAD; repeats differ by one copy at most."""
+    many = spark.range(300_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("three words here").alias("text"), F.lit("s").alias("source"))
+    few = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("t").alias("source"))
+    got = mixing.mix(many.unionByName(few)).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("size") * F.col("copies")).alias("taken"), F.min("copies").alias("lo"), F.max("copies").alias("hi"), F.min("target").alias("target"))
+    got = {r.source: r for r in got.collect()}
+    assert got["s"].n == 300_000 and got["t"].n == 100 and got["s"].hi - got["s"].lo <= 1
+    assert abs(got["s"].taken - got["s"].target) <= 3 and abs(got["t"].taken - got["t"].target) <= 2
