@@ -54,9 +54,10 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def _tokenised(documents: DataFrame, path: str, end: int) -> DataFrame:
     own = documents.select(F.col("doc_id").cast("long"), "text")
-    # the hash parts rows without an id, and those that repeat one
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    dealt = own.repartitionByRange(partitions(own, "text"), *order).sortWithinPartitions(*order, "text")
+    # the hash parts rows without an id, and those that repeat one; a row's number parts rows that repeat id and text, which may
+    # stand in any order
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("_at")]
+    dealt = own.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(partitions(own, "text"), *order).sortWithinPartitions(*order).drop("_at")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, row = Units.of(path, True), 0

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from folio.llm import packing, vbyte
@@ -87,6 +88,17 @@ def test_op9(spark):
     assert vbyte.digest(corpora.frame(spark, []), BYTE).count() == 0
 
 
+def test_op9_one_row_repeated(spark):
+    """A row that stands 40,000 times is dealt to several tasks, and ids still follow each other."""
+    rows = spark.range(40_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("three words here").alias("text"))
+    rows = rows.unionByName(corpora.frame(spark, [(9, "last", None, None, 0), (1, "first", None, None, 0)]).select("doc_id", "text"))
+    blocks, ranks = vbyte.write(rows, BYTE)
+    assert blocks.groupBy("_part").count().count() > 2
+    got = sorted(vbyte.digest(rows, BYTE).collect(), key=lambda r: r.start)
+    assert [got[0].doc_id, got[-1].doc_id, len(got)] == [1, 9, 40_002]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+
+
 def test_fill_is_closest():
     r = random.Random(5)
     for _ in range(200):
