@@ -43,6 +43,8 @@ ROWS = sum(1 << b for b in BITS) + 1
 SLOT_ROWS = ROWS + CLASSES
 #: Training tokens that a task of one round has at least for each row of weights.
 PER_ROW = 16
+#: Sums of weights up to this size have powers whose sums are ordinary single floats.
+SAFE = 60
 END = np.uint64(0x454E44)
 CHANGE = "shard int, task int, change binary, touched binary"
 
@@ -100,13 +102,14 @@ def contexts(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
 
 
 def _logits(w: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Sums of the weights' rows of each token and the bias, less the largest."""
+    """Sums of the weights' rows of each token and the bias, less the largest where their powers could leave single floats."""
     x = w.take(f[:, 0], 0)
     x += w[-1]
     row = np.empty_like(x)
     for k in range(1, f.shape[1]):
         x += w.take(f[:, k], 0, row, "clip")
-    x -= x.max(1, keepdims=True)
+    if x.size and (x.max() > SAFE or x.min() < -SAFE):
+        x -= x.max(1, keepdims=True)
     return x
 
 
@@ -116,19 +119,49 @@ def log_softmax(w: np.ndarray, f: np.ndarray) -> np.ndarray:
     return x
 
 
+def chosen(w: np.ndarray, f: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+    """log_softmax of each token's own outcome."""
+    x = _logits(w, f)
+    own = x[np.arange(len(x)), outcome]
+    np.exp(x, x)
+    return own - np.log(x @ np.ones(x.shape[1], x.dtype))
+
+
 def _order(key: np.ndarray) -> np.ndarray:
     """Stable order of keys below 2 ** 32; 16 bits at a time are sorted by counting."""
     order, high = np.argsort(key.astype(np.uint16), kind="stable"), (key >> 16).astype(np.uint16)
     return order[np.argsort(high[order], kind="stable")] if high.any() else order
 
 
+def _sums(g: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the rows g[order[first : first + n]] of each segment, n > 1. Neighbours are added until one row is left, so each
+    step halves every segment, long or short, in a few array operations."""
+    out, own = np.empty((len(n), g.shape[1]), g.dtype), np.arange(len(n))
+    while len(own):
+        m = (n + 1) // 2
+        start = np.cumsum(m) - m
+        left = np.repeat(first - 2 * start, m)
+        left += 2 * np.arange(len(left))
+        right, lone = left + 1, (start + m - 1)[n % 2 == 1]
+        right[lone] = left[lone]
+        if order is not None:
+            left, right, order = order[left], order[right], None
+        half, more = g.take(left, 0), g.take(right, 0)
+        more[lone] = 0
+        half += more
+        g, done = half, m == 1
+        out[own[done]] = g[start[done]]
+        first, n, own = start[~done], m[~done], own[~done]
+    return out
+
+
 def learn(w: np.ndarray, f: np.ndarray, cls: np.ndarray) -> None:
     """One gradient step on w; a row's step is divided by the root of its tokens."""
     g = _logits(w, f)
     np.exp(g, g)
-    g /= -g.sum(1, keepdims=True)
+    g /= -(g @ np.ones(g.shape[1], g.dtype))[:, None]
     g[np.arange(len(cls)), cls] += 1
-    w[-1] += STEP * g.mean(0)
+    w[-1] += STEP / len(g) * (np.ones(len(g), g.dtype) @ g)
     for k in range(f.shape[1]):
         order = _order(f[:, k])
         key = f[order, k]
@@ -137,7 +170,7 @@ def learn(w: np.ndarray, f: np.ndarray, cls: np.ndarray) -> None:
         change = g.take(order[at], 0)
         many = np.flatnonzero(n > 1)
         if len(many):  # most features stand once in a step and need no sum
-            change[many] = np.add.reduceat(g.take(order[np.repeat(n > 1, n)], 0), np.cumsum(n[many]) - n[many])
+            change[many] = _sums(g, order, at[many], n[many])
         change *= (STEP / np.sqrt(n)).astype(np.float32)[:, None]
         w[key[at]] += change
 
@@ -290,8 +323,8 @@ def score(documents: DataFrame) -> DataFrame:
             logs = np.zeros(len(h))
             for lo in range(0, len(h), CHUNK):
                 part_of = slice(lo, lo + CHUNK)
-                logs[part_of] = np.take_along_axis(log_softmax(w[:rows_], f[part_of]), cls[part_of, None], 1)[:, 0]
-                logs[part_of] += np.take_along_axis(log_softmax(w[rows_:], g[part_of]), slot[part_of, None], 1)[:, 0]
+                logs[part_of] = chosen(w[:rows_], f[part_of], cls[part_of])
+                logs[part_of] += chosen(w[rows_:], g[part_of], slot[part_of])
             logs = logs / np.log(10) - np.where(slot > 0, np.log10(n + 1.0), room[cls])  # a slot's token counts for nothing more
             found = np.zeros(len(h))
             found[hit] = value[at[hit]]

@@ -49,6 +49,58 @@ def test_op5_learns(spark):
     assert out and sum(r.score for r in out) > sum(r.base_score for r in out) + 0.1 * sum(r.n_tokens for r in out)
 
 
+def test_op5_score_by_hand(spark):
+    """The log-probability of every text, token by token in plain Python, from the trained weights and the counts alone."""
+    docs = corpora.frame(spark, corpora.sample(n=40)).coalesce(1)
+    slots = maxent.Slots(maxent.counts(docs))
+    plan = maxent.Plan(slots.total)
+    w = maxent.train(docs, slots, plan).astype(float)
+    classes, inner = w[: plan.rows], w[plan.rows :]
+    place = {int(h): (int(s), int(n)) for h, s, n in zip(slots.h, slots.slot, slots.n, strict=True)}
+
+    def share(table, at, k):
+        x = [sum(table[i][j] for i in [*at, -1]) for j in range(table.shape[1])]
+        return math.exp(x[k] - max(x)) / sum(math.exp(v - max(x)) for v in x)
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.score for r in maxent.score(docs).collect()}
+    n_rest, v_rest = slots.rest
+    seen = {r.h: r.n for r in maxent.counts(docs).collect()}
+    for doc_id in list(texts)[::4]:
+        h, cls, first = maxent.tokens(pa.array([texts[doc_id]], pa.string()))
+        keys, want = maxent.contexts(h, first), 0.0
+        f, g = maxent._rows(keys, plan.bits), maxent.slot_features(keys, cls, plan.bits)
+        for t, token in enumerate(h.view(np.int64).tolist()):
+            slot = place.get(token, (0, 0))[0]
+            want += math.log10(share(classes, f[t], cls[t])) + math.log10(share(inner, g[t], slot))
+            if not slot:
+                want += math.log10((seen.get(token, 0) + 1) / (n_rest[cls[t]] + v_rest[cls[t]] + 1))
+        assert math.isclose(got[doc_id], want, rel_tol=1e-5, abs_tol=1e-4), doc_id
+
+
+def test_op5_sums_of_segments():
+    """Sums of segments of every length, and a gradient step, against plain loops."""
+    rng = np.random.default_rng(4)
+    n = np.array([2, 3, 700, 4, 5, 2, 31, 32, 33])
+    g, order = rng.normal(0, 1, (n.sum() + 9, 32)), rng.permutation(n.sum() + 9)
+    first = np.cumsum(n) - n + 4
+    assert np.allclose(maxent._sums(g, order, first, n), [g[order[a : a + k]].sum(0) for a, k in zip(first, n, strict=True)])
+    for scale in (0.1, 40):  # ordinary weights, and such whose powers leave single floats
+        w, f, cls = rng.normal(0, scale, (90, 32)).astype(np.float32), np.minimum(rng.zipf(1.3, (500, 3)) - 1, 88), rng.integers(0, 32, 500)
+        own, x = w.copy(), w[f].sum(1).astype(float) + w[-1]
+        p = np.exp(x - x.max(1, keepdims=True))
+        step = np.eye(32)[cls] - p / p.sum(1, keepdims=True)
+        want = w.astype(float)
+        want[-1] += maxent.STEP * step.mean(0)
+        for k in range(3):
+            for key in np.unique(f[:, k]):
+                hit = f[:, k] == key
+                want[key] += maxent.STEP * step[hit].sum(0) / np.sqrt(hit.sum())
+        maxent.learn(own, f, cls)
+        assert np.allclose(own, want, rtol=1e-3, atol=1e-3)
+        assert np.allclose(maxent.chosen(w, f, cls), maxent.log_softmax(w, f)[np.arange(500), cls], atol=1e-4)
+
+
 def test_classes_sum_to_one():
     h, cls, first = maxent.tokens(pa.array(["a b c", None, "x"]))
     w = np.random.default_rng(1).normal(0, 1, (maxent.ROWS, maxent.CLASSES)).astype(np.float32)
@@ -180,6 +232,16 @@ def test_op8_learns_every_language(spark):
     assert language.fit(corpora.frame(spark, rows)).langs == [f"l{k:02}" for k in range(80)]
 
 
+def test_op8_many_labels(spark, monkeypatch):
+    """A column of a hundred thousand labels trains the most frequent ones."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(language, "LANGS", 3)
+    odd = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("noise of some kind").alias("text"), F.concat(F.lit("x"), "id").alias("lang"))
+    own = spark.range(200_000, 200_600).select(F.col("id").alias("doc_id"), F.concat(F.lit("a text "), "id").alias("text"), F.element_at(F.array(F.lit("en"), F.lit("fr"), F.lit("de")), (F.col("id") % 3 + 1).cast("int")).alias("lang"))
+    assert language.fit(own.unionByName(odd)).langs == ["de", "en", "fr"]
+
+
 def test_op8_repeated_rows(spark):
     """Thousands of rows of one id, and one rare language beside them, in training."""
     from pyspark.sql import functions as F
