@@ -165,6 +165,14 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").filter(F.col("text").isNotNull())
 
 
+def _wanted(own: DataFrame) -> DataFrame:
+    """doc_id, mark, seeds: of the seeds of each text, those that some other document has too. A set for each text, so neither many
+    texts under one id nor a row that repeats makes a list longer than the seeds of one text."""
+    seeds = own.select("doc_id", "mark", F.explode("seeds").alias("seed"))
+    met = seeds.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("seed")
+    return seeds.join(met, "seed").groupBy("doc_id", "mark").agg(F.collect_set("seed").alias("seeds"))
+
+
 def graph(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, hits, edges), saved: a narrow row for each document with `first`, the smallest id of its copies; every place of a
     candidate edge (edge, doc_id, mark, pos); the repeated edges (edge, a, b, source, source_mark, at)."""
@@ -172,16 +180,11 @@ def graph(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     first = rows.groupBy("sha").agg(F.min("doc_id").alias("first"))
     narrow = save(rows.select("doc_id", "n_words", "sha").join(first, "sha"), "rows")
     heads = narrow.filter((F.col("doc_id") == F.col("first")) & (F.col("n_words") >= K)).select("doc_id", "sha").distinct()
-    own = save(rows.filter(F.col("n_words") >= K).join(heads, ["doc_id", "sha"], "left_semi").select("doc_id", "seeds"), "own")
+    own = save(rows.filter(F.col("n_words") >= K).join(heads, ["doc_id", "sha"], "left_semi").select("doc_id", "mark", "seeds"), "own")
     discard(rows)
-    seeds = own.select("doc_id", F.explode("seeds").alias("seed"))
-    met = seeds.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("seed")
-    met = save(met, "met")
-    # a document's own seeds; texts that share an id share them, which only adds candidates
-    wanted = save(seeds.join(met, "seed").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds")), "wanted")
+    wanted = save(_wanted(own), "wanted")
     discard(own)
-    discard(met)
-    hits = save(_edges(_texts(documents).join(wanted, "doc_id")), "hits")
+    hits = save(_edges(_texts(documents).join(wanted, ["doc_id", "mark"])), "hits")
     discard(wanted)
     # aggregates of plain numbers, by hash: rows of one document stay together in the shuffle, where they compress. The two
     # min_by() see the same rows in the same order and so take the same one
