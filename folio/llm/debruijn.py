@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.common import discard, save
@@ -165,12 +165,23 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").filter(F.col("text").isNotNull())
 
 
-def _wanted(own: DataFrame) -> DataFrame:
-    """doc_id, mark, seeds: of the seeds of each text, those that some other document has too. A set for each text, so neither many
+def _half() -> Column:
+    """The upper 32 bits of `mark`: half the bytes in the largest shuffle. Texts of one id that agree in them share their seeds,
+    which only adds candidates."""
+    return F.shiftright("mark", 32).cast("int").alias("half")
+
+
+def _met(own: DataFrame) -> DataFrame:
+    """The seeds of two documents or more."""
+    seeds = own.select("doc_id", F.explode("seeds").alias("seed"))
+    return seeds.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("seed")
+
+
+def _wanted(own: DataFrame, met: DataFrame) -> DataFrame:
+    """doc_id, half, seeds: of the seeds of each text, those that some other document has too. A set for each text, so neither many
     texts under one id nor a row that repeats makes a list longer than the seeds of one text."""
-    seeds = own.select("doc_id", "mark", F.explode("seeds").alias("seed"))
-    met = seeds.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("seed")
-    return seeds.join(met, "seed").groupBy("doc_id", "mark").agg(F.collect_set("seed").alias("seeds"))
+    seeds = own.select("doc_id", "half", F.explode("seeds").alias("seed"))
+    return seeds.join(met, "seed").groupBy("doc_id", "half").agg(F.collect_set("seed").alias("seeds"))
 
 
 def graph(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -180,11 +191,13 @@ def graph(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     first = rows.groupBy("sha").agg(F.min("doc_id").alias("first"))
     narrow = save(rows.select("doc_id", "n_words", "sha").join(first, "sha"), "rows")
     heads = narrow.filter((F.col("doc_id") == F.col("first")) & (F.col("n_words") >= K)).select("doc_id", "sha").distinct()
-    own = save(rows.filter(F.col("n_words") >= K).join(heads, ["doc_id", "sha"], "left_semi").select("doc_id", "mark", "seeds"), "own")
+    own = save(rows.filter(F.col("n_words") >= K).join(heads, ["doc_id", "sha"], "left_semi").select("doc_id", _half(), "seeds"), "own")
     discard(rows)
-    wanted = save(_wanted(own), "wanted")
+    met = save(_met(own), "met")
+    wanted = save(_wanted(own, met), "wanted")
     discard(own)
-    hits = save(_edges(_texts(documents).join(wanted, ["doc_id", "mark"])), "hits")
+    discard(met)
+    hits = save(_edges(_texts(documents).withColumn("half", _half()).join(wanted, ["doc_id", "half"])), "hits")
     discard(wanted)
     # aggregates of plain numbers, by hash: rows of one document stay together in the shuffle, where they compress. The two
     # min_by() see the same rows in the same order and so take the same one

@@ -44,9 +44,9 @@ def test_op10_one_id_holds_many_texts(spark):
     rows = [(7, t, None, None, 0) for t in texts] + [(7, texts[0], None, None, 0)] * 2000 + [(9, texts[5] + " end", None, None, 0), (3, texts[6][:300], None, None, 0)]
     got = [tuple(r) for r in debruijn.digest(corpora.frame(spark, rows)).collect()]
     assert Counter(got) == Counter(brute10(rows))
-    own = spark.range(100_000).selectExpr("7L as doc_id", "if(id < 90000, 0, id) as mark", "array(1L, 2L, 3L, 10 + id % 5) as seeds")
-    own = own.unionByName(spark.createDataFrame([(9, 9, [1, 2, 99])], "doc_id long, mark long, seeds array<long>"))
-    sizes = debruijn._wanted(own).groupBy("doc_id").agg(F.count("*"), F.max(F.size("seeds"))).collect()
+    own = spark.range(100_000).selectExpr("7L as doc_id", "int(if(id < 90000, 0, id)) as half", "array(1L, 2L, 3L, 10 + id % 5) as seeds")
+    own = own.unionByName(spark.createDataFrame([(9, 9, [1, 2, 99])], "doc_id long, half int, seeds array<long>"))
+    sizes = debruijn._wanted(own, debruijn._met(own)).groupBy("doc_id").agg(F.count("*"), F.max(F.size("seeds"))).collect()
     assert sorted(map(tuple, sizes)) == [(7, 10_001, 2), (9, 1, 2)]
 
 
