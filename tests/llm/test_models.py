@@ -165,6 +165,21 @@ def test_states_are_those_of_the_whole_text():
         assert len(language.label_positions(model, raw)) == n
 
 
+def test_states_without_tanh(monkeypatch):
+    """Prediction takes its gates from exp, half as dear as tanh, and has the states of training; shut and open gates too."""
+    rng = np.random.default_rng(5)
+    gru = language.Gru(rng)
+    gru.p[0][:3] *= 500
+    data = rng.integers(0, 257, (40, 30)).astype(np.int16)
+    data[:, :4] = [0, 1, 2, language.PAD]
+    for order in (range(30), range(29, -1, -1)):
+        want = gru.run(data, list(order))[0][list(order)]
+        with monkeypatch.context() as m:
+            m.setattr(np, "tanh", None)
+            got = gru.states(data, order)
+        assert np.isfinite(got).all() and np.abs(got - want).max() < 1e-5
+
+
 def test_op8(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     odd = corpora.frame(spark, [(5000, None, "en", None, 0), (5001, "12 !", "en", None, 0), (5002, "", None, None, 0)])
