@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import WORD, boxed, discard, save, unboxed
+from folio.llm.common import WORD, boxed, discard, in_arrow, save, unboxed
 from folio.llm.components import components
 from folio.llm.words import Texts, batches, grams
 
@@ -106,7 +106,7 @@ def _heads(documents: DataFrame, words: int, link: Fraction) -> DataFrame:
             heads = _lists([x[: head_size(len(x), link)] for x in sets])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _names(sets), pa.array([len(x) for x in sets], pa.int64()), heads], ["doc_id", "mark", "cls", "n", "head"])
 
-    return _own(documents).mapInArrow(run, "doc_id long, mark long, cls binary, n long, head array<long>")
+    return in_arrow(_own(documents), run, "doc_id long, mark long, cls binary, n long, head array<long>")
 
 
 def _own(documents: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def _candidates(regions: DataFrame, live: DataFrame, link: Fraction) -> tuple[Da
     members = regions.join(live, "cls")
     small, large = _sized(members, F.size("shared"))
     held = members.join(small, "region", "left_semi").groupBy("region").agg(F.collect_list(F.struct("cls", "n", "shared")).alias("m"))  # LEAF at most
-    tied = held.select(F.col("m.cls").alias("names"), F.col("m.n").alias("n"), F.col("m.shared").alias("shared")).mapInArrow(run, "region binary, cls binary, n long")
+    tied = in_arrow(held.select(F.col("m.cls").alias("names"), F.col("m.n").alias("n"), F.col("m.shared").alias("shared")), run, "region binary, cls binary, n long")
     whole = regions.join(large, "region", "left_semi").join(live.select("cls", "n"), "cls").select("region", "cls", "n")
     return save(tied.distinct(), "tied"), save(whole, "large")  # the same classes may be tied in several regions
 
@@ -273,7 +273,7 @@ def _leaves(members: DataFrame, sets: DataFrame, link: Fraction) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     held = members.hint("merge").join(sets, "cls").groupBy("region").agg(F.collect_list(F.struct("cls", "set")).alias("m")).filter(F.size("m") > 1)
-    return held.select(F.col("m.cls").alias("names"), F.col("m.set").alias("sets")).mapInArrow(run, "a binary, b binary")
+    return in_arrow(held.select(F.col("m.cls").alias("names"), F.col("m.set").alias("sets")), run, "a binary, b binary")
 
 
 def _split(members: DataFrame, sets: DataFrame, sizes: DataFrame, depth: int, link: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -311,7 +311,7 @@ def _split(members: DataFrame, sets: DataFrame, sizes: DataFrame, depth: int, li
             kinds = [pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["region", "cls", "n", "pivot", "near", "size", "of"])
 
-    dealt = save(dealt.mapInArrow(run, "region binary, cls binary, n long, pivot binary, near boolean, size long, of binary"), "voronoi")
+    dealt = save(in_arrow(dealt, run, "region binary, cls binary, n long, pivot binary, near boolean, size long, of binary"), "voronoi")
     loose = dealt.groupBy("of", "size", "region").agg(F.count("*").cast("double").alias("n"), F.bool_and("near").alias("all_near")).filter(~F.col("all_near"))
     loose = save(loose, "loose")
     whole = loose.groupBy("of", "size").agg(F.sum(F.col("n") * F.col("n")).alias("pairs")).filter(F.col("pairs") > F.col("size").cast("double") * F.col("size"))
@@ -387,7 +387,7 @@ def _sets(documents: DataFrame, rows: DataFrame, wanted: DataFrame, words: int)
     held = rows.join(wanted, "cls").groupBy("cls", "doc_id", "mark").agg(F.count("*").alias("n"))
     one = save(held.groupBy("cls").agg(F.min(F.struct("doc_id", "mark", "n")).alias("o")).select("cls", F.col("o.doc_id").alias("_d"), F.col("o.mark").alias("_m"), F.col("o.n").alias("n")), "one")
     both = _own(documents).join(one.hint("merge"), (F.col("mark") == F.col("_m")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    found = both.select("cls", "text").mapInArrow(run, "cls binary, own binary, set array<long>").filter("cls = own").drop("own")
+    found = in_arrow(both.select("cls", "text"), run, "cls binary, own binary, set array<long>").filter("cls = own").drop("own")
     if one.filter("n > 1").limit(1).count():  # rows that repeat both an id and a text
         found = found.dropDuplicates(["cls"])
     return save(found, "sets")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import boxed, discard, save, unboxed
+from folio.llm.common import boxed, discard, in_arrow, save, unboxed
 from folio.llm.words import Texts, batches, span_hashes
 
 MIN_BLOCK_WORDS = 8
@@ -82,7 +82,7 @@ def _lines(documents: DataFrame) -> DataFrame:
             )
 
     own = documents.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
-    return own.mapInArrow(run, LINES)
+    return in_arrow(own, run, LINES)
 
 
 def _gap(a: list, b: list, words: list[int], least: int, i: int, m: int, j: int, n: int, cells: int | None = None) -> list[tuple[int, int]]:
@@ -257,7 +257,7 @@ def _aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     out.append((at[k].as_py()["row"], gone))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int32()))], ["row", "gone"])
 
-    return dealt.mapInArrow(run, "row long, gone array<int>")
+    return in_arrow(dealt, run, "row long, gone array<int>")
 
 
 def removed(documents: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import save
+from folio.llm.common import in_arrow, save
 from folio.llm.tokens import Units
 from folio.llm.words import Texts, batches
 
@@ -47,7 +47,7 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end: int =
             names = [x.split()[0] for x in PIECE.split(", ")]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(blobs, pa.binary())] * keep_ids, names + ["ids"] * keep_ids)
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE + ", ids binary" * keep_ids)
+    return in_arrow(documents.select(F.col("doc_id").cast("long"), "text"), run, PIECE + ", ids binary" * keep_ids)
 
 
 def fill(counts: Iterable[tuple[int, int]], room: int) -> dict[int, int]:

@@ -1,3 +1,4 @@
+import inspect
 import math
 import zlib
 from collections import Counter
@@ -87,3 +88,28 @@ def test_one_of_each_group_stays(spark):
     rows = [(1, text, None, None, 0), (2, text, None, None, 0), (3, text + " more", None, None, 0), (4, "", None, None, 0), (5, None, None, None, 0), (1, text, None, None, 0), (6, "alone", None, None, 0)]
     kept = jaccard.apply(corpora.frame(spark, rows)).collect()
     assert Counter(r.doc_id for r in kept) == {1: 1, 4: 1, 5: 1, 6: 1}
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """The stages send long texts to Python in batches of some megabytes, not 10,000 rows at once; a longer row comes alone."""
+    import pyarrow as pa
+
+    from folio.llm import common, jaccard, language, line_align, packing
+
+    def sizes(frames):
+        for part in frames:
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows]), pa.array([part.nbytes])], ["n", "size"])
+
+    docs = spark.range(0, 6000, 1, 1).withColumnRenamed("id", "doc_id").withColumn("text", F.expr("repeat('word ', if(doc_id = 17, 2000000, 1000))"))
+    for module, start in ((jaccard, lambda: jaccard._heads(docs, 5, Fraction(4, 5))), (language, lambda: language.predict(docs, None)), (line_align, None), (packing, None)):
+        assert ".mapInArrow(" not in inspect.getsource(module)
+        if start:
+            spark.conf.unset(common.ARROW_KEY)
+            start()
+            found = docs.mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r.n for r in found) == 6000
+            assert max(r.size for r in found if r.size < 9_000_000) < 2 * common.ARROW_BYTES and sum(r.size >= 9_000_000 for r in found) == 1
+    spark.conf.set(common.ARROW_KEY, "1m")
+    language.predict(docs, None)
+    assert spark.conf.get(common.ARROW_KEY) == "1m"  # a session's own number stands
+    spark.conf.unset(common.ARROW_KEY)
