@@ -5,7 +5,7 @@ A word goes if a K-word window over it also starts in a document of smaller id.
 2. Each window is named by its minimizer, the least hash among its SEED_WORDS-word parts, about one row for five words. Equal
    windows have equal minimizers, so windows whose minimizer is met in one document only are unique: exact, and few are left.
 3. The rest become edges between two nodes; an edge met in two documents keeps its source coordinate, the first (doc_id, text,
-   position). These edges are the graph.
+   position), where its nodes are read. These edges are the graph.
 4. Compaction: nodes with one edge in and one out, found by counting and joining edges by their ends, branch nowhere. Edges on
    the two sides of such a node that also follow each other in the source make one piece of a path: (source, start, length),
    with its words read once from the source. paths() joins pieces of different sources into whole nonbranching paths by pointer
@@ -87,13 +87,13 @@ def _scan(documents: DataFrame) -> DataFrame:
 
 
 def _edges(texts: DataFrame) -> DataFrame:
-    """(edge, a, b: its nodes, doc_id, mark, pos, first: whether the edge has not stood earlier in the row) of the windows whose
-    minimizer is among `seeds`; nodes of first ones only."""
+    """(edge, doc_id, mark, pos, first: whether the edge has not stood earlier in the row) of the windows whose minimizer is among
+    `seeds`."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(frames, limit=SLICE):
             h, row, first = _hashed(part.column(2))
-            low, edge, node = _minimizers(h, row), grams(h, K), grams(h, K - 1)
+            low, edge = _minimizers(h, row), grams(h, K)
             docs, places, firsts = [], [], []
             for i, seeds in enumerate(part.column(3)):
                 a, b = first[i], max(first[i], first[i + 1] - K + 1)
@@ -105,11 +105,30 @@ def _edges(texts: DataFrame) -> DataFrame:
                 new[np.unique(edge[at], return_index=True)[1]] = True
                 firsts.append(new)
             at, doc, new = np.concatenate(places), np.concatenate(docs), np.concatenate(firsts)
-            ends = [pa.array(x.view(np.int64), mask=~new) for x in (node[at], node[at + 1])]
-            columns = [pa.array(edge[at].view(np.int64)), *ends, part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), pa.array((at - first[doc]).astype(np.int32)), pa.array(new)]
-            yield pa.RecordBatch.from_arrays(columns, ["edge", "a", "b", "doc_id", "mark", "pos", "first"])
+            columns = [pa.array(edge[at].view(np.int64)), part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), pa.array((at - first[doc]).astype(np.int32)), pa.array(new)]
+            yield pa.RecordBatch.from_arrays(columns, ["edge", "doc_id", "mark", "pos", "first"])
 
-    return texts.select("doc_id", "mark", "text", "seeds").mapInArrow(run, "edge long, a long, b long, doc_id long, mark long, pos int, first boolean")
+    return texts.select("doc_id", "mark", "text", "seeds").mapInArrow(run, "edge long, doc_id long, mark long, pos int, first boolean")
+
+
+def _nodes(edges: DataFrame, documents: DataFrame) -> DataFrame:
+    """edges with `a` and `b`, the nodes at their ends, read from their sources. Only repeated edges get nodes: candidates, many times
+    as many, would carry them through the largest shuffle."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches(frames, limit=SLICE):
+            h, _, first = _hashed(part.column(2))
+            node, n = grams(h, K - 1), np.diff(part.column(3).offsets.to_numpy())
+            of = np.repeat(np.arange(part.num_rows), n)
+            pos, edge = part.column(3).flatten().flatten()
+            at = first[of] + pos.to_numpy()
+            columns = [edge, *(pa.array(node.take(x, mode="clip").view(np.int64)) for x in (at, at + 1)), part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), pos]
+            yield pa.RecordBatch.from_arrays(columns, ["edge", "a", "b", "source", "source_mark", "at"])
+
+    per = edges.groupBy("source", "source_mark").agg(F.collect_list(F.struct("at", "edge")).alias("own"))  # a document's own edges
+    texts = _texts(documents).select(F.col("doc_id").alias("source"), F.col("mark").alias("source_mark"), "text")
+    held = texts.join(per, ["source", "source_mark"]).select("source", "source_mark", "text", "own")
+    return held.mapInArrow(run, "edge long, a long, b long, source long, source_mark long, at int").dropDuplicates(["edge"])  # rows may repeat a text and its id
 
 
 def _piece_words(pieces: DataFrame) -> DataFrame:
@@ -202,12 +221,12 @@ def graph(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # aggregates of plain numbers, by hash: rows of one document stay together in the shuffle, where they compress. The two
     # min_by() see the same rows in the same order and so take the same one
     edges = hits.filter("first").groupBy("edge").agg(
-        F.min("a").alias("a"), F.min("b").alias("b"), F.min("doc_id").alias("source"), F.min_by("mark", "doc_id").alias("source_mark"), F.min_by("pos", "doc_id").alias("at"), F.max("doc_id").alias("last")
+        F.min("doc_id").alias("source"), F.min_by("mark", "doc_id").alias("source_mark"), F.min_by("pos", "doc_id").alias("at"), F.max("doc_id").alias("last")
     )
-    edges = save(edges.filter("source < last").drop("last"), "graph")
-    places = save(hits.select("edge", "doc_id", "mark", "pos"), "places")  # without what only the graph needs
-    discard(hits)
-    return narrow, places, edges
+    sources = save(edges.filter("source < last").drop("last"), "sources")
+    edges = save(_nodes(sources, documents), "graph")
+    discard(sources)
+    return narrow, hits, edges
 
 
 def nonbranching(edges: DataFrame) -> DataFrame:

@@ -50,6 +50,30 @@ def test_op10_one_id_holds_many_texts(spark):
     assert sorted(map(tuple, sizes)) == [(7, 10_001, 2), (9, 1, 2)]
 
 
+def test_op10_nodes_are_read_from_sources(spark):
+    """Candidates carry no nodes; every repeated edge has those of its words, once, though rows repeat."""
+    rows = corpora.sample(3, 60)
+    rows += [(500, rows[1][1], None, None, 0)] * 3 + [(k, f"{k} " + "w x y z " * 9 + f"tail{k % 2} " * 3, None, None, 0) for k in range(600, 606)]
+    _, hits, edges = debruijn.graph(corpora.frame(spark, rows))
+    assert set(hits.columns) == {"edge", "doc_id", "mark", "pos", "first"}
+    text = {(r.doc_id, r.mark): corpora.words(r.text) for r in debruijn._texts(corpora.frame(spark, rows)).collect()}
+    found = {}
+    for r in edges.collect():
+        w = tuple(text[r.source, r.source_mark][r.at : r.at + 13])
+        assert w not in found and len(w) == 13
+        found[w] = r.a, r.b
+    ends = {(w[k : k + 12], v[k]) for w, v in found.items() for k in (0, 1)}
+    assert len(ends) == len({x for x, _ in ends}) == len({x for _, x in ends})
+    first, last = {}, {}
+    for i, t, *_ in {r for r in rows if r[0] is not None and r[1]}:
+        w = corpora.words(t)
+        for j in range(len(w) - 12):
+            e = tuple(w[j : j + 13])
+            first[e], last[e] = min(i, first.get(e, i)), max(i, last.get(e, i))
+    # of copies only the first goes on, so an edge of copies alone is none
+    assert found and set(found) <= {e for e in first if first[e] < last[e]}
+
+
 def unitigs(rows):
     """Lengths of the nonbranching paths of the graph of windows met in two documents, by walking it."""
     met = {}
