@@ -24,13 +24,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import discard, save
+from folio.llm.common import discard, in_arrow, save
 from folio.llm.words import Texts, batches, grams
 
 K, SEED_WORDS = 13, 5
@@ -83,7 +84,7 @@ def _scan(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(map(len, split)), pa.int64()), pa.array(list(map(_sha, split)), pa.string()), seeds], ["doc_id", "mark", "n_words", "sha", "seeds"])
 
     own = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
-    return own.mapInArrow(run, "doc_id long, mark long, n_words long, sha string, seeds array<long>")
+    return in_arrow(own, run, "doc_id long, mark long, n_words long, sha string, seeds array<long>")
 
 
 def _edges(texts: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ def _edges(texts: DataFrame) -> DataFrame:
             columns = [pa.array(edge[at].view(np.int64)), part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), pa.array((at - first[doc]).astype(np.int32)), pa.array(new)]
             yield pa.RecordBatch.from_arrays(columns, ["edge", "doc_id", "mark", "pos", "first"])
 
-    return texts.select("doc_id", "mark", "text", "seeds").mapInArrow(run, "edge long, doc_id long, mark long, pos int, first boolean")
+    return in_arrow(texts.select("doc_id", "mark", "text", "seeds"), run, "edge long, doc_id long, mark long, pos int, first boolean")
 
 
 def _nodes(edges: DataFrame, documents: DataFrame) -> DataFrame:
@@ -128,23 +129,28 @@ def _nodes(edges: DataFrame, documents: DataFrame) -> DataFrame:
     per = edges.groupBy("source", "source_mark").agg(F.collect_list(F.struct("at", "edge")).alias("own"))  # a document's own edges
     texts = _texts(documents).select(F.col("doc_id").alias("source"), F.col("mark").alias("source_mark"), "text")
     held = texts.join(per, ["source", "source_mark"]).select("source", "source_mark", "text", "own")
-    return held.mapInArrow(run, "edge long, a long, b long, source long, source_mark long, at int").dropDuplicates(["edge"])  # rows may repeat a text and its id
+    return in_arrow(held, run, "edge long, a long, b long, source long, source_mark long, at int").dropDuplicates(["edge"])  # rows may repeat a text and its id
 
 
-def _piece_words(pieces: DataFrame) -> DataFrame:
-    """Replaces a piece's source text by the words it points at."""
+def _piece_words(pieces: DataFrame, documents: DataFrame) -> DataFrame:
+    """source, source_mark, piece and the words that each piece points at. A source's text meets the list of its pieces once,
+    however many there are."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in frames:
-            held, words = None, []
-            columns = [part.column(k).to_pylist() for k in (0, 1, 2, 3)]
-            for k, (doc, mark, at, n) in enumerate(zip(*columns, strict=True)):
-                if held is None or held[0] != (doc, mark):
-                    held = (doc, mark), part.column(4)[k].as_buffer().to_pybytes().split()
-                words.append(b" ".join(held[1][at : at + n + K - 1]))
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), pa.array(words, pa.binary())], ["source", "source_mark", "piece", "words"])
-
-    return pieces.select("source", "source_mark", "piece", "n_edges", "text").mapInArrow(run, "source long, source_mark long, piece int, words binary")
+        for part in batches(frames, limit=SLICE):
+            words, n = [], np.diff(part.column(3).offsets.to_numpy())
+            piece, size = part.column(3).flatten().flatten()
+            places = zip(piece.to_pylist(), size.to_pylist(), strict=True)
+            for text, own in zip(part.column(2), n.tolist(), strict=True):
+                split = text.as_buffer().to_pybytes().split()
+                words += [b" ".join(split[at : at + edges + K - 1]) for at, edges in islice(places, own)]
+            of = pa.array(np.repeat(np.arange(part.num_rows), n))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), piece, pa.array(words, pa.binary())], ["source", "source_mark", "piece", "words"])
+
+    per = pieces.groupBy("source", "source_mark").agg(F.collect_list(F.struct("piece", "n_edges")).alias("own"))  # a document's own pieces
+    texts = _texts(documents).select(F.col("doc_id").alias("source"), F.col("mark").alias("source_mark"), "text")
+    held = texts.join(per, ["source", "source_mark"]).select("source", "source_mark", "text", "own")
+    return in_arrow(held, run, "source long, source_mark long, piece int, words binary").dropDuplicates(["source", "source_mark", "piece"])  # rows may repeat a text and its id
 
 
 def _source_sha(spans: DataFrame) -> DataFrame:
@@ -155,7 +161,7 @@ def _source_sha(spans: DataFrame) -> DataFrame:
             shas = [_sha(words.as_buffer().to_pybytes().split(b" ")[at : at + n]) for words, at, n in zip(part.column(4), part.column(5).to_pylist(), part.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(shas, pa.string())], ["doc_id", "mark", "start", "n", "source_sha"])
 
-    return spans.select("doc_id", "mark", "start", "n", "words", "offset").mapInArrow(run, "doc_id long, mark long, start int, n int, source_sha string")
+    return in_arrow(spans.select("doc_id", "mark", "start", "n", "words", "offset"), run, "doc_id long, mark long, start int, n int, source_sha string")
 
 
 def _cut(texts: DataFrame) -> DataFrame:
@@ -177,7 +183,7 @@ def _cut(texts: DataFrame) -> DataFrame:
             columns = list(zip(*out, strict=True)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True))], ["doc_id", "sha", "n_removed", "kept_sha256", "kept"])
 
-    return texts.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, sha string, n_removed long, kept_sha256 string, kept string")
+    return in_arrow(texts.select("doc_id", "text", "spans"), run, "doc_id long, sha string, n_removed long, kept_sha256 string, kept string")
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -291,9 +297,7 @@ def spans(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     runs = save(runs.select("doc_id", "mark", "start", "n", "source", "source_mark", "piece", (F.col("start") - F.col("shift") - F.col("piece")).cast("int").alias("offset")), "runs")
     discard(hits)
     whole = cut.groupBy("source", "source_mark", "piece").agg(F.count("*").cast("int").alias("n_edges"))
-    texts = _texts(documents).select(F.col("doc_id").alias("source"), F.col("mark").alias("source_mark"), "text")
-    words = _piece_words(whole.join(texts, ["source", "source_mark"]).select("source", "source_mark", "piece", "n_edges", "text")).dropDuplicates(["source", "source_mark", "piece"])
-    words = save(words, "words")
+    words = save(_piece_words(whole, documents), "words")
     checked = save(_source_sha(runs.join(words, ["source", "source_mark", "piece"])), "checked")
     for table in (cut, runs, words):
         discard(table)

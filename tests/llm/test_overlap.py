@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import corpora
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folio.llm import debruijn, line_align
@@ -263,3 +264,29 @@ def test_op7_shuffled_lines(spark):
         a, b = ([r.choice(lines) for _ in range(r.randint(1, 12))] for _ in "ab")
         gone = line_align.deleted_lines(a, b, [len(x.split()) for x in b], cells=r.choice([0, 1 << 20]))
         assert gone == sorted(blocks7([(0, "\n".join(a)), (1, "\n".join(b))])[1][2])
+
+
+def test_python_gets_small_batches_and_a_source_once(spark):
+    """Texts go to Python in batches of some megabytes; a source with many pieces is sent with the list of them, not once for each."""
+    from folio.llm import common
+
+    def sizes(frames):
+        for part in frames:
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows]), pa.array([part.nbytes])], ["n", "size"])
+
+    spark.conf.unset(common.ARROW_KEY)
+    docs = spark.range(0, 4000, 1, 1).withColumnRenamed("id", "doc_id").withColumn("text", F.expr("repeat('word ', 2000)"))
+    debruijn._scan(docs)
+    found = docs.mapInArrow(sizes, "n long, size long").collect()
+    spark.conf.unset(common.ARROW_KEY)
+    assert sum(r.n for r in found) == 4000 and max(r.size for r in found) < 2 * common.ARROW_BYTES
+
+    text = {1: " ".join(f"a{i}" for i in range(900)), 2: "b " * 40, 3: "\n".join(f"c{i}" for i in range(60))}
+    docs = spark.createDataFrame([*text.items(), (1, text[1]), (4, None)], "doc_id long, text string")
+    want = {(1, at, n): text[1].split()[at : at + n + debruijn.K - 1] for at, n in [(5 * k, k % 4 + 1) for k in range(150)]}
+    want |= {(3, at, n): text[3].split()[at : at + n + debruijn.K - 1] for at, n in [(0, 1), (7, 41)]}
+    marks = {r.doc_id: r.mark for r in debruijn._texts(docs).collect()}
+    pieces = spark.createDataFrame([(d, marks[d], at, n) for d, at, n in want], "source long, source_mark long, piece int, n_edges int")
+    words = debruijn._piece_words(pieces, docs)
+    got = {(r.source, r.piece): r.words.decode().split(" ") for r in words.collect()}
+    assert words.count() == len(want) and got == {(d, at): w for (d, at, _), w in want.items()}
