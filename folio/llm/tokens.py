@@ -7,6 +7,8 @@ of a batch are gathered from a pool. A hash only finds a unit: its bytes are com
 which any differ goes through the library whole. So do texts with white space beyond ASCII, which byte-level patterns treat
 by context, and texts that hold an added token of the tokenizer (such as <|endoftext|>), which is matched before units are.
 Those strings give the added token's id, as the plain library call does; with `plain_specials` they are ordinary text.
+Fresh units that begin with a space go to a byte-level tokenizer many at a time, end to end, as they would stand in a text; the
+bytes that its tokens spell tell which ids are whose, and if a unit does not end where a token does, all go one by one.
 test_tokens.py holds the result against plain encoding.
 """
 
@@ -16,10 +18,12 @@ import os
 
 import numpy as np
 
-from folio.llm.words import Texts
+from folio.llm.words import _IS_SPACE, Texts
 
-#: Units remembered by one worker, at about 40 bytes each, and bytes of their text. Beyond either the memory starts anew.
+#: Units remembered by one worker, at about 70 bytes each, and bytes of their text. Beyond either the memory starts anew.
 MAX_UNITS, MAX_BYTES = 2_500_000, 1 << 26
+#: Fresh units in one call of the library.
+TOGETHER = 256
 
 _FLAG = np.zeros(256, bool)
 _FLAG[[0xC2, 0xE1, 0xE2, 0xE3, 0x1C, 0x1D, 0x1E, 0x1F]] = True
@@ -48,6 +52,11 @@ def _literal(data: np.ndarray, content: bytes) -> np.ndarray:
     return at
 
 
+def _room(own: np.ndarray, n: int) -> np.ndarray:
+    """own with room for n values; it grows by half, so that not every call copies it."""
+    return own if n <= len(own) else np.concatenate([own, np.zeros(max(len(own) // 2, n - len(own)), own.dtype)])
+
+
 class Units:
     """One tokenizer and the units that this process has met."""
 
@@ -60,8 +69,21 @@ class Units:
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = [t.content.encode() for t in added if t.content and not (plain_specials and t.special)]
         self.spaced = spaced
+        self.spelled = self._spelled() if spaced else None
         self.clear()
 
+    def _spelled(self) -> np.ndarray | None:
+        """Bytes that each id spells; None unless tokens are byte-level."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        if self.tokenizer.normalizer is not None or not isinstance(self.tokenizer.pre_tokenizer, ByteLevel):
+            return None
+        sizes = {i: len(token) for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+        sizes |= {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        out = np.zeros(max(sizes, default=0) + 1, np.int64)
+        out[list(sizes)] = list(sizes.values())
+        return out
+
     @staticmethod
     def of(path: str, spaced: bool, plain_specials: bool = False) -> "Units":
         key = (path, spaced, plain_specials)
@@ -70,11 +92,11 @@ class Units:
         return _OPEN[key]
 
     def clear(self) -> None:
-        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.fresh_keys, self.fresh_slot = self.keys, self.slot
-        self.begin, self.used = np.zeros(1, np.int64), 0
+        self.n, self.keys = 0, np.zeros(1 << 10, np.uint64)  # a unit's hash, by its slot
+        self.table = np.full(1 << 12, -1, np.int32)  # slots, at the upper bits of their hashes or the next free place
+        self.begin, self.used = np.zeros(1 << 10, np.int64), 0
         self.pool = np.zeros(1 << 16, np.uint32)
-        self.raw_begin, self.raw_used, self.raw = np.zeros(1, np.int64), 0, np.zeros(1 << 18, np.uint8)
+        self.raw_begin, self.raw_used, self.raw = np.zeros(1 << 10, np.int64), 0, np.zeros(1 << 18, np.uint8)
 
     def _bounds(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all units, and the first unit of each row."""
@@ -99,51 +121,95 @@ class Units:
             starts, ends, first = at[order], np.concatenate([ends[~inside], texts.off[whole + 1]])[order], np.r_[0, np.cumsum(count)]
         return starts, ends, first
 
-    def _learn(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        raw = data.tobytes()
+    def _one_by_one(self, raw: bytes, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers, of the units of raw that end at `to`."""
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without offsets, which nothing here needs
-        found = encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], add_special_tokens=False)
-        ids = [x.ids for x in found]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-        if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), np.uint32)])
+        ends = to.tolist()
+        found = [np.array(x.ids, np.uint32) for x in encode([raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends], ends, strict=False)], add_special_tokens=False)]
+        return np.concatenate([*found, np.zeros(0, np.uint32)]), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _together(self, raw: bytes, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of units that each begin with their only space."""
+        if not len(to):
+            return self._one_by_one(raw, to)
+        ids, _ = self._one_by_one(raw, to[np.r_[TOGETHER - 1 : len(to) - 1 : TOGETHER, len(to) - 1]])
+        ends = np.cumsum(self.spelled[ids])
+        last = np.searchsorted(ends, to)  # each unit's last id
+        if last[-1] != len(ids) - 1 or (ends[last] != to).any():
+            return self._one_by_one(raw, to)
+        return ids, np.diff(np.r_[-1, last])
+
+    def _plain(self, data: np.ndarray, begin: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Which units are a word with the space before it, and hold nothing that the library might see as more."""
+        if self.spelled is None:
+            return np.zeros(len(to), bool)
+        spaces = np.r_[0, np.cumsum(_IS_SPACE[data])]
+        plain = (data[begin] == 0x20) & (spaces[to] - spaces[begin] == 1) & (to - begin > 1)
+        odd = np.concatenate([_wide_space(data), *(_literal(data, t) for t in self.added)]).astype(np.int64)
+        plain[np.searchsorted(to, odd, "right")] = False
+        return plain
+
+    def _learn(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        def laid(starts, size):
+            return data[np.arange(size.sum()) + np.repeat(starts - np.cumsum(size) + size, size)]
+
+        size = ends - starts
+        to = np.cumsum(size)
+        plain = self._plain(laid(starts, size), to - size, to)
+        order = np.argsort(~plain, kind="stable")
+        hashes, size, n = hashes[order], size[order], int(plain.sum())
+        to, text = np.cumsum(size), laid(starts[order], size)
+        cut = int(to[n - 1]) if n else 0
+        raw = text.tobytes()
+        parts = self._together(raw[:cut], to[:n]), self._one_by_one(raw[cut:], to[n:] - cut)
+        flat, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+
+        first, self.n = self.n, self.n + len(sizes)
+        self.pool = _room(self.pool, self.used + len(flat))
         self.pool[self.used : self.used + len(flat)] = flat
-        first = len(self.begin) - 1
-        self.begin = np.concatenate([self.begin, self.used + np.cumsum(sizes)])
+        self.begin = _room(self.begin, self.n + 1)
+        self.begin[first + 1 : self.n + 1] = self.used + np.cumsum(sizes)
         self.used += len(flat)
-        size = ends - starts
-        to = self.raw_used + np.cumsum(size)
-        total = int(size.sum())
-        if self.raw_used + total > len(self.raw):
-            self.raw = np.concatenate([self.raw, np.zeros(max(len(self.raw), total), np.uint8)])
-        self.raw[self.raw_used : self.raw_used + total] = data[np.arange(total) + np.repeat(starts - np.r_[0, np.cumsum(size)[:-1]], size)]
-        self.raw_begin = np.concatenate([self.raw_begin, to])
-        self.raw_used += total
-        self.fresh_keys, self.fresh_slot = self._merge(self.fresh_keys, self.fresh_slot, hashes, np.arange(first, first + len(ids)))
-        if len(self.fresh_keys) > max(20_000, len(self.keys) // 4):
-            self.keys, self.slot = self._merge(self.keys, self.slot, self.fresh_keys, self.fresh_slot)
-            self.fresh_keys, self.fresh_slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    @staticmethod
-    def _merge(keys, slot, more, more_slot):
-        at = np.searchsorted(keys, more)
-        return np.insert(keys, at, more), np.insert(slot, at, more_slot)
+        self.raw = _room(self.raw, self.raw_used + len(text))
+        self.raw[self.raw_used : self.raw_used + len(text)] = text
+        self.raw_begin = _room(self.raw_begin, self.n + 1)
+        self.raw_begin[first + 1 : self.n + 1] = self.raw_used + to
+        self.raw_used += len(text)
+        self.keys = _room(self.keys, self.n)
+        self.keys[first : self.n] = hashes
+        if 2 * self.n > len(self.table):
+            self.table, first = np.full(1 << (2 * self.n).bit_length(), -1, np.int32), 0
+        self._place(np.arange(first, self.n, dtype=np.int32))
+
+    def _home(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(65 - len(self.table).bit_length())).astype(np.int64)
+
+    def _place(self, slot: np.ndarray) -> None:
+        at = self._home(self.keys[slot])
+        while len(slot):
+            free = self.table[at] < 0
+            self.table[at[free]] = slot[free]  # of several at one place, one stays
+            left = self.table[at] != slot
+            slot, at = slot[left], at[left] + 1 & len(self.table) - 1
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), -1, np.int64)
-        for keys, slot in ((self.keys, self.slot), (self.fresh_keys, self.fresh_slot)):
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                hit = keys[at] == hashes
-                out[hit] = slot[at[hit]]
+        """Slots of the units; -1: not met."""
+        at = self._home(hashes)
+        out = self.table.take(at)
+        todo = np.flatnonzero((self.keys.take(out) != hashes) & (out >= 0))
+        while len(todo):
+            at[todo] = at[todo] + 1 & len(self.table) - 1
+            own = self.table.take(at[todo])
+            out[todo] = own
+            todo = todo[(self.keys.take(own) != hashes[todo]) & (own >= 0)]
         return out
 
     def _unlike(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slot: np.ndarray) -> np.ndarray:
         """Units whose bytes are not those remembered under their hash."""
-        wrong = ends - starts != self.raw_begin[slot + 1] - self.raw_begin[slot]
+        begin = self.raw_begin.take(slot)
+        wrong = ends - starts != self.raw_begin.take(slot + 1) - begin
         at = np.arange(len(data), dtype=np.int32)
-        at += np.repeat(np.r_[0, self.raw_begin[slot] - starts].astype(np.int32), np.diff(np.r_[0, starts, len(data)]))
+        at += np.repeat(np.r_[0, begin - starts].astype(np.int32), np.diff(np.r_[0, starts, len(data)]))
         differ = np.zeros(len(data) + 1, np.int32)  # what lies between units counts for none
         np.cumsum(data != self.raw.take(at, mode="clip"), out=differ[1:])
         return np.flatnonzero(wrong | (differ[ends] != differ[starts]))
@@ -151,19 +217,20 @@ class Units:
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows laid end to end, and where each row's begin (n + 1 entries)."""
         starts, ends, first = self._bounds(texts)
-        if len(self.begin) > MAX_UNITS or self.raw_used > MAX_BYTES:
+        if self.n > MAX_UNITS or self.raw_used > MAX_BYTES:
             self.clear()
-        distinct, one, of = np.unique(texts.hashes(starts, ends), return_index=True, return_inverse=True)
-        slot = self._find(distinct)
+        hashes = texts.hashes(starts, ends)
+        slot = self._find(hashes)
         if len(new := np.flatnonzero(slot < 0)):
-            self._learn(texts.data, distinct[new], starts[one[new]], ends[one[new]])
-            slot = self._find(distinct)
-        begin, size = self.begin[slot], self.begin[slot + 1] - self.begin[slot]
-        sizes = size[of]
+            distinct, one = np.unique(hashes[new], return_index=True)
+            self._learn(texts.data, distinct, starts[new[one]], ends[new[one]])
+            slot[new] = self._find(hashes[new])
+        begin = self.begin.take(slot)
+        sizes = self.begin.take(slot + 1) - begin
         to = np.r_[0, np.cumsum(sizes)]
-        ids = self.pool[np.repeat(begin[of] - to[:-1], sizes) + np.arange(to[-1])]
+        ids = self.pool.take(np.repeat(begin - to[:-1], sizes) + np.arange(to[-1]))
         off = to[first]
-        if len(unlike := self._unlike(texts.data, starts, ends, slot[of])):
+        if len(unlike := self._unlike(texts.data, starts, ends, slot)):
             own = [ids[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             for i in np.unique(np.searchsorted(first, unlike, "right") - 1).tolist():
                 own[i] = np.array(self.tokenizer.encode(texts.row(i).tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)

@@ -63,10 +63,13 @@ def _tokenised(documents: DataFrame, path: str, end: int) -> DataFrame:
         units, row = Units.of(path, True), 0
         for part in batches(frames):
             ids, off = units.encode(Texts(part.column(1)))
-            blobs = [np.append(ids[off[i] : off[i + 1]], np.uint32(end)).astype("<u4" if ids.max(initial=0) > 0xFFFF else "<u2") for i in range(part.num_rows)]
+            width = 4 if max(ids.max(initial=0), end) > 0xFFFF else 2
+            laid = np.insert(ids, off[1:], np.uint32(end)).astype(f"<u{width}")
+            to = ((off + np.arange(len(off))) * width).astype(np.int32)
+            blobs = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(to), pa.py_buffer(laid)])
             rows = pa.array(np.arange(row, row + part.num_rows))
             row += part.num_rows
-            yield pa.RecordBatch.from_arrays([part.column(0), rows, binary([x.tobytes() for x in blobs]), pa.array([x.itemsize for x in blobs], pa.int32())], ["doc_id", "_row", "ids", "width"])
+            yield pa.RecordBatch.from_arrays([part.column(0), rows, blobs, pa.array(np.full(part.num_rows, width, np.int32))], ["doc_id", "_row", "ids", "width"])
 
     return save(dealt.mapInArrow(run, "doc_id long, _row long, ids binary, width int").withColumn("_part", F.spark_partition_id()), "ids", "zstd")
 

@@ -132,3 +132,47 @@ def test_op2(spark):
         assert at <= 256
     assert len(sequences) <= -(-seen // 256) + 3
     assert packing.pack(corpora.frame(spark, []), WORD).count() == 0
+
+
+class Counting:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, own):
+        self.own, self.n = own, 0
+
+    def __getattr__(self, name):
+        return getattr(self.own, name)
+
+    def encode_batch_fast(self, texts, **more):
+        self.n += len(texts)
+        return self.own.encode_batch_fast(texts, **more)
+
+
+def test_fresh_units_go_to_the_library_together():
+    """Not a call for each word; ids are those of plain encoding, also where what tokens spell is told wrongly."""
+    r = random.Random(5)
+    words = ["".join(r.choice("etaoinshrdlué'’.,7#😀") for _ in range(r.randint(1, 14))) for _ in range(6000)]
+    rows = [" " + " ".join(words[i : i + 50]) for i in range(0, 6000, 50)] + texts()
+    rows += [" a ", " <|endoftext|>", " <|endoftext|", "|> b", " x　y", "  z", " 's 'll", "  two", " one "]
+    units, want = Units(BYTE, True), plain(BYTE)
+    units.tokenizer = Counting(units.tokenizer)
+    same(units, rows[:120], want)
+    assert units.n > 5000 and units.tokenizer.n < 100
+    same(units, rows, want)
+    wrong = Units(BYTE, True)
+    wrong.spelled = np.ones_like(wrong.spelled)
+    same(wrong, rows, want)
+
+
+@pytest.mark.parametrize(("path", "spaced"), [(WORD, False), (BYTE, True)])
+def test_units_at_equal_places(path, spaced, monkeypatch):
+    """Units whose places in the table are the same, and a table that grows many times, give the same ids."""
+    rows = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(60)]
+    units, want = Units(path, spaced), plain(path)
+    for row in rows:
+        same(units, [row], want)
+    same(units, rows[::-1], want)
+    monkeypatch.setattr(Units, "_home", lambda self, hashes: np.full(len(hashes), len(self.table) - 2))
+    units = Units(path, spaced)
+    same(units, rows[:10], want)
+    same(units, rows[:20], want)
